@@ -1,11 +1,14 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat, mixing, sharding
+from . import chat, langid, lm, mixing, quality, sharding
 
 QUERIES = {
+    "op3_language_mixtures": langid.op3_language_mixtures,
+    "op5_quality_scores": quality.op5_quality_scores,
     "op6_format_reply_trees": chat.op6_format_reply_trees,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_shard_documents": sharding.op9_shard_documents,
+    "op10_suffix_tree_scores": lm.op10_suffix_tree_scores,
 }
 
 ORACLE_SQL = {
