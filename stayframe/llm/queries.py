@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import chat, langid, lm, mixing, quality, sharding
+from . import chat, embedding_dedup, langid, lm, mixing, quality, sharding
 
 QUERIES = {
+    "op2_embedding_duplicates": embedding_dedup.op2_embedding_duplicates,
     "op3_language_mixtures": langid.op3_language_mixtures,
     "op5_quality_scores": quality.op5_quality_scores,
     "op6_format_reply_trees": chat.op6_format_reply_trees,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_embedding_duplicates": embedding_dedup.OP2_SQL,
     "op6_format_reply_trees": chat.OP6_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
 }
