@@ -69,6 +69,12 @@ def steps(lengths: np.ndarray, most: int = STEP_CHARS) -> list[tuple[int, int]]:
     return [*out, (begin, len(lengths))] if begin < len(lengths) else out
 
 
+def sliced(batch: pa.RecordBatch, most: int = STEP_CHARS, column: str = "text") -> list[pa.RecordBatch]:
+    """The batch in pieces of about `most` bytes of text, so that a task's memory doesn't depend on the batch size."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    return [batch.slice(a, b - a) for a, b in steps(sizes, most)]
+
+
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All code points of the texts one after the other, and the document of each."""
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
