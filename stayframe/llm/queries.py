@@ -1,8 +1,9 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import ann, chat, embedding_dedup, langid, lm, mixing, quality, sharding
+from . import ann, chat, embedding_dedup, langid, lm, mixing, pieces, quality, sharding
 
 QUERIES = {
+    "op1_pieces": pieces.op1_pieces,
     "op4_nearest_neighbours": ann.op4_nearest_neighbours,
     "op2_embedding_duplicates": embedding_dedup.op2_embedding_duplicates,
     "op3_language_mixtures": langid.op3_language_mixtures,
