@@ -28,7 +28,7 @@ class Words:
 
 def words_of(texts: pa.Array, separators: str | None = None) -> Words:
     """Words between ASCII white space (or the pieces between `separators`), A-Z in lower case. Null: no words."""
-    lowered = pc.ascii_lower(texts.cast(pa.large_string()))
+    lowered = pc.ascii_lower(texts)  # not cast to large_string: that goes wrong for slices of an array
     split = pc.ascii_split_whitespace(lowered) if separators is None else pc.split_pattern(lowered, separators)
     doc, flat = pc.list_parent_indices(split), pc.list_flatten(split)
     real = pc.greater(pc.binary_length(flat), 0)
