@@ -264,10 +264,13 @@ def decode(encoded: DataFrame, table: PieceTable, *, ids: str = "piece_ids", out
     return plain.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in plain.dtypes), f"`{output}` string"]))
 
 
-def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = load()
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    encoded = encode(docs, table).drop("text")
-    back = decode(encoded, table)
+def round_trip(docs: DataFrame, table: PieceTable, keep: list[str], *, dropout: float = DROPOUT, seed: int = 0) -> DataFrame:
+    """The columns in keep, piece_ids, n_pieces, text_crc32 and `lossless`: whether decoding gives the text again."""
+    rows = docs.select(*keep, "text", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
+    back = decode(encode(rows, table, dropout=dropout, seed=seed).drop("text"), table)
     lossless = F.crc32(F.col("decoded").cast("binary")).eqNullSafe(F.col("text_crc32"))
-    return back.select("doc_id", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "text_crc32", lossless.alias("lossless"))
+    return back.select(*keep, "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "text_crc32", lossless.alias("lossless"))
+
+
+def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(read_table(spark, sf_dir, "documents"), load(), ["doc_id"])

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, read_table, written
-from .textops import code_points, letter_table, sorted_counts, steps, words_of
+from .textops import code_points, letter_table, sliced, sorted_counts, steps, words_of
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "letters", "upper", "digits", "marks", "white", "lines_per_word", "ascii",
@@ -186,6 +186,18 @@ def scored(stats: DataFrame, model: QualityModel) -> DataFrame:
     return stats.select(*[n for n, _ in others], "stats").mapInPandas(predict, ", ".join([*(f"`{n}` {t}" for n, t in others), "score double"]))
 
 
+def kept_by_score(docs: DataFrame, model: QualityModel, least: float = 0.5) -> DataFrame:
+    """The rows of docs (text, more columns) whose score is `least` or more, with all their columns, in one narrow pass."""
+    send = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in sliced(whole)):
+            score = send.value.score(statistics([t or "" for t in batch.column("text").to_pylist()]))
+            yield batch.filter(pa.array(score >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", held_out("doc_id", 3, 1).alias("held_out"))
     stats = written(measured(docs, ["doc_id", "held_out"]), "stats")

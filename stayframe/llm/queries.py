@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import ann, chat, embedding_dedup, langid, lm, mixing, pieces, quality, sharding
+from . import ann, chat, embedding_dedup, langid, lm, minhash, mixing, pieces, quality, sharding
 
 QUERIES = {
     "op1_pieces": pieces.op1_pieces,
@@ -9,6 +9,7 @@ QUERIES = {
     "op3_language_mixtures": langid.op3_language_mixtures,
     "op5_quality_scores": quality.op5_quality_scores,
     "op6_format_reply_trees": chat.op6_format_reply_trees,
+    "op7_minhash_classes": minhash.op7_minhash_classes,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_shard_documents": sharding.op9_shard_documents,
     "op10_suffix_tree_scores": lm.op10_suffix_tree_scores,
