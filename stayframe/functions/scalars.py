@@ -48,7 +48,7 @@ def drop_consecutive_duplicates(values: Column) -> Column:
 
 def split_codes(text: Column, separator: str = ",") -> Column:
     """Trimmed parts of a list in text; empty parts are left out."""
-    return F.filter(F.transform(F.split(text, separator), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def normalize_text(text: Column, nothing: tuple[str, ...] = ("NULL",)) -> Column:

@@ -475,7 +475,7 @@ def interval_relations(spark, d):
 def scores_and_bands(spark, d):
     v = F.col("value")
     return table(spark, d, "events").select(
-        "event_id", S.threshold_score(v, [(200, 6), (100, 3), (50, 1)], below=0).alias("points"), S.band_label(v, [(20, "low"), (150, "normal")], "high").alias("band"),
+        "event_id", S.threshold_score(v, [(200, 4), (100, 3), (50, 1)], below=0).alias("points"), S.band_label(v, [(20, "low"), (150, "normal")], "high").alias("band"),
         S.recode(F.col("event_type"), {"click": "C", "view": "V"}, F.lit("other")).alias("code"), F.greatest(v, F.col("event_id") % 100).alias("worst"),
     )
 
