@@ -55,6 +55,21 @@ def resolved_order(requires: dict[str, tuple[str, ...]]) -> list[str]:
     return done
 
 
+def required_window(parent: TimeWindow, rule: str | tuple[str, str] | TimeWindow | None) -> TimeWindow:
+    """The window in which a required variable is loaded: the parent's ("inherit"), the parent's moved by (before, after), its
+    own, or open (None)."""
+    if rule == "inherit":
+        return parent
+    if isinstance(rule, tuple):
+        return parent.widened(*rule)
+    return rule if isinstance(rule, TimeWindow) else TimeWindow()
+
+
+def per_group(df: DataFrame, key: str, function: Callable, schema: str) -> DataFrame:
+    """A pandas function of one observation's rows, for rules that Spark's functions can't say."""
+    return df.groupBy(key).applyInPandas(function, schema)
+
+
 def dynamic_series(base: DataFrame, obs: DataFrame, spec: DynamicSpec, level: ObsLevel, window: TimeWindow) -> DataFrame:
     """Extract, clip, fold attributes, apply the user's function, attach windows, filter by time, clean. If the observations lack
     a column that the window needs, the time filter is left out."""

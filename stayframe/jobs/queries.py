@@ -22,7 +22,7 @@ from ..operators import joins as J
 from ..operators import outcomes as Q
 from ..operators import summary as M
 from ..sources import datasets, hospital
-from .cohort import Cohort
+from .cohort import Cohort, DynamicSpec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -137,8 +137,8 @@ def patient_records_in_stays(spark, d):
 # --- as-of joins --------------------------------------------------------------------------------------------------------
 
 
-def _asof(spark, d, strategy):
-    return J.attach_asof_value(series(spark, d, "purchase").select("event_id", "user_id", "recordtime"), series(spark, d, "view"), "view_value", by="user_id", strategy=strategy, tolerance="12h", with_matched_time=True, tiebreak="event_id")
+def _asof(spark, d, strategy, slices=None):
+    return J.attach_asof_value(series(spark, d, "purchase").select("event_id", "user_id", "recordtime"), series(spark, d, "view"), "view_value", by="user_id", strategy=strategy, tolerance="12h", with_matched_time=True, tiebreak="event_id", slices=slices)
 
 
 _PAIRS = """p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT event_id AS vid, user_id, ts AS vts, value FROM events WHERE event_type = 'view'),
@@ -161,6 +161,11 @@ def asof_nearest(spark, d):
     return _asof(spark, d, "nearest")
 
 
+@query(ORACLE_SQL["asof_nearest"])
+def asof_in_slices(spark, d):
+    return _asof(spark, d, "nearest", "1d")
+
+
 @query("SELECT event_id, user_id, ts AS recordtime FROM events p WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events v WHERE v.event_type = 'error' AND v.user_id = p.user_id AND abs(epoch_us(v.ts) - epoch_us(p.ts)) <= 86400000000)")
 def asof_removed(spark, d):
     return J.remove_asof(series(spark, d, "click").select("event_id", "user_id", "recordtime"), series(spark, d, "error"), by="user_id")
@@ -608,3 +613,67 @@ def same_hour_pairs(spark, d):
 def relative_seconds(spark, d):
     found = J.relative_times(series(spark, d), observations(spark, d), "user_id", "t_first", ("recordtime",))
     return rounded(found.select("event_id", "recordtime_relative"), "recordtime_relative")
+
+
+@query(f"WITH {OBS} SELECT e.event_id, e.ts AS recordtime FROM events e JOIN obs o USING (user_id) WHERE e.user_id % 2 = 0 UNION ALL SELECT e.event_id, TIMESTAMP '1900-01-01' + (e.ts - o.t_first) FROM events e JOIN obs o USING (user_id) WHERE e.user_id % 2 = 1")
+def absolute_again(spark, d):
+    obs = observations(spark, d)
+    relative = J.relative_times(series(spark, d), obs, "user_id", "t_first", ("recordtime",)).drop("recordtime")
+    known = obs.withColumn("t_first", F.when(F.col("user_id") % 2 == 0, F.col("t_first")))
+    return J.absolute_times(relative, known, "user_id", "recordtime_relative", t_min="t_first").select("event_id", "recordtime")
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('day', ts) WHEN 2 THEN NULL ELSE date_trunc('minute', ts) END AS parsed,
+  CASE WHEN event_id % 5 > 0 THEN event_id % 100 END AS number FROM events""")
+def parsed_texts(spark, d):
+    kind = F.col("event_id") % 4
+    text = F.when(kind == 0, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(kind == 1, F.date_format("ts", "yyyy-MM-dd")).when(kind == 2, F.lit("unknown")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm"))
+    number = F.when(F.col("event_id") % 5 > 0, (F.col("event_id") % 100).cast("string")).otherwise(F.lit("n/a"))
+    return table(spark, d, "events").select("event_id", T.parse_timestamp(text).alias("parsed"), S.safe_cast(number, "bigint").alias("number"))
+
+
+@query("""SELECT o_orderkey AS icu_stay_id, CASE o_orderstatus WHEN 'Male' THEN 'M' ELSE o_orderstatus END AS sex, o_orderkey % 3 = 0 AS died, TIMESTAMP '1900-01-01' AS icu_admission,
+  TIMESTAMP '1900-01-01' + to_microseconds(((o_orderkey % 50) * 0.25 * 86400 * 1000000)::BIGINT) AS icu_discharge FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderstatus <> 'P'""")
+def harmonised_source(spark, d):
+    raw = table(spark, d, "orders").select(F.col("o_orderkey").alias("Stay"), F.col("o_orderstatus").alias("Gender"), (F.col("o_orderkey") % 3 == 0).cast("int").alias("Died"), ((F.col("o_orderkey") % 50) * 0.25).alias("Days"), "o_orderpriority")
+    chosen = datasets.choose_sources(datasets.choose_sources(raw, "o_orderpriority", include=["1-URGENT", "2-HIGH"]), "Gender", exclude=["P"])
+    named = datasets.normalize_source(chosen, {"Stay": "icu_stay_id", "Gender": "sex", "Died": "died", "Days": "days"}, flags=["died"], length_of_stay="days")
+    return named.drop("days")
+
+
+@query("""WITH p AS (SELECT c_custkey::VARCHAR AS patient_id, TIMESTAMP '1990-01-01' + to_days((c_custkey % 9000)::INT) AS birthdate, CASE WHEN c_custkey % 6 = 0 THEN TIMESTAMP '2012-01-01' END AS death_timestamp FROM customer)
+  SELECT patient_id, birthdate, death_timestamp, coalesce(death_timestamp, TIMESTAMP '2020-06-01') AS censordate FROM p
+  WHERE birthdate <= coalesce(death_timestamp, TIMESTAMP '2020-06-01') - INTERVAL 18 YEAR AND patient_id IN (SELECT o_custkey::VARCHAR FROM orders WHERE o_orderstatus = 'F')""")
+def adult_patients(spark, d):
+    patients = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("patient_id"), (F.lit("1990-01-01").cast("timestamp_ntz") + F.make_dt_interval((F.col("c_custkey") % 9000).cast("int"))).alias("birthdate"), F.when(F.col("c_custkey") % 6 == 0, F.lit("2012-01-01").cast("timestamp_ntz")).alias("death_timestamp"))
+    movements = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("patient_id"), F.when(F.col("o_orderstatus") == "F", "3").otherwise("2").alias("kind"), F.lit("x").alias("art"), F.lit("w").alias("ward"), F.col("o_orderdate").alias("begin"), F.col("o_orderdate").alias("end"))
+    return hospital.load_patients(patients, movements, hospital.Extract(reference_now="2020-06-01"))
+
+
+@query("""SELECT 'o_totalprice' AS variable, count(o_totalprice) AS n, count(*) - count(o_totalprice) AS missing, round(avg(o_totalprice), 2) AS mean, round(stddev_samp(o_totalprice), 2) AS sd, round(quantile_cont(o_totalprice, 0.5), 4) AS median,
+  round(quantile_cont(o_totalprice, 0.25), 4) AS q1, round(quantile_cont(o_totalprice, 0.75), 4) AS q3, min(o_totalprice) AS lowest, max(o_totalprice) AS highest FROM orders""")
+def described_columns(spark, d):
+    found = M.describe(table(spark, d, "orders"), ["o_totalprice"])
+    return rounded(rounded(found, "median", "q1", "q3", digits=4), "mean", "sd", digits=2)
+
+
+@query("""WITH w AS (SELECT e.user_id, e.ts, e.value FROM events e JOIN (SELECT user_id, min(ts) + INTERVAL 1 DAY AS lo, min(ts) + INTERVAL 20 DAY AS hi FROM events GROUP BY user_id) o USING (user_id) WHERE e.event_type = 'view' AND e.ts BETWEEN lo AND hi AND e.value >= 2)
+  SELECT user_id AS case_id, count(*) AS n, max(value) AS highest FROM w GROUP BY user_id""")
+def series_by_definition(spark, d):
+    obs = observations(spark, d).select(F.col("user_id").alias("case_id"), F.col("t_first").alias("hospital_admission"), F.col("t_last").alias("hospital_discharge"))
+    spec = DynamicSpec("view", {"case_id": "user_id", "recordtime": "ts", "value": "value", "attributes_props": "props"}, "event_type = 'view'", window=TimeWindow.between(("hospital_admission", "1d"), ("hospital_admission", "20d")), cleaning={"view": {"low": 2}})
+    found = Cohort(obs, "hospital_stay").add_series(table(spark, d, "events"), spec).series["view"]
+    return found.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("highest"))
+
+
+@query("""SELECT '' AS level, grp, variable, printf('%.1f [%.1f, %.1f]', m, a, b) AS text FROM (
+  SELECT 'Overall' AS grp, 'value' AS variable, round(quantile_cont(value, 0.5), 6) AS m, round(quantile_cont(value, 0.25), 6) AS a, round(quantile_cont(value, 0.75), 6) AS b FROM events
+  UNION ALL SELECT event_type, 'value', round(quantile_cont(value, 0.5), 6), round(quantile_cont(value, 0.25), 6), round(quantile_cont(value, 0.75), 6) FROM events GROUP BY event_type)""")
+def table_one_text(spark, d):
+    return M.table_one(table(spark, d, "events").select("event_type", "value"), "event_type")
+
+
+@query("SELECT user_id, n, round(rate, 6) AS rate FROM (SELECT user_id, count(*) AS n, count(*) / nullif(sum(value), 0) AS rate FROM events GROUP BY user_id) ORDER BY rate DESC NULLS LAST, user_id LIMIT 1")
+def busiest_user(spark, d):
+    rates = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.count(F.lit(1)), F.sum("value")).alias("rate"))
+    return rounded(M.top_one(rates, "rate", "user_id"), "rate")

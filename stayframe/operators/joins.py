@@ -83,7 +83,7 @@ def add_static(obs: DataFrame, data: DataFrame, key: str, name: str, save_as: st
 
 
 def asof_join(
-    main: DataFrame, ref: DataFrame, *, by: str, on: str, values: dict[str, str], strategy: str = "backward", tolerance: Offset | None = "1h", tiebreak: str | None = None, matched_time: str | None = None
+    main: DataFrame, ref: DataFrame, *, by: str, on: str, values: dict[str, str], strategy: str = "backward", tolerance: Offset | None = "1h", tiebreak: str | None = None, matched_time: str | None = None, slices: Offset | None = None
 ) -> DataFrame:
     """Each row of main with the values {column of ref: output name} of its as-of match, null where there is none.
 
@@ -109,14 +109,19 @@ def asof_join(
     )
     both = left.unionByName(right)
     # in time order, rows of ref come before rows of main of the same time for the way back, after them for the way ahead
-    back = Window.partitionBy("k").orderBy(F.col("t"), F.col("is_main"), F.col("b")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("k").orderBy(F.col("t"), F.col("is_main").desc(), F.col("b")).rowsBetween(0, Window.unboundedFollowing)
+    keys = ["k"]
+    if slices is not None:
+        both, keys = both.withColumn("slice", F.floor(micros(F.col("t")) / fixed_micros(slices))), ["k", "slice"]
+    back = Window.partitionBy(*keys).orderBy(F.col("t"), F.col("is_main"), F.col("b")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys).orderBy(F.col("t"), F.col("is_main").desc(), F.col("b")).rowsBetween(0, Window.unboundedFollowing)
     searched = both
     if strategy != "forward":
         searched = searched.withColumn("before", F.last("r", ignorenulls=True).over(back))
     if strategy != "backward":
         searched = searched.withColumn("after", F.first("r", ignorenulls=True).over(ahead))
     rows = searched.where("is_main")
+    if slices is not None:
+        rows = _carried(rows, both, strategy)
     distance = lambda c: F.abs(micros(F.col("t")) - micros(F.col(c)["time"]))
     if strategy == "nearest":
         found = F.when(F.col("before").isNull() | (distance("after") < distance("before")), F.col("after")).otherwise(F.col("before"))
@@ -129,9 +134,29 @@ def asof_join(
     return rows.select(*out, *([F.col("found")["time"].alias(matched_time)] if matched_time else []))
 
 
-def attach_asof_value(main: DataFrame, ref: DataFrame, name: str, *, by: str = "case_id", on: str = "recordtime", value: str = "value", strategy: str = "backward", tolerance: Offset | None = "1h", with_matched_time: bool = False, tiebreak: str | None = None) -> DataFrame:
+def _carried(rows: DataFrame, both: DataFrame, strategy: str) -> DataFrame:
+    """rows with matches from other slices where their own slice has none."""
+    place = F.struct("t", "b")
+    ends = both.groupBy("k", "slice").agg(
+        F.max_by("r", F.when(~F.col("is_main"), place)).alias("last_r"), F.min_by("r", F.when(~F.col("is_main"), place)).alias("first_r")
+    )
+    by_slice = Window.partitionBy("k").orderBy("slice")
+    ends = ends.select(
+        F.col("k").alias("ck"), F.col("slice").alias("cs"),
+        F.last("last_r", ignorenulls=True).over(by_slice.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"),
+        F.first("first_r", ignorenulls=True).over(by_slice.rowsBetween(1, Window.unboundedFollowing)).alias("later"),
+    )
+    joined = rows.join(ends, (F.col("k") == F.col("ck")) & (F.col("slice") == F.col("cs")), "left")
+    if strategy != "forward":
+        joined = joined.withColumn("before", F.coalesce("before", "earlier"))
+    if strategy != "backward":
+        joined = joined.withColumn("after", F.coalesce("after", "later"))
+    return joined
+
+
+def attach_asof_value(main: DataFrame, ref: DataFrame, name: str, *, by: str = "case_id", on: str = "recordtime", value: str = "value", strategy: str = "backward", tolerance: Offset | None = "1h", with_matched_time: bool = False, tiebreak: str | None = None, slices: Offset | None = None) -> DataFrame:
     """main with the as-of value of another series, and on request the time it was measured."""
-    return asof_join(main, ref, by=by, on=on, values={value: name}, strategy=strategy, tolerance=tolerance, tiebreak=tiebreak, matched_time=f"{name}_{on}" if with_matched_time else None)
+    return asof_join(main, ref, by=by, on=on, values={value: name}, strategy=strategy, tolerance=tolerance, tiebreak=tiebreak, matched_time=f"{name}_{on}" if with_matched_time else None, slices=slices)
 
 
 def remove_asof(main: DataFrame, ref: DataFrame, *, by: str = "case_id", on: str = "recordtime", strategy: str = "nearest", tolerance: Offset | None = "1d") -> DataFrame:

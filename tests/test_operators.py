@@ -180,3 +180,31 @@ def test_table_one_text(spark):
     assert t[("x", "", "a")] == "2.0 [1.5, 2.5]" and t[("y", "Yes", "a")] == "1 (50.0)" and t[("x", "Missing", "b")] == "1" and t[("y", "Missing", "Overall")] == "1"
     for kind in ("markdown", "html", "latex"):
         assert "Overall" in M.render(M.table_one(df, "g"), kind)
+
+
+@pytest.mark.parametrize("strategy", ["backward", "forward", "nearest"])
+def test_slices_change_nothing(spark, strategy):
+    import random
+
+    rng = random.Random(7)
+    make = lambda n: [(rng.randrange(3), h(rng.randrange(-400, 400) / 4), float(i)) for i in range(n)]
+    main, ref = series(spark, make(120)), series(spark, make(60))
+    whole = J.attach_asof_value(main, ref, "r", strategy=strategy, tolerance=None, tiebreak="value")
+    dealt = J.attach_asof_value(main, ref, "r", strategy=strategy, tolerance=None, tiebreak="value", slices="6h")
+    assert rows(whole, "value") == rows(dealt, "value")
+
+
+def test_lookup_by_prefix(spark, tmp_path):
+    from stayframe.sources.datasets import read_mapping_csv
+
+    (tmp_path / "m.csv").write_text("code,state\n01,S\n01,B\n10,B\n01,S\n")
+    mapping = read_mapping_csv(spark, str(tmp_path / "m.csv"), "code", "state")
+    df = spark.createDataFrame([("01067",), ("10115",), ("99999",), (None,)], "postcode string")
+    assert rows(J.map_prefix(df, "postcode", mapping, 2, "states"), "postcode") == [(None, None), ("01067", ["B", "S"]), ("10115", ["B"]), ("99999", None)]
+
+
+def test_status_rules(spark):
+    now = F.lit(h(0)).cast("timestamp_ntz")
+    cases = [(h(5), h(1)), (None, None), (h(5), None), (h(-24 * 10), None), (h(-24 * 100), None), (h(-9), h(-1)), (h(-9), h(9)), (h(2), h(9)), (None, h(2))]
+    got = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, b timestamp_ntz, e timestamp_ntz").orderBy("i").select(S.stay_status(F.col("b"), F.col("e"), now)).collect()
+    assert [r[0] for r in got] == ["Implausible", "Incomplete", "Planned", "Ongoing", "Incomplete", "Finalised", "Ongoing", "Planned", "Incomplete"]
