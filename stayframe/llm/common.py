@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that tasks can import it wherever they run."""
+    package, app = Path(__file__).resolve().parent.parent, spark.sparkContext.applicationId
+    if app not in _SHIPPED and package.is_dir():
+        _SHIPPED.add(app)
+        base = Path(tempfile.mkdtemp(prefix="spark-ship-")) / package.name
+        spark.sparkContext.addPyFile(shutil.make_archive(str(base), "zip", package.parent, package.name))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the corpus; whoever reads one is about to run tasks of this package."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -71,3 +85,26 @@ def ranked(df: DataFrame, key: str, digest: str, order: list[str], size: str | N
     joined = placed.join(offsets, (placed[key] == offsets["__key"]) & (placed["__bucket"] == offsets["__of"]))
     out = joined.withColumns({"__rank": F.col("__rank") + F.col("__n0"), "__before": F.col("__before") + F.col("__s0")})
     return out.drop("__bucket", "__key", "__of", "__n0", "__s0", *([] if size else ["__before"]))
+
+
+BITMAP = 32_768
+
+
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, most_bits: int = 1 << 27) -> DataFrame:
+    """The rows of df whose key may occur in keys (key): all that do, and few others. A filter ahead of a join, so that wide
+    rows that can't match aren't shuffled.
+
+    Keys set bits of a bitmap of 16 bits a key, most_bits (16 MB) at most, and only the bitmap is broadcast. With very many
+    keys it fills up and lets more rows through, which the join then drops.
+    """
+    bits = BITMAP
+    count = keys.count()
+    while bits < min(16 * count, most_bits):
+        bits *= 2
+    place = lambda: F.pmod(F.xxhash64(key), F.lit(bits)) + 1
+    bitmaps = keys.select(place().alias("__p")).groupBy(F.bitmap_bucket_number("__p").alias("__of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__p")).alias("__bits"))
+    placed = df.withColumns({"__of": F.bitmap_bucket_number(place()), "__at": F.bitmap_bit_position(place())})
+    byte = F.conv(F.hex(F.expr("substring(__bits, CAST(__at div 8 AS int) + 1, 1)")), 16, 10).cast("int")
+    is_set = F.expr("getbit(__byte, CAST(__at % 8 AS int))") == 1
+    found = placed.join(F.broadcast(bitmaps), "__of").withColumn("__byte", byte).where(is_set)
+    return found.drop("__of", "__at", "__bits", "__byte")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, written
+from .common import maybe_in, read_table, written
 from .components import connected_components
 from .embedding_dedup import merged
 from .textops import mixed, sliced, sorted_counts, unit_interval, words_of
@@ -177,8 +177,9 @@ def near_duplicate_classes(docs: DataFrame, *, least: float = SIMILARITY, block:
     once = buckets.groupBy("n", "x1", "x2").agg(F.min(F.struct("band", "bucket")).alias("k")).select("n", "k.band", "k.bucket")
     members = written(keys.join(once, ["band", "bucket"]), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    first_text = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text").join(wanted, "doc_id").withColumnRenamed("doc_id", "rep")
-    sets = written(first_text.select("rep", "text").mapInArrow(_shingle_sets, "rep long, shingles binary, counts binary"), "sets")
+    # a few more texts than wanted get their set written, so that no text is shuffled
+    chosen = maybe_in(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text"), "doc_id", wanted)
+    sets = written(chosen.select("text", F.col("doc_id").alias("rep")).mapInArrow(_shingle_sets, "rep long, shingles binary, counts binary"), "sets")
     links = None
     labels = members.select("rep").distinct().withColumn("label", F.col("rep"))
     for low, high in BAND_GROUPS:
@@ -186,9 +187,11 @@ def near_duplicate_classes(docs: DataFrame, *, least: float = SIMILARITY, block:
         mixed_up = now.groupBy("band", "bucket").agg((F.min("label") != F.max("label")).alias("open")).where("open").drop("open")
         placed = now.join(mixed_up, ["band", "bucket"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
         placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        placed = written(placed.select("band", "bucket", "rep", "label", "block", "blocks"), "placed")
         units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         units = units.select("band", "bucket", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "rep", "label", "block")
-        found = units.join(sets, "rep").groupBy("band", "bucket", "one", "two").applyInPandas(lambda frame: _compare(frame, least), "a long, b long")
+        near = maybe_in(sets, "rep", placed.select("rep").distinct())
+        found = units.join(near, "rep").groupBy("band", "bucket", "one", "two").applyInPandas(lambda frame: _compare(frame, least), "a long, b long")
         found = written(found.distinct(), "found")
         links = found if links is None else links.unionByName(found)
         joined = connected_components(links).withColumnsRenamed({"node": "rep", "component": "joined"})
