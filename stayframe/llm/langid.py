@@ -55,12 +55,13 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
         names = sorted(set(langs))
         index = {x: i for i, x in enumerate(names)}
-        lang_of, totals = np.array([index[x] for x in langs], np.int64), np.zeros((len(names), 1 << GRAM_BITS), np.int64)
+        lang_of = np.array([index[x] for x in langs], np.int64)
         for a, b in steps(np.array([len(t) for t in texts])):
             doc, gram, count = gram_counts(texts[a:b])
-            np.add.at(totals, (lang_of[a:b][doc], gram), count)
-        rows, grams = np.nonzero(totals)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(rows)), pa.array(grams, pa.int32()), pa.array(totals[rows, grams], pa.int64())], ["lang", "gram", "n"])
+            keys, place = np.unique((lang_of[a:b][doc] << GRAM_BITS) | gram, return_inverse=True)
+            n = np.bincount(place, weights=count, minlength=len(keys)).astype(np.int64)
+            lang = pa.array(names, pa.string()).take(pa.array(keys >> GRAM_BITS))
+            yield pa.RecordBatch.from_arrays([lang, pa.array(keys & ((1 << GRAM_BITS) - 1), pa.int32()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
 
 def train(labelled: DataFrame, smoothing: float = 0.5) -> LanguageModel:
