@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ STEP_BYTES = 2_000_000
 NO_MERGE = np.iinfo(np.int32).max
 
 
-@dataclass(frozen=True)
+@dataclass(eq=False)
 class PieceTable:
     """The model as arrays; its size is that of the vocabulary."""
 
@@ -48,6 +49,12 @@ class PieceTable:
     begin: np.ndarray
     length: np.ndarray
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The merges by (left << 32) | right, built once in each worker."""
+        used = self.slots >= 0
+        return dict(zip(self.slots[used].tolist(), self.merged[used].tolist(), strict=True))
+
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The id of each pair's merge, or -1."""
         key = (left.astype(np.int64) << 32) | right
@@ -100,6 +107,21 @@ def load(path: str = MODEL_PATH) -> PieceTable:
     return PieceTable(char_id, byte_id, rank, slots, merged, probes, np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(length) - length, length)
 
 
+_ALL = (1 << 64) - 1
+
+
+def _place(start: int, mid: int, end: int) -> int:
+    return ((start << 40) & _ALL) ^ ((mid - start) << 20) ^ (end - mid)
+
+
+def _mixed_int(x: int) -> int:
+    """`mixed` with seed 0 for one number."""
+    x = (x + 0x9E3779B97F4A7C15) & _ALL
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
+    return x ^ (x >> 31)
+
+
 def skipped(key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray, dropout: float) -> np.ndarray:
     """Whether the candidate merges of [start, mid) and [mid, end) in documents of these keys are dropped."""
     if dropout <= 0:
@@ -111,20 +133,26 @@ def skipped(key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray
 
 def agenda(table: PieceTable, ids: np.ndarray, key: int, offset: int, dropout: float) -> list[tuple[int, int]]:
     """(start, id) of the pieces of one segment that begins at `offset` of its document."""
-    ids, n = [int(i) for i in ids], len(ids)
-    after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
-    one = lambda x: np.array([x])
+    n = len(ids)
+    if not n:
+        return []
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    at = np.arange(n - 1)
+    first = table.lookup(ids[:-1], ids[1:])
+    first[skipped(np.full(n - 1, key & _ALL, np.uint64), offset + at, offset + at + 1, offset + at + 2, dropout)] = -1
+    heap = [(int(table.rank[first[a]]), a, a + 1, a + 2, int(first[a])) for a in np.flatnonzero(first >= 0).tolist()]
+    heapq.heapify(heap)
+    ids, pairs = [int(i) for i in ids], table.pairs
+    limit = round(dropout * (1 << 53))
 
     def offer(a: int) -> None:
         b = after[a]
-        if a < 0 or b >= n:
+        if b >= n:
             return
-        new = int(table.lookup(one(ids[a]), one(ids[b]))[0])
-        if new >= 0 and not skipped(one(key), one(offset + a), one(offset + b), one(offset + after[b]), dropout)[0]:
+        new = pairs.get((ids[a] << 32) | ids[b], -1)
+        if new >= 0 and not (limit and _mixed_int((key & _ALL) ^ _mixed_int(_place(offset + a, offset + b, offset + after[b]))) >> 11 < limit):
             heapq.heappush(heap, (int(table.rank[new]), a, b, after[b], new))
 
-    for a in range(n - 1):
-        offer(a)
     while heap:
         _, a, b, end, new = heapq.heappop(heap)
         if ids[a] < 0 or ids[b] < 0 or after[a] != b or after[b] != end:
