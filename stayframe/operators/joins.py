@@ -109,9 +109,10 @@ def asof_join(
     )
     both = left.unionByName(right)
     # in time order, rows of ref come before rows of main of the same time for the way back, after them for the way ahead
-    keys = ["k"]
+    # rows without a key have no match and are spread over many partitions instead of one
+    both, keys = both.withColumn("spread", F.when(F.col("k").isNull(), F.pmod(F.xxhash64("t"), F.lit(1024))).otherwise(0)), ["k", "spread"]
     if slices is not None:
-        both, keys = both.withColumn("slice", F.floor(micros(F.col("t")) / fixed_micros(slices))), ["k", "slice"]
+        both, keys = both.withColumn("slice", F.floor(micros(F.col("t")) / fixed_micros(slices))), [*keys, "slice"]
     back = Window.partitionBy(*keys).orderBy(F.col("t"), F.col("is_main"), F.col("b")).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*keys).orderBy(F.col("t"), F.col("is_main").desc(), F.col("b")).rowsBetween(0, Window.unboundedFollowing)
     searched = both
