@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, read_table
-from .textops import code_points, letter_table, sorted_counts, steps
+from .textops import code_points, letter_table, sliced, sorted_counts, steps
 
 GRAM_BITS = 16
 UNKNOWN = "und"
+#: Characters that a task works on at a time.
+STEP = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -56,7 +58,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         names = sorted(set(langs))
         index = {x: i for i, x in enumerate(names)}
         lang_of = np.array([index[x] for x in langs], np.int64)
-        for a, b in steps(np.array([len(t) for t in texts])):
+        for a, b in steps(np.array([len(t) for t in texts]), STEP):
             doc, gram, count = gram_counts(texts[a:b])
             keys, place = np.unique((lang_of[a:b][doc] << GRAM_BITS) | gram, return_inverse=True)
             n = np.bincount(place, weights=count, minlength=len(keys)).astype(np.int64)
@@ -151,7 +153,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            found = [x for a, b in steps(np.array([len(t) for t in texts])) for x in mixtures(send.value, texts[a:b])]
+            found = [x for a, b in steps(np.array([len(t) for t in texts]), STEP) for x in mixtures(send.value, texts[a:b])]
             columns = [pa.array([x[i] for x in found], result.field(i).type) for i in range(4)]
             yield pa.RecordBatch.from_arrays([*(c for c in batch.columns), *columns], [*batch.schema.names, *added])
 
@@ -159,6 +161,18 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return plain.mapInArrow(predict, schema)
 
 
+def kept_by_language(docs: DataFrame, model: LanguageModel, least_share: float) -> DataFrame:
+    """The rows of docs (text, more columns) in which a language leads with at least that share, with all their columns."""
+    send = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in sliced(whole, STEP)):
+            found = mixtures(send.value, [t or "" for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= least_share for x in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", "text", "lang", held_out("doc_id", 3, 1).alias("held_out"))

@@ -75,40 +75,43 @@ def edf_pattern(plan: DataFrame) -> DataFrame:
     return named.withColumn("occurrence", nth.cast("long"))
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame, *, quanta: int = QUANTA, block_bytes: int = BLOCK_BYTES, seed: str = "mix") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: DataFrame, *, quanta: int = QUANTA, block_bytes: int = BLOCK_BYTES, seed: str = "mix", prefix: str = "mix_") -> DataFrame:
     """docs (doc_id, text, source, more columns) with `mix_block`, `mix_release`, `mix_deadline`, `mix_slot`,
     `mix_rank` (order inside the source), `mix_share`; reading by (mix_slot, mix_rank) is the mixture.
 
     Every row stays, once. Sources without a positive weight come after the mixture (mix_slot null). A null source is the source ''; null
     and empty texts have size 1. Order inside a source: md5 of seed and doc_id, then doc_id and text, so equal
-    rows may swap places with each other only. Columns named mix_* or __* of the input are replaced.
+    rows may swap places with each other only. Columns of the input whose names begin with the prefix are replaced.
     """
-    plain = docs.drop(*[c for c in docs.columns if c.startswith(("mix_", "__"))])
+    names = [c for c in docs.columns if not c.startswith(prefix)]
+    inside = {c: f"__c{i}" for i, c in enumerate(names)}  # no name of the input can clash with those used here
+    plain = docs.select(*[F.col(f"`{c}`").alias(inside[c]) for c in names])
+    doc_id, text, source = (F.col(inside[c]) for c in ("doc_id", "text", "source"))
     keyed = plain.withColumns(
         {
-            "__source": F.coalesce("source", F.lit(NO_SOURCE)),
-            "__digest": F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")),
-            "__size": _size(F.col("text")),
-            "__text": F.xxhash64("text"),
+            "__source": F.coalesce(source, F.lit(NO_SOURCE)),
+            "__digest": F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")),
+            "__size": _size(text),
+            "__text": F.xxhash64(text),
         }
     )
-    in_order = ranked(keyed, "__source", "__digest", ["doc_id", "__size", "__text"], size="__size")
-    blocks = in_order.withColumn("mix_block", F.floor(F.col("__before") / block_bytes))
+    in_order = ranked(keyed, "__source", "__digest", [inside["doc_id"], "__size", "__text"], size="__size")
+    blocks = in_order.withColumn("__block", F.floor(F.col("__before") / block_bytes))
     pattern = edf_pattern(quanta_plan(weights, quanta))
     shares = pattern.select("source", "a", "q").distinct().withColumnsRenamed({"source": "__source", "a": "__a", "q": "__q"})
     turns = pattern.select(F.col("source").alias("__source"), F.col("occurrence").alias("__occurrence"), F.col("turn").alias("__turn"))
     # both sides of these two joins have at most q rows
-    with_share = blocks.join(F.broadcast(shares), "__source", "left").withColumn("__occurrence", F.expr("mix_block % __a"))
+    with_share = blocks.join(F.broadcast(shares), "__source", "left").withColumn("__occurrence", F.expr("__block % __a"))
     with_turn = with_share.join(F.broadcast(turns), ["__source", "__occurrence"], "left")
-    return with_turn.withColumns(
-        {
-            "mix_release": F.expr("(mix_block * __q) div __a"),
-            "mix_deadline": F.expr("(mix_block * __q + __q + __a - 1) div __a"),
-            "mix_slot": F.expr("(mix_block div __a) * __q + __turn"),
-            "mix_rank": F.col("__rank").cast("long"),
-            "mix_share": F.col("__a") / F.col("__q"),
-        }
-    ).drop("__source", "__digest", "__size", "__text", "__rank", "__before", "__occurrence", "__a", "__q", "__turn")
+    added = {
+        "block": F.col("__block"),
+        "release": F.expr("(__block * __q) div __a"),
+        "deadline": F.expr("(__block * __q + __q + __a - 1) div __a"),
+        "slot": F.expr("(__block div __a) * __q + __turn"),
+        "rank": F.col("__rank").cast("long"),
+        "share": F.col("__a") / F.col("__q"),
+    }
+    return with_turn.select(*[F.col(inside[c]).alias(c) for c in names], *[v.alias(f"{prefix}{k}") for k, v in added.items()])
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

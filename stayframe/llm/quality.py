@@ -24,6 +24,8 @@ FEATURES = 256
 FOLDS = 4
 #: Cells of the score axis on which the calibration sums labels; its resolution, not a sample.
 CELLS = 2000
+#: Characters that a task works on at a time.
+STEP = 1_000_000
 
 
 def statistics(texts: list[str]) -> np.ndarray:
@@ -70,7 +72,7 @@ def statistics(texts: list[str]) -> np.ndarray:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        for a, b in steps(np.array([len(t) for t in texts])):
+        for a, b in steps(np.array([len(t) for t in texts]), STEP):
             rows = statistics(texts[a:b])
             lists = pa.ListArray.from_arrays(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32), pa.array(rows.ravel()))
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), lists], [*batch.schema.names[1:], "stats"])
@@ -191,7 +193,7 @@ def kept_by_score(docs: DataFrame, model: QualityModel, least: float = 0.5) -> D
     send = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in sliced(whole)):
+        for batch in (piece for whole in batches for piece in sliced(whole, STEP)):
             score = send.value.score(statistics([t or "" for t in batch.column("text").to_pylist()]))
             yield batch.filter(pa.array(score >= least))
 
