@@ -1,0 +1,280 @@
+"""Edge cases of the operators: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from stayframe.llm import ann, chat, embedding_dedup, langid, lm, minhash, mixing, pieces, quality, sharding, textops
+from stayframe.llm.common import maybe_in
+from stayframe.llm.components import connected_components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [
+    (1, "the cat sat on the mat and ran home", "en", "a", 5), (2, None, None, None, None), (3, "", "en", "b", 0), (4, " \n\t ", "en", "a", 4), (5, "the cat sat on the mat and ran home", "en", "a", 5),
+    (6, "ÄÖ ▁ é\x00 😀" * 3, "de", "a", 1), (7, "word " * 30_000, "de", "b", 9), (8, "x" * 5000, "en", "a", 1), (9, "12 34 --", "en", "c", 3), (9, "12 34 --", "en", "c", 3),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(ODD, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+@pytest.fixture(scope="module")
+def table():
+    return pieces.load()
+
+
+def test_words_of_slices():
+    texts = pa.array(["A b", None, " c\tD ", "", "é É x"] * 50)
+    w = textops.words_of(texts.slice(3, 40))
+    assert w.per_doc().tolist()[:6] == [0, 3, 2, 0, 2, 0]
+    assert [w.vocabulary[int(c)].as_py() for c in w.code[:5]] == ["é", "É", "x", "a", "b"]
+
+
+def test_pieces_without_dropout_are_the_librarys(table):
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=pieces.MODEL_PATH)
+    texts = [t for _, t, *_ in ODD if t and "▁" not in t and "\x00" not in t] + ["  two  blanks ", "<0x41></s>", "Hello, world!\nAgain"]
+    ids, counts = pieces.encode_texts(table, texts, np.zeros(len(texts), np.uint64), 0.0)
+    at = np.concatenate(([0], np.cumsum(counts)))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [model.encode(t) for t in texts]
+
+
+@pytest.mark.parametrize("dropout", [0.1, 0.5, 1.0])
+def test_dropout_equals_the_agenda_and_decodes(table, dropout):
+    texts = [t for _, t, *_ in ODD if t is not None] + ["mixed content, " * 9]
+    keys = np.arange(len(texts)).astype(np.uint64) * np.uint64(77)
+    ids, counts = pieces.encode_texts(table, texts, keys, dropout)
+    assert pieces.decode_ids(table, ids, counts).to_pylist() == texts
+    at, i = np.concatenate(([0], np.cumsum(counts))), len(texts) - 1
+    start = table.char_id[np.array([ord(c) for c in " " + texts[i]])]
+    assert [x for _, x in pieces.agenda(table, start, int(keys[i]), 0, dropout)] == ids[at[i] : at[i + 1]].tolist()
+    other, _ = pieces.encode_texts(table, texts, keys + np.uint64(1), dropout)
+    assert dropout == 1.0 or len(other) != len(ids) or (other != ids).any()
+
+
+def test_piece_frames(docs, none, table):
+    clash = docs.withColumn("piece_ids", F.lit("x")).withColumn("__key", F.lit(1))
+    back = pieces.decode(pieces.encode(clash, table), table)
+    assert back.where("NOT (text <=> decoded)").count() == 0 and back.count() == len(ODD)
+    assert back.where("text IS NULL").first()["piece_ids"] is None and back.where("text = ''").first()["piece_ids"] == []
+    assert pieces.round_trip(none, table, ["doc_id"]).count() == 0
+
+
+def test_languages(docs, none, spark):
+    model = langid.train(docs)
+    got = {r["doc_id"]: r for r in langid.identify(docs.withColumn("lang_pred", F.lit(1)), model).collect()}
+    assert {i for i, r in got.items() if r["lang_pred"] == "und"} == {2, 3, 4, 9} and got[2]["lang_score"] == 0.0
+    assert langid.identify(none, model).count() == 0
+    assert {r["lang_pred"] for r in langid.identify(docs, langid.train(none)).collect()} == {"und"}
+    en, de = "the weather is nice today and we walk through the park", "das wetter ist heute schön und wir gehen durch den garten"
+    both = spark.createDataFrame([(en, "en"), (de, "de")], "text string, lang string")
+    r = langid.identify(spark.createDataFrame([(f"{en} {de}",)], "text string"), langid.train(both)).first()
+    assert sorted(r["lang_set"]) == ["de", "en"] and sum(r["lang_shares"]) == pytest.approx(1)
+
+
+def test_em_equals_a_plain_loop():
+    rng = np.random.default_rng(0)
+    p, count = rng.random((6, 3)), rng.integers(1, 5, 6).astype(float)
+    doc = np.array([0, 0, 0, 1, 1, 1])
+    got, _ = langid.em(p, doc, count, np.ones((2, 3)), 20)
+    for d in (0, 1):
+        w = np.full(3, 1 / 3)
+        for _ in range(20):
+            r = p[doc == d] * w
+            w = (r / r.sum(1, keepdims=True) * count[doc == d, None]).sum(0) / count[doc == d].sum()
+        assert got[d] == pytest.approx(w)
+
+
+def test_quality(docs, none, spark):
+    labels = spark.createDataFrame([(1, 1), (5, 1), (5, 0), (9, 0), (8, None), (None, 1)], "doc_id long, quality int")
+    stats = quality.measured(docs, ["doc_id"])
+    model = quality.train(stats, labels)
+    scores = quality.scored(stats, model).collect()
+    assert len(scores) == len(ODD) and all(0 <= r["score"] <= 1 for r in scores)
+    unlabelled = quality.train(stats, labels.where("quality > 5"))
+    assert {r["score"] for r in quality.scored(stats, unlabelled).collect()} == {0.5}
+    assert quality.scored(quality.measured(none, ["doc_id"]), model).count() == 0
+    assert set(quality.kept_by_score(docs, model).columns) == set(docs.columns)
+
+
+def test_isotonic():
+    assert quality.isotonic(np.array([1.0, 3, 2, 2, 5]), np.array([1.0, 1, 1, 2, 1])).tolist() == pytest.approx([1, 2.25, 2.25, 2.25, 5])
+
+
+def test_random_features_approximate_the_kernel():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(20, 4))
+    f = quality.random_features(x, rng.normal(size=(4, 20_000)) / 2.0, rng.uniform(0, 2 * np.pi, 20_000))[:, :-1]
+    exact = np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / (2 * 2.0**2))
+    assert np.abs(f @ f.T - exact).max() < 0.05
+
+
+def test_minhash_classes(docs, none):
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1, 6: 6, 7: 7, 8: 8, 9: 9}
+    assert minhash.near_duplicate_classes(none).count() == 0
+
+
+def test_probminhash_estimates_probability_jaccard():
+    rng = np.random.default_rng(2)
+    shared = rng.integers(1, 2**62, 80).astype(np.uint64)
+    a, b = np.append(shared, rng.integers(1, 2**62, 30).astype(np.uint64)), np.append(shared, rng.integers(1, 2**62, 10).astype(np.uint64))
+    wa, wb = rng.integers(1, 4, 110).astype(float), rng.integers(1, 4, 90).astype(float)
+    wb[:80] = wa[:80]
+    s = minhash.signatures(np.repeat([0, 1], [110, 90]), np.append(a, b), np.append(wa, wb), 2, 4000)
+    x, y = dict(zip(a.tolist(), wa)), dict(zip(b.tolist(), wb))
+    every = set(x) | set(y)
+    exact = sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in every) for d in set(x) & set(y))
+    assert minhash.probability_jaccard(x, y) == pytest.approx(exact)
+    assert (s[0] == s[1]).mean() == pytest.approx(exact, abs=0.03)
+
+
+def test_block_links_equal_set_jaccard():
+    rng = np.random.default_rng(3)
+    base = rng.choice(10**6, 60, replace=False)
+    sets = [np.unique(np.append(rng.choice(base, 55, replace=False), rng.integers(10**6, 2 * 10**6, k % 12))).astype(np.uint64) for k in range(30)]
+    counts = [np.ones(len(s), np.int32) for s in sets]
+    i, j = minhash.linked(sets, counts, np.ones((30, 30), bool), 0.8)
+    ref = {(a, b) for a in range(30) for b in range(a + 1, 30) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+    assert set(zip(i.tolist(), j.tolist())) == ref
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (8, 9), (7, 7), (None, 1), (2, 10)] + [(100 + k, 101 + k) for k in range(40)], "a long, b long")
+    got = {r["node"]: r["component"] for r in connected_components(links).collect()}
+    assert got == {**{i: 2 for i in (2, 3, 4, 5, 10)}, 8: 8, 9: 8, **{100 + k: 100 for k in range(41)}}
+    assert connected_components(links.limit(0)).count() == 0
+
+
+def test_bitmap_filter_loses_nothing(spark):
+    keys = spark.range(0, 50_000, 7).select(F.col("id").alias("k"))
+    kept = maybe_in(spark.range(50_000).select(F.col("id").alias("k")), "k", keys)
+    assert kept.join(keys, "k").count() == keys.count() and kept.count() < 12_000
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def test_vector_links(spark):
+    odd = [(1, [1.0, 0.0], 1), (2, [2.0, 0.1], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, [0.0, 0.0], 1), (6, None, 1), (7, [float("nan"), 1.0], 1), (8, [1.0, None], 1), (9, [1.0, 0.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.link_near_duplicates(spark.createDataFrame(odd, VECTORS)).collect()}
+    assert got == {1: (1, 1, True), 2: (1, 1, False), **{i: (0, i, True) for i in range(3, 10)}}
+    assert embedding_dedup.link_near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_vector_links_in_small_blocks(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(12, 16))
+    x = (centre[rng.integers(0, 12, 400)] + rng.normal(size=(400, 16)) * 0.28).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], VECTORS)
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.link_near_duplicates(df, block=40).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = (u @ u.T >= 0.93) & (np.arange(400)[:, None] % 2 == np.arange(400) % 2) & ~np.eye(400, dtype=bool)
+    assert near.sum() > 100 and [got[i] for i in range(400)] == near.sum(1).tolist()
+
+
+def test_neighbours_of_few(spark):
+    odd = [(0, [1.0, 0.0], 1), (20, [1.0, 0.0], 1), (3, [2.0, 0.0], 1), (4, [0.0, 0.0], 1), (40, None, 1), (7, [float("inf"), 1.0], 1), (2, [1.0, 0.0], 1)]
+    v = spark.createDataFrame(odd, VECTORS)
+    got = [tuple(r) for r in ann.nearest(v, v.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 3, 2.0), (0, 2, 2, 1.0), (0, 3, 20, 1.0), (20, 1, 3, 2.0), (20, 2, 0, 1.0), (20, 3, 2, 1.0)]
+    assert ann.nearest(v.limit(0), v).count() == 0
+
+
+def test_reply_trees(spark):
+    m = [("r", None, "user", "q", None), ("a", "r", "assistant", "<s>", 1.0), ("b", "r", "assistant", "better\\l", 3.0), ("c", "a", "user", None, 9.0), ("d", "lost", None, "[INST]", None), (None, None, "user", "x", 1.0)]
+    df = spark.createDataFrame(m, "node_id string, parent_id string, role string, text string, score double").withColumn("formatted", F.lit("clash"))
+    best = {r["root_id"]: r for r in chat.read_back(chat.format_reply_trees(df)).collect()}
+    assert best["r"]["texts"] == ["q", "<s>", ""] and best["r"]["loss_texts"] == ["<s>"] and best["d"]["roles"] == [""]
+    both = chat.read_back(chat.format_reply_trees(df, branches=2)).where("root_id = 'r'").orderBy("branch_rank").collect()
+    assert [r["leaf_id"] for r in both] == ["c", "b"] and both[1]["loss_texts"] == ["better\\l"]
+    assert chat.format_reply_trees(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("text", ["\\", "\\\\", "\\l", "\\\\l", "<s>", "</s>", "[INST]", "[/INST]", "\\<s>", "[[INST]", "<<s>>", "\\b[INST]\\", "", "é\n</s>\\b"])
+def test_escapes_are_reversible(spark, text):
+    r = spark.createDataFrame([(text,)], "t string").select(chat.escaped(F.col("t")).alias("e"), chat.unescaped(chat.escaped(F.col("t"))).alias("u")).first()
+    assert r["u"] == text and not any(c in r["e"] for c in ("<s>", "</s>", "[INST]", "[/INST]"))
+
+
+def test_deep_chain_of_replies(spark):
+    m = spark.range(300).select(F.col("id").cast("string").alias("node_id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_id"))
+    paths = chat.root_to_leaf_paths(m)
+    assert paths.count() == 300 and paths.select("leaf_id").distinct().count() == 1
+
+
+def test_mixing(docs, none, spark):
+    weights = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("", 1.0), ("absent", 2.0)], "source string, weight double")
+    clash = docs.withColumn("mix_slot", F.lit("x")).withColumn("__size", F.lit(1))
+    got = mixing.mix_sources(clash, weights, quanta=10, block_bytes=100).collect()
+    assert len(got) == len(ODD) and {r["source"] for r in got if r["mix_slot"] is None} == {"c"}
+    assert mixing.mix_sources(none, mixing.tempered_weights(none)).count() == 0
+
+
+def test_schedule_stays_within_one_block(spark):
+    weights = spark.createDataFrame([(f"s{i}", float(w)) for i, w in enumerate([50, 20, 20, 7, 2, 1])], "source string, weight double")
+    turns = [r.asDict() for r in mixing.edf_pattern(mixing.quanta_plan(weights)).orderBy("turn").collect()]
+    q = turns[0]["q"]
+    assert [t["turn"] for t in turns] == list(range(q))
+    share, done = {t["source"]: t["a"] / q for t in turns}, dict.fromkeys({t["source"] for t in turns}, 0)
+    for k, t in enumerate(turns, 1):
+        done[t["source"]] += 1
+        assert all(abs(done[s] - share[s] * k) < 1 for s in done)
+    assert mixing.edf_pattern(mixing.quanta_plan(weights.limit(0))).count() == 0
+
+
+def test_sharding(docs, none):
+    got = sharding.shard_documents(docs.withColumn("shard", F.lit(9)), shards=3).collect()
+    assert len(got) == len(ODD)
+    shard = {r["doc_id"]: r["shard"] for r in got}
+    assert shard[1] == shard[5] and sharding.shard_documents(none).count() == 0
+
+
+def test_packing_balances_all_dimensions():
+    rng = np.random.default_rng(5)
+    v = np.sort(rng.lognormal(size=(4000, 3)), axis=0)[::-1]
+    load = np.stack([v[sharding.pack(v, 8) == s].sum(0) for s in range(8)])
+    assert (load.max(0) / load.min(0)).max() < 1.02
+
+
+def test_scoring_odd_texts(docs, none, spark):
+    tree, counts = lm.train(docs)
+    got = lm.score(docs, tree, counts).collect()
+    assert len(got) == len(ODD)
+    by = {r["doc_id"]: r for r in got}
+    assert by[2]["n_tokens"] == by[3]["n_tokens"] == by[4]["n_tokens"] == 1 and by[7]["n_tokens"] == 30_001
+    assert lm.score(none, tree, counts).count() == 0
+    untrained = lm.score(docs, *lm.train(none)).collect()
+    assert {r["score"] for r in untrained} == {0.0}
+
+
+def test_states_hold_probabilities(spark):
+    text = "red fox runs home . blue fox sits still . " * 40
+    tree, counts = lm.train(spark.createDataFrame([(text,)] * 3, "text string"))
+    words = [w.as_py() for w in tree.words]
+    root = 10.0 ** tree.root(tree.counts)
+    assert root.sum() + 10.0 ** tree.root(0) == pytest.approx(1)
+    assert tree.states[0].any() and tree.states[1].any()
+    red, blue, fox, runs = (words.index(w) for w in ("red", "blue", "fox", "runs"))
+    pair = {(int(c) // tree.symbols, int(c) % tree.symbols): k for k, c in enumerate(tree.levels[0])}
+    for level, codes in enumerate(tree.levels):  # what a state lists and what it leaves to its parent add up to one
+        for ctx in np.flatnonzero(tree.states[level]):
+            own = np.flatnonzero(codes // tree.symbols == ctx)
+            word = codes[own] % tree.symbols
+            listed = (root[word] * 10.0 ** tree.gains[level][own]).sum()
+            if level == 0:
+                others = (1 - root[word].sum()) * 10.0 ** tree.rests[level][ctx]
+                assert listed + others == pytest.approx(1)
+            assert listed <= 1 + 1e-9
+    after = {(int(c) // tree.symbols, int(c) % tree.symbols): k for k, c in enumerate(tree.levels[1])}
+    assert tree.gains[1][after[(pair[(red, fox)], runs)]] > tree.gains[0][pair[(fox, runs)]]
+    assert (pair[(blue, fox)], runs) not in after

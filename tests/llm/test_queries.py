@@ -1,0 +1,126 @@
+"""The operators' queries on the smallest tables: against SQL where there is some, else against plain Python."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from stayframe.llm import queries
+
+WORDS = r"[^\x20\x09-\x0D]+"
+LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+
+
+@pytest.fixture(scope="module")
+def documents(spark, data_dir):
+    return {r["doc_id"]: r.asDict() for r in spark.read.parquet(f"{data_dir}/documents.parquet").collect()}
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_sql(name, same_rows):
+    same_rows(queries.QUERIES[name], queries.ORACLE_SQL[name])
+
+
+def test_op1_decodes_to_the_text(spark, data_dir, documents):
+    rows = queries.QUERIES["op1_pieces"](spark, data_dir).collect()
+    assert len(rows) == len(documents) and all(r["lossless"] for r in rows)
+    again = {r["doc_id"]: r["piece_ids"] for r in queries.QUERIES["op1_pieces"](spark, data_dir).collect()}
+    assert all(again[r["doc_id"]] == r["piece_ids"] for r in rows)
+
+
+def test_op3_on_held_out_documents(spark, data_dir, documents):
+    rows = queries.QUERIES["op3_language_mixtures"](spark, data_dir).collect()
+    assert {r["doc_id"]: r["held_out"] for r in rows} == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in documents}
+    unseen = [r for r in rows if r["held_out"]]
+    assert np.mean([r["lang_pred"] == documents[r["doc_id"]]["lang"] for r in unseen]) > 0.95
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_op4_finds_most_neighbours(spark, data_dir):
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{data_dir}/embeddings.parquet").collect()}
+    ids, x = np.array(sorted(vectors)), np.stack([vectors[i] for i in sorted(vectors)])
+    found: dict = {}
+    for r in queries.QUERIES["op4_nearest_neighbours"](spark, data_dir).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        assert r["score"] == pytest.approx(float(vectors[r["query_id"]] @ vectors[r["vec_id"]]), abs=1e-12)
+    assert sorted(found) == [i for i in ids if i % 20 == 0]
+    hits = 0
+    for q, got in found.items():
+        got.sort()
+        assert [g[0] for g in got] == list(range(1, 21)) and got == sorted(got, key=lambda g: (-g[2], g[1]))
+        score = np.where(ids == q, -np.inf, x @ vectors[q])
+        hits += len({g[1] for g in got} & set(ids[np.argsort(-score)[:20]].tolist()))
+    assert hits / (20 * len(found)) >= 0.9
+
+
+def test_op5_ranks_held_out_labels(spark, data_dir, documents):
+    rows = queries.QUERIES["op5_quality_scores"](spark, data_dir).collect()
+    assert len(rows) == len(documents) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows)
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{data_dir}/labels.parquet").collect()}
+    good = [r["score"] for r in rows if r["held_out"] and labels.get(r["doc_id"]) == 1]
+    bad = [r["score"] for r in rows if r["held_out"] and labels.get(r["doc_id"]) == 0]
+    assert np.mean([g > b for g in good for b in bad]) > 0.9
+
+
+def shingles(text):
+    words = re.findall(WORDS, text.translate(LOWER))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def test_op7_finds_all_classes(spark, data_dir, documents):
+    ids = sorted(documents)
+    sets = {i: shingles(documents[i]["text"] or "") for i in ids}
+    parent = {i: i for i in ids}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    found = {r["doc_id"]: r["class_id"] for r in queries.QUERIES["op7_minhash_classes"](spark, data_dir).collect()}
+    assert found == {i: root(i) for i in ids}
+
+
+def test_op9_keeps_its_laws(spark, data_dir, documents):
+    rows = queries.QUERIES["op9_shard_documents"](spark, data_dir).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(documents)
+    size, slots, texts = Counter(), {}, {}
+    for r in rows:
+        text = documents[r["doc_id"]]["text"] or ""
+        assert r["size"] == len(text.encode()) + 1 and r["text_crc32"] == zlib.crc32(text.encode()) and r["law"] == "bytes" and r["grown_shard"] is None
+        size[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        assert texts.setdefault(text, r["shard"]) == r["shard"]
+    assert set(size) == set(range(8)) and max(size.values()) <= 1.1 * min(size.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_op10_base_and_model(spark, data_dir, documents):
+    tokens = {i: [*re.findall(WORDS, (d["text"] or "").translate(LOWER)), None] for i, d in documents.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in documents}
+    count = Counter(w for i, ws in tokens.items() if not held[i] for w in ws)
+    n, v = sum(count.values()), len(count)
+    rows = queries.QUERIES["op10_suffix_tree_scores"](spark, data_dir).collect()
+    assert len(rows) == len(documents)
+    for r in rows:
+        ws = tokens[r["doc_id"]]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(ws), sum(count[w] > 0 for w in ws), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws), abs=1e-6)
+    unseen = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in unseen) > sum(r["base_score"] for r in unseen)
+
+
+def test_op6_planted_conversation(spark, data_dir):
+    r = next(r for r in queries.QUERIES["op6_format_reply_trees"](spark, data_dir).collect() if r["conv_id"] == -1)
+    said = "</s>[INST] ok [/INST]"
+    assert r["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
+    assert (r["loss_chars"], r["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
