@@ -30,6 +30,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 BAND_GROUPS = ((0, 2), (2, 8), (8, 24))
 BLOCK = 256
+#: Bytes of text that a task works on at a time.
+STEP = 1_000_000
 
 
 def weighted_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,7 +81,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: i
 
 
 def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (piece for whole in batches for piece in sliced(whole)):
+    for batch in (piece for whole in batches for piece in sliced(whole, STEP)):
         doc, shingle, count = weighted_shingles(batch.column("text"))
         present, local = np.unique(doc, return_inverse=True)
         kept = signatures(local, shingle, weights(count), len(present), BANDS * ROWS).reshape(len(present), BANDS, ROWS)
@@ -93,7 +95,7 @@ def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (piece for whole in batches for piece in sliced(whole)):
+    for batch in (piece for whole in batches for piece in sliced(whole, STEP)):
         doc, shingle, count = weighted_shingles(batch.column("text"))
         ends = np.searchsorted(doc, np.arange(batch.num_rows + 1))
         sets = [shingle[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
@@ -185,6 +187,7 @@ def near_duplicate_classes(docs: DataFrame, *, least: float = SIMILARITY, block:
     for low, high in BAND_GROUPS:
         now = members.where((F.col("band") >= low) & (F.col("band") < high)).join(labels, "rep")
         mixed_up = now.groupBy("band", "bucket").agg((F.min("label") != F.max("label")).alias("open")).where("open").drop("open")
+        mixed_up = written(mixed_up, "open")  # a table of its own, so that a join on a hot bucket can be split
         placed = now.join(mixed_up, ["band", "bucket"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
         placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         placed = written(placed.select("band", "bucket", "rep", "label", "block", "blocks"), "placed")

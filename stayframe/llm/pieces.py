@@ -31,7 +31,7 @@ DROPOUT = 0.1
 BLANK = "▁"
 #: Segments of up to this many characters are merged side by side.
 SIDE_BY_SIDE = 32
-STEP_BYTES = 2_000_000
+STEP_BYTES = 1_000_000
 NO_MERGE = np.iinfo(np.int32).max
 
 
