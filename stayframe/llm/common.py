@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+#: Rows of text that Spark hands to a Python worker at once. Texts can be long, and both sides hold a batch in memory.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once for each application, so that tasks can import it wherever they run."""
+    """Sends this package to the executors, once for each application, so that tasks can import it wherever they run, and
+    lowers the session's Arrow batch size to BATCH_ROWS if it is larger."""
+    batch_size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch_size)) <= BATCH_ROWS:
+        spark.conf.set(batch_size, BATCH_ROWS)
     package, app = Path(__file__).resolve().parent.parent, spark.sparkContext.applicationId
     if app not in _SHIPPED and package.is_dir():
         _SHIPPED.add(app)
