@@ -293,11 +293,26 @@ def decode(encoded: DataFrame, table: PieceTable, *, ids: str = "piece_ids", out
 
 
 def round_trip(docs: DataFrame, table: PieceTable, keep: list[str], *, dropout: float = DROPOUT, seed: int = 0) -> DataFrame:
-    """The columns in keep, piece_ids, n_pieces, text_crc32 and `lossless`: whether decoding gives the text again."""
-    rows = docs.select(*keep, "text", F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    back = decode(encode(rows, table, dropout=dropout, seed=seed).drop("text"), table)
-    lossless = F.crc32(F.col("decoded").cast("binary")).eqNullSafe(F.col("text_crc32"))
-    return back.select(*keep, "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "text_crc32", lossless.alias("lossless"))
+    """The columns in keep, piece_ids, n_pieces, text_crc32 and `lossless`: whether decoding gives the text again.
+
+    One worker encodes and decodes, so a task needs one Python process and ids cross to it once.
+    """
+    names = [*keep, "text_crc32"]
+    rows = docs.select(*keep, F.crc32(F.col("text").cast("binary")).alias("text_crc32"), "text", F.xxhash64(F.lit(seed), "doc_id").alias("__key"))
+    send = docs.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in sliced(whole, STEP_BYTES)):
+            given = batch.column("text")
+            texts, absent = [t or "" for t in given.to_pylist()], pc.is_null(given).to_numpy(zero_copy_only=False)
+            ids, counts = encode_texts(send.value, texts, batch.column("__key").to_numpy(), dropout)
+            same = pa.array([a == b for a, b in zip(decode_ids(send.value, ids, counts).to_pylist(), texts, strict=True)], pa.bool_())
+            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32(), mask=np.append(absent, False))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32())), same], [*names, "piece_ids", "lossless"])
+
+    kinds = dict(rows.dtypes)
+    found = rows.mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "piece_ids array<int>", "lossless boolean"]))
+    return found.select(*keep, "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "text_crc32", "lossless")
 
 
 def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
