@@ -1,58 +1,134 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The root predicts a word from its smoothed count. A context of one or two words (a string that fills at least
-MIN_SHARE of the corpus) becomes a state of the tree if its next-word counts diverge enough from those of the
-state that its suffix would use: the log-likelihood ratio must exceed half a log of the corpus size for each
-parameter. A state's distribution is smoothed with its parent's, words that it doesn't list keep the parent's
-proportions, and every word is scored in the state of the longest suffix of what precedes it.
-
-Word counts are exact and unbounded: they stay in Spark tables, and rare words meet them in a join. The tree and
-the frequent words are bounded: at most 1/MIN_SHARE strings of each length can fill MIN_SHARE of a corpus.
+The root predicts a word from its smoothed count. A context of one or two words (a string that occurs MIN_COUNT times)
+becomes a state of the tree if its next-word counts diverge enough from those of the state that its suffix would use:
+the log-likelihood ratio must exceed half a log of the corpus size for each parameter. A state's distribution is
+smoothed with its parent's, words that it doesn't list keep the parent's proportions, and every word is scored in the
+state of the longest suffix of what precedes it.
+
+Nothing here is bounded by a share of the corpus: words, contexts and next-word counts stay in Spark tables, under 64-bit
+hashes of their words. What a token scores above the root is a sum over the states that end before it: what the state
+gives every word, and what it gives a listed one besides. Both are values under a key, so one join by key finds them.
+Only the commonest words and keys (at most 1/LOOKUP_SHARE of each kind) are looked up in the tasks, and bitmaps of 16 MB
+at most keep keys out of shuffles that the tables can't hold.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read_table, written
-from .textops import Words, sliced, sorted_counts, words_of
+from .common import BITMAP, held_out, read_table, written
+from .textops import Words, mixed, sliced, sorted_counts, words_of
 
 END = ""
+#: Strings from this share on are shown by the levels of a SuffixTree, which scoring doesn't use.
 MIN_SHARE = 2e-5
-#: Words from this share on are looked up in the tasks, rarer ones by a join.
+#: Words and keys from this share on are looked up in the tasks, rarer ones by a join.
 LOOKUP_SHARE = 1e-6
 MIN_COUNT = 4
 CONTEXT = 2
 SMOOTHING = 2.0
+#: Tells the key of a state from the key of the same words as a listed string.
+STATE = 0x2545F4914F6CDD1D
+#: The word of rows that look up a key; no word holds white space.
+BY_KEY = "\t"
 
 
 @dataclass
 class SuffixTree:
-    """Words are numbered by falling count. Level k (from 2) lists the frequent strings of k words as sorted codes:
-    (index of the first k - 1 words) * len(words) + last word. For the context of the first k - 1 words, gain holds what the
-    listed word scores above the root; for each context, state tells if it is one and rest what other words gain."""
+    """The root's common words, by falling count, and the tables of the states.
+
+    lookup is the table (key, v, n) of what states and the strings they list add to a word's score; keys and added hold its
+    common part, sorted, and bits a bitmap of all its keys. strings has one table for each length of context.
+    """
 
     words: pa.Array
     counts: np.ndarray
     symbols: int
     tokens: int
     vocabulary: int
-    levels: list[np.ndarray] = field(default_factory=list)
-    gains: list[np.ndarray] = field(default_factory=list)
-    states: list[np.ndarray] = field(default_factory=list)
-    rests: list[np.ndarray] = field(default_factory=list)
+    least: int
+    strings: list[DataFrame]
+    lookup: DataFrame
+    keys: np.ndarray
+    added: np.ndarray
+    bits: np.ndarray
 
     def root(self, count):
         return np.log10((count + 1) / (self.tokens + self.vocabulary + 1))
 
+    @cached_property
+    def _shown(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Codes, gains, states and rests of the frequent strings, level by level, for reading a model: a code is (index of
+        the context) * symbols + index of the last word, a gain or rest is what the word scores above the root."""
+        names = _names(self.words.slice(0, self.symbols)).view(np.int64)
+        word_at = pd.Series(np.arange(len(names)), index=names)
+        ctx_at, out = word_at, []
+        for table in self.strings:
+            listed = table.where(F.col("n") >= self.least).toPandas()  # at most 1/MIN_SHARE rows
+            of = table.where("rest IS NOT NULL").where(F.col("total") >= self.least).groupBy("ctx").agg(F.first("rest").alias("rest"), F.first("base").alias("base")).toPandas()
+            at = ctx_at.reindex(of["ctx"]).to_numpy().astype(np.int64)
+            states, rests = np.zeros(len(ctx_at), bool), np.zeros(len(ctx_at))
+            if out:  # without a state of its own a context has its suffix's rest
+                rests = out[-1][3][out[-1][0] % max(self.symbols, 1)]
+            states[at], rests[at] = True, of["rest"] + rests[at]
+            code = ctx_at.reindex(listed["ctx"]).to_numpy().astype(np.int64) * self.symbols + word_at.reindex(listed["word"]).to_numpy().astype(np.int64)
+            by = np.argsort(code)
+            out.append((code[by], listed["lift"].to_numpy()[by], states, rests))
+            ctx_at = pd.Series(np.arange(len(code)), index=listed["key"].to_numpy()[by])
+        return out
+
+    levels = property(lambda self: [x[0] for x in self._shown])
+    gains = property(lambda self: [x[1] for x in self._shown])
+    states = property(lambda self: [x[2] for x in self._shown])
+    rests = property(lambda self: [x[3] for x in self._shown])
+
+
+def _names(words: pa.Array) -> np.ndarray:
+    return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(words) else np.zeros(0, np.uint64)
+
+
+def _longer(string: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of a string with one more word."""
+    return mixed(string * np.uint64(0x9E3779B97F4A7C15) + word)
+
+
+def _runs(words: Words, code: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For k = 1 .. most: keys of the strings of k words at each place, their next words, and if no end is among the k."""
+    name, end = np.append(_names(words.vocabulary), _names(pa.array([END])))[code], code < 0
+    string, whole = name, ~end
+    for k in range(1, most + 1):
+        yield string, name[k:], whole[: max(len(whole) - 1, 0)]
+        string, whole = _longer(string[: max(len(string) - 1, 0)], name[k:]), whole[: max(len(whole) - 1, 0)] & ~end[k:]
+
+
+def _bitmap(keys: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
+    """A bitmap of the keys (key), 16 bits a key and most_bits (16 MB) at most: no key is missed, few others pass."""
+    bits, count = BITMAP, keys.count()
+    while bits < min(16 * count, most_bits):
+        bits *= 2
+    place = F.col("key").bitwiseAND(F.lit(bits - 1)) + 1
+    parts = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in parts.collect():  # at most most_bits / BITMAP rows
+        out[(r["of"] - 1) * BITMAP // 8 : r["of"] * BITMAP // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _may_hold(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
+    at = key & np.uint64(8 * len(bits) - 1)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
 
 def _tokens(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     """The words of a batch with an end after each document: words, and (document, code) with code -1 for the end."""
@@ -68,113 +144,119 @@ def _symbols(tree_words: pa.Array, words: Words, code: np.ndarray) -> np.ndarray
     return np.append(to, -1 if end is None else end)[code]
 
 
-def _strings(symbol: np.ndarray, doc: np.ndarray, end: np.ndarray, levels: list[np.ndarray], width: int) -> list[np.ndarray]:
-    """For each level, the index of the frequent string that ends at each place, or -1. No string crosses an end."""
-    found = [np.where(symbol < width, symbol, -1)]
-    for codes in levels:
-        before = np.concatenate(([-1], found[-1][:-1]))
-        before[1:][end[:-1]] = -1
-        code = np.where((before >= 0) & (found[0] >= 0), before * width + found[0], -1)
-        at = np.minimum(np.searchsorted(codes, code), max(len(codes) - 1, 0))
-        found.append(np.where((code >= 0) & (codes[at] == code), at, -1) if len(codes) else np.full(len(code), -1))
-    return found
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over all rows of texts (text); the end of a text counts as the word ''. Null: an empty text."""
+    """(word, name, c) over all rows of texts (text): name is the word's hash. The end of a text counts as the word ''. Null: an empty text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in sliced(whole)):
             words = words_of(batch.column("text"))
             n = np.append(np.bincount(words.code, minlength=len(words.vocabulary)), batch.num_rows)
             names = pa.concat_arrays([words.vocabulary, pa.array([END], words.vocabulary.type)])
-            yield pa.RecordBatch.from_arrays([names, pa.array(n, pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([names, pa.array(_names(names).view(np.int64)), pa.array(n, pa.int64())], ["word", "name", "n"])
 
-    return texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return texts.select("text").mapInArrow(count, "word string, name long, n long").groupBy("word", "name").agg(F.sum("n").alias("c"))
 
 
-def _frequent_strings(texts: DataFrame, words: pa.Array, width: int, levels: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and counts of the strings one word longer than those of the last level that occur `least` times."""
-    send = texts.sparkSession.sparkContext.broadcast((words.slice(0, width), levels))  # at most 1/MIN_SHARE entries a level
+def _next_words(texts: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
+    """(ctx, word, n): how often a word follows a context of `length` words, for all that do so MIN_COUNT times."""
+    send = texts.sparkSession.sparkContext.broadcast(_bitmap(contexts.select("key")))  # 16 MB at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, known = send.value
         for batch in (piece for whole in batches for piece in sliced(whole)):
-            parts, doc, code = _tokens(batch.column("text"))
-            symbol, end = _symbols(names, parts, code), code < 0
-            found = _strings(symbol, doc, end, known, width)
-            # both the string without its last word and, from the a-priori rule, the one without its first must be frequent
-            before, last = found[-1][:-1], found[-1][1:]
-            ok = (before >= 0) & (last >= 0) & ~end[:-1]
-            code_of, _, n = sorted_counts(before[ok] * width + found[0][1:][ok])
-            yield pa.RecordBatch.from_arrays([pa.array(code_of, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
+            words, _, code = _tokens(batch.column("text"))
+            *_, (string, word, whole) = _runs(words, code, length)
+            # both the string without its last word and the one without its first occur at least as often
+            known = _may_hold(send.value, string)
+            ok = whole & known[:-1] & known[1:]
+            ctx, word = string[:-1][ok], word[ok]
+            _, first, n = np.unique(_longer(ctx, word), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(ctx[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(n, pa.int64())], ["ctx", "word", "n"])
+
+    counted = texts.select("text").mapInArrow(count, "ctx long, word long, n long").groupBy("ctx", "word").agg(F.sum("n").alias("n"))
+    return counted.where(F.col("n") >= MIN_COUNT)
+
+
+def _named(strings: DataFrame, length: int) -> DataFrame:
+    """Adds the string's key and that of its suffix, in place of tail, the suffix of its context."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ctx, word, tail = (batch.column(c).to_numpy().view(np.uint64) for c in ("ctx", "word", "tail"))
+            key, suffix = _longer(ctx, word), word if length == 1 else _longer(tail, word)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("ctx", "word", "n", "total")), pa.array(key.view(np.int64)), pa.array(suffix.view(np.int64))],
+                ["ctx", "word", "n", "total", "key", "suffix"],
+            )
+
+    return strings.select("ctx", "word", "n", "total", "tail").mapInArrow(add, "ctx long, word long, n long, total long, key long, suffix long")
 
-    counted = texts.select("text").mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    kept = counted.where(F.col("n") >= least).orderBy("code").toPandas()  # at most 1/MIN_SHARE rows
-    return kept["code"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)
+
+def _grown(strings: DataFrame, tokens: int, smoothing: float) -> DataFrame:
+    """Tests every context of strings (ctx, total, n, root, base) against its parent and adds rest, what a state gives all
+    words (null: no state), and lift, what the string's last word scores above the root (log10)."""
+    parent = F.col("root") * F.pow(F.lit(10.0), F.col("base"))
+    p = (F.col("n") + smoothing * parent) / (F.col("total") + smoothing)
+    sums = strings.groupBy("ctx", "total").agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(parent).alias("parent"), F.sum(p).alias("p"),
+        F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / parent)).alias("listed"),
+    )
+    left, left_parent = F.greatest(F.col("total") - F.col("n"), F.lit(0)), F.greatest(1 - F.col("parent"), F.lit(1e-12))
+    ratio = F.col("listed") + F.when(left > 0, left * F.log(left / F.col("total") / left_parent)).otherwise(0.0)
+    states = sums.where(ratio > 0.5 * math.log(max(tokens, 2)) * (F.col("k") + 1))
+    states = states.select("ctx", F.log10(F.greatest(1 - F.col("p"), F.lit(1e-12)) / left_parent).alias("rest"))
+    lift = F.when(F.col("rest").isNull(), F.col("base")).otherwise(F.log10(p / F.col("root")))
+    return strings.join(states, "ctx", "left").withColumn("lift", lift)
 
 
 def train(texts: DataFrame, *, context: int = CONTEXT, min_share: float = MIN_SHARE, lookup_share: float = LOOKUP_SHARE, smoothing: float = SMOOTHING) -> tuple[SuffixTree, DataFrame]:
-    """The tree and the table (word, c) of all words of texts (text)."""
+    """The tree and the table (word, name, c) of all words of texts (text)."""
     counts = written(word_counts(texts), "words")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    common = counts.where(F.col("c") >= max(1, math.ceil(lookup_share * total["n"])))  # at most 1/lookup_share rows
-    listed = common.orderBy(F.desc("c"), "word").toPandas()
-    least = max(MIN_COUNT, math.ceil(min_share * total["n"]))
-    counted = listed["c"].to_numpy(np.int64)
-    width = int((counted >= least).sum())
-    tree = SuffixTree(pa.array(listed["word"].tolist(), pa.string()), counted, width, int(total["n"]), int(total["v"]))
-    occurs = [counted[:width]]
-    for _ in range(context):
-        codes, n = _frequent_strings(texts, tree.words, width, tree.levels, least)
-        tree.levels.append(codes)
-        occurs.append(n)
-    _grow(tree, occurs, smoothing)
+    tokens, vocabulary = int(total["n"]), int(total["v"])
+    common = max(1, math.ceil(lookup_share * tokens))
+    listed = counts.where(F.col("c") >= common).orderBy(F.desc("c"), "word").toPandas()  # at most 1/lookup_share rows
+    root = (F.col("c") + 1) / F.lit(float(tokens + vocabulary + 1))
+    known = counts.where(F.col("c") >= MIN_COUNT).select(F.col("name").alias("key"), F.col("name").alias("suffix"), F.col("c").alias("n"), root.alias("root"), F.lit(0.0).alias("lift"))
+    strings, values = [], []
+    for length in range(1, context + 1):
+        found = _next_words(texts, known, length).join(known.select(F.col("key").alias("ctx"), F.col("suffix").alias("tail"), F.col("n").alias("total")), "ctx")
+        found = _named(found, length).join(known.select(F.col("key").alias("suffix"), "root", F.col("lift").alias("base")), "suffix")
+        known = written(_grown(written(found, "strings"), tokens, smoothing), "tree")
+        strings.append(known)
+        stated = known.where("rest IS NOT NULL")
+        values.append(stated.groupBy("ctx").agg(F.first("rest").alias("v"), F.first("total").alias("n")).select(F.col("ctx").bitwiseXOR(F.lit(STATE)).alias("key"), "v", "n"))
+        values.append(stated.select("key", (F.col("lift") - F.col("base") - F.col("rest")).alias("v"), "n"))
+    none = texts.sparkSession.createDataFrame([], "key long, v double, n long")
+    lookup = written(reduce(DataFrame.unionByName, values, none), "values")
+    hot = lookup.where(F.col("n") >= common).select("key", "v").toPandas()  # at most 2 * context/lookup_share rows
+    keys = hot["key"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(keys)
+    least, counted = max(MIN_COUNT, math.ceil(min_share * tokens)), listed["c"].to_numpy(np.int64)
+    tree = SuffixTree(
+        pa.array(listed["word"].tolist(), pa.string()), counted, int((counted >= least).sum()), tokens, vocabulary, least, strings,
+        lookup.where(F.col("n") < common), keys[by], hot["v"].to_numpy(np.float64)[by], _bitmap(lookup.select("key")),
+    )
     return tree, counts
 
 
-def _grow(tree: SuffixTree, occurs: list[np.ndarray], smoothing: float) -> None:
-    """Tests every context against its parent, shortest first, and fills gains, states and rests (log10)."""
-    root = np.exp(np.log(10) * tree.root(occurs[0]))
-    least_gain = 0.5 * math.log(max(tree.tokens, 2))
-    for level, codes in enumerate(tree.levels):
-        width, total = tree.symbols, occurs[level].astype(float)
-        ctx, word, n = codes // max(width, 1), codes % max(width, 1), occurs[level + 1].astype(float)
-        if level == 0:
-            parent = root[word]
-            above = np.zeros(len(total))
-        else:  # the parent is the context without its first word
-            suffix = tree.levels[level - 1] % max(width, 1)
-            code = suffix[ctx] * width + word
-            at = np.minimum(np.searchsorted(tree.levels[level - 1], code), max(len(tree.levels[level - 1]) - 1, 0))
-            held = tree.levels[level - 1][at] == code if len(tree.levels[level - 1]) else np.zeros(len(code), bool)
-            lift = np.where(held, tree.gains[level - 1][at], tree.rests[level - 1][suffix[ctx]]) if len(code) else np.zeros(0)
-            parent = root[word] * 10.0**lift
-            above = tree.rests[level - 1][suffix]
-        sums = lambda x, k=len(total), c=ctx: np.bincount(c, weights=x, minlength=k)
-        left, left_parent = np.maximum(total - sums(n), 0), np.maximum(1 - sums(parent), 1e-12)
-        ratio = sums(n * np.log(n / total[ctx] / parent)) + np.where(left > 0, left * np.log(np.maximum(left, 1) / total / left_parent), 0)
-        state = ratio > least_gain * (sums(np.ones(len(n))) + 1)
-        p = (n + smoothing * parent) / (total[ctx] + smoothing)
-        share = np.maximum(1 - sums(p), 1e-12) / left_parent
-        tree.states.append(state)
-        tree.rests.append(np.where(state, np.log10(share) + above, above))
-        tree.gains.append(np.where(state[ctx], np.log10(p / root[word]), np.log10(parent / root[word])))
-
-
-def _gain(tree: SuffixTree, symbol: np.ndarray, doc: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """What each token scores above the root, in the longest state that precedes it."""
-    found = _strings(symbol, doc, end, tree.levels, tree.symbols)
-    gain = np.zeros(len(symbol))
-    for level, codes in enumerate(tree.levels):
-        if not len(codes):
-            break
-        context = np.concatenate(([-1], found[level][:-1]))
-        context[1:][end[:-1]] = -1
-        is_state = (context >= 0) & tree.states[level][context]
-        string = found[level + 1]
-        gain = np.where(is_state, np.where(string >= 0, tree.gains[level][string], tree.rests[level][context]), gain)
-    return gain
+def _gain(keys: np.ndarray, added: np.ndarray, bits: np.ndarray, levels: int, words: Words, doc: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What each document's tokens score above the root by the common keys, and (document, key, times) of those to join."""
+    gain, at_doc, at_key = np.zeros(words.docs), [], []
+    for string, word, whole in _runs(words, code, levels):
+        ctx, of = string[:-1][whole], doc[: len(whole)][whole]
+        for key in (ctx ^ np.uint64(STATE), _longer(ctx, word[whole])):
+            maybe = _may_hold(bits, key)
+            key, where = key[maybe], of[maybe]
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            hot = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+            gain += np.bincount(where[hot], weights=added[at[hot]] if len(keys) else None, minlength=words.docs)
+            at_doc.append(where[~hot].astype(np.int64))
+            at_key.append(key[~hot])
+    d, k = np.concatenate([np.zeros(0, np.int64), *at_doc]), np.concatenate([np.zeros(0, np.uint64), *at_key])
+    order = np.lexsort((k, d))
+    d, k = d[order], k[order]
+    first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])))) if len(d) else np.zeros(0, np.int64)
+    return gain, d[first], k[first], np.diff(np.append(first, len(d)))
 
 
 def score(docs: DataFrame, tree: SuffixTree, counts: DataFrame) -> DataFrame:
@@ -183,43 +265,49 @@ def score(docs: DataFrame, tree: SuffixTree, counts: DataFrame) -> DataFrame:
     Null texts are empty: one token, the end. Repeated rows are each returned. Without any training text all
     scores are 0: the only class left is the unknown word.
     """
-    send = docs.sparkSession.sparkContext.broadcast(tree)  # bounded by MIN_SHARE and LOOKUP_SHARE
+    levels = len(tree.strings)
+    model = (tree.words, tree.counts, tree.tokens + tree.vocabulary + 1, tree.keys, tree.added, tree.bits)
+    send = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LOOKUP_SHARE, and the bitmap by 16 MB
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: SuffixTree = send.value
+        names, times_seen, size, keys, added, bits = send.value
         for batch in (piece for whole in batches for piece in sliced(whole)):
             parts, doc, code = _tokens(batch.column("text"))
-            symbol, end, n = _symbols(model.words, parts, code), code < 0, batch.num_rows
+            symbol, n = _symbols(names, parts, code), batch.num_rows
             known = symbol >= 0
             per_doc = lambda x, d=doc, k=n: np.bincount(d, weights=x, minlength=k)
-            base = np.where(known, model.root(model.counts[symbol]) if len(model.counts) else 0.0, 0.0)
+            base = np.where(known, np.log10((times_seen[symbol] + 1) / size) if len(times_seen) else 0.0, 0.0)
             key, _, times = sorted_counts((doc[~known].astype(np.int64) << 32) | (code[~known] + 1))
             rare = pc.take(pa.concat_arrays([pa.array([END], parts.vocabulary.type), parts.vocabulary]), pa.array(key & 0xFFFFFFFF)).cast(pa.string())
-            of = np.append(np.arange(n), key >> 32)
-            fill = lambda x, m=len(key): np.append(x, np.zeros(m))
+            gain, key_doc, joined, repeats = _gain(keys, added, bits, levels, parts, doc, code)
+            of = np.concatenate([np.arange(n), key >> 32, key_doc])
+            fill = lambda x, m=len(key) + len(joined): np.append(x, np.zeros(m))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(of)), batch.column("text_key").take(pa.array(of)),
-                    pa.concat_arrays([pa.array([f" {x}" for x in batch.column("doc_id").to_pylist()], pa.string()), rare]),
-                    pa.array(np.append(np.bincount(doc, minlength=n), times).astype(np.int64)),
-                    pa.array(fill(np.bincount(doc[known], minlength=n)).astype(np.int64)), pa.array(fill(per_doc(base))), pa.array(fill(per_doc(_gain(model, symbol, doc, end)))),
+                    pa.concat_arrays([pa.array([f" {x}" for x in batch.column("doc_id").to_pylist()], pa.string()), rare, pa.repeat(pa.scalar(BY_KEY), len(joined))]),
+                    pa.array(np.concatenate([np.zeros(n + len(key), np.int64), joined.view(np.int64)])),
+                    pa.array(np.concatenate([np.bincount(doc, minlength=n), times, repeats]).astype(np.int64)),
+                    pa.array(fill(np.bincount(doc[known], minlength=n)).astype(np.int64)), pa.array(fill(per_doc(base))), pa.array(fill(gain)),
                 ],
-                ["doc_id", "text_key", "word", "n", "known", "base", "gain"],
+                ["doc_id", "text_key", "word", "key", "n", "known", "base", "gain"],
             )
 
     slim = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    parts = slim.mapInArrow(read, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, word string, n long, known long, base double, gain double")
+    parts = slim.mapInArrow(read, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, word string, key long, n long, known long, base double, gain double")
     # a row whose word begins with a blank stands for a document, and such keys are spread evenly; the others are
-    # the document's words outside the tree, none of them frequent
+    # the document's words that aren't common and its keys that aren't, so no key of the join is frequent
     is_doc = F.startswith(F.col("word"), F.lit(" "))
-    found = parts.join(counts, "word", "left")
+    by_key = F.col("word") == BY_KEY
+    by_word = counts.select("word", F.lit(0).cast("long").alias("key"), "c", F.lit(None).cast("double").alias("v"))
+    found = parts.join(by_word.unionByName(tree.lookup.select(F.lit(BY_KEY).alias("word"), "key", F.lit(None).cast("long").alias("c"), "v")), ["word", "key"], "left")
     root = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(tree.tokens + tree.vocabulary + 1)))
     summed = found.groupBy("doc_id", "text_key").agg(
         F.count_if(is_doc).alias("copies"),
         F.sum(F.when(is_doc, F.col("n"))).alias("n_tokens"),
         F.sum(F.when(is_doc, F.col("known")).otherwise(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("n_known"),
-        F.sum(F.when(is_doc, F.col("base")).otherwise(F.col("n") * root)).alias("base_score"),
-        F.sum("gain").alias("gain"),
+        F.sum(F.when(is_doc, F.col("base")).when(by_key, 0.0).otherwise(F.col("n") * root)).alias("base_score"),
+        F.sum(F.col("gain") + F.when(by_key & F.col("v").isNotNull(), F.col("n") * F.col("v")).otherwise(0.0)).alias("gain"),
     )
     each = lambda c: (F.col(c) / F.col("copies")).alias(c)
     one = summed.select(

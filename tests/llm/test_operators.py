@@ -278,3 +278,35 @@ def test_states_hold_probabilities(spark):
     after = {(int(c) // tree.symbols, int(c) % tree.symbols): k for k, c in enumerate(tree.levels[1])}
     assert tree.gains[1][after[(pair[(red, fox)], runs)]] > tree.gains[0][pair[(fox, runs)]]
     assert (pair[(blue, fox)], runs) not in after
+
+
+def test_contexts_need_a_count_and_no_share(spark):
+    """A phrase that is seen 40 times is a state in a corpus of any size, and tables and lookups score alike."""
+    rng = np.random.default_rng(6)
+    other = [" ".join(f"w{k}" for k in rng.integers(0, 3000, 400)) for _ in range(6000)]
+    texts = spark.createDataFrame([(t,) for t in other + ["quick zebra jumps gladly " * 4] * 10], "text string")
+    ask = spark.createDataFrame([(1, "quick zebra jumps"), (2, "w1 quick w2")], "doc_id long, text string")
+    scores = []
+    for share in (1e-9, 1.0):
+        tree, counts = lm.train(texts, lookup_share=share)
+        assert 40 < 2e-5 * tree.tokens
+        scores.append({r["doc_id"]: (r["base_score"], r["score"]) for r in lm.score(ask, tree, counts).collect()})
+    assert scores[0][1][1] > scores[0][1][0] + 6 and scores[0][2][1] < scores[0][2][0] + 1
+    for i in (1, 2):
+        assert scores[0][i] == pytest.approx(scores[1][i])
+
+
+def test_every_context_predicts_a_distribution(spark):
+    """In a state of two words, words listed by its parent only keep the parent's proportions."""
+    texts = ["red fox runs home", "red fox runs off", "blue fox sits still", "blue fox sits here", "blue fox naps"] * 20
+    tree, _ = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert tree.states[1].any()
+    name = dict(zip(tree.words.to_pylist(), lm._names(tree.words)))
+    added = dict(zip(tree.keys.tolist(), tree.added.tolist()))
+    get = lambda key: added.get(int(key[0]), 0.0)
+    for first, second in (("red", "fox"), ("blue", "fox"), ("fox", "runs")):
+        one = np.array([name[second]])
+        two = lm._longer(np.array([name[first]]), one)
+        always = sum(get(c ^ np.uint64(lm.STATE)) for c in (one, two))
+        p = [10.0 ** (tree.root(c) + always + sum(get(lm._longer(x, np.array([name[w]]))) for x in (one, two))) for w, c in zip(tree.words.to_pylist(), tree.counts)]
+        assert sum(p) + 10.0 ** (tree.root(0) + always) == pytest.approx(1)
