@@ -5,6 +5,9 @@ neighbours, pruning keeps an edge to a candidate unless an edge already kept lea
 reverse edges are added and pruned alike. A beam search then answers each query on every shard, and the shards'
 answers, scored exactly in double precision, are merged. One more coordinate turns the largest inner product into the
 smallest distance.
+
+Graphs hold distinct vectors: equal ones would prune each other's edges. A found vector stands for all its ids, which a
+table keeps in order, and is expanded to the smallest of them.
 """
 
 from __future__ import annotations
@@ -117,17 +120,18 @@ def build_graph(x: np.ndarray, *, degree: int = DEGREE, width: int = BEAM, relax
 
 
 def _build(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values("vec_id", kind="stable")
+    frame = frame.sort_values("rep", kind="stable")
     x = lifted(packed(frame["vector"]))
     edges, entries = build_graph(x) if len(x) > SEARCH_BEAM else (np.full((len(x), DEGREE), -1), np.zeros(0))
     return frame.assign(place=np.arange(len(x), dtype=np.int32), edges=[e.astype(np.int32).tobytes() for e in edges], entry=np.isin(np.arange(len(x)), entries))
 
 
 def _answer(index: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k + 1 nearest distinct vectors of the shard for each query, by their smallest id: one may be the query's own."""
     if not len(index) or not len(queries):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        return pd.DataFrame({"query_id": [], "rep": [], "score": []}).astype({"query_id": "int64", "rep": "int64", "score": "float64"})
     index = index.sort_values("place")
-    x, q, ids = packed(index["vector"]), packed(queries["vector"]), index["vec_id"].to_numpy()
+    x, q, ids = packed(index["vector"]), packed(queries["vector"]), index["rep"].to_numpy()
     if len(x) > SEARCH_BEAM:
         edges = np.frombuffer(b"".join(bytes(e) for e in index["edges"]), np.int32).reshape(len(x), -1)
         entries, up = np.flatnonzero(index["entry"].to_numpy()), lifted(x)
@@ -135,10 +139,10 @@ def _answer(index: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
         found = np.concatenate([beam_search(up, edges, down[a : a + TOGETHER], entries, SEARCH_BEAM)[0] for a in range(0, len(q), TOGETHER)])
     else:
         found = np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
-    row, col = np.nonzero((found >= 0) & (ids[np.maximum(found, 0)] != queries["query_id"].to_numpy()[:, None]))
+    row, col = np.nonzero(found >= 0)
     place = found[row, col]
-    out = pd.DataFrame({"query_id": queries["query_id"].to_numpy()[row], "vec_id": ids[place], "score": np.einsum("ij,ij->i", q[row], x[place])})
-    return out.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+    out = pd.DataFrame({"query_id": queries["query_id"].to_numpy()[row], "rep": ids[place], "score": np.einsum("ij,ij->i", q[row], x[place])})
+    return out.sort_values(["query_id", "score", "rep"], ascending=[True, False, True]).groupby("query_id").head(k + 1)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -155,22 +159,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, shard_rows:
 
     def as_doubles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(vector=[np.array(e, np.float64).tobytes() for e in frame["embedding"]])[["vec_id", "vector"]]
+            # -0.0 becomes 0.0, so that equal vectors have equal bytes
+            yield frame.assign(vector=[(np.array(e, np.float64) + 0.0).tobytes() for e in frame["embedding"]])[["vec_id", "vector"]]
 
     pack = lambda df: df.where(usable(F.col("embedding"), dim)).select("vec_id", "embedding").mapInPandas(as_doubles, "vec_id long, vector binary")
-    n = rows.count()
-    shards = max(1, -(-n // shard_rows))
-    dealt = pack(rows).withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
-    index = written(dealt.groupBy("shard").applyInPandas(_build, "vec_id long, vector binary, shard int, place int, edges binary, entry boolean"), "graphs")
+    known = written(pack(rows), "packed")
+    distinct = written(known.groupBy("vector").agg(F.min("vec_id").alias("rep")), "distinct")
+    shards = max(1, -(-distinct.count() // shard_rows))
+    dealt = distinct.select("rep", "vector", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"))
+    index = written(dealt.groupBy("shard").applyInPandas(_build, "rep long, vector binary, shard int, place int, edges binary, entry boolean"), "graphs")
+    # a vector's ids in order, so that a query's own id among them leaves k others
+    in_order = Window.partitionBy("rep").orderBy("vec_id")
+    members = known.join(distinct, "vector").select("rep", "vec_id").withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= k + 1)
+    members = written(members.select("rep", "vec_id"), "members")
     asked = pack(one_per_id(queries, ["embedding"])).withColumnRenamed("vec_id", "query_id")
     asked = written(asked, "queries")
     blocks = max(1, -(-asked.count() // query_block))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     units = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
     sides = index.withColumn("block", every(blocks)).groupBy("shard", "block").cogroup(units.groupBy("shard", "block"))
-    found = sides.applyInPandas(lambda a, b: _answer(a, b, k), "query_id long, vec_id long, score double")
+    found = sides.applyInPandas(lambda a, b: _answer(a, b, k), "query_id long, rep long, score double")
+    by_rep = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
+    best = found.withColumn("rank", F.row_number().over(by_rep)).where(F.col("rank") <= k + 1).drop("rank")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    expanded = best.join(members, "rep").where("vec_id <> query_id").withColumn("rank", F.row_number().over(order))
+    return expanded.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,6 +190,24 @@ def test_neighbours_of_few(spark):
     assert ann.nearest(v.limit(0), v).count() == 0
 
 
+@pytest.mark.parametrize("copies", [30, 300])
+def test_neighbours_in_groups_of_equal_vectors(spark, copies):
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(1200 // copies, 16)), copies, axis=0)
+    x = np.concatenate([x, rng.normal(size=(600, 16))]).astype(np.float32).astype(float)[rng.permutation(1800)]
+    v = spark.createDataFrame([(i, e.tolist(), 1) for i, e in enumerate(x)], VECTORS)
+    hits, asked = 0, list(range(0, 1800, 20))
+    found: dict = {}
+    for r in ann.nearest(v, v.where("vec_id % 20 = 0"), shard_rows=500).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q in asked:
+        score = np.where(np.arange(1800) == q, -np.inf, np.einsum("ij,j->i", x, x[q]))
+        best = np.lexsort((np.arange(1800), -score))[:20].tolist()
+        assert len(found[q]) == 20
+        hits += len({i for _, i in found[q]} & set(best))
+    assert hits >= 0.98 * 20 * len(asked)
+
+
 def test_reply_trees(spark):
     m = [("r", None, "user", "q", None), ("a", "r", "assistant", "<s>", 1.0), ("b", "r", "assistant", "better\\l", 3.0), ("c", "a", "user", None, 9.0), ("d", "lost", None, "[INST]", None), (None, None, "user", "x", 1.0)]
     df = spark.createDataFrame(m, "node_id string, parent_id string, role string, text string, score double").withColumn("formatted", F.lit("clash"))
