@@ -127,16 +127,25 @@ def linked(sets: list[np.ndarray], counts: list[np.ndarray], apart: np.ndarray,
     of, at = owner[often[code]] if len(code) else code, column[code[often[code]]] if len(code) else code
     order = np.argsort(at, kind="stable")
     of, at = of[order], at[order]
-    both = np.zeros((n, n), np.float32)
+    repeats = np.array([(c > 1).any() for c in counts])
+    share = np.concatenate([weights(c) / weights(c).sum() for c in counts]) if len(code) else np.zeros(0)
+    share = share[often[code]][order] if len(code) else share
+    # both[i, j]: shingles in both; held[i, j]: the share of i's weight on them
+    both, held = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
     for begin in range(0, int(often.sum()), 8192):  # a strip of shared shingles at a time
         a, b = np.searchsorted(at, [begin, begin + 8192])
         strip = np.zeros((n, min(8192, int(often.sum()) - begin)), np.float32)
         strip[of[a:b], at[a:b] - begin] = 1
         both += strip @ strip.T
+        if repeats.any():
+            weighted = np.zeros_like(strip)
+            weighted[of[a:b], at[a:b] - begin] = share[a:b]
+            held += weighted @ strip.T
     jaccard = both / np.maximum(size[:, None] + size[None] - both, 1)
     found = np.triu(apart & (jaccard >= least), 1)
-    repeats = np.array([(c > 1).any() for c in counts])
-    maybe = np.triu(apart & (jaccard < least) & (jaccard >= least / 2) & (repeats[:, None] | repeats[None]), 1)
+    # a sum over e of max(x_e/x_d, y_e/y_d) is at least x/x_d and y/y_d with the totals x and y, so neither text may hold
+    # less of its weight on shared shingles than the probability Jaccard similarity; the slack is for single precision
+    maybe = np.triu(apart & (jaccard < least) & (np.minimum(held, held.T) >= least - 1e-3) & (repeats[:, None] | repeats[None]), 1)
     for i, j in zip(*np.nonzero(maybe), strict=True):
         one, two = (dict(zip(sets[k].tolist(), weights(counts[k]).tolist(), strict=True)) for k in (i, j))
         found[i, j] = probability_jaccard(one, two) >= least

@@ -148,6 +148,22 @@ def test_block_links_equal_set_jaccard():
     assert set(zip(i.tolist(), j.tolist())) == ref
 
 
+def test_block_links_equal_probability_jaccard():
+    """Also where few shingles are shared, but often."""
+    one, two = np.arange(18).astype(np.uint64), np.append(np.arange(10), np.arange(100, 108)).astype(np.uint64)
+    often = np.append(np.full(10, 1000), np.ones(8)).astype(np.int32)
+    i, j = minhash.linked([one, two], [often, often], np.ones((2, 2), bool), 0.8)
+    assert (i.tolist(), j.tolist()) == ([0], [1])
+    rng = np.random.default_rng(8)
+    sets = [np.sort(rng.choice(30, 22, replace=False)).astype(np.uint64) for _ in range(40)]
+    counts = [np.where(s < 9, 10 ** rng.integers(2, 5), 1).astype(np.int32) for s in sets]
+    i, j = minhash.linked(sets, counts, np.ones((40, 40), bool), 0.6)
+    own = [dict(zip(s.tolist(), minhash.weights(c).tolist())) for s, c in zip(sets, counts)]
+    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    ref = {(a, b) for a in range(40) for b in range(a + 1, 40) if jaccard(sets[a], sets[b]) >= 0.6 or minhash.probability_jaccard(own[a], own[b]) >= 0.6}
+    assert set(zip(i.tolist(), j.tolist())) == ref
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (8, 9), (7, 7), (None, 1), (2, 10)] + [(100 + k, 101 + k) for k in range(40)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(links).collect()}
