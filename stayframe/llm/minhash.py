@@ -3,7 +3,8 @@
 Equal texts are one class from the start. Each shingle of a text is a Poisson process whose rate is its weight; every
 arrival falls into one of the signature's registers, and a register keeps the shingle that arrives first. An element is
 dropped as soon as its next arrival comes after all registers' times. Registers of two texts agree with the probability
-Jaccard similarity of their weighted shingles. Texts that agree in a whole band share a bucket.
+Jaccard similarity of their weighted shingles. Texts that agree in a whole band share a bucket. A text with repeated
+shingles has a second signature, in which every shingle weighs the same, for the similarity of the sets.
 
 Buckets are compared exactly, in blocks of bounded size, by tasks that return links between sets they have joined and
 not pairs. Bands are taken in groups: what earlier groups have joined into one class isn't compared again.
@@ -80,17 +81,32 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docs: i
     return kept.reshape(docs, registers)
 
 
+def _band_keys(kept: np.ndarray) -> np.ndarray:
+    kept = kept.reshape(len(kept), BANDS, ROWS)
+    key = np.zeros((len(kept), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
+    for r in range(ROWS):
+        key = mixed(key ^ kept[:, :, r])
+    return key
+
+
 def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in (piece for whole in batches for piece in sliced(whole, STEP)):
         doc, shingle, count = weighted_shingles(batch.column("text"))
         present, local = np.unique(doc, return_inverse=True)
-        kept = signatures(local, shingle, weights(count), len(present), BANDS * ROWS).reshape(len(present), BANDS, ROWS)
-        key = np.zeros((len(present), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
-        for r in range(ROWS):
-            key = mixed(key ^ kept[:, :, r])
+        key = _band_keys(signatures(local, shingle, weights(count), len(present), BANDS * ROWS))
+        # bands for the set similarity too, as if every shingle occurred once; without repeated shingles they are the same
+        repeats = np.bincount(local, weights=count > 1, minlength=len(present)) > 0
+        of, again = np.flatnonzero(repeats), repeats[local]
+        plain = _band_keys(signatures(np.searchsorted(of, local[again]), shingle[again], np.ones(int(again.sum())), len(of), BANDS * ROWS))
+        new = np.ones((len(present), 2 * BANDS), bool)
+        new[of, BANDS:] = plain != key[of]  # a text is in a bucket once
+        both = np.concatenate([key, np.zeros_like(key)], axis=1)
+        both[of, BANDS:] = plain
+        taken = np.ones((len(present), 2 * BANDS), bool)
+        taken[:, BANDS:] = repeats[:, None]
         offsets = np.zeros(batch.num_rows + 1, np.int32)
-        offsets[present + 1] = BANDS
-        lists = pa.ListArray.from_arrays(np.cumsum(offsets, dtype=np.int32), pa.array(key.ravel().view(np.int64)))
+        offsets[present + 1] = BANDS * (1 + repeats)
+        lists = pa.ListArray.from_arrays(np.cumsum(offsets, dtype=np.int32), pa.array(both[taken].view(np.int64), mask=~new[taken]))
         yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], [*batch.schema.names[1:], "bands"])
 
 
@@ -182,7 +198,8 @@ def near_duplicate_classes(docs: DataFrame, *, least: float = SIMILARITY, block:
     texts = features.join(absent, "doc_id", "left_anti").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     texts = written(texts, "texts")
     equal = features.join(texts.select("h1", "h2", "rep"), ["h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    keys = texts.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    keys = texts.select("rep", F.posexplode("bands").alias("band", "bucket")).where("bucket IS NOT NULL")
+    keys = keys.withColumn("band", F.col("band") % BANDS)  # from BANDS on: the bands for the set similarity
     buckets = keys.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("x2")).where("n > 1")
     # buckets of the same members, in whatever band, are one
     once = buckets.groupBy("n", "x1", "x2").agg(F.min(F.struct("band", "bucket")).alias("k")).select("n", "k.band", "k.bucket")

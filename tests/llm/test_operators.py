@@ -164,6 +164,16 @@ def test_block_links_equal_probability_jaccard():
     assert set(zip(i.tolist(), j.tolist())) == ref
 
 
+def test_repeated_line_in_a_near_copy(spark):
+    """The sets are similar and the weighted shingles aren't."""
+    rows = []
+    for k in range(10):
+        text = " ".join(f"p{k}w{i}" for i in range(64))
+        rows += [(2 * k, text), (2 * k + 1, text + "".join(f" p{k}l{i}" for i in range(10)) * 1000)]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(20)}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(5, 4), (4, 3), (3, 2), (9, 8), (8, 9), (7, 7), (None, 1), (2, 10)] + [(100 + k, 101 + k) for k in range(40)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(links).collect()}
