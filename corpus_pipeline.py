@@ -1,7 +1,8 @@
 """From raw documents to shuffled, mixed and encoded ones.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents.
+one's docs. All but the last return the columns of documents. Files don't keep the order of rows when they are read, so
+the last stage returns each document's place in the mixture.
 """
 
 from __future__ import annotations
@@ -46,9 +47,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of whole texts with merge-dropout, and whether they decode to the text."""
+    """Piece ids of whole texts with merge-dropout, whether they decode to the text, and the place in the mixture: reading by
+    (mix_slot, mix_rank), slots that are null last, is the mixture, however docs come."""
     ship(spark)
-    return pieces.round_trip(docs, pieces.load(), ["doc_id", "lang", "source"])
+    slim = docs.select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix_sources(slim, mixing.tempered_weights(slim))
+    placed = written(mixed.select(*slim.columns, "mix_slot", "mix_rank"), "placed")
+    return pieces.round_trip(placed, pieces.load(), ["doc_id", "lang", "source", "mix_slot", "mix_rank"])
 
 
 STAGES = [

@@ -3,6 +3,7 @@
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
+from stayframe.llm import mixing
 from stayframe.llm.common import read_table, written
 
 
@@ -31,3 +32,15 @@ def test_run_is_the_stages_in_order(spark, data_dir):
     out = cp.run(spark, data_dir)
     assert out.count() > 0 and "piece_ids" in out.columns
     assert 4 <= len(cp.STAGES) <= 5
+
+
+def test_mixture_outlives_files(spark, data_dir, tmp_path):
+    """The order read back from several files is the schedule, whatever order the rows came in."""
+    docs = read_table(spark, data_dir, "documents")
+    plan = mixing.mix_sources(docs, mixing.tempered_weights(docs)).select("doc_id", "mix_slot", "mix_rank").collect()
+    schedule = [r["doc_id"] for r in sorted(plan, key=lambda r: (r["mix_slot"], r["mix_rank"]))]
+    shuffled = written(cp.mix(spark, docs, data_dir).repartition(7, F.xxhash64("doc_id")), "shuffled")
+    cp.encode(spark, shuffled, data_dir).repartition(5, F.xxhash64("doc_id", F.lit(1))).write.parquet(f"{tmp_path}/out")
+    out = spark.read.parquet(f"{tmp_path}/out").select("doc_id", "mix_slot", "mix_rank")
+    assert len(out.inputFiles()) > 1
+    assert [r["doc_id"] for r in out.orderBy(F.asc_nulls_last("mix_slot"), "mix_rank").collect()] == schedule
