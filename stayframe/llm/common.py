@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import shutil
 import tempfile
 import uuid
@@ -14,6 +15,9 @@ _OWN_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 #: Rows of text that Spark hands to a Python worker at once. Texts can be long, and both sides hold a batch in memory.
 BATCH_ROWS = 1000
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that one bucket of a ranking holds on the average.
+BUCKET_ROWS = 50_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -36,21 +40,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a session on one machine gets a folder
+    of its own, and a cluster, whose executors would each write to their own disk, an error."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if known:
         return known
-    app = spark.sparkContext.applicationId
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = tempfile.mkdtemp(prefix="spark-")
     return _OWN_DIRS[app]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as a table of its own in the shared folder and reads it back."""
+    """Cuts the lineage: writes df as a table of its own in the shared folder and reads it back.
+
+    Nothing depends on the shuffles of that write any longer, so Spark is told to remove them as soon as it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stayframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -64,12 +79,22 @@ def hash_bucket(digest: Column, digits: int = 3) -> Column:
     return F.conv(F.substring(digest, 1, digits), 16, 10).cast("int")
 
 
+def digits_for(rows: int) -> int:
+    """Hexadecimal digits that give buckets of about BUCKET_ROWS rows, 3 at least."""
+    return max(3, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS, 16))) if rows > BUCKET_ROWS else 3
+
+
+def row_digest(seed: str, doc_id: Column, text_hash: Column) -> Column:
+    """The md5 digest that orders rows: of seed and doc_id, or of the text's hash where doc_id is null, so that rows without id spread."""
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.coalesce(text_hash.cast("string"), F.lit(""))))).cast("binary"))
+
+
 def ranked(df: DataFrame, key: str, digest: str, order: list[str], size: str | None = None, digits: int = 3) -> DataFrame:
     """Adds `__rank` (from 0, gapless in each key) and, with size, `__before` (the sum of the sizes that
     come first), both in the order of (digest, order).
 
     A key may hold any share of the rows: rows are ranked inside (key, digest bucket), and the small table
-    of bucket totals gives each bucket its offset. key and digest must not be null.
+    of bucket totals gives each bucket its offset. key and digest must not be null. digits_for gives digits for a number of rows.
     """
     size_of = F.col(size) if size else F.lit(0)
     split = df.withColumn("__bucket", hash_bucket(F.col(digest), digits))

@@ -12,11 +12,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, read_table
+from .common import digits_for, ranked, read_table, row_digest, written
 
 QUANTA = 1000
 BLOCK_BYTES = 64 * 1024
 NO_SOURCE = ""
+#: Slots of a period up to which its schedule is broadcast: 24 bytes and a name each, 2 MB or so.
+BROADCAST_SLOTS = 50_000
 
 
 def tempered_weights(docs: DataFrame, power: float = 0.5) -> DataFrame:
@@ -58,8 +60,9 @@ def quanta_plan(weights: DataFrame, quanta: int = QUANTA) -> DataFrame:
 def edf_pattern(plan: DataFrame) -> DataFrame:
     """(source, a, q, occurrence, turn): the slots of one period of the earliest-deadline-first schedule.
 
-    Ties of deadlines go to the source that sorts first. One fold over q slots in one row: q is bounded by
-    the number of sources, not by the data.
+    Ties of deadlines go to the source that sorts first. The fold over q slots runs in one row, since each slot depends on the
+    one before; it keeps the number of blocks done for each source, and the picks of a run of sqrt(q) slots at a time, so
+    that no array is copied once a slot. Its work is q times the number of sources, not the number of documents.
     """
     listed = plan.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "a"))).alias("p"), F.max("q").alias("q"))
     due = "(st.done[i] * q + q + p[i].a - 1) div p[i].a"
@@ -67,9 +70,11 @@ def edf_pattern(plan: DataFrame) -> DataFrame:
     waiting = f"transform(sequence(0, size(p) - 1), i -> CASE WHEN {ready} THEN named_struct('d', {due}, 'i', i) END)"
     step = f"""transform(array(array_min({waiting}).i), c -> named_struct(
         'done', transform(st.done, (v, j) -> v + IF(j = c, 1L, 0L)), 'picks', concat(st.picks, array(c))))[0]"""
-    fold = f"""aggregate(sequence(0L, q - 1), named_struct('done', transform(p, x -> 0L), 'picks', CAST(array() AS array<int>)),
-        (st, t) -> {step}, st -> st.picks)"""
-    turns = listed.where("size(p) > 0").select("p", "q", F.posexplode(F.expr(fold)).alias("turn", "i"))
+    run = f"""aggregate(sequence(first, least(first + width, q) - 1), named_struct('done', all.done, 'picks', CAST(array() AS array<int>)), (st, t) -> {step})"""
+    joined = f"transform(array({run}), r -> named_struct('done', r.done, 'runs', concat(all.runs, array(r.picks))))[0]"
+    fold = f"""flatten(aggregate(sequence(0L, q - 1, width), named_struct('done', transform(p, x -> 0L), 'runs', CAST(array() AS array<array<int>>)),
+        (all, first) -> {joined}, all -> all.runs))"""
+    turns = listed.withColumn("width", F.ceil(F.sqrt("q")).cast("long")).where("size(p) > 0").select("p", "q", F.posexplode(F.expr(fold)).alias("turn", "i"))
     named = turns.select(F.expr("p[i].source").alias("source"), F.expr("p[i].a").alias("a"), "q", "turn")
     nth = F.row_number().over(Window.partitionBy("source").orderBy("turn")) - 1
     return named.withColumn("occurrence", nth.cast("long"))
@@ -80,8 +85,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame, *, quanta: int = QUANTA, bl
     `mix_rank` (order inside the source), `mix_share`; reading by (mix_slot, mix_rank) is the mixture.
 
     Every row stays, once. Sources without a positive weight come after the mixture (mix_slot null). A null source is the source ''; null
-    and empty texts have size 1. Order inside a source: md5 of seed and doc_id, then doc_id and text, so equal
-    rows may swap places with each other only. Columns of the input whose names begin with the prefix are replaced.
+    and empty texts have size 1. Order inside a source: md5 of seed and doc_id (of the text, where doc_id is null), then doc_id
+    and text, so equal rows may swap places with each other only. An empty table gives no rows. Columns of the input whose names begin with the prefix are replaced.
     """
     names = [c for c in docs.columns if not c.startswith(prefix)]
     inside = {c: f"__c{i}" for i, c in enumerate(names)}  # no name of the input can clash with those used here
@@ -90,19 +95,19 @@ def mix_sources(docs: DataFrame, weights: DataFrame, *, quanta: int = QUANTA, bl
     keyed = plain.withColumns(
         {
             "__source": F.coalesce(source, F.lit(NO_SOURCE)),
-            "__digest": F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary")),
+            "__digest": row_digest(seed, doc_id, F.xxhash64(text)),
             "__size": _size(text),
             "__text": F.xxhash64(text),
         }
     )
-    in_order = ranked(keyed, "__source", "__digest", [inside["doc_id"], "__size", "__text"], size="__size")
+    in_order = ranked(keyed, "__source", "__digest", [inside["doc_id"], "__size", "__text"], size="__size", digits=digits_for(docs.count()))
     blocks = in_order.withColumn("__block", F.floor(F.col("__before") / block_bytes))
-    pattern = edf_pattern(quanta_plan(weights, quanta))
+    pattern = written(edf_pattern(quanta_plan(weights, quanta)), "pattern")
+    small = F.broadcast if pattern.count() <= BROADCAST_SLOTS else (lambda df: df)  # beyond it, Spark joins by shuffling
     shares = pattern.select("source", "a", "q").distinct().withColumnsRenamed({"source": "__source", "a": "__a", "q": "__q"})
     turns = pattern.select(F.col("source").alias("__source"), F.col("occurrence").alias("__occurrence"), F.col("turn").alias("__turn"))
-    # both sides of these two joins have at most q rows
-    with_share = blocks.join(F.broadcast(shares), "__source", "left").withColumn("__occurrence", F.expr("__block % __a"))
-    with_turn = with_share.join(F.broadcast(turns), ["__source", "__occurrence"], "left")
+    with_share = blocks.join(small(shares), "__source", "left").withColumn("__occurrence", F.expr("__block % __a"))
+    with_turn = with_share.join(small(turns), ["__source", "__occurrence"], "left")
     added = {
         "block": F.col("__block"),
         "release": F.expr("(__block * __q) div __a"),

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, read_table
+from .common import digits_for, ranked, read_table, row_digest, written
 
 SHARDS = 8
 BUNDLES = 8192
@@ -22,12 +22,15 @@ DIMENSIONS = ("bytes", "tokens", "rows")
 
 
 def document_vectors(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, tokens, text_crc32, group): narrow rows; a null text has size 1, no tokens and crc 0."""
+    """(doc_id, size, tokens, text_crc32, group): narrow rows; a null text has size 1, no tokens and crc 0.
+
+    Tokens are the words between ASCII white space."""
     text = F.coalesce("text", F.lit(""))
+    blank = F.translate(text, "\t\n\x0b\x0c\r", "     ")
     return docs.select(
         "doc_id",
         (F.octet_length(text).cast("long") + 1).alias("size"),
-        F.size(F.split(text, " ")).cast("long").alias("tokens"),
+        F.size(F.array_remove(F.split(blank, " "), "")).cast("long").alias("tokens"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.xxhash64("text")).alias("group"),
     )
@@ -49,11 +52,11 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, bundles: int = BUN
     """(doc_id, size, tokens, text_crc32, shard, slot) for every row of docs (doc_id, text).
 
     Equal texts share a shard, all null texts too. slot counts from 0 without gaps in each shard, in the order
-    of md5 of seed and doc_id. Repeated rows are all kept, each with a slot. An empty table gives no rows. If one
-    group outweighs a shard, it stays whole and sizes can't be equal. At most 3 * shards * fineness + bundles
-    items reach the driver.
+    of md5 of seed and doc_id (of the text, where doc_id is null). Repeated rows are all kept, each with a slot. An empty
+    table gives no rows; other columns of docs are ignored. If one group outweighs a shard, it stays whole and sizes can't be
+    equal. At most 3 * shards * fineness + bundles items reach the driver. Texts are read once.
     """
-    rows = document_vectors(docs)
+    rows = written(document_vectors(docs), "vectors")
     groups = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     totals = groups.agg(*[F.coalesce(F.sum(d), F.lit(0)).alias(d) for d in DIMENSIONS]).first()
     limits = {d: totals[d] / (shards * fineness) for d in DIMENSIONS}
@@ -76,9 +79,10 @@ def shard_documents(docs: DataFrame, *, shards: int = SHARDS, bundles: int = BUN
         .withColumn("__bundle", F.pmod("group", F.lit(bundles)))
         .join(F.broadcast(bundle_shards), "__bundle", "left")
         .withColumn("shard", F.coalesce("__own", "__bundled"))
-        .withColumn("__digest", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
+        .withColumn("__digest", row_digest(seed, F.col("doc_id"), F.col("group")))
     )
-    slots = ranked(placed.select("doc_id", "size", "tokens", "text_crc32", "shard", "__digest"), "shard", "__digest", ["doc_id", "text_crc32", "size"])
+    slim = placed.select("doc_id", "size", "tokens", "text_crc32", "shard", "__digest")
+    slots = ranked(slim, "shard", "__digest", ["doc_id", "text_crc32", "size"], digits=digits_for(int(totals["rows"]) // shards))
     return slots.select("doc_id", "size", "tokens", "text_crc32", "shard", F.col("__rank").cast("long").alias("slot"))
 
 

@@ -276,6 +276,50 @@ def test_schedule_stays_within_one_block(spark):
     assert mixing.edf_pattern(mixing.quanta_plan(weights.limit(0))).count() == 0
 
 
+def plain_edf(shares, q):
+    """The sources of q slots by earliest deadline among released blocks, ties to the first source."""
+    done, out = dict.fromkeys(shares, 0), []
+    for t in range(q):
+        ready = [(-(-(done[s] + 1) * q // a), s) for s, a in sorted(shares.items()) if done[s] < a and done[s] * q // a <= t]
+        out.append(min(ready)[1])
+        done[out[-1]] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [[1, 1, 1, 1], [3, 3, 2, 2], [1], list(range(1, 24))])
+def test_schedule_equals_plain_edf(spark, weights):
+    """Also with equal remainders and equal deadlines."""
+    plan = mixing.quanta_plan(spark.createDataFrame([(f"s{i:02}", float(w)) for i, w in enumerate(weights)], "source string, weight double"))
+    shares = {r["source"]: r["a"] for r in plan.collect()}
+    turns = mixing.edf_pattern(plan).orderBy("turn").collect()
+    assert sum(shares.values()) == turns[0]["q"] and max(shares.values()) - min(shares.values()) <= (1 if len(set(weights)) == 1 else 10_000)
+    assert [r["source"] for r in turns] == plain_edf(shares, turns[0]["q"])
+
+
+def test_mixing_by_shuffled_joins_is_the_same(docs, monkeypatch):
+    both = docs.unionByName(docs.where("doc_id = 9")).withColumn("doc_id", F.expr("CASE WHEN doc_id = 8 THEN NULL ELSE doc_id END"))
+    rows = lambda: sorted(map(str, mixing.mix_sources(both, mixing.tempered_weights(both), block_bytes=50).collect()))
+    first = rows()
+    monkeypatch.setattr(mixing, "BROADCAST_SLOTS", 0)
+    assert rows() == first and len(first) == len(ODD) + 2
+
+
+def test_document_vectors(docs):
+    got = {r["doc_id"]: (r["size"], r["tokens"]) for r in sharding.document_vectors(docs).collect()}
+    assert got[2] == (1, 0) and got[3] == (1, 0) and got[4] == (5, 0) and got[1] == (36, 9) and got[7] == (150_001, 30_000)
+
+
+def test_packing_equals_a_plain_loop():
+    rng = np.random.default_rng(9)
+    v = np.sort(rng.lognormal(size=(200, 3)), axis=0)[::-1]
+    total, left, want = v.sum(0), [[1 / 5] * 3 for _ in range(5)], []
+    for row in v:
+        dots = [sum(a * b / t for a, b, t in zip(r, row, total)) for r in left]
+        want.append(dots.index(max(dots)))
+        left[want[-1]] = [a - b / t for a, b, t in zip(left[want[-1]], row, total)]
+    assert sharding.pack(v, 5).tolist() == want
+
+
 def test_sharding(docs, none):
     got = sharding.shard_documents(docs.withColumn("shard", F.lit(9)), shards=3).collect()
     assert len(got) == len(ODD)
