@@ -124,6 +124,21 @@ def test_minhash_classes(docs, none):
     assert minhash.near_duplicate_classes(none).count() == 0
 
 
+def plain_probability_jaccard(a, wa, b, wb):
+    x, y = dict(zip(a.tolist(), wa.tolist())), dict(zip(b.tolist(), wb.tolist()))
+    every = set(x) | set(y)
+    return sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in every) for d in set(x) & set(y))
+
+
+def plain_classes(n, links):
+    """The smallest member of each place's class."""
+    label = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
 def test_probminhash_estimates_probability_jaccard():
     rng = np.random.default_rng(2)
     shared = rng.integers(1, 2**62, 80).astype(np.uint64)
@@ -131,37 +146,66 @@ def test_probminhash_estimates_probability_jaccard():
     wa, wb = rng.integers(1, 4, 110).astype(float), rng.integers(1, 4, 90).astype(float)
     wb[:80] = wa[:80]
     s = minhash.signatures(np.repeat([0, 1], [110, 90]), np.append(a, b), np.append(wa, wb), 2, 4000)
-    x, y = dict(zip(a.tolist(), wa)), dict(zip(b.tolist(), wb))
-    every = set(x) | set(y)
-    exact = sum(1 / sum(max(x.get(e, 0) / x[d], y.get(e, 0) / y[d]) for e in every) for d in set(x) & set(y))
-    assert minhash.probability_jaccard(x, y) == pytest.approx(exact)
+    exact = plain_probability_jaccard(a, wa, b, wb)
+    by_a, by_b = np.argsort(a), np.argsort(b)
+    assert minhash.probability_jaccard(a[by_a], wa[by_a], b[by_b], wb[by_b]) == pytest.approx(exact)
     assert (s[0] == s[1]).mean() == pytest.approx(exact, abs=0.03)
 
 
-def test_block_links_equal_set_jaccard():
+def jaccard(a, b):
+    return len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+
+
+def test_block_classes_by_set_jaccard():
     rng = np.random.default_rng(3)
     base = rng.choice(10**6, 60, replace=False)
     sets = [np.unique(np.append(rng.choice(base, 55, replace=False), rng.integers(10**6, 2 * 10**6, k % 12))).astype(np.uint64) for k in range(30)]
     counts = [np.ones(len(s), np.int32) for s in sets]
-    i, j = minhash.linked(sets, counts, np.ones((30, 30), bool), 0.8)
-    ref = {(a, b) for a in range(30) for b in range(a + 1, 30) if len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
-    assert set(zip(i.tolist(), j.tolist())) == ref
+    got = minhash.joined_by_links(sets, counts, np.arange(30), np.ones((30, 30), bool), 0.8)
+    links = [(a, b) for a in range(30) for b in range(a + 1, 30) if jaccard(sets[a], sets[b]) >= 0.8]
+    assert got.tolist() == plain_classes(30, links) and 1 < len(set(got.tolist())) < 30
 
 
-def test_block_links_equal_probability_jaccard():
+def test_block_classes_by_probability_jaccard():
     """Also where few shingles are shared, but often."""
     one, two = np.arange(18).astype(np.uint64), np.append(np.arange(10), np.arange(100, 108)).astype(np.uint64)
     often = np.append(np.full(10, 1000), np.ones(8)).astype(np.int32)
-    i, j = minhash.linked([one, two], [often, often], np.ones((2, 2), bool), 0.8)
-    assert (i.tolist(), j.tolist()) == ([0], [1])
+    assert minhash.joined_by_links([one, two], [often, often], np.arange(2), np.ones((2, 2), bool), 0.8).tolist() == [0, 0]
     rng = np.random.default_rng(8)
     sets = [np.sort(rng.choice(30, 22, replace=False)).astype(np.uint64) for _ in range(40)]
     counts = [np.where(s < 9, 10 ** rng.integers(2, 5), 1).astype(np.int32) for s in sets]
-    i, j = minhash.linked(sets, counts, np.ones((40, 40), bool), 0.6)
-    own = [dict(zip(s.tolist(), minhash.weights(c).tolist())) for s, c in zip(sets, counts)]
-    jaccard = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    ref = {(a, b) for a in range(40) for b in range(a + 1, 40) if jaccard(sets[a], sets[b]) >= 0.6 or minhash.probability_jaccard(own[a], own[b]) >= 0.6}
-    assert set(zip(i.tolist(), j.tolist())) == ref
+    links = [
+        (a, b) for a in range(40) for b in range(a + 1, 40)
+        if jaccard(sets[a], sets[b]) >= 0.76 or plain_probability_jaccard(sets[a], minhash.weights(counts[a]), sets[b], minhash.weights(counts[b])) >= 0.76
+    ]
+    got = minhash.joined_by_links(sets, counts, np.arange(40), np.ones((40, 40), bool), 0.76)
+    assert got.tolist() == plain_classes(40, links) and 1 < len(set(got.tolist())) < 40
+
+
+def test_classes_of_hot_buckets_and_weighted_texts(spark):
+    """Buckets of many blocks, with several classes, weighted links and extra columns, against all pairs."""
+    rng = np.random.default_rng(11)
+    rows, texts = [], []
+    for family in range(4):
+        base = [f"f{family}w{i}" for i in range(60)]
+        for k in range(60):
+            words = list(base)
+            for at in rng.choice(60, k % 4, replace=False):
+                words[at] = f"own{rng.integers(0, 5)}"
+            texts.append(" ".join(words))
+    texts += ["word " * 3000 + "alpha", "word " * 3000 + "beta", "word " * 3000 + "alpha beta gamma delta"]
+    rows = [(3 * i, t, t, 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, bands string, rep int")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicate_classes(docs, block=8).collect()}
+    doc, shingle, count = minhash.weighted_shingles(pa.array(texts))
+    own = [(shingle[doc == d], minhash.weights(count[doc == d])) for d in range(len(texts))]
+    sets = [set(s.tolist()) for s, _ in own]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    weighted = lambda a, b: min(a, b) >= 240 and plain_probability_jaccard(*own[a], *own[b]) >= 0.8
+    links = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if alike(a, b) or weighted(a, b)]
+    want = plain_classes(len(texts), links)
+    assert [got[3 * i] for i in range(len(texts))] == [3 * w for w in want]
+    assert want[241] == 240 and 5 < len(set(want)) < 200
 
 
 def test_repeated_line_in_a_near_copy(spark):
