@@ -1,6 +1,6 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The root predicts a word from its smoothed count. A context of one or two words (a string that occurs MIN_COUNT times)
+The root predicts a word from its smoothed count. A context of up to `context` words (a string that occurs MIN_COUNT times)
 becomes a state of the tree if its next-word counts diverge enough from those of the state that its suffix would use:
 the log-likelihood ratio must exceed half a log of the corpus size for each parameter. A state's distribution is
 smoothed with its parent's, words that it doesn't list keep the parent's proportions, and every word is scored in the
@@ -9,8 +9,8 @@ state of the longest suffix of what precedes it.
 Nothing here is bounded by a share of the corpus: words, contexts and next-word counts stay in Spark tables, under 64-bit
 hashes of their words. What a token scores above the root is a sum over the states that end before it: what the state
 gives every word, and what it gives a listed one besides. Both are values under a key, so one join by key finds them.
-Only the commonest words and keys (at most 1/LOOKUP_SHARE of each kind) are looked up in the tasks, and bitmaps of 16 MB
-at most keep keys out of shuffles that the tables can't hold.
+Only the commonest words and keys (at most LOOKUP_ROWS of each) are looked up in the tasks, all others in that join, and bitmaps
+of 16 MB at most keep keys out of shuffles that the tables can't hold.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,10 +31,8 @@ from .common import BITMAP, held_out, read_table, written
 from .textops import Words, mixed, sliced, sorted_counts, words_of
 
 END = ""
-#: Strings from this share on are shown by the levels of a SuffixTree, which scoring doesn't use.
-MIN_SHARE = 2e-5
-#: Words and keys from this share on are looked up in the tasks, rarer ones by a join.
-LOOKUP_SHARE = 1e-6
+#: So many words, and so many keys, are looked up in the tasks at most: 16 bytes each. The others are found by a join.
+LOOKUP_ROWS = 1_000_000
 MIN_COUNT = 4
 CONTEXT = 2
 SMOOTHING = 2.0
@@ -48,16 +46,14 @@ BY_KEY = "\t"
 class SuffixTree:
     """The root's common words, by falling count, and the tables of the states.
 
-    lookup is the table (key, v, n) of what states and the strings they list add to a word's score; keys and added hold its
-    common part, sorted, and bits a bitmap of all its keys. strings has one table for each length of context.
+    lookup is the table (key, v, n) of what states and the strings they list add to a word's score, without its common part,
+    which keys (sorted) and added hold; bits is a bitmap of all its keys. strings has one table for each length of context.
     """
 
     words: pa.Array
     counts: np.ndarray
-    symbols: int
     tokens: int
     vocabulary: int
-    least: int
     strings: list[DataFrame]
     lookup: DataFrame
     keys: np.ndarray
@@ -67,32 +63,6 @@ class SuffixTree:
     def root(self, count):
         return np.log10((count + 1) / (self.tokens + self.vocabulary + 1))
 
-    @cached_property
-    def _shown(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Codes, gains, states and rests of the frequent strings, level by level, for reading a model: a code is (index of
-        the context) * symbols + index of the last word, a gain or rest is what the word scores above the root."""
-        names = _names(self.words.slice(0, self.symbols)).view(np.int64)
-        word_at = pd.Series(np.arange(len(names)), index=names)
-        ctx_at, out = word_at, []
-        for table in self.strings:
-            listed = table.where(F.col("n") >= self.least).toPandas()  # at most 1/MIN_SHARE rows
-            of = table.where("rest IS NOT NULL").where(F.col("total") >= self.least).groupBy("ctx").agg(F.first("rest").alias("rest"), F.first("base").alias("base")).toPandas()
-            at = ctx_at.reindex(of["ctx"]).to_numpy().astype(np.int64)
-            states, rests = np.zeros(len(ctx_at), bool), np.zeros(len(ctx_at))
-            if out:  # without a state of its own a context has its suffix's rest
-                rests = out[-1][3][out[-1][0] % max(self.symbols, 1)]
-            states[at], rests[at] = True, of["rest"] + rests[at]
-            code = ctx_at.reindex(listed["ctx"]).to_numpy().astype(np.int64) * self.symbols + word_at.reindex(listed["word"]).to_numpy().astype(np.int64)
-            by = np.argsort(code)
-            out.append((code[by], listed["lift"].to_numpy()[by], states, rests))
-            ctx_at = pd.Series(np.arange(len(code)), index=listed["key"].to_numpy()[by])
-        return out
-
-    levels = property(lambda self: [x[0] for x in self._shown])
-    gains = property(lambda self: [x[1] for x in self._shown])
-    states = property(lambda self: [x[2] for x in self._shown])
-    rests = property(lambda self: [x[3] for x in self._shown])
-
 
 def _names(words: pa.Array) -> np.ndarray:
     return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(words) else np.zeros(0, np.uint64)
@@ -113,12 +83,12 @@ def _runs(words: Words, code: np.ndarray, most: int) -> Iterator[tuple[np.ndarra
 
 
 def _bitmap(keys: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
-    """A bitmap of the keys (key), 16 bits a key and most_bits (16 MB) at most: no key is missed, few others pass."""
+    """A bitmap with two bits for each key (key), of 16 bits a key and most_bits (16 MB) at most: no key is missed, few others pass."""
     bits, count = BITMAP, keys.count()
     while bits < min(16 * count, most_bits):
         bits *= 2
-    place = F.col("key").bitwiseAND(F.lit(bits - 1)) + 1
-    parts = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    both = F.array(*(p.bitwiseAND(F.lit(bits - 1)) + 1 for p in (F.col("key"), F.shiftright("key", 32))))
+    parts = keys.select(F.explode(both).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("of")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
     for r in parts.collect():  # at most most_bits / BITMAP rows
         out[(r["of"] - 1) * BITMAP // 8 : r["of"] * BITMAP // 8] = np.frombuffer(r["bits"], np.uint8)
@@ -126,8 +96,24 @@ def _bitmap(keys: DataFrame, most_bits: int = 1 << 27) -> np.ndarray:
 
 
 def _may_hold(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    at = key & np.uint64(8 * len(bits) - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    last = np.uint64(8 * len(bits) - 1)
+    is_set = lambda at: (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    found = is_set(key & last)
+    found[found] = is_set((key[found] >> np.uint64(32)) & last)
+    return found
+
+
+def _common(counted: DataFrame, column: str, rows: int) -> int:
+    """The least count from which on at most that many rows of counted are, in steps of a twelfth of an octave."""
+    step = F.floor(F.log2(F.col(column)) * 12).cast("int")
+    sizes = {r["step"]: r["n"] for r in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 12 * 63 rows
+    least, held = math.inf, 0
+    for at in sorted(sizes, reverse=True):
+        held += sizes[at]
+        if held > rows:
+            break
+        least = at
+    return 1 << 62 if least == math.inf else math.ceil(2 ** (least / 12) - 1e-9)
 
 
 def _tokens(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -157,8 +143,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word string, name long, n long").groupBy("word", "name").agg(F.sum("n").alias("c"))
 
 
-def _next_words(texts: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
-    """(ctx, word, n): how often a word follows a context of `length` words, for all that do so MIN_COUNT times."""
+def _next_words(texts: DataFrame, contexts: DataFrame, length: int, least: int) -> DataFrame:
+    """(ctx, word, n): how often a word follows a context of `length` words, for all that do so `least` times."""
     send = texts.sparkSession.sparkContext.broadcast(_bitmap(contexts.select("key")))  # 16 MB at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +159,7 @@ def _next_words(texts: DataFrame, contexts: DataFrame, length: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(ctx[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(n, pa.int64())], ["ctx", "word", "n"])
 
     counted = texts.select("text").mapInArrow(count, "ctx long, word long, n long").groupBy("ctx", "word").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("n") >= MIN_COUNT)
+    return counted.where(F.col("n") >= least)
 
 
 def _named(strings: DataFrame, length: int) -> DataFrame:
@@ -208,18 +194,23 @@ def _grown(strings: DataFrame, tokens: int, smoothing: float) -> DataFrame:
     return strings.join(states, "ctx", "left").withColumn("lift", lift)
 
 
-def train(texts: DataFrame, *, context: int = CONTEXT, min_share: float = MIN_SHARE, lookup_share: float = LOOKUP_SHARE, smoothing: float = SMOOTHING) -> tuple[SuffixTree, DataFrame]:
-    """The tree and the table (word, name, c) of all words of texts (text)."""
+def train(
+    texts: DataFrame, *, context: int = CONTEXT, min_count: int = MIN_COUNT, lookup_rows: int = LOOKUP_ROWS, smoothing: float = SMOOTHING
+) -> tuple[SuffixTree, DataFrame]:
+    """The tree of contexts of up to `context` words, and the table (word, name, c) of all words of texts (text).
+
+    Null texts count as empty. No text at all gives a tree without words. lookup_rows changes how scores are found, not scores.
+    """
     counts = written(word_counts(texts), "words")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, vocabulary = int(total["n"]), int(total["v"])
-    common = max(1, math.ceil(lookup_share * tokens))
-    listed = counts.where(F.col("c") >= common).orderBy(F.desc("c"), "word").toPandas()  # at most 1/lookup_share rows
+    listed = counts.where(F.col("c") >= _common(counts, "c", lookup_rows)).select("word", "c").toPandas()  # at most lookup_rows rows
+    listed = listed.sort_values(["c", "word"], ascending=[False, True])
     root = (F.col("c") + 1) / F.lit(float(tokens + vocabulary + 1))
-    known = counts.where(F.col("c") >= MIN_COUNT).select(F.col("name").alias("key"), F.col("name").alias("suffix"), F.col("c").alias("n"), root.alias("root"), F.lit(0.0).alias("lift"))
+    known = counts.where(F.col("c") >= min_count).select(F.col("name").alias("key"), F.col("name").alias("suffix"), F.col("c").alias("n"), root.alias("root"), F.lit(0.0).alias("lift"))
     strings, values = [], []
     for length in range(1, context + 1):
-        found = _next_words(texts, known, length).join(known.select(F.col("key").alias("ctx"), F.col("suffix").alias("tail"), F.col("n").alias("total")), "ctx")
+        found = _next_words(texts, known, length, min_count).join(known.select(F.col("key").alias("ctx"), F.col("suffix").alias("tail"), F.col("n").alias("total")), "ctx")
         found = _named(found, length).join(known.select(F.col("key").alias("suffix"), "root", F.col("lift").alias("base")), "suffix")
         known = written(_grown(written(found, "strings"), tokens, smoothing), "tree")
         strings.append(known)
@@ -228,12 +219,12 @@ def train(texts: DataFrame, *, context: int = CONTEXT, min_share: float = MIN_SH
         values.append(stated.select("key", (F.col("lift") - F.col("base") - F.col("rest")).alias("v"), "n"))
     none = texts.sparkSession.createDataFrame([], "key long, v double, n long")
     lookup = written(reduce(DataFrame.unionByName, values, none), "values")
-    hot = lookup.where(F.col("n") >= common).select("key", "v").toPandas()  # at most 2 * context/lookup_share rows
+    common = _common(lookup, "n", lookup_rows)
+    hot = lookup.where(F.col("n") >= common).select("key", "v").toPandas()  # at most lookup_rows rows
     keys = hot["key"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(keys)
-    least, counted = max(MIN_COUNT, math.ceil(min_share * tokens)), listed["c"].to_numpy(np.int64)
     tree = SuffixTree(
-        pa.array(listed["word"].tolist(), pa.string()), counted, int((counted >= least).sum()), tokens, vocabulary, least, strings,
+        pa.array(listed["word"].tolist(), pa.string()), listed["c"].to_numpy(np.int64), tokens, vocabulary, strings,
         lookup.where(F.col("n") < common), keys[by], hot["v"].to_numpy(np.float64)[by], _bitmap(lookup.select("key")),
     )
     return tree, counts
@@ -267,7 +258,7 @@ def score(docs: DataFrame, tree: SuffixTree, counts: DataFrame) -> DataFrame:
     """
     levels = len(tree.strings)
     model = (tree.words, tree.counts, tree.tokens + tree.vocabulary + 1, tree.keys, tree.added, tree.bits)
-    send = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LOOKUP_SHARE, and the bitmap by 16 MB
+    send = docs.sparkSession.sparkContext.broadcast(model)  # bounded by lookup_rows, and the bitmap by 16 MB
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, times_seen, size, keys, added, bits = send.value

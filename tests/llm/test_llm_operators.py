@@ -1,5 +1,8 @@
 """Edge cases of the operators: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -389,27 +392,55 @@ def test_scoring_odd_texts(docs, none, spark):
     assert {r["score"] for r in untrained} == {0.0}
 
 
-def test_states_hold_probabilities(spark):
-    text = "red fox runs home . blue fox sits still . " * 40
-    tree, counts = lm.train(spark.createDataFrame([(text,)] * 3, "text string"))
-    words = [w.as_py() for w in tree.words]
-    root = 10.0 ** tree.root(tree.counts)
-    assert root.sum() + 10.0 ** tree.root(0) == pytest.approx(1)
-    assert tree.states[0].any() and tree.states[1].any()
-    red, blue, fox, runs = (words.index(w) for w in ("red", "blue", "fox", "runs"))
-    pair = {(int(c) // tree.symbols, int(c) % tree.symbols): k for k, c in enumerate(tree.levels[0])}
-    for level, codes in enumerate(tree.levels):  # what a state lists and what it leaves to its parent add up to one
-        for ctx in np.flatnonzero(tree.states[level]):
-            own = np.flatnonzero(codes // tree.symbols == ctx)
-            word = codes[own] % tree.symbols
-            listed = (root[word] * 10.0 ** tree.gains[level][own]).sum()
-            if level == 0:
-                others = (1 - root[word].sum()) * 10.0 ** tree.rests[level][ctx]
-                assert listed + others == pytest.approx(1)
-            assert listed <= 1 + 1e-9
-    after = {(int(c) // tree.symbols, int(c) % tree.symbols): k for k, c in enumerate(tree.levels[1])}
-    assert tree.gains[1][after[(pair[(red, fox)], runs)]] > tree.gains[0][pair[(fox, runs)]]
-    assert (pair[(blue, fox)], runs) not in after
+def plain_model(texts, context, least=4, smoothing=2.0):
+    """The log10 probability of a list of words, by dictionaries of all contexts."""
+    docs = [[*t.split(), ""] for t in texts]
+    n = Counter(w for d in docs for w in d)
+    tokens = sum(n.values())
+    root = lambda w: (n[w] + 1) / (tokens + len(n) + 1)
+    seen = [Counter(tuple(d[i : i + k]) for d in docs for i in range(len(d) - k + 1)) for k in range(context + 2)]
+    lifts, rests = {}, {}
+    for k in range(1, context + 1):
+        after = {}
+        for s, c in seen[k + 1].items():
+            if c >= least:
+                after.setdefault(s[:-1], {})[s[-1]] = c
+        for ctx, words in after.items():
+            total, base = seen[k][ctx], {w: lifts[(*ctx[1:], w)] if k > 1 else 0.0 for w in words}
+            parent = {w: root(w) * 10 ** base[w] for w in words}
+            left, left_parent = total - sum(words.values()), max(1 - sum(parent.values()), 1e-12)
+            ratio = sum(c * math.log(c / total / parent[w]) for w, c in words.items()) + (left * math.log(left / total / left_parent) if left > 0 else 0)
+            p = {w: (c + smoothing * parent[w]) / (total + smoothing) for w, c in words.items()}
+            if state := ratio > 0.5 * math.log(tokens) * (len(words) + 1):
+                rests[ctx] = math.log10(max(1 - sum(p.values()), 1e-12) / left_parent)
+            lifts |= {(*ctx, w): math.log10(p[w] / root(w)) if state else base[w] for w in words}
+
+    def score(words):
+        out = 0.0
+        for i, w in enumerate([*words, ""]):
+            gain = 0.0
+            for k in range(1, min(context, i) + 1):
+                ctx = tuple(words[i - k : i])
+                if ctx in rests:
+                    gain = lifts[(*ctx, w)] if (*ctx, w) in lifts else gain + rests[ctx]
+            out += math.log10(root(w)) + gain
+        return out
+
+    return score, rests
+
+
+@pytest.mark.parametrize(("context", "lookup_rows"), [(2, 10**6), (3, 20), (4, 0)])
+def test_scores_equal_a_plain_model(spark, context, lookup_rows):
+    """Also with deeper contexts, and whatever is looked up in the tasks or by joins."""
+    rng = np.random.default_rng(12)
+    phrases = ["red fox runs home", "red fox runs far away today", "blue fox sits still", "the old dog sleeps", "old dog barks at the red fox", "one two three four left", "six two three four right"]
+    texts = [" ".join([*rng.choice(phrases, 5), *(f"w{k}" for k in rng.integers(0, 40, 6)), *rng.choice(phrases, 3)]) for _ in range(120)]
+    score, states = plain_model(texts, context)
+    assert any(len(s) == context for s in states) and 20 < len(states)
+    tree, counts = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), context=context, lookup_rows=lookup_rows)
+    asked = [*texts[:20], "red fox sits still", "unseen words only", "", "today red fox runs far away w1 w2 the old dog barks"]
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), tree, counts).collect()}
+    assert [got[i] for i in range(len(asked))] == pytest.approx([score(t.split()) for t in asked], abs=1e-9)
 
 
 def test_contexts_need_a_count_and_no_share(spark):
@@ -419,8 +450,8 @@ def test_contexts_need_a_count_and_no_share(spark):
     texts = spark.createDataFrame([(t,) for t in other + ["quick zebra jumps gladly " * 4] * 10], "text string")
     ask = spark.createDataFrame([(1, "quick zebra jumps"), (2, "w1 quick w2")], "doc_id long, text string")
     scores = []
-    for share in (1e-9, 1.0):
-        tree, counts = lm.train(texts, lookup_share=share)
+    for rows in (10**6, 0):
+        tree, counts = lm.train(texts, lookup_rows=rows)
         assert 40 < 2e-5 * tree.tokens
         scores.append({r["doc_id"]: (r["base_score"], r["score"]) for r in lm.score(ask, tree, counts).collect()})
     assert scores[0][1][1] > scores[0][1][0] + 6 and scores[0][2][1] < scores[0][2][0] + 1
