@@ -32,7 +32,7 @@ from .textops import Words, mixed, sliced, sorted_counts, words_of
 
 END = ""
 #: So many words, and so many keys, are looked up in the tasks at most: 16 bytes each. The others are found by a join.
-LOOKUP_ROWS = 1_000_000
+LOOKUP_ROWS = 1 << 18
 MIN_COUNT = 4
 CONTEXT = 2
 SMOOTHING = 2.0
@@ -204,8 +204,8 @@ def train(
     counts = written(word_counts(texts), "words")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, vocabulary = int(total["n"]), int(total["v"])
-    listed = counts.where(F.col("c") >= _common(counts, "c", lookup_rows)).select("word", "c").toPandas()  # at most lookup_rows rows
-    listed = listed.sort_values(["c", "word"], ascending=[False, True])
+    listed = counts.where(F.col("c") >= _common(counts, "c", lookup_rows)).select("word", "c").toArrow()  # at most lookup_rows rows
+    listed = listed.sort_by([("c", "descending"), ("word", "ascending")]).combine_chunks()
     root = (F.col("c") + 1) / F.lit(float(tokens + vocabulary + 1))
     known = counts.where(F.col("c") >= min_count).select(F.col("name").alias("key"), F.col("name").alias("suffix"), F.col("c").alias("n"), root.alias("root"), F.lit(0.0).alias("lift"))
     strings, values = [], []
@@ -220,12 +220,12 @@ def train(
     none = texts.sparkSession.createDataFrame([], "key long, v double, n long")
     lookup = written(reduce(DataFrame.unionByName, values, none), "values")
     common = _common(lookup, "n", lookup_rows)
-    hot = lookup.where(F.col("n") >= common).select("key", "v").toPandas()  # at most lookup_rows rows
-    keys = hot["key"].to_numpy(np.int64).view(np.uint64)
+    hot = lookup.where(F.col("n") >= common).select("key", "v").toArrow()  # at most lookup_rows rows
+    keys = hot["key"].to_numpy().view(np.uint64)
     by = np.argsort(keys)
     tree = SuffixTree(
-        pa.array(listed["word"].tolist(), pa.string()), listed["c"].to_numpy(np.int64), tokens, vocabulary, strings,
-        lookup.where(F.col("n") < common), keys[by], hot["v"].to_numpy(np.float64)[by], _bitmap(lookup.select("key")),
+        pa.concat_arrays([pa.array([], pa.string()), *listed["word"].chunks]), listed["c"].to_numpy(), tokens, vocabulary, strings,
+        lookup.where(F.col("n") < common), keys[by], hot["v"].to_numpy()[by], _bitmap(lookup.select("key")),
     )
     return tree, counts
 

@@ -463,7 +463,7 @@ def test_every_context_predicts_a_distribution(spark):
     """In a state of two words, words listed by its parent only keep the parent's proportions."""
     texts = ["red fox runs home", "red fox runs off", "blue fox sits still", "blue fox sits here", "blue fox naps"] * 20
     tree, _ = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    assert tree.states[1].any()
+    assert tree.strings[1].where("rest IS NOT NULL").count()
     name = dict(zip(tree.words.to_pylist(), lm._names(tree.words)))
     added = dict(zip(tree.keys.tolist(), tree.added.tolist()))
     get = lambda key: added.get(int(key[0]), 0.0)
