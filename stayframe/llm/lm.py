@@ -11,6 +11,9 @@ hashes of their words. What a token scores above the root is a sum over the stat
 gives every word, and what it gives a listed one besides. Both are values under a key, so one join by key finds them.
 Only the commonest words and keys (at most LOOKUP_ROWS of each) are looked up in the tasks, all others in that join, and bitmaps
 of 16 MB at most keep keys out of shuffles that the tables can't hold.
+
+Strings to count and keys to look up are many and short, so a task deals them out into buckets by their hash and hands on each bucket
+as one row of packed arrays. The number of buckets grows with the corpus, which bounds what a bucket holds.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import BITMAP, held_out, read_table, written
-from .textops import Words, mixed, sliced, sorted_counts, words_of
+from .common import BITMAP, held_out, read_table, removed, written
+from .textops import Words, mixed, sliced, words_of
 
 END = ""
 #: So many words, and so many keys, are looked up in the tasks at most: 16 bytes each. The others are found by a join.
@@ -38,30 +42,35 @@ CONTEXT = 2
 SMOOTHING = 2.0
 #: Tells the key of a state from the key of the same words as a listed string.
 STATE = 0x2545F4914F6CDD1D
-#: The word of rows that look up a key; no word holds white space.
-BY_KEY = "\t"
+#: Tokens of the corpus, on the average, for one bucket of packed rows.
+BUCKET_TOKENS = 1 << 20
 
 
 @dataclass
 class SuffixTree:
-    """The root's common words, by falling count, and the tables of the states.
+    """The tables of the model, and the common part of them that tasks look up.
 
-    lookup is the table (key, v, n) of what states and the strings they list add to a word's score, without its common part,
-    which keys (sorted) and added hold; bits is a bitmap of all its keys. strings has one table for each length of context.
+    counts is the table (name, c) of all words, strings has one table for each length of context, and lookup is the table (key, v, n) of
+    what states and the strings they list add to a word's score. words and seen are the common words' names (sorted) and counts, keys
+    (sorted) and added the common part of lookup; common_words and common_keys say from which count on. bits is a bitmap of all keys.
     """
 
-    words: pa.Array
-    counts: np.ndarray
+    counts: DataFrame
     tokens: int
     vocabulary: int
     strings: list[DataFrame]
     lookup: DataFrame
+    common_words: int
+    words: np.ndarray
+    seen: np.ndarray
+    common_keys: int
     keys: np.ndarray
     added: np.ndarray
     bits: np.ndarray
 
-    def root(self, count):
-        return np.log10((count + 1) / (self.tokens + self.vocabulary + 1))
+    @property
+    def buckets(self) -> int:
+        return max(1, -(-self.tokens * max(1, len(self.strings)) // BUCKET_TOKENS))
 
 
 def _names(words: pa.Array) -> np.ndarray:
@@ -123,27 +132,36 @@ def _tokens(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     return words, np.insert(words.doc, at, np.arange(words.docs)), np.insert(words.code.astype(np.int64), at, -1)
 
 
-def _symbols(tree_words: pa.Array, words: Words, code: np.ndarray) -> np.ndarray:
-    """Numbers of the tree's words in place of codes; -1 for words that the tree doesn't know."""
-    to = pc.fill_null(pc.index_in(words.vocabulary, value_set=tree_words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    end = pc.index_in(pa.scalar(END, tree_words.type), value_set=tree_words).as_py()
-    return np.append(to, -1 if end is None else end)[code]
+def _dealt(bucket: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket, with its part of every column as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    number, first = np.unique(bucket[order], return_index=True)
+    ends = np.append(first, len(order))
+    packed = [pa.array(number, pa.int32())]
+    for column in columns.values():
+        offsets = (ends * column.itemsize).astype(np.int32)
+        packed.append(pa.BinaryArray.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(column[order]))]))
+    return pa.RecordBatch.from_arrays(packed, ["bucket", *columns])
+
+
+def _joined(rows: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, name, c) over all rows of texts (text): name is the word's hash. The end of a text counts as the word ''. Null: an empty text."""
+    """(name, c) over all rows of texts (text): name is the word's hash. The end of a text counts as the word ''. Null: an empty text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in sliced(whole)):
             words = words_of(batch.column("text"))
             n = np.append(np.bincount(words.code, minlength=len(words.vocabulary)), batch.num_rows)
-            names = pa.concat_arrays([words.vocabulary, pa.array([END], words.vocabulary.type)])
-            yield pa.RecordBatch.from_arrays([names, pa.array(_names(names).view(np.int64)), pa.array(n, pa.int64())], ["word", "name", "n"])
+            names = np.append(_names(words.vocabulary), _names(pa.array([END])))
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n, pa.int64())], ["name", "n"])
 
-    return texts.select("text").mapInArrow(count, "word string, name long, n long").groupBy("word", "name").agg(F.sum("n").alias("c"))
+    return texts.select("text").mapInArrow(count, "name long, n long").groupBy("name").agg(F.sum("n").alias("c"))
 
 
-def _next_words(texts: DataFrame, contexts: DataFrame, length: int, least: int) -> DataFrame:
+def _next_words(texts: DataFrame, contexts: DataFrame, length: int, least: int, buckets: int) -> DataFrame:
     """(ctx, word, n): how often a word follows a context of `length` words, for all that do so `least` times."""
     send = texts.sparkSession.sparkContext.broadcast(_bitmap(contexts.select("key")))  # 16 MB at most
 
@@ -155,11 +173,20 @@ def _next_words(texts: DataFrame, contexts: DataFrame, length: int, least: int)
             known = _may_hold(send.value, string)
             ok = whole & known[:-1] & known[1:]
             ctx, word = string[:-1][ok], word[ok]
-            _, first, n = np.unique(_longer(ctx, word), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ctx[first].view(np.int64)), pa.array(word[first].view(np.int64)), pa.array(n, pa.int64())], ["ctx", "word", "n"])
+            key, first, n = np.unique(_longer(ctx, word), return_index=True, return_counts=True)
+            yield _dealt((key % np.uint64(buckets)).astype(np.int32), ctx=ctx[first], word=word[first], n=n.astype(np.int32))
 
-    counted = texts.select("text").mapInArrow(count, "ctx long, word long, n long").groupBy("ctx", "word").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("n") >= least)
+    def add_up(rows: pa.Table) -> pa.Table:
+        ctx, word, n = _joined(rows, "ctx", np.uint64), _joined(rows, "word", np.uint64), _joined(rows, "n", np.int32)
+        key = _longer(ctx, word)
+        order = np.argsort(key)
+        first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+        total = np.add.reduceat(n[order].astype(np.int64), first)
+        at = order[first[total >= least]]
+        return pa.table({"ctx": ctx[at].view(np.int64), "word": word[at].view(np.int64), "n": total[total >= least]})
+
+    packed = texts.select("text").mapInArrow(count, "bucket int, ctx binary, word binary, n binary")
+    return packed.groupBy("bucket").applyInArrow(add_up, "ctx long, word long, n long")
 
 
 def _named(strings: DataFrame, length: int) -> DataFrame:
@@ -194,122 +221,148 @@ def _grown(strings: DataFrame, tokens: int, smoothing: float) -> DataFrame:
     return strings.join(states, "ctx", "left").withColumn("lift", lift)
 
 
-def train(
-    texts: DataFrame, *, context: int = CONTEXT, min_count: int = MIN_COUNT, lookup_rows: int = LOOKUP_ROWS, smoothing: float = SMOOTHING
-) -> tuple[SuffixTree, DataFrame]:
-    """The tree of contexts of up to `context` words, and the table (word, name, c) of all words of texts (text).
+def train(texts: DataFrame, *, context: int = CONTEXT, min_count: int = MIN_COUNT, lookup_rows: int = LOOKUP_ROWS, smoothing: float = SMOOTHING) -> SuffixTree:
+    """The tree of contexts of up to `context` words over all words of texts (text).
 
     Null texts count as empty. No text at all gives a tree without words. lookup_rows changes how scores are found, not scores.
     """
     counts = written(word_counts(texts), "words")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, vocabulary = int(total["n"]), int(total["v"])
-    listed = counts.where(F.col("c") >= _common(counts, "c", lookup_rows)).select("word", "c").toArrow()  # at most lookup_rows rows
-    listed = listed.sort_by([("c", "descending"), ("word", "ascending")]).combine_chunks()
     root = (F.col("c") + 1) / F.lit(float(tokens + vocabulary + 1))
     known = counts.where(F.col("c") >= min_count).select(F.col("name").alias("key"), F.col("name").alias("suffix"), F.col("c").alias("n"), root.alias("root"), F.lit(0.0).alias("lift"))
     strings, values = [], []
     for length in range(1, context + 1):
-        found = _next_words(texts, known, length, min_count).join(known.select(F.col("key").alias("ctx"), F.col("suffix").alias("tail"), F.col("n").alias("total")), "ctx")
+        found = _next_words(texts, known, length, min_count, max(1, -(-tokens // BUCKET_TOKENS)))
+        found = found.join(known.select(F.col("key").alias("ctx"), F.col("suffix").alias("tail"), F.col("n").alias("total")), "ctx")
         found = _named(found, length).join(known.select(F.col("key").alias("suffix"), "root", F.col("lift").alias("base")), "suffix")
-        known = written(_grown(written(found, "strings"), tokens, smoothing), "tree")
+        untested = written(found, "strings")
+        known = written(_grown(untested, tokens, smoothing), "tree")
+        removed(untested)
         strings.append(known)
         stated = known.where("rest IS NOT NULL")
         values.append(stated.groupBy("ctx").agg(F.first("rest").alias("v"), F.first("total").alias("n")).select(F.col("ctx").bitwiseXOR(F.lit(STATE)).alias("key"), "v", "n"))
         values.append(stated.select("key", (F.col("lift") - F.col("base") - F.col("rest")).alias("v"), "n"))
     none = texts.sparkSession.createDataFrame([], "key long, v double, n long")
     lookup = written(reduce(DataFrame.unionByName, values, none), "values")
-    common = _common(lookup, "n", lookup_rows)
-    hot = lookup.where(F.col("n") >= common).select("key", "v").toArrow()  # at most lookup_rows rows
-    keys = hot["key"].to_numpy().view(np.uint64)
-    by = np.argsort(keys)
-    tree = SuffixTree(
-        pa.concat_arrays([pa.array([], pa.string()), *listed["word"].chunks]), listed["c"].to_numpy(), tokens, vocabulary, strings,
-        lookup.where(F.col("n") < common), keys[by], hot["v"].to_numpy()[by], _bitmap(lookup.select("key")),
+    common_words, common_keys = _common(counts, "c", lookup_rows), _common(lookup, "n", lookup_rows)
+    # at most lookup_rows rows each
+    listed = counts.where(F.col("c") >= common_words).select("name", "c").toArrow()
+    hot = lookup.where(F.col("n") >= common_keys).select("key", "v").toArrow()
+    names, keys = (x.to_numpy().view(np.uint64) for x in (listed["name"], hot["key"]))
+    by_name, by_key = np.argsort(names), np.argsort(keys)
+    return SuffixTree(
+        counts, tokens, vocabulary, strings, lookup, common_words, names[by_name], listed["c"].to_numpy()[by_name],
+        common_keys, keys[by_key], hot["v"].to_numpy()[by_key], _bitmap(lookup.select("key")),
     )
-    return tree, counts
 
 
-def _gain(keys: np.ndarray, added: np.ndarray, bits: np.ndarray, levels: int, words: Words, doc: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """What each document's tokens score above the root by the common keys, and (document, key, times) of those to join."""
-    gain, at_doc, at_key = np.zeros(words.docs), [], []
-    for string, word, whole in _runs(words, code, levels):
+def _place(ordered: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are in ordered, and where."""
+    at = np.minimum(np.searchsorted(ordered, keys), max(len(ordered) - 1, 0))
+    return (ordered[at] == keys) if len(ordered) else np.zeros(len(keys), bool), at
+
+
+def _repeats(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, key, times), sorted by document."""
+    order = np.lexsort((key, doc))
+    doc, key = doc[order], key[order]
+    first = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])))) if len(doc) else np.zeros(0, np.int64)
+    return doc[first], key[first], np.diff(np.append(first, len(doc)))
+
+
+def _measure(model: tuple, levels: int, text: pa.Array) -> tuple[dict[str, np.ndarray], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Each document's sums as far as the common words and keys give them, and (document, key, times) of the words and of the keys
+    that remain to be joined. Words that aren't common count as unknown here."""
+    words, seen, size, keys, added, bits = model
+    parts, doc, code = _tokens(text)
+    name = np.append(_names(parts.vocabulary), _names(pa.array([END])))
+    known, at = _place(words, name)
+    root = np.where(known, np.log10((seen[at] + 1) / size) if len(seen) else 0.0, -np.log10(size))
+    per_doc = lambda x, d: np.bincount(d, weights=x, minlength=parts.docs)
+    gain, left_doc, left_key = np.zeros(parts.docs), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for string, word, whole in _runs(parts, code, levels):
         ctx, of = string[:-1][whole], doc[: len(whole)][whole]
         for key in (ctx ^ np.uint64(STATE), _longer(ctx, word[whole])):
             maybe = _may_hold(bits, key)
             key, where = key[maybe], of[maybe]
-            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-            hot = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-            gain += np.bincount(where[hot], weights=added[at[hot]] if len(keys) else None, minlength=words.docs)
-            at_doc.append(where[~hot].astype(np.int64))
-            at_key.append(key[~hot])
-    d, k = np.concatenate([np.zeros(0, np.int64), *at_doc]), np.concatenate([np.zeros(0, np.uint64), *at_key])
-    order = np.lexsort((k, d))
-    d, k = d[order], k[order]
-    first = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (k[1:] != k[:-1])))) if len(d) else np.zeros(0, np.int64)
-    return gain, d[first], k[first], np.diff(np.append(first, len(d)))
+            hot, place = _place(keys, key)
+            gain += per_doc(added[place[hot]], where[hot])
+            left_doc.append(where[~hot])
+            left_key.append(key[~hot])
+    rare = ~known[code]
+    sums = {"n": np.bincount(doc, minlength=parts.docs), "known": np.bincount(doc[~rare], minlength=parts.docs), "base": per_doc(root[code], doc), "gain": gain}
+    return sums, [_repeats(doc[rare], name[code[rare]]), _repeats(np.concatenate(left_doc), np.concatenate(left_key))]
+
 
+def _filled(columns: dict, rows: int, schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of the schema; columns that aren't given are null."""
+    return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
 
-def score(docs: DataFrame, tree: SuffixTree, counts: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score, score (log10) for every row of docs (doc_id, text).
+
+def score(docs: DataFrame, tree: SuffixTree) -> DataFrame:
+    """doc_id, n_tokens, n_known, base_score, score (log10) for every row of docs (doc_id, text; more columns are ignored).
 
     Null texts are empty: one token, the end. Repeated rows are each returned. Without any training text all
     scores are 0: the only class left is the unknown word.
     """
-    levels = len(tree.strings)
-    model = (tree.words, tree.counts, tree.tokens + tree.vocabulary + 1, tree.keys, tree.added, tree.bits)
-    send = docs.sparkSession.sparkContext.broadcast(model)  # bounded by lookup_rows, and the bitmap by 16 MB
+    levels, buckets, size = len(tree.strings), tree.buckets, float(tree.tokens + tree.vocabulary + 1)
+    send = docs.sparkSession.sparkContext.broadcast((tree.words, tree.seen, size, tree.keys, tree.added, tree.bits))  # bounded by lookup_rows, and the bitmap by 16 MB
+    kind = dict(docs.dtypes)["doc_id"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, times_seen, size, keys, added, bits = send.value
         for batch in (piece for whole in batches for piece in sliced(whole)):
-            parts, doc, code = _tokens(batch.column("text"))
-            symbol, n = _symbols(names, parts, code), batch.num_rows
-            known = symbol >= 0
-            per_doc = lambda x, d=doc, k=n: np.bincount(d, weights=x, minlength=k)
-            base = np.where(known, np.log10((times_seen[symbol] + 1) / size) if len(times_seen) else 0.0, 0.0)
-            key, _, times = sorted_counts((doc[~known].astype(np.int64) << 32) | (code[~known] + 1))
-            rare = pc.take(pa.concat_arrays([pa.array([END], parts.vocabulary.type), parts.vocabulary]), pa.array(key & 0xFFFFFFFF)).cast(pa.string())
-            gain, key_doc, joined, repeats = _gain(keys, added, bits, levels, parts, doc, code)
-            of = np.concatenate([np.arange(n), key >> 32, key_doc])
-            fill = lambda x, m=len(key) + len(joined): np.append(x, np.zeros(m))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(of)), batch.column("text_key").take(pa.array(of)),
-                    pa.concat_arrays([pa.array([f" {x}" for x in batch.column("doc_id").to_pylist()], pa.string()), rare, pa.repeat(pa.scalar(BY_KEY), len(joined))]),
-                    pa.array(np.concatenate([np.zeros(n + len(key), np.int64), joined.view(np.int64)])),
-                    pa.array(np.concatenate([np.bincount(doc, minlength=n), times, repeats]).astype(np.int64)),
-                    pa.array(fill(np.bincount(doc[known], minlength=n)).astype(np.int64)), pa.array(fill(per_doc(base))), pa.array(fill(gain)),
-                ],
-                ["doc_id", "text_key", "word", "key", "n", "known", "base", "gain"],
-            )
-
-    slim = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    parts = slim.mapInArrow(read, f"doc_id {dict(docs.dtypes)['doc_id']}, text_key long, word string, key long, n long, known long, base double, gain double")
-    # a row whose word begins with a blank stands for a document, and such keys are spread evenly; the others are
-    # the document's words that aren't common and its keys that aren't, so no key of the join is frequent
-    is_doc = F.startswith(F.col("word"), F.lit(" "))
-    by_key = F.col("word") == BY_KEY
-    by_word = counts.select("word", F.lit(0).cast("long").alias("key"), "c", F.lit(None).cast("double").alias("v"))
-    found = parts.join(by_word.unionByName(tree.lookup.select(F.lit(BY_KEY).alias("word"), "key", F.lit(None).cast("long").alias("c"), "v")), ["word", "key"], "left")
-    root = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(tree.tokens + tree.vocabulary + 1)))
-    summed = found.groupBy("doc_id", "text_key").agg(
-        F.count_if(is_doc).alias("copies"),
-        F.sum(F.when(is_doc, F.col("n"))).alias("n_tokens"),
-        F.sum(F.when(is_doc, F.col("known")).otherwise(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0))).alias("n_known"),
-        F.sum(F.when(is_doc, F.col("base")).when(by_key, 0.0).otherwise(F.col("n") * root)).alias("base_score"),
-        F.sum(F.col("gain") + F.when(by_key & F.col("v").isNotNull(), F.col("n") * F.col("v")).otherwise(0.0)).alias("gain"),
-    )
-    each = lambda c: (F.col(c) / F.col("copies")).alias(c)
-    one = summed.select(
-        "doc_id", F.expr("n_tokens div copies").alias("n_tokens"), F.expr("n_known div copies").alias("n_known"), each("base_score"), each("gain"),
-        F.explode(F.expr("sequence(1L, copies)")).alias("copy"),
-    )
-    return one.select("doc_id", "n_tokens", "n_known", "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
+            sums, left = _measure(send.value, levels, batch.column("text"))
+            row = batch.column("row").to_numpy()
+            known = {"doc_id": batch.column("doc_id"), "row": batch.column("row"), "bucket": pa.array((row.view(np.uint64) % np.uint64(buckets)).astype(np.int32)), **{c: pa.array(x) for c, x in sums.items()}}
+            yield _filled(known, batch.num_rows, types)
+            for kind, (doc, key, times) in enumerate(left):
+                if len(doc):
+                    dealt = _dealt((key % np.uint64(buckets)).astype(np.int32), rows=row[doc], keys=key, times=times.astype(np.int32))
+                    packed = dict(zip(dealt.schema.names, dealt.columns, strict=True))
+                    yield _filled(packed | {"kind": pa.repeat(pa.scalar(kind, pa.int32()), dealt.num_rows)}, dealt.num_rows, types)
+
+    sums = "n long, known long, base double, gain double"
+    slim = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    schema = f"doc_id {kind}, row long, {sums}, kind int, bucket int, rows binary, keys binary, times binary"
+    types = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
+    rare_words = tree.counts.where(F.col("c") < tree.common_words).select(F.lit(0).alias("kind"), F.col("name").alias("key"), F.log10(F.col("c") + 1.0).alias("v"))
+    rare_keys = tree.lookup.where(F.col("n") < tree.common_keys).select(F.lit(1).alias("kind"), "key", "v")
+    # key is a signed long here, and unsigned where the rows were dealt
+    signed = F.col("key") % buckets
+    bucket = F.pmod(F.when(F.col("key") < 0, signed + F.lit((1 << 64) % buckets)).otherwise(signed), F.lit(buckets)).cast("int")
+    rare = rare_words.unionByName(rare_keys).withColumn("bucket", bucket)
+
+    def look_up(asked: pa.Table, table: pa.Table) -> pa.Table:
+        own = pa.compute.is_null(asked["kind"])  # the documents, which only pass through
+        out = [asked.filter(own).select(found_types.names)]
+        for kind in (0, 1):
+            mine = asked.filter(pa.compute.equal(asked["kind"], kind))
+            if mine.num_rows and table.num_rows:
+                held = table.filter(pa.compute.equal(table["kind"], kind))
+                names = held["key"].to_numpy().view(np.uint64)
+                by = np.argsort(names)
+                row, key, times = _joined(mine, "rows", np.int64), _joined(mine, "keys", np.uint64), _joined(mine, "times", np.int32)
+                hit, at = _place(names[by], key)
+                rows, of = np.unique(row[hit], return_inverse=True)
+                total = np.bincount(of, weights=times[hit] * held["v"].to_numpy()[by][at[hit]], minlength=len(rows)) if hit.any() else np.zeros(len(rows))
+                count = np.bincount(of, weights=times[hit], minlength=len(rows)).astype(np.int64)
+                sums = {"known": count, "base": total} if kind == 0 else {"gain": total}
+                out.append(pa.Table.from_batches([_filled({"row": pa.array(rows)} | {c: pa.array(x) for c, x in sums.items()}, len(rows), found_types)]))
+        return pa.concat_tables(out)
+
+    found_types = pa.schema([types.field(c) for c in ("doc_id", "row", "n", "known", "base", "gain")])
+    found = slim.mapInArrow(read, schema).groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(look_up, f"doc_id {kind}, row long, {sums}")
+    # equal rows have one number, under which all of them are added up
+    copies = F.count("n")
+    each = lambda c: F.sum(c) / copies
+    summed = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), copies.alias("copies"), *[each(c).alias(c) for c in ("n", "known", "base", "gain")])
+    one = summed.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+    return one.select("doc_id", F.col("n").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"))
 
 
 def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    tree, counts = train(docs.where(~held_out("doc_id", 7, 2)))
-    scores = score(docs, tree, counts)
+    tree = train(docs.where(~held_out("doc_id", 7, 2)))
+    scores = score(docs, tree)
     return scores.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", F.lit(tree.tokens).cast("long").alias("train_tokens"), "base_score", "score")

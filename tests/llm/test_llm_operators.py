@@ -382,13 +382,15 @@ def test_packing_balances_all_dimensions():
 
 
 def test_scoring_odd_texts(docs, none, spark):
-    tree, counts = lm.train(docs)
-    got = lm.score(docs, tree, counts).collect()
+    tree = lm.train(docs)
+    clash = docs.withColumns({"row": F.lit(1), "bucket": F.lit("x"), "n": F.lit(2)})
+    got = lm.score(clash, tree).collect()
     assert len(got) == len(ODD)
     by = {r["doc_id"]: r for r in got}
     assert by[2]["n_tokens"] == by[3]["n_tokens"] == by[4]["n_tokens"] == 1 and by[7]["n_tokens"] == 30_001
-    assert lm.score(none, tree, counts).count() == 0
-    untrained = lm.score(docs, *lm.train(none)).collect()
+    assert len({(r["n_known"], r["base_score"], r["score"]) for r in got if r["doc_id"] == 9}) == 1
+    assert lm.score(none, tree).count() == 0
+    untrained = lm.score(docs, lm.train(none)).collect()
     assert {r["score"] for r in untrained} == {0.0}
 
 
@@ -415,18 +417,17 @@ def plain_model(texts, context, least=4, smoothing=2.0):
                 rests[ctx] = math.log10(max(1 - sum(p.values()), 1e-12) / left_parent)
             lifts |= {(*ctx, w): math.log10(p[w] / root(w)) if state else base[w] for w in words}
 
-    def score(words):
-        out = 0.0
-        for i, w in enumerate([*words, ""]):
-            gain = 0.0
-            for k in range(1, min(context, i) + 1):
-                ctx = tuple(words[i - k : i])
-                if ctx in rests:
-                    gain = lifts[(*ctx, w)] if (*ctx, w) in lifts else gain + rests[ctx]
-            out += math.log10(root(w)) + gain
-        return out
+    def given(words, w):
+        gain = 0.0
+        for k in range(1, min(context, len(words)) + 1):
+            ctx = tuple(words[len(words) - k :])
+            if ctx in rests:
+                gain = lifts[(*ctx, w)] if (*ctx, w) in lifts else gain + rests[ctx]
+        return math.log10(root(w)) + gain
 
-    return score, rests
+    for ctx in rests:  # every state predicts a distribution over the words and the unknown one
+        assert sum(10 ** given(list(ctx), w) for w in [*n, "not a word"]) == pytest.approx(1)
+    return lambda words: sum(given(words[:i], w) for i, w in enumerate([*words, ""])), rests
 
 
 @pytest.mark.parametrize(("context", "lookup_rows"), [(2, 10**6), (3, 20), (4, 0)])
@@ -437,9 +438,9 @@ def test_scores_equal_a_plain_model(spark, context, lookup_rows):
     texts = [" ".join([*rng.choice(phrases, 5), *(f"w{k}" for k in rng.integers(0, 40, 6)), *rng.choice(phrases, 3)]) for _ in range(120)]
     score, states = plain_model(texts, context)
     assert any(len(s) == context for s in states) and 20 < len(states)
-    tree, counts = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), context=context, lookup_rows=lookup_rows)
+    tree = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), context=context, lookup_rows=lookup_rows)
     asked = [*texts[:20], "red fox sits still", "unseen words only", "", "today red fox runs far away w1 w2 the old dog barks"]
-    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), tree, counts).collect()}
+    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), tree).collect()}
     assert [got[i] for i in range(len(asked))] == pytest.approx([score(t.split()) for t in asked], abs=1e-9)
 
 
@@ -451,25 +452,9 @@ def test_contexts_need_a_count_and_no_share(spark):
     ask = spark.createDataFrame([(1, "quick zebra jumps"), (2, "w1 quick w2")], "doc_id long, text string")
     scores = []
     for rows in (10**6, 0):
-        tree, counts = lm.train(texts, lookup_rows=rows)
+        tree = lm.train(texts, lookup_rows=rows)
         assert 40 < 2e-5 * tree.tokens
-        scores.append({r["doc_id"]: (r["base_score"], r["score"]) for r in lm.score(ask, tree, counts).collect()})
+        scores.append({r["doc_id"]: (r["base_score"], r["score"]) for r in lm.score(ask, tree).collect()})
     assert scores[0][1][1] > scores[0][1][0] + 6 and scores[0][2][1] < scores[0][2][0] + 1
     for i in (1, 2):
         assert scores[0][i] == pytest.approx(scores[1][i])
-
-
-def test_every_context_predicts_a_distribution(spark):
-    """In a state of two words, words listed by its parent only keep the parent's proportions."""
-    texts = ["red fox runs home", "red fox runs off", "blue fox sits still", "blue fox sits here", "blue fox naps"] * 20
-    tree, _ = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"))
-    assert tree.strings[1].where("rest IS NOT NULL").count()
-    name = dict(zip(tree.words.to_pylist(), lm._names(tree.words)))
-    added = dict(zip(tree.keys.tolist(), tree.added.tolist()))
-    get = lambda key: added.get(int(key[0]), 0.0)
-    for first, second in (("red", "fox"), ("blue", "fox"), ("fox", "runs")):
-        one = np.array([name[second]])
-        two = lm._longer(np.array([name[first]]), one)
-        always = sum(get(c ^ np.uint64(lm.STATE)) for c in (one, two))
-        p = [10.0 ** (tree.root(c) + always + sum(get(lm._longer(x, np.array([name[w]]))) for x in (one, two))) for w, c in zip(tree.words.to_pylist(), tree.counts)]
-        assert sum(p) + 10.0 ** (tree.root(0) + always) == pytest.approx(1)
