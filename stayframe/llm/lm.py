@@ -42,8 +42,8 @@ CONTEXT = 2
 SMOOTHING = 2.0
 #: Tells the key of a state from the key of the same words as a listed string.
 STATE = 0x2545F4914F6CDD1D
-#: Tokens of the corpus, on the average, for one bucket of packed rows.
-BUCKET_TOKENS = 1 << 20
+#: Tokens of the corpus, on the average, for one bucket of strings to count, and for one of keys to look up.
+BUCKET_TOKENS, LOOKUP_TOKENS = 1 << 20, 1 << 22
 #: Bytes of text that a task works on at a time.
 STEP = 2_000_000
 
@@ -72,7 +72,7 @@ class SuffixTree:
 
     @property
     def buckets(self) -> int:
-        return max(1, -(-self.tokens * max(1, len(self.strings)) // BUCKET_TOKENS))
+        return max(1, -(-self.tokens * max(1, len(self.strings)) // LOOKUP_TOKENS))
 
 
 def _names(words: pa.Array) -> np.ndarray:
@@ -324,7 +324,7 @@ def score(docs: DataFrame, tree: SuffixTree) -> DataFrame:
                     packed = dict(zip(dealt.schema.names, dealt.columns, strict=True))
                     yield _filled(packed | {"kind": pa.repeat(pa.scalar(kind, pa.int32()), dealt.num_rows)}, dealt.num_rows, types)
 
-    sums = "n long, known long, base double, gain double"
+    sums, sums_of = "n long, known long, base double, gain double", ("n", "known", "base", "gain")
     slim = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     schema = f"doc_id {kind}, row long, {sums}, kind int, bucket int, rows binary, keys binary, times binary"
     types = to_arrow_schema(docs.sparkSession.createDataFrame([], schema).schema)
@@ -336,31 +336,47 @@ def score(docs: DataFrame, tree: SuffixTree) -> DataFrame:
     rare = rare_words.unionByName(rare_keys).withColumn("bucket", bucket)
 
     def look_up(asked: pa.Table, table: pa.Table) -> pa.Table:
-        own = pa.compute.is_null(asked["kind"])  # the documents, which only pass through
-        out = [asked.filter(own).select(found_types.names)]
+        """The documents as they are, and what their words and keys of this bucket add to them, dealt by document."""
+        own = asked.filter(pa.compute.is_null(asked["kind"]))
+        own = own.set_column(own.schema.get_field_index("bucket"), "bucket", pa.array((own["row"].to_numpy().view(np.uint64) % np.uint64(groups)).astype(np.int32)))
+        at_row, found = [np.zeros(0, np.int64)], [np.zeros((0, 3))]
         for kind in (0, 1):
             mine = asked.filter(pa.compute.equal(asked["kind"], kind))
-            if mine.num_rows and table.num_rows:
-                held = table.filter(pa.compute.equal(table["kind"], kind))
+            held = table.filter(pa.compute.equal(table["kind"], kind)) if table.num_rows else table
+            if mine.num_rows and held.num_rows:
                 names = held["key"].to_numpy().view(np.uint64)
                 by = np.argsort(names)
                 row, key, times = _joined(mine, "rows", np.int64), _joined(mine, "keys", np.uint64), _joined(mine, "times", np.int32)
                 hit, at = _place(names[by], key)
-                rows, of = np.unique(row[hit], return_inverse=True)
-                total = np.bincount(of, weights=times[hit] * held["v"].to_numpy()[by][at[hit]], minlength=len(rows)) if hit.any() else np.zeros(len(rows))
-                count = np.bincount(of, weights=times[hit], minlength=len(rows)).astype(np.int64)
-                sums = {"known": count, "base": total} if kind == 0 else {"gain": total}
-                out.append(pa.Table.from_batches([_filled({"row": pa.array(rows)} | {c: pa.array(x) for c, x in sums.items()}, len(rows), found_types)]))
+                added = times[hit] * held["v"].to_numpy()[by][at[hit]]
+                at_row.append(row[hit])
+                found.append(np.column_stack([times[hit], added, np.zeros(len(added))] if kind == 0 else [np.zeros(len(added)), np.zeros(len(added)), added]))
+        rows, of = np.unique(np.concatenate(at_row), return_inverse=True)
+        sums = [np.bincount(of, weights=x, minlength=len(rows)) for x in np.concatenate(found).T]
+        out = [pa.Table.from_batches([_filled({c: own[c].combine_chunks() for c in own_names}, own.num_rows, reply)])]
+        if len(rows):
+            dealt = _dealt((rows.view(np.uint64) % np.uint64(groups)).astype(np.int32), rows=rows, known=sums[0].astype(np.int32), base=sums[1], gain=sums[2])
+            packed = dict(zip(["bucket", "rows", "more_known", "more_base", "more_gain"], dealt.columns, strict=True))
+            out.append(pa.Table.from_batches([_filled(packed, dealt.num_rows, reply)]))
         return pa.concat_tables(out)
 
-    found_types = pa.schema([types.field(c) for c in ("doc_id", "row", "n", "known", "base", "gain")])
-    found = slim.mapInArrow(read, schema).groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(look_up, f"doc_id {kind}, row long, {sums}")
-    # equal rows have one number, under which all of them are added up
-    copies = F.count("n")
-    each = lambda c: F.sum(c) / copies
-    summed = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), copies.alias("copies"), *[each(c).alias(c) for c in ("n", "known", "base", "gain")])
-    one = summed.withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
-    return one.select("doc_id", F.col("n").cast("long").alias("n_tokens"), F.col("known").cast("long").alias("n_known"), F.col("base").alias("base_score"), (F.col("base") + F.col("gain")).alias("score"))
+    def add_up(table: pa.Table) -> pa.Table:
+        """The documents of a group. Equal rows have one number, under which what they look up is added up."""
+        own = table.filter(pa.compute.is_null(table["rows"]))
+        packed = table.filter(pa.compute.is_valid(table["rows"]))
+        rows, of, copies = np.unique(own["row"].to_numpy(), return_inverse=True, return_counts=True)
+        _, at = _place(rows, _joined(packed, "rows", np.int64))
+        more = lambda c, kind: (np.bincount(at, weights=_joined(packed, f"more_{c}", kind), minlength=len(rows)) / copies)[of]
+        base = own["base"].to_numpy() + more("base", np.float64)
+        known = own["known"].to_numpy() + np.rint(more("known", np.int32)).astype(np.int64)
+        columns = {"doc_id": own["doc_id"], "n_tokens": own["n"], "n_known": known, "base_score": base, "score": base + own["gain"].to_numpy() + more("gain", np.float64)}
+        return pa.table(columns)
+
+    groups, own_names = max(1, buckets // 2), ("doc_id", "row", *sums_of, "bucket")
+    reply_schema = f"doc_id {kind}, row long, {sums}, bucket int, rows binary, more_known binary, more_base binary, more_gain binary"
+    reply = to_arrow_schema(docs.sparkSession.createDataFrame([], reply_schema).schema)
+    looked_up = slim.mapInArrow(read, schema).groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(look_up, reply_schema)
+    return looked_up.groupBy("bucket").applyInArrow(add_up, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

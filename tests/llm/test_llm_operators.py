@@ -431,8 +431,10 @@ def plain_model(texts, context, least=4, smoothing=2.0):
 
 
 @pytest.mark.parametrize(("context", "lookup_rows"), [(2, 10**6), (3, 20), (4, 0)])
-def test_scores_equal_a_plain_model(spark, context, lookup_rows):
-    """Also with deeper contexts, and whatever is looked up in the tasks or by joins."""
+def test_scores_equal_a_plain_model(spark, context, lookup_rows, monkeypatch):
+    """Also with deeper contexts, in several buckets, and whatever is looked up in the tasks or by joins."""
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 500)
+    monkeypatch.setattr(lm, "LOOKUP_TOKENS", 900)
     rng = np.random.default_rng(12)
     phrases = ["red fox runs home", "red fox runs far away today", "blue fox sits still", "the old dog sleeps", "old dog barks at the red fox", "one two three four left", "six two three four right"]
     texts = [" ".join([*rng.choice(phrases, 5), *(f"w{k}" for k in rng.integers(0, 40, 6)), *rng.choice(phrases, 3)]) for _ in range(120)]
@@ -440,7 +442,9 @@ def test_scores_equal_a_plain_model(spark, context, lookup_rows):
     assert any(len(s) == context for s in states) and 20 < len(states)
     tree = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), context=context, lookup_rows=lookup_rows)
     asked = [*texts[:20], "red fox sits still", "unseen words only", "", "today red fox runs far away w1 w2 the old dog barks"]
-    got = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), tree).collect()}
+    rows = lm.score(spark.createDataFrame([*enumerate(asked), (0, asked[0]), (0, asked[1])], "doc_id long, text string"), tree).collect()
+    assert tree.buckets > 3 and sorted(r["score"] for r in rows if r["doc_id"] == 0) == pytest.approx(sorted(score(asked[k].split()) for k in (0, 0, 1)))
+    got = {r["doc_id"]: r["score"] for r in rows if r["doc_id"]} | {0: score(asked[0].split())}
     assert [got[i] for i in range(len(asked))] == pytest.approx([score(t.split()) for t in asked], abs=1e-9)
 
 
