@@ -45,7 +45,7 @@ STATE = 0x2545F4914F6CDD1D
 #: Tokens of the corpus, on the average, for one bucket of strings to count, and for one of keys to look up.
 BUCKET_TOKENS, LOOKUP_TOKENS = 1 << 20, 1 << 22
 #: Bytes of text that a task works on at a time.
-STEP = 2_000_000
+STEP = 1_000_000
 
 
 @dataclass
@@ -147,7 +147,12 @@ def _dealt(bucket: np.ndarray, **columns: np.ndarray) -> pa.RecordBatch:
 
 
 def _joined(rows: pa.Table, name: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+    """The bytes of a column of packed arrays as one array."""
+    parts = [np.zeros(0, np.uint8)]
+    for chunk in rows.column(name).chunks:
+        ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset :] if len(chunk) else [0, 0]
+        parts.append(np.frombuffer(chunk.buffers()[2] or b"", np.uint8)[ends[0] : ends[len(chunk)]] if len(chunk) else parts[0])
+    return np.concatenate(parts).view(kind)
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -339,20 +344,22 @@ def score(docs: DataFrame, tree: SuffixTree) -> DataFrame:
         """The documents as they are, and what their words and keys of this bucket add to them, dealt by document."""
         own = asked.filter(pa.compute.is_null(asked["kind"]))
         own = own.set_column(own.schema.get_field_index("bucket"), "bucket", pa.array((own["row"].to_numpy().view(np.uint64) % np.uint64(groups)).astype(np.int32)))
-        at_row, found = [np.zeros(0, np.int64)], [np.zeros((0, 3))]
+        parts = {"row": [], "known": [], "base": [], "gain": []}
         for kind in (0, 1):
             mine = asked.filter(pa.compute.equal(asked["kind"], kind))
             held = table.filter(pa.compute.equal(table["kind"], kind)) if table.num_rows else table
             if mine.num_rows and held.num_rows:
                 names = held["key"].to_numpy().view(np.uint64)
                 by = np.argsort(names)
-                row, key, times = _joined(mine, "rows", np.int64), _joined(mine, "keys", np.uint64), _joined(mine, "times", np.int32)
-                hit, at = _place(names[by], key)
-                added = times[hit] * held["v"].to_numpy()[by][at[hit]]
-                at_row.append(row[hit])
-                found.append(np.column_stack([times[hit], added, np.zeros(len(added))] if kind == 0 else [np.zeros(len(added)), np.zeros(len(added)), added]))
-        rows, of = np.unique(np.concatenate(at_row), return_inverse=True)
-        sums = [np.bincount(of, weights=x, minlength=len(rows)) for x in np.concatenate(found).T]
+                hit, at = _place(names[by], _joined(mine, "keys", np.uint64))
+                times = _joined(mine, "times", np.int32)[hit]
+                rows, of = np.unique(_joined(mine, "rows", np.int64)[hit], return_inverse=True)
+                nothing, added = np.zeros(len(rows)), np.bincount(of, weights=times * held["v"].to_numpy()[by][at[hit]], minlength=len(rows))
+                count = np.bincount(of, weights=times, minlength=len(rows))
+                for c, x in zip(parts, (rows, count, added, nothing) if kind == 0 else (rows, nothing, nothing, added), strict=True):
+                    parts[c].append(x)
+        rows, of = np.unique(np.concatenate([np.zeros(0, np.int64), *parts["row"]]), return_inverse=True)
+        sums = [np.bincount(of, weights=np.concatenate([np.zeros(0), *parts[c]]), minlength=len(rows)) for c in ("known", "base", "gain")]
         out = [pa.Table.from_batches([_filled({c: own[c].combine_chunks() for c in own_names}, own.num_rows, reply)])]
         if len(rows):
             dealt = _dealt((rows.view(np.uint64) % np.uint64(groups)).astype(np.int32), rows=rows, known=sums[0].astype(np.int32), base=sums[1], gain=sums[2])
