@@ -6,6 +6,10 @@ reverse edges are added and pruned alike. A beam search then answers each query
 answers, scored exactly in double precision, are merged. One more coordinate turns the largest inner product into the
 smallest distance.
 
+Vectors of different lengths have no inner product, so each length has shards of its own. The size of a shard grows with the
+table between two bounds, so that up to SHARDS * MOST_SHARD_ROWS vectors the number of shards that a query meets, and with it the
+work for a query, hardly grows.
+
 Graphs hold distinct vectors: equal ones would prune each other's edges. A found vector stands for all its ids, which a
 table keeps in order, and is expanded to the smallest of them.
 """
@@ -20,9 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, written
-from .vectors import dimension, one_per_id, packed, usable
+from .vectors import one_per_id, packed, usable
 
-SHARD_ROWS = 4096
+SHARD_ROWS, MOST_SHARD_ROWS, SHARDS = 4096, 65_536, 256
+#: Lengths up to which the table of shard counts, 16 bytes each, is broadcast.
+BROADCAST_LENGTHS = 10_000
 QUERY_BLOCK = 2048
 DEGREE = 24
 BEAM = 64
@@ -79,7 +85,8 @@ def robust_prune(x: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree:
     candidates = np.sort(candidates, axis=1)
     candidates = candidates[:, min(int((candidates < 0).sum(axis=1).min(initial=candidates.shape[1])), candidates.shape[1] - 1) :]
     points = x[np.maximum(candidates, 0)]
-    dist = np.where(candidates >= 0, ((points - x[of][:, None]) ** 2).sum(axis=2), np.inf)
+    inner, square = points @ points.transpose(0, 2, 1), (points * points).sum(axis=2)
+    dist = np.where(candidates >= 0, square - 2 * (points @ x[of][:, :, None])[:, :, 0] + (x[of] ** 2).sum(axis=1)[:, None], np.inf)
     alive, rows = candidates >= 0, np.arange(len(of))
     kept = np.full((len(of), degree), -1)
     for k in range(degree):
@@ -89,7 +96,7 @@ def robust_prune(x: np.ndarray, of: np.ndarray, candidates: np.ndarray, degree:
             break
         kept[some, k] = candidates[rows, best][some]
         alive[rows, best] = False
-        between = ((points - points[rows, best][:, None]) ** 2).sum(axis=2)
+        between = square + square[rows, best][:, None] - 2 * inner[rows, best]
         alive &= ~(some[:, None] & (relax * relax * between <= dist))
     return kept
 
@@ -122,7 +129,8 @@ def build_graph(x: np.ndarray, *, degree: int = DEGREE, width: int = BEAM, relax
 def _build(frame: pd.DataFrame) -> pd.DataFrame:
     frame = frame.sort_values("rep", kind="stable")
     x = lifted(packed(frame["vector"]))
-    edges, entries = build_graph(x) if len(x) > SEARCH_BEAM else (np.full((len(x), DEGREE), -1), np.zeros(0))
+    # single precision is enough for choosing edges; a shard that a beam holds whole needs none
+    edges, entries = build_graph(x.astype(np.float32)) if len(x) > SEARCH_BEAM else (np.full((len(x), DEGREE), -1), np.zeros(0))
     return frame.assign(place=np.arange(len(x), dtype=np.int32), edges=[e.astype(np.int32).tobytes() for e in edges], entry=np.isin(np.arange(len(x)), entries))
 
 
@@ -145,39 +153,40 @@ def _answer(index: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     return out.sort_values(["query_id", "score", "rep"], ascending=[True, False, True]).groupby("query_id").head(k + 1)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, shard_rows: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of vectors (vec_id, embedding) found for each of queries (vec_id,
-    embedding), its own id left out; ties go to the smaller vec_id.
+    embedding), its own id left out; ties go to the smaller vec_id. More columns are ignored.
 
-    Vectors that are null, zero, of another length than most or hold null or non-finite components, and rows without
-    vec_id, take no part on either side; of repeated ids the row that sorts first counts. With fewer than k
+    A query is compared with vectors of its length. Vectors that are null, zero or hold null or non-finite components, and rows
+    without vec_id, take no part on either side; of repeated ids the row that sorts first counts. With fewer than k
     candidates all are returned, and an empty table gives no rows. Every row is indexed; a shard's graph and a block of
-    queries meet in one task, both of bounded size.
+    queries meet in one task, both of bounded size. shard_rows: rows of a shard (default: a 1/SHARDS of the table, within bounds).
     """
-    rows = written(one_per_id(vectors, ["embedding"]), "vectors")
-    dim = dimension(rows)
 
     def as_doubles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             # -0.0 becomes 0.0, so that equal vectors have equal bytes
             yield frame.assign(vector=[(np.array(e, np.float64) + 0.0).tobytes() for e in frame["embedding"]])[["vec_id", "vector"]]
 
-    pack = lambda df: df.where(usable(F.col("embedding"), dim)).select("vec_id", "embedding").mapInPandas(as_doubles, "vec_id long, vector binary")
-    known = written(pack(rows), "packed")
-    distinct = written(known.groupBy("vector").agg(F.min("vec_id").alias("rep")), "distinct")
-    shards = max(1, -(-distinct.count() // shard_rows))
-    dealt = distinct.select("rep", "vector", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int").alias("shard"))
-    index = written(dealt.groupBy("shard").applyInPandas(_build, "rep long, vector binary, shard int, place int, edges binary, entry boolean"), "graphs")
+    pack = lambda df: df.where(usable(F.col("embedding"))).select("vec_id", "embedding").mapInPandas(as_doubles, "vec_id long, vector binary")
+    size = (F.octet_length("vector") / 8).cast("int").alias("size")
+    known = written(pack(one_per_id(vectors, ["embedding"])), "packed")
+    distinct = written(known.groupBy("vector").agg(F.min("vec_id").alias("rep")).select("rep", "vector", size), "distinct")
+    asked = written(pack(one_per_id(queries, ["embedding"])).select(F.col("vec_id").alias("query_id"), "vector", size), "queries")
+    rows = F.lit(shard_rows) if shard_rows else F.least(F.greatest(F.ceil(F.col("n") / SHARDS), F.lit(SHARD_ROWS)), F.lit(MOST_SHARD_ROWS))
+    counted = lambda df, per, name: df.groupBy("size").agg(F.count(F.lit(1)).alias("n")).select("size", F.ceil(F.col("n") / per).cast("int").alias(name))
+    lengths = written(counted(distinct, rows, "shards").join(counted(asked, F.lit(query_block), "blocks"), "size"), "lengths")
+    lengths = F.broadcast(lengths) if lengths.count() <= BROADCAST_LENGTHS else lengths
+    dealt = distinct.join(lengths, "size").select("rep", "vector", "size", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int").alias("shard"))
+    index = written(dealt.groupBy("size", "shard").applyInPandas(_build, "rep long, vector binary, size int, shard int, place int, edges binary, entry boolean"), "graphs")
     # a vector's ids in order, so that a query's own id among them leaves k others
     in_order = Window.partitionBy("rep").orderBy("vec_id")
     members = known.join(distinct, "vector").select("rep", "vec_id").withColumn("nth", F.row_number().over(in_order)).where(F.col("nth") <= k + 1)
     members = written(members.select("rep", "vec_id"), "members")
-    asked = pack(one_per_id(queries, ["embedding"])).withColumnRenamed("vec_id", "query_id")
-    asked = written(asked, "queries")
-    blocks = max(1, -(-asked.count() // query_block))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    units = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("shard", every(shards))
-    sides = index.withColumn("block", every(blocks)).groupBy("shard", "block").cogroup(units.groupBy("shard", "block"))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    units = asked.join(lengths, "size").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("shard", every("shards"))
+    keys = ("size", "shard", "block")
+    sides = index.join(lengths, "size").withColumn("block", every("blocks")).drop("blocks", "shards").groupBy(*keys).cogroup(units.drop("blocks", "shards").groupBy(*keys))
     found = sides.applyInPandas(lambda a, b: _answer(a, b, k), "query_id long, rep long, score double")
     by_rep = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     best = found.withColumn("rank", F.row_number().over(by_rep)).where(F.col("rank") <= k + 1).drop("rank")

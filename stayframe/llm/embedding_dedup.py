@@ -22,18 +22,21 @@ from pyspark.sql import functions as F
 
 from .common import read_table, written
 from .components import connected_components
-from .vectors import dimension, k_means, one_per_id, packed, sampled, usable
+from .vectors import k_means, one_per_id, packed, sampled, usable
 
-SAMPLE = 20_000
+#: Rows that the quantisers are fitted on: 40 for each list, within these bounds.
+SAMPLE, MOST_SAMPLE = 20_000, 160_000
 SUBSPACES = 8
 CODES = 256
 BLOCK = 2048
 SLACK = 1e-7
+#: Pairs whose exact cosines are worked out at a time.
+PAIRS = 32_768
 
 
 @dataclass(frozen=True)
 class Quantiser:
-    """At most sqrt(SAMPLE) * 2 centroids and SUBSPACES * CODES code vectors, whatever the table."""
+    """At most MOST_SAMPLE / 40 centroids and SUBSPACES * CODES code vectors, whatever the table."""
 
     centroids: np.ndarray
     parts: tuple[np.ndarray, ...]
@@ -62,14 +65,24 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def fit(sample: np.ndarray, rows: int) -> Quantiser:
+def fit(sample: np.ndarray, rows: float) -> Quantiser:
+    """The square root of rows is the number of lists, as far as the sample bears it."""
     x = unit_rows(sample)
-    centroids = k_means(x, max(1, min(int(np.ceil(np.sqrt(rows))), int(2 * np.sqrt(SAMPLE)), len(x) // 4)))
+    centroids = k_means(x, max(1, min(int(np.ceil(np.sqrt(rows))), MOST_SAMPLE // 40, len(x) // 4)))
     rest = x - centroids[np.argmax(x @ centroids.T - (centroids**2).sum(axis=1) / 2, axis=1)]
     parts = tuple(np.array_split(np.arange(x.shape[1]), min(SUBSPACES, x.shape[1])))
     return Quantiser(centroids, parts, tuple(k_means(rest[:, p], max(1, min(CODES, len(x) // 8))) for p in parts))
 
 
+class Quantisers(dict):
+    """One for each length of vectors in the sample. A length that isn't in it has one list and one code, zero, for which the
+    bounds still hold: all its pairs are compared exactly."""
+
+    def __missing__(self, size: int) -> Quantiser:
+        parts = tuple(np.array_split(np.arange(size), min(SUBSPACES, size)))
+        return Quantiser(np.zeros((1, size)), parts, tuple(np.zeros((1, len(p))) for p in parts))
+
+
 def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Labels after the links (i, j) between labelled places; a label is the smallest place of its set."""
     while True:
@@ -100,7 +113,7 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, model: Quantis
             for m, (part, book) in enumerate(zip(model.parts, model.books, strict=True)):
                 near += (x[q][:, part] @ book.T)[:, codes[a:b, m]]
             i, j = np.nonzero(near >= 0)
-            exact = (x[q] @ y[a:b].T)[i, j] if len(i) > 0.02 * near.size else np.einsum("ij,ij->i", x[q[i]], y[a + j])
+            exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[q[i[k : k + PAIRS]]], y[a + j[k : k + PAIRS]]) for k in range(0, len(i), PAIRS))])
             i, j = q[i[exact >= least]], a + j[exact >= least]
             if same:
                 apart = ids[i] != ids[len(x) + j]
@@ -113,57 +126,59 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, model: Quantis
     return pd.DataFrame({"vec_id": ids[linked], "n": n[linked], "to": ids[label[linked]]})
 
 
-def link_near_duplicates(vectors: DataFrame, *, least: float = 0.93, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
+def link_near_duplicates(vectors: DataFrame, *, least: float = 0.93, sample: int | None = None, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each vec_id of vectors (vec_id, embedding, label).
 
-    Only vectors of the same label (not null) are compared. Vectors that are null, zero, of another length than most
-    or hold null or non-finite components link with nothing, and neither do labels of one vector. Rows without
-    vec_id are left out; of repeated ids the row that sorts first counts. The quantiser is fitted on at most
-    `sample` rows, every row is indexed, and recall doesn't depend on the fit.
+    Only vectors of the same label (not null) and length are compared. Vectors that are null, zero or hold null or
+    non-finite components link with nothing, and neither do labels of one vector. Rows without vec_id are left out; of repeated
+    ids the row that sorts first counts; more columns are ignored. The quantisers are fitted on at most `sample` rows (default: 40
+    for each list, MOST_SAMPLE at most), every row is indexed, and recall doesn't depend on the fit.
     """
     rows = written(one_per_id(vectors, ["label", "embedding"]), "vectors")
-    dim = dimension(rows)
-    good = rows.where(usable(F.col("embedding"), dim) & F.col("label").isNotNull()).select("vec_id", "label", "embedding")
-    fitted = sampled(good, sample)
-    if not len(fitted):
+    good = rows.where(usable(F.col("embedding")) & F.col("label").isNotNull()).select("vec_id", "label", "embedding")
+    count = good.count()
+    fitted = sampled(good, sample or int(min(max(SAMPLE, 40 * np.sqrt(count)), MOST_SAMPLE)))
+    if not fitted:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    send = vectors.sparkSession.sparkContext.broadcast(fit(fitted, rows.count()))
+    drawn = sum(map(len, fitted.values()))
+    send = vectors.sparkSession.sparkContext.broadcast(Quantisers({n: fit(x, count * len(x) / drawn) for n, x in fitted.items()}))
     radius = float(np.sqrt(2 - 2 * least))
     label_type = dict(good.dtypes)["label"]
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                x = unit_rows(np.array(frame["embedding"].tolist(), np.float64))
-                cell, codes, error = send.value.encode(x)
-                probe = send.value.probes(x, cell, radius)
+        for whole in frames:
+            for size, frame in whole.groupby(whole["embedding"].map(len)):
+                model, x = send.value[int(size)], unit_rows(np.array(frame["embedding"].tolist(), np.float64))
+                cell, codes, error = model.encode(x)
+                probe = model.probes(x, cell, radius)
                 yield pd.DataFrame({
-                    "vec_id": frame["vec_id"], "label": frame["label"], "cell": cell.astype(np.int32), "error": error,
+                    "vec_id": frame["vec_id"], "label": frame["label"], "size": np.int32(size), "cell": cell.astype(np.int32), "error": error,
                     "unit": [r.tobytes() for r in x], "codes": [c.tobytes() for c in codes], "probes": [np.flatnonzero(p).astype(np.int32) for p in probe],
                 })
 
-    indexed = good.mapInPandas(index, f"vec_id long, label {label_type}, cell int, error double, unit binary, codes binary, probes array<int>")
+    alike = ["label", "size"]  # what two vectors must have in common to be compared
+    indexed = good.mapInPandas(index, f"vec_id long, label {label_type}, size int, cell int, error double, unit binary, codes binary, probes array<int>")
     lists = written(indexed, "lists")
-    earlier = Window.partitionBy("label").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = lists.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n"))  # labels x centroids rows
+    earlier = Window.partitionBy(*alike).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lists.groupBy(*alike, "cell").agg(F.count(F.lit(1)).alias("n"))  # labels x centroids rows
     laid = sizes.withColumn("at", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     place = F.floor((F.col("at") + F.pmod(F.xxhash64("vec_id"), F.col("n"))) / block)
-    blocks = written(lists.join(laid, ["label", "cell"]).withColumn("block", place).drop("at", "n"), "blocks")
-    reach = laid.select("label", F.col("cell").alias("probe"), F.floor(F.col("at") / block).alias("lo"), F.floor((F.col("at") + F.col("n") - 1) / block).alias("hi"))
-    wanted = blocks.select("label", "block", F.explode("probes").alias("probe")).distinct().join(reach, ["label", "probe"])
-    other = wanted.select("label", "block", F.explode(F.sequence("lo", "hi")).alias("other"))
-    units = written(other.select("label", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).distinct(), "units")
-    content = blocks.select("vec_id", "label", "block", "cell", "error", "unit", "codes")
-    left = units.join(content.withColumnRenamed("block", "one"), ["label", "one"]).select("label", "one", "two", "vec_id", "cell", "unit")
-    right = units.join(content.withColumnRenamed("block", "two"), ["label", "two"]).select("label", "one", "two", "vec_id", "cell", "unit", "codes", "error")
+    blocks = written(lists.join(laid, [*alike, "cell"]).withColumn("block", place).drop("at", "n"), "blocks")
+    reach = laid.select(*alike, F.col("cell").alias("probe"), F.floor(F.col("at") / block).alias("lo"), F.floor((F.col("at") + F.col("n") - 1) / block).alias("hi"))
+    wanted = blocks.select(*alike, "block", F.explode("probes").alias("probe")).distinct().join(reach, [*alike, "probe"])
+    other = wanted.select(*alike, "block", F.explode(F.sequence("lo", "hi")).alias("other"))
+    units = written(other.select(*alike, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).distinct(), "units")
+    content = blocks.select("vec_id", *alike, "block", "cell", "error", "unit", "codes")
+    keys = [*alike, "one", "two"]
+    left = units.join(content.withColumnRenamed("block", "one"), [*alike, "one"]).select(*keys, "vec_id", "cell", "unit")
+    right = units.join(content.withColumnRenamed("block", "two"), [*alike, "two"]).select(*keys, "vec_id", "cell", "unit", "codes", "error")
     right = right.toDF(*[f"{c}_of_two" for c in right.columns])
 
     def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"vec_id": [], "n": [], "to": []}).astype("int64")
-        return _compare(a, b.rename(columns=lambda c: c.removesuffix("_of_two")), key[1] == key[2], send.value, least)
+        return _compare(a, b.rename(columns=lambda c: c.removesuffix("_of_two")), key[2] == key[3], send.value[int(key[1])], least)
 
-    keys = ["label", "one", "two"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*[f"{k}_of_two" for k in keys])).applyInPandas(compare, "vec_id long, n long, to long")
     partial = written(found, "partial")
     counts = partial.groupBy("vec_id").agg(F.sum("n").alias("n"))
@@ -182,7 +197,7 @@ WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
   WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), n AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v
-), links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) >= 0.93
+), links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id AND CASE WHEN len(a.e) = len(b.e) THEN list_dot_product(a.e, b.e) >= 0.93 END
 ), reach AS (
   SELECT vec_id AS a, vec_id AS b FROM embeddings
   UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a

@@ -7,17 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable(embedding: Column, dim: int) -> Column:
-    """True for vectors of the given length that aren't zero and hold only finite components."""
+def usable(embedding: Column) -> Column:
+    """True for vectors that aren't zero and hold only finite components."""
     finite = F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return F.coalesce((F.size(embedding) == dim) & finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
-
-
-def dimension(vectors: DataFrame) -> int:
-    """The commonest length (the longer one of ties); vectors of another length take no part."""
-    sizes = vectors.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("n")).count()
-    top = sizes.orderBy(F.desc("count"), F.desc("n")).first()
-    return int(top["n"]) if top else 0
+    return F.coalesce(finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
 def one_per_id(vectors: DataFrame, columns: list[str]) -> DataFrame:
@@ -26,10 +19,10 @@ def one_per_id(vectors: DataFrame, columns: list[str]) -> DataFrame:
     return first.select("vec_id", *[F.col("row")[c].alias(c) for c in columns])
 
 
-def sampled(vectors: DataFrame, most: int) -> np.ndarray:
-    """At most `most` rows of vectors (vec_id, embedding), chosen by a hash of the id, as doubles."""
+def sampled(vectors: DataFrame, most: int) -> dict[int, np.ndarray]:
+    """At most `most` rows of vectors (vec_id, embedding) in all, chosen by a hash of the id, as doubles by their length."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("embedding").toPandas()["embedding"]
-    return np.array(rows.tolist(), np.float64) if len(rows) else np.zeros((0, 0))
+    return {int(n): np.array(x.tolist(), np.float64) for n, x in rows.groupby(rows.map(len))}
 
 
 def packed(column) -> np.ndarray:

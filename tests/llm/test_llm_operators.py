@@ -244,6 +244,44 @@ def test_vector_links(spark):
     assert embedding_dedup.link_near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_vectors_of_several_lengths(spark):
+    """Each length is compared within itself, whether the sample holds it or not."""
+    rng = np.random.default_rng(13)
+    x = [rng.normal(size=2 + i % 3) for i in range(90)]
+    rows = [(i, v.astype(np.float32).tolist(), i % 2, "clash", 1) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, VECTORS + ", cell string, size int")
+    exact = [np.array(r[1]) for r in rows]
+    cos = lambda a, b: a @ b / math.sqrt(a @ a) / math.sqrt(b @ b)
+    near = [sum(i != j and i % 2 == j % 2 and len(a) == len(b) and cos(a, b) >= 0.93 for j, b in enumerate(exact)) for i, a in enumerate(exact)]
+    for sample in (None, 1):
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.link_near_duplicates(df, sample=sample).collect()}
+        assert [got[i] for i in range(90)] == near and sum(near) > 50
+    found: dict = {}
+    for r in ann.nearest(df, df.where("vec_id % 20 = 0"), k=5).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for q in range(0, 90, 20):
+        others = sorted((-(exact[q] @ b), j) for j, b in enumerate(exact) if j != q and len(b) == len(exact[q]))
+        assert [j for _, j in sorted(found[q])] == [j for _, j in others[:5]]
+
+
+@pytest.mark.parametrize("shape", ["clustered", "normal"])
+def test_recall_over_several_shards(spark, shape):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(2400, 24)) + (4 * rng.normal(size=(12, 24)))[rng.integers(0, 12, 2400)] * (shape == "clustered")
+    x = x.astype(np.float32).astype(float)
+    v = spark.createDataFrame([(i, e.tolist(), 1) for i, e in enumerate([*x, x[0]])], VECTORS)
+    v = v.unionByName(v.where("vec_id < 40"))  # repeated ids
+    found: dict = {}
+    for r in ann.nearest(v, v.where("vec_id % 20 = 0"), shard_rows=600, query_block=50).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    x, hits = np.concatenate([x, x[:1]]), 0
+    for q in range(0, 2401, 20):
+        score = np.where(np.arange(2401) == q, -np.inf, np.einsum("ij,j->i", x, x[q]))
+        assert len(found[q]) == 20
+        hits += len(found[q] & set(np.lexsort((np.arange(2401), -score))[:20].tolist()))
+    assert hits >= 0.95 * 20 * len(found)
+
+
 def test_vector_links_in_small_blocks(spark):
     rng = np.random.default_rng(4)
     centre = rng.normal(size=(12, 16))
