@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table, written
 
+#: Turns that are numbered in one go.
+TURNS = 1024
 TURN = r"(?s)<s>(.*?)\[INST\](.*?)\[/INST\]</s>"
 
 
@@ -35,22 +37,25 @@ def root_to_leaf_paths(messages: DataFrame) -> DataFrame:
     being its distance from the leaf.
 
     Round k joins the paths so far to the ancestors 2^k up, so a tree of depth d takes log2(d) rounds. node_id
-    must be unique; a parent that doesn't exist makes its child a root; null node ids and cycles are left out (a
-    cycle has no leaf). A popular ancestor is a skewed join key, which Spark splits.
+    must be unique; a parent that doesn't exist makes its child a root; null node ids are left out, and so is every node on a
+    cycle or below one, which no root leads to. An empty table gives no rows. A popular ancestor is a skewed join key,
+    which Spark splits.
     """
     nodes = messages.where("node_id IS NOT NULL").select("node_id", "parent_id")
     known = nodes.select(F.col("node_id").alias("parent_id"))
     up = written(nodes.join(known, "parent_id", "left_semi").select("node_id", F.col("parent_id").alias("anc_id")), "up")
     leaves = nodes.join(up.select(F.col("anc_id").alias("node_id")), "node_id", "left_anti")
     paths = leaves.select(F.col("node_id").alias("leaf_id"), "node_id", F.lit(0).cast("long").alias("above"))
-    reach = 1
-    while up.head(1):
+    reach, left, before = 1, up.count(), None
+    # up holds the nodes that have an ancestor `reach` up. Every depth up to the deepest occurs in a tree, so a round that
+    # loses no node leaves only those that have ancestors without end
+    while left and left != before:
         higher = paths.join(up, "node_id").select("leaf_id", F.col("anc_id").alias("node_id"), (F.col("above") + reach).alias("above"))
         paths = written(paths.unionByName(higher), "paths")
         top = up.select(F.col("node_id").alias("anc_id"), F.col("anc_id").alias("next_id"))
-        up = written(up.join(top, "anc_id").where("next_id <> node_id").select("node_id", F.col("next_id").alias("anc_id")), "up")
-        reach *= 2
-    return paths
+        up = written(up.join(top, "anc_id").select("node_id", F.col("next_id").alias("anc_id")), "up")
+        reach, left, before = 2 * reach, up.count(), left
+    return paths.join(up.select(F.col("node_id").alias("leaf_id")), "leaf_id", "left_anti") if left else paths
 
 
 def ranked_branches(messages: DataFrame, paths: DataFrame) -> DataFrame:
@@ -71,8 +76,9 @@ def format_reply_trees(messages: DataFrame, *, branches: int = 1) -> DataFrame:
     ignored): leaf_id, root_id, branch_rank, n_turns, formatted, loss_spans (start from 1 and length, in code points of
     formatted, of each assistant text).
 
-    The best `branches` paths of every root are chosen. Null roles and texts count as empty. An empty table gives no
-    rows. A conversation is one row, so its turns are gathered in one task.
+    The best `branches` paths of every root are chosen. Null roles and texts count as empty. Repeated node ids aren't allowed;
+    cycles are left out. An empty table gives no rows. A conversation is one row of the result, so only the turns of one chosen path
+    meet in a task.
     """
     paths = root_to_leaf_paths(messages)
     chosen = ranked_branches(messages, paths).where(F.col("branch_rank") <= branches)
@@ -109,10 +115,19 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 def conversation_messages(conversations: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as reply trees: each turn answers the one before it. Rows that share a turn
-    follow each other in the order of role and text; the score is null."""
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    numbered = conversations.select("conv_id", "role", "text", F.row_number().over(order).alias("n"))
-    node = lambda n: F.concat_ws("/", F.coalesce(F.col("conv_id").cast("string"), F.lit("null")), F.lpad(n.cast("string"), 9, "0"))
+    follow each other in the order of role and text, null turns come first, null conv_ids are one conversation; the score is null.
+
+    A node is (conv_id, number). Turns are numbered in spans of TURNS turns and from the rows of the spans before, so that a long
+    conversation is dealt out over tasks.
+    """
+    spans = conversations.select("conv_id", "turn", "role", "text", F.floor(F.col("turn") / TURNS).alias("span"))
+    earlier = Window.partitionBy("conv_id").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = spans.groupBy("conv_id", "span").agg(F.count(F.lit(1)).alias("rows")).withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    sizes = sizes.select(F.col("conv_id").alias("of_conv"), F.col("span").alias("of_span"), "before")
+    order = Window.partitionBy("conv_id", "span").orderBy("turn", "role", "text")
+    placed = spans.withColumn("n", F.row_number().over(order)).join(sizes, F.col("conv_id").eqNullSafe(F.col("of_conv")) & F.col("span").eqNullSafe(F.col("of_span")))
+    numbered = placed.withColumn("n", F.col("n") + F.col("before"))
+    node = lambda n: F.struct("conv_id", n.alias("n"))
     parent = F.when(F.col("n") > 1, node(F.col("n") - 1))
     return numbered.select("conv_id", node(F.col("n")).alias("node_id"), parent.alias("parent_id"), "role", "text", F.lit(None).cast("double").alias("score"))
 
@@ -125,9 +140,8 @@ def op6_format_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_back(format_reply_trees(messages))
     pairs = F.transform(F.arrays_zip("roles", "texts"), lambda x: F.concat(x["roles"], F.lit("\n"), x["texts"], F.lit("\n")))
     loss = F.array_join("loss_texts", "")
-    conv = F.substring_index("root_id", "/", 1)
     return back.select(
-        F.when(conv != "null", conv.cast("long")).alias("conv_id"),
+        F.col("root_id.conv_id").alias("conv_id"),
         F.size("roles").cast("long").alias("n_turns"),
         F.sha2(F.array_join(pairs, ""), 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"),

@@ -90,14 +90,15 @@ def em(p: np.ndarray, doc: np.ndarray, count: np.ndarray, start: np.ndarray, rou
     return weights, np.add.reduceat(count * np.log(np.einsum("ij,ij->i", p, weights[doc])), first)
 
 
-def mixtures(model: LanguageModel, texts: list[str], *, rounds: int = 12, penalty: float = 3.0) -> list[tuple[str, float, list[str], list[float]]]:
-    """(language, score, languages, proportions) of each text.
+def mixtures(model: LanguageModel, texts: list[str], *, rounds: int = 12, penalty: float = 3.0) -> list[tuple[str, float, list[str], list[float], float]]:
+    """(language, score, languages, proportions, covered) of each text.
 
     Languages are tried as nested sets by falling proportion; a further language must add more than
     penalty * log(number of trigrams) / 2 to the log-likelihood. The penalty of 3 allows for each letter being part
-    of three trigrams. The score is the predicted language's proportion before the selection.
+    of three trigrams. The score is the predicted language's proportion before the selection, and
+    `covered` the sum of those of the selected languages. Of equal languages the first by name leads.
     """
-    out: list[tuple[str, float, list[str], list[float]]] = [(UNKNOWN, 0.0, [], [])] * len(texts)
+    out: list[tuple[str, float, list[str], list[float], float]] = [(UNKNOWN, 0.0, [], [], 0.0)] * len(texts)
     doc, gram, count = gram_counts(texts)
     if not len(doc) or not model.languages:
         return out
@@ -135,7 +136,7 @@ def mixtures(model: LanguageModel, texts: list[str], *, rounds: int = 12, penalt
     for i, d in enumerate(present):
         used = [j for j in np.argsort(-chosen[i], kind="stable") if chosen[i, j] > 0]
         lead = used[0]
-        out[d] = (model.languages[lead], float(min(1.0, full[i, lead])), [model.languages[j] for j in used], [float(chosen[i, j]) for j in used])
+        out[d] = (model.languages[lead], float(min(1.0, full[i, lead])), [model.languages[j] for j in used], [float(chosen[i, j]) for j in used], float(min(1.0, full[i, used].sum())))
     return out
 
 
@@ -162,13 +163,15 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def kept_by_language(docs: DataFrame, model: LanguageModel, least_share: float) -> DataFrame:
-    """The rows of docs (text, more columns) in which a language leads with at least that share, with all their columns."""
+    """The rows of docs (text, more columns) whose selected languages together have at least that share, with all their columns.
+
+    Rows are judged one by one: repeated ones stay or go together, `und` ones go, and an empty table gives no rows."""
     send = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in sliced(whole, STEP)):
             found = mixtures(send.value, [t or "" for t in batch.column("text").to_pylist()])
-            yield batch.filter(pa.array([x[0] != UNKNOWN and x[1] >= least_share for x in found], pa.bool_()))
+            yield batch.filter(pa.array([x[0] != UNKNOWN and x[4] >= least_share for x in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -64,6 +64,37 @@ def test_dropout_equals_the_agenda_and_decodes(table, dropout):
     assert dropout == 1.0 or len(other) != len(ids) or (other != ids).any()
 
 
+def plain_merges(model, text, key, dropout):
+    """Pieces by the best score, leftmost first, in a list that is searched anew for each merge."""
+    rank = {model.id_to_piece(i): -model.get_score(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    parts, at = list(text), list(range(len(text)))
+    one = lambda x: np.array([x], np.uint64)
+    while True:
+        ends, ready = [*at[1:], len(text)], []
+        for i in range(len(parts) - 1):
+            if (both := parts[i] + parts[i + 1]) in rank and not pieces.skipped(one(key), one(at[i]), one(at[i + 1]), one(ends[i + 1]), dropout)[0]:
+                ready.append((rank[both], at[i], i))
+        if not ready:
+            return parts
+        i = min(ready)[2]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del at[i + 1]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.6])
+def test_encoding_equals_plain_merges(table, dropout):
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=pieces.MODEL_PATH)
+    texts = ["the cat sat on the mat and ran home", "internationalisation of antidisestablishmentarianism", "das wetter ist schön, heute", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "  two  blanks ", "x" * 70]
+    keys = (np.arange(len(texts)).astype(np.uint64) + np.uint64(5)) * np.uint64(0x9E3779B97F4A7C15)
+    ids, counts = pieces.encode_texts(table, texts, keys, dropout)
+    at = np.concatenate(([0], np.cumsum(counts)))
+    for i, text in enumerate(texts):
+        want = plain_merges(model, (" " + text).replace(" ", pieces.BLANK), int(keys[i]), dropout)
+        assert [model.id_to_piece(int(p)) for p in ids[at[i] : at[i + 1]]] == want
+
+
 def test_piece_frames(docs, none, table):
     clash = docs.withColumn("piece_ids", F.lit("x")).withColumn("__key", F.lit(1))
     back = pieces.decode(pieces.encode(clash, table), table)
@@ -84,6 +115,44 @@ def test_languages(docs, none, spark):
     assert sorted(r["lang_set"]) == ["de", "en"] and sum(r["lang_shares"]) == pytest.approx(1)
 
 
+def test_mixtures_equal_a_plain_model(docs, spark):
+    """Trigrams, mixture and the choice of the language set, by dictionaries."""
+    said = {"en": "the weather is nice today and we walk", "de": "das wetter ist heute sehr gut und wir gehen", "fr": "le temps est beau et nous marchons encore"}
+    model = langid.train(spark.createDataFrame([(t, k) for k, t in said.items()], "text string, lang string"))
+    assert model.languages == ("de", "en", "fr")
+    for text in [said["en"], f"{said['en']} {said['de']}", " ".join(said.values()), "une the und", "Wetter, 12 le!"]:
+        doc, gram, count = langid.gram_counts([text])
+        p = np.exp(model.log_p[gram])
+        w = np.full(3, 1 / 3)
+        for _ in range(12):
+            r = p * w
+            w = (r / r.sum(1, keepdims=True) * count[:, None]).sum(0) / count.sum()
+        like = lambda x: float((count * np.log(p @ x)).sum())
+        single = [like(np.eye(3)[k]) for k in range(3)]
+        best, sets = max(single), {0: None}
+        chosen, cost = {int(np.argmax(single))}, 3.0 * math.log(max(count.sum(), 2)) / 2
+        for size in (2, 3):
+            used = np.argsort(-w, kind="stable")[:size]
+            x = np.zeros(3)
+            x[used] = 1 / size
+            for _ in range(12):
+                r = p * x
+                x = (r / r.sum(1, keepdims=True) * count[:, None]).sum(0) / count.sum()
+            if like(x) - (size - 1) * cost > best:
+                best, chosen = like(x) - (size - 1) * cost, set(used.tolist())
+        lang, score, langs, shares, covered = langid.mixtures(model, [text])[0]
+        assert {model.languages.index(k) for k in langs} == chosen and sum(shares) == pytest.approx(1) and sets
+        assert score == pytest.approx(w[model.languages.index(lang)]) and covered == pytest.approx(min(1, w[list(chosen)].sum()))
+    tie = langid.train(spark.createDataFrame([("same words", "b"), ("same words", "a")], "text string, lang string"))
+    assert langid.mixtures(tie, ["same words"])[0][0] == "a"
+    clash = docs.withColumns({"lang_pred": F.lit(1), "score": F.lit(2)})
+    kept = langid.kept_by_language(clash, langid.train(docs), 0.3)
+    assert kept.columns == clash.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 5, 6, 7, 8]
+    four = langid.train(spark.createDataFrame([(c * 3 + " " + c * 5, c) for c in "abcd"], "text string, lang string"))
+    even = spark.createDataFrame([(" ".join(c * 5 for c in "abcd") * 20,)], "text string")
+    assert langid.kept_by_language(even, four, 0.3).count() == 1
+
+
 def test_em_equals_a_plain_loop():
     rng = np.random.default_rng(0)
     p, count = rng.random((6, 3)), rng.integers(1, 5, 6).astype(float)
@@ -109,6 +178,30 @@ def test_quality(docs, none, spark):
     assert set(quality.kept_by_score(docs, model).columns) == set(docs.columns)
 
 
+def test_ridge_equals_a_direct_solution(spark):
+    """The model of all folds, solved from all rows at once, and the calibration from the other folds' scores."""
+    rng = np.random.default_rng(16)
+    n, width = 300, len(quality.STATISTICS)
+    x = rng.normal(size=(n, width))
+    y = (x[:, 0] + rng.normal(size=n) > 0).astype(int)
+    stats = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "doc_id long, stats array<double>").repartition(3)
+    model = quality.train(stats, spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, quality int"), features=20)
+    f = model.features(x)
+    penalty = np.diag(np.append(np.ones(20), 1e-6))
+    assert model.mean == pytest.approx(x.mean(0)) and model.scale == pytest.approx(x.std(0))
+    assert model.weights == pytest.approx(np.linalg.solve(f.T @ f + penalty, f.T @ y), abs=1e-8)
+    fold = {r["doc_id"]: r["f"] for r in stats.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(quality.FOLDS)).alias("f")).collect()}
+    fold = np.array([fold[i] for i in range(n)])
+    raw = np.zeros(n)
+    for k in range(quality.FOLDS):
+        rest = fold != k
+        raw[~rest] = f[~rest] @ np.linalg.solve(f[rest].T @ f[rest] + penalty, f[rest].T @ y[rest])
+    cell = np.floor((raw + 0.5) / model.cell_width).astype(int)
+    cells = np.unique(cell)
+    fitted = quality.isotonic(np.array([y[cell == c].mean() for c in cells]), np.array([(cell == c).sum() for c in cells], float))
+    assert model.calibrated[cells] == pytest.approx(fitted)
+
+
 def test_isotonic():
     assert quality.isotonic(np.array([1.0, 3, 2, 2, 5]), np.array([1.0, 1, 1, 2, 1])).tolist() == pytest.approx([1, 2.25, 2.25, 2.25, 5])
 
@@ -335,6 +428,47 @@ def test_escapes_are_reversible(spark, text):
     assert r["u"] == text and not any(c in r["e"] for c in ("<s>", "</s>", "[INST]", "[/INST]"))
 
 
+@pytest.mark.parametrize("length", [1, 2, 3, 5, 8])
+def test_cycles_of_replies(spark, length):
+    """Nodes on a cycle or below one are left out, trees beside it stay whole."""
+    rows = [(f"c{k}", f"c{(k + 1) % length}") for k in range(length)] + [("hanging", "c0"), ("deeper", "hanging")]
+    rows += [("r", None), ("a", "r"), ("b", "a"), ("x", "r"), *((f"d{k}", f"d{k - 1}" if k else "b") for k in range(9))]
+    got = {(r["leaf_id"], r["node_id"], r["above"]) for r in chat.root_to_leaf_paths(spark.createDataFrame(rows, "node_id string, parent_id string")).collect()}
+    deep = [*(f"d{k}" for k in range(8, -1, -1)), "b", "a", "r"]
+    assert got == {("d8", n, k) for k, n in enumerate(deep)} | {("x", "x", 0), ("x", "r", 1)}
+
+
+def test_scores_choose_branches(spark):
+    """Random trees: all paths, ranks by mean score, then length, then leaf."""
+    rng = np.random.default_rng(15)
+    parent = {n: (None if n < 3 else int(rng.integers(0, n))) for n in range(60)}
+    score = {n: (None if n % 7 == 0 else float(rng.integers(0, 4))) for n in range(60)}
+    rows = [(n, p, "assistant" if n % 2 else "user", f"t{n}", score[n]) for n, p in parent.items()]
+    df = spark.createDataFrame(rows, "node_id long, parent_id long, role string, text string, score double")
+    want: dict = {}
+    for leaf in set(parent) - set(parent.values()):
+        path = [leaf]
+        while parent[path[0]] is not None:
+            path.insert(0, parent[path[0]])
+        want.setdefault(path[0], []).append((-sum(score[n] or 0.0 for n in path) / len(path), -len(path), leaf, path))
+    got = chat.read_back(chat.format_reply_trees(df, branches=2)).collect()
+    found = {(r["root_id"], r["branch_rank"]): [int(t[1:]) for t in r["texts"]] for r in got}
+    assert found == {(root, k + 1): p[3] for root, paths in want.items() for k, p in enumerate(sorted(paths)[:2])}
+    assert all(r["loss_texts"] == [t for t in r["texts"] if int(t[1:]) % 2] for r in got)
+
+
+def test_long_conversations_are_numbered_over_tasks(spark):
+    """Also repeated turns and rows, null turns and conversations, clashing columns and a very long text."""
+    long = "<s>\\" * 50_000
+    rows = [(1, t, "user" if t % 2 else "assistant", f"t{t}") for t in range(3000)] + [(1, 7, "user", "again"), (1, 7, "user", "again"), (1, None, None, None)]
+    rows += [(None, 1, "user", long), (None, 2, "assistant", "b"), (2, 1, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"n": F.lit("clash"), "span": F.lit(1)})
+    got = {r["root_id"]["conv_id"]: r for r in chat.read_back(chat.format_reply_trees(chat.conversation_messages(df))).collect()}
+    order = sorted((r for r in rows if r[0] == 1), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+    assert got[1]["texts"] == [r[3] or "" for r in order] and got[1]["roles"] == [r[2] or "" for r in order]
+    assert got[None]["texts"] == [long, "b"] and got[None]["loss_texts"] == ["b"] and set(got) == {1, 2, None}
+
+
 def test_deep_chain_of_replies(spark):
     m = spark.range(300).select(F.col("id").cast("string").alias("node_id"), F.when(F.col("id") > 0, (F.col("id") - 1).cast("string")).alias("parent_id"))
     paths = chat.root_to_leaf_paths(m)
