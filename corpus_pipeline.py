@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. Files don't keep the order of rows when they are read, so
 the last stage returns each document's place in the mixture.
+
+In every stage an empty table gives an empty table, null columns other than those named stay as they are, and columns that are none of
+documents' own are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,32 +16,42 @@ from pyspark.sql import functions as F
 from stayframe.llm import langid, minhash, mixing, pieces, quality
 from stayframe.llm.common import read_table, ship, written
 
-#: A document goes if its language is undetermined or its leading language has a smaller share than this.
+#: A document goes if its language is undetermined or its languages together have a smaller share than this.
 LEAST_SHARE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without letters and those in which no language leads."""
+    """Drops documents without letters and those in which no language set stands out. Repeated rows stay or go together."""
     ship(spark)
     return langid.kept_by_language(docs, langid.train(docs), LEAST_SHARE)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the classifier, trained on the labels of these documents, scores below 0.5."""
+    """Drops documents that the classifier, trained on the labels of these documents, scores below 0.5. Repeated rows stay or go
+    together; without labels every score is 0.5, and all stay."""
     stats = quality.measured(docs, ["doc_id"])
     model = quality.train(stats, read_table(spark, sf_dir, "labels").select("doc_id", "quality"))
     return quality.kept_by_score(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class of near duplicates, and rows without an id."""
+    """Keeps the document with the smallest id of each class of near duplicates, one row of repeated ones (equal id and text, the
+    first by its other columns), and all rows without an id."""
     ship(spark)
     classes = minhash.near_duplicate_classes(docs.select("doc_id", "text"))
-    return docs.join(classes.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(classes.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    key = [F.col("doc_id"), F.xxhash64("text")]
+    seen = left.where("doc_id IS NOT NULL").groupBy(key[0].alias("__id"), key[1].alias("__text")).agg(F.count(F.lit(1)).alias("__n"))
+    repeated = written(seen.where("__n > 1").drop("__n"), "repeated")
+    if not repeated.head(1):
+        return left
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__text"))
+    once = left.join(repeated, same).groupBy("__id", "__text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
+    return left.join(repeated, same, "left_anti").unionByName(once.select("__row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts the documents into the order of the mixture; every one stays."""
+    """Puts the documents into the order of the mixture; every one stays, repeated ones too."""
     prefix = "mix_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix = f"_{prefix}"
@@ -48,7 +61,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of whole texts with merge-dropout, whether they decode to the text, and the place in the mixture: reading by
-    (mix_slot, mix_rank), slots that are null last, is the mixture, however docs come."""
+    (mix_slot, mix_rank), slots that are null last, is the mixture, however docs come. A null text has null ids; repeated rows stay."""
     ship(spark)
     slim = docs.select("doc_id", "text", "lang", "source")
     mixed = mixing.mix_sources(slim, mixing.tempered_weights(slim))
