@@ -44,3 +44,39 @@ def test_mixture_outlives_files(spark, data_dir, tmp_path):
     out = spark.read.parquet(f"{tmp_path}/out").select("doc_id", "mix_slot", "mix_rank")
     assert len(out.inputFiles()) > 1
     assert [r["doc_id"] for r in out.orderBy(F.asc_nulls_last("mix_slot"), "mix_rank").collect()] == schedule
+
+
+def odd_documents(spark):
+    words = lambda k: " ".join(f"word{k}x{i} is here," for i in range(40))
+    rows = [(1, words(1)), (2, words(1)), (3, words(3)), (3, words(3)), (4, None), (5, ""), (None, words(6)), (None, words(6)), (7, words(7)), (7, words(8)), (9, words(9) + " more")]
+    full = [(i, t, "en", None if i == 9 else "a", None, 1, "x", 0.5) for i, t in rows]
+    return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, kept int, mix_slot string, score double")
+
+
+def test_stages_on_odd_rows(spark, data_dir):
+    """Repeated rows and ids, null ids, texts and sources, columns that clash with those used inside."""
+    docs = odd_documents(spark)
+    known = cp.language_id(spark, docs, data_dir)
+    assert known.columns == docs.columns
+    assert sorted((r["doc_id"] or 0) for r in known.collect()) == [0, 0, 1, 2, 3, 3, 7, 7, 9]
+    assert cp.quality_filter(spark, docs, data_dir).columns == docs.columns
+    left = cp.near_dedup(spark, docs, data_dir)
+    assert left.columns == docs.columns
+    assert sorted((r["doc_id"] or 0) for r in left.collect()) == [0, 0, 1, 3, 4, 5, 7, 7, 9]
+    mixed = cp.mix(spark, docs, data_dir)
+    assert mixed.columns == docs.columns and mixed.count() == docs.count()
+    out = cp.encode(spark, docs, data_dir)
+    assert out.count() == docs.count() and out.where("NOT lossless").count() == 0 and out.where("doc_id = 4").first()["piece_ids"] is None
+
+
+def test_stages_on_an_empty_table(spark, data_dir):
+    docs = odd_documents(spark).limit(0)
+    for name, stage in cp.STAGES:
+        docs = written(stage(spark, docs, data_dir), name)
+        assert docs.count() == 0
+
+
+def test_quality_stage_without_labels(spark, data_dir, tmp_path):
+    spark.read.parquet(f"{data_dir}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    docs = odd_documents(spark)
+    assert cp.quality_filter(spark, docs, str(tmp_path)).count() == docs.count()
