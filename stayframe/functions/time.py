@@ -162,6 +162,24 @@ class TimeWindow:
         open_end = F.lit(None).cast("timestamp_ntz")
         return (self.t_min.column() if self.t_min else open_end, self.t_max.column() if self.t_max else open_end)
 
+    def duration(self) -> Column:
+        """The length in microseconds; null where a bound is open."""
+        low, high = self.bounds()
+        return micros(high.cast("timestamp_ntz")) - micros(low.cast("timestamp_ntz"))
+
+    def has_null_bound(self) -> Column:
+        low, high = self.bounds()
+        return low.isNull() | high.isNull()
+
+    def ends_in_year_9999(self) -> Column:
+        """Whether a bound is a placeholder for "never"; an open bound isn't."""
+        return F.coalesce(*[F.when(F.year(b.cast("timestamp_ntz")) == 9999, F.lit(True)) for b in self.bounds()], F.lit(False))
+
+    def is_reversed(self) -> Column:
+        """Whether the window ends before it begins; null where a bound is open."""
+        low, high = self.bounds()
+        return low.cast("timestamp_ntz") > high.cast("timestamp_ntz")
+
     def needs(self) -> set[str]:
         return (self.t_min.needs() if self.t_min else set()) | (self.t_max.needs() if self.t_max else set())
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import inspect
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,16 +20,30 @@ from ..operators.aggregates import Feature, snapshot, static_features
 @dataclass(frozen=True)
 class DynamicSpec:
     """A time series: a base table with SQL columns and filters, looked up by a join key, optional user function,
-    cleaning bounds and derived attributes."""
+    cleaning bounds and derived attributes.
+
+    requires names other series, as a tuple (loaded in the same window) or as {name: rule of required_window}. function is called
+    with as many as it takes of: the extracted rows, the required series by name, the observations; a derived series without
+    a base table gets None for rows. constant gives every observation one value at the start of its window. frozen keeps the spec's
+    own window whatever window is asked for; levels are those it may be loaded at (empty: all). extractor, in place
+    of columns and where, makes the rows from (base, observations).
+    """
 
     name: str
-    columns: dict[str, str]
+    columns: dict[str, str] = field(default_factory=dict)
     where: str | None = None
     join_key: str | None = None
     window: TimeWindow | None = None
     cleaning: dict[str, dict[str, float]] = field(default_factory=dict)
-    function: Callable[[DataFrame], DataFrame] | None = None
-    requires: tuple[str, ...] = ()
+    function: Callable[..., DataFrame] | None = None
+    requires: tuple[str, ...] | Mapping[str, str | tuple[str, str] | TimeWindow | None] = ()
+    constant: float | str | None = None
+    frozen: bool = False
+    levels: tuple[str, ...] = ()
+    extractor: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+
+    def rules(self) -> dict:
+        return dict(self.requires) if isinstance(self.requires, Mapping) else dict.fromkeys(self.requires, "inherit")
 
 
 def overridden(spec: dict, changes: dict) -> dict:
@@ -70,17 +86,39 @@ def per_group(df: DataFrame, key: str, function: Callable, schema: str) -> DataF
     return df.groupBy(key).applyInPandas(function, schema)
 
 
-def dynamic_series(base: DataFrame, obs: DataFrame, spec: DynamicSpec, level: ObsLevel, window: TimeWindow) -> DataFrame:
+def called_with(function: Callable, *given):
+    """The function's result for as many of the given arguments as it takes."""
+    kinds = inspect.signature(function).parameters.values()
+    if any(p.kind == p.VAR_POSITIONAL for p in kinds):
+        return function(*given)
+    return function(*given[: sum(p.kind in (p.POSITIONAL_ONLY, p.POSITIONAL_OR_KEYWORD) for p in kinds)])
+
+
+def chosen_window(spec: DynamicSpec, window: TimeWindow, asked: bool) -> TimeWindow:
+    """The spec's own window if it has one, unless the caller asked for another and it isn't frozen."""
+    return window if spec.window is None or (asked and not spec.frozen) else spec.window
+
+
+def dynamic_series(base: DataFrame | None, obs: DataFrame, spec: DynamicSpec, level: ObsLevel, window: TimeWindow, required: dict[str, DataFrame] | None = None, *, asked: bool = False) -> DataFrame:
     """Extract, clip, fold attributes, apply the user's function, attach windows, filter by time, clean. If the observations lack
     a column that the window needs, the time filter is left out."""
     key = spec.join_key or level.key
-    df = frames.select_sql(base, spec.columns, spec.where)
-    df = frames.build_attributes(clip_timestamps(joins.restrict_to_cohort(df, obs, key)))
+    if spec.levels and level.name not in [level_named(x).name for x in spec.levels]:
+        raise ValueError(f"{spec.name} can't be loaded at the level {level.name}")
+    chosen = chosen_window(spec, window, asked)
+    if spec.constant is not None:
+        low, _ = chosen.bounds()
+        return obs.select(level.key, low.cast("timestamp_ntz").alias("recordtime"), F.lit(spec.constant).alias("value"))
+    df = None
+    if base is not None:
+        df = spec.extractor(base, obs) if spec.extractor else frames.select_sql(base, spec.columns, spec.where)
+        df = frames.build_attributes(clip_timestamps(joins.restrict_to_cohort(df, obs, key)))
     if spec.function:
-        df = spec.function(df)
+        df = called_with(spec.function, df, required or {}, obs)
         if not isinstance(df, DataFrame):
             raise TypeError(f"the function of {spec.name} must return a DataFrame")
-    chosen = spec.window or window
+    if df is None:
+        raise ValueError(f"{spec.name} has neither a base table nor a function nor a constant")
     if chosen.fits(obs.columns):
         df = joins.time_filter(joins.attach_window(df, obs, chosen, level.key, key)).drop("tmin", "tmax")
     return frames.apply_cleaning(df, spec.cleaning, spec.name)
@@ -123,17 +161,34 @@ class Cohort:
         joins.require_unique(self.obs, self.key)
         return self
 
-    def add_series(self, base: DataFrame, spec: DynamicSpec) -> Cohort:
-        found = dynamic_series(base, self.obs, spec, self.level, self.window())
+    def add_series(self, base: DataFrame | None, spec: DynamicSpec, window: TimeWindow | None = None, required: dict[str, DataFrame] | None = None) -> Cohort:
+        known = {name: self.series[name] for name in spec.rules() if name in self.series}
+        found = dynamic_series(base, self.obs, spec, self.level, window or self.window(), known | (required or {}), asked=window is not None)
         return self._with(series=self.series | {spec.name: found})
 
-    def add_all(self, bases: dict[str, DataFrame], specs: list[DynamicSpec]) -> tuple[Cohort, dict[str, str]]:
-        """All specs in the order of what they require; those that can't be planned are reported by name and left out."""
+    def configured_window(self, margin: str = "48h") -> TimeWindow:
+        """From `margin` before the level's start to `margin` after it: the window of a configured list of variables."""
+        start = TimeWindow.between(self.level.t_min, self.level.t_min)
+        return start.widened(f"-{margin}", margin)
+
+    def add_all(self, bases: dict[str, DataFrame], specs: list[DynamicSpec], window: TimeWindow | None = None) -> tuple[Cohort, dict[str, str]]:
+        """All specs in the order of what they require, each with what it requires in the window that it asks for; those that can't be
+        planned are reported by name and left out, and so is what requires them. Other errors aren't caught."""
         by_name, failed, out = {s.name: s for s in specs}, {}, self
-        for name in resolved_order({s.name: s.requires for s in specs}):
+
+        def loaded(name: str, inside: TimeWindow, asked: bool) -> DataFrame:
+            if name not in by_name:
+                return self.series[name]
+            own = chosen_window(by_name[name], inside, asked)
+            needs = {other: loaded(other, required_window(own, rule), True) for other, rule in by_name[name].rules().items()}
+            return dynamic_series(bases.get(name), self.obs, by_name[name], self.level, inside, needs, asked=asked)
+
+        for name in resolved_order({s.name: tuple(s.rules()) for s in specs}):
+            if name not in by_name:
+                continue
             try:
-                out = out.add_series(bases[name], by_name[name])
-            except Exception as e:  # planning errors of one variable shouldn't lose the others
+                out = out._with(series=out.series | {name: loaded(name, window or self.window(), window is not None)})
+            except (AnalysisException, KeyError, ValueError) as e:  # planning errors of one variable shouldn't lose the others
                 failed[name] = str(e).splitlines()[0]
         return out, failed
 

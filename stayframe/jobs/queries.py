@@ -677,3 +677,144 @@ def table_one_text(spark, d):
 def busiest_user(spark, d):
     rates = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.count(F.lit(1)), F.sum("value")).alias("rate"))
     return rounded(M.top_one(rates, "rate", "user_id"), "rate")
+
+
+# --- queries of definitions, sources and helpers --------------------------------------------------------------------------
+
+_CASES = "c AS (SELECT user_id AS case_id, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY user_id)"
+
+
+def _cases(spark, d) -> Cohort:
+    return Cohort(observations(spark, d).select(F.col("user_id").alias("case_id"), F.col("t_first").alias("hospital_admission"), F.col("t_last").alias("hospital_discharge")), "hospital_stay")
+
+
+@query("""SELECT event_id, TRY_CAST(CASE WHEN event_id % 3 = 0 THEN '<5' WHEN event_id % 3 = 1 THEN 'junk' ELSE CAST(event_id AS VARCHAR) END AS DOUBLE) AS number, 'CAST(' || event_type AS kind
+  FROM events WHERE event_id % 3 = 2 AND event_id > 10""")
+def junk_numbers(spark, d):
+    texts = table(spark, d, "events").withColumn("t", F.expr("CASE WHEN event_id % 3 = 0 THEN '<5' WHEN event_id % 3 = 1 THEN 'junk' ELSE CAST(event_id AS string) END"))
+    return P.select_sql(texts, {"event_id": "event_id", "number": "CAST(t AS DOUBLE)", "kind": "concat('CAST(', event_type)"}, "cast(t AS double) > 10")
+
+
+def _purchase_rate(rows, required, obs):
+    """Whole hours since the last purchase: rows are views, purchases are required in a wider window."""
+    bought = required["purchase"].select("case_id", F.col("recordtime").alias("bought"), F.col("value").alias("paid"))
+    last = rows.join(bought, "case_id").where("bought <= recordtime").groupBy("case_id", "recordtime", "event_id").agg(F.max("bought").alias("bought"))
+    return last.withColumn("value", T.time_difference(F.col("recordtime"), F.col("bought"), "h"))
+
+
+@query(f"""WITH {_CASES}, v AS (SELECT c.case_id, event_id, ts FROM events e JOIN c ON e.user_id = c.case_id WHERE event_type = 'view' AND ts BETWEEN lo + INTERVAL 10 DAY AND lo + INTERVAL 40 DAY),
+  p AS (SELECT c.case_id, ts FROM events e JOIN c ON e.user_id = c.case_id WHERE event_type = 'purchase' AND ts BETWEEN lo + INTERVAL 3 DAY AND lo + INTERVAL 41 DAY)
+  SELECT v.case_id, v.event_id, (epoch_us(v.ts) - epoch_us(max(p.ts))) // 3600000000 AS hours FROM v JOIN p ON p.case_id = v.case_id AND p.ts <= v.ts GROUP BY v.case_id, v.event_id, v.ts""")
+def derived_from_required(spark, d):
+    events = table(spark, d, "events")
+    columns = {"case_id": "user_id", "recordtime": "ts", "value": "value", "event_id": "event_id"}
+    window = TimeWindow.between(("hospital_admission", "10d"), ("hospital_admission", "40d"))
+    specs = [
+        DynamicSpec("since_purchase", columns, "event_type = 'view'", window=window, function=_purchase_rate, requires={"purchase": ("-7d", "1d")}),
+        DynamicSpec("purchase", columns, "event_type = 'purchase'"),
+    ]
+    cohort, failed = _cases(spark, d).add_all({"since_purchase": events, "purchase": events}, specs)
+    if failed:
+        raise ValueError(str(failed))
+    return cohort.series["since_purchase"].select("case_id", "event_id", F.col("value").cast("long").alias("hours"))
+
+
+@query(f"""WITH {_CASES} SELECT c.case_id, count(e.event_id) AS n FROM c LEFT JOIN events e ON e.user_id = c.case_id AND e.event_type = 'view' AND e.ts BETWEEN lo - INTERVAL 48 HOUR AND lo + INTERVAL 48 HOUR GROUP BY c.case_id""")
+def configured_list(spark, d):
+    cohort = _cases(spark, d)
+    spec = DynamicSpec("view", {"case_id": "user_id", "recordtime": "ts", "value": "value"}, "event_type = 'view'")
+    cohort, _ = cohort.add_all({"view": table(spark, d, "events")}, [spec], cohort.configured_window())
+    n = cohort.series["view"].groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    return cohort.obs.select("case_id").join(n, "case_id", "left").select("case_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"WITH {_CASES} SELECT case_id, lo AS recordtime, 1.5::DOUBLE AS value FROM c")
+def constant_series(spark, d):
+    return _cases(spark, d).add_series(None, DynamicSpec("dose", constant=1.5)).series["dose"]
+
+
+@query("""WITH w AS (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderdate END AS lo, CASE WHEN o_orderkey % 5 = 0 THEN TIMESTAMP '9999-12-31' ELSE TIMESTAMP '1997-01-01' END AS hi FROM orders)
+  SELECT o_orderkey, epoch_us(hi) - epoch_us(lo) AS duration, lo IS NULL OR hi IS NULL AS null_bound, coalesce(year(lo) = 9999, false) OR coalesce(year(hi) = 9999, false) AS never, lo > hi AS reversed FROM w""")
+def window_validity(spark, d):
+    low = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate").cast("timestamp_ntz"))
+    high = F.when(F.col("o_orderkey") % 5 == 0, F.lit("9999-12-31")).otherwise(F.lit("1997-01-01")).cast("timestamp_ntz")
+    orders = table(spark, d, "orders").select("o_orderkey", low.alias("lo"), high.alias("hi"))
+    w = TimeWindow.between("lo", "hi")
+    return orders.select("o_orderkey", w.duration().alias("duration"), w.has_null_bound().alias("null_bound"), w.ends_in_year_9999().alias("never"), w.is_reversed().alias("reversed"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate + INTERVAL 10000 DAY BETWEEN TIMESTAMP '2023-01-01' AND TIMESTAMP '2023-07-30'")
+def admissions_of_months(spark, d):
+    later = table(spark, d, "orders").withColumn("admitted", F.col("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL 10000 DAY"))
+    return P.where_sql(later, "_d7", "admitted").select("o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity AS value, l_extendedprice / l_quantity AS price FROM lineitem WHERE l_returnflag IN ('R', 'A') AND regexp_matches(l_linestatus, 'F')")
+def values_of_interest(spark, d):
+    found = P.filter_by_values(table(spark, d, "lineitem"), {"l_returnflag": ["R", "A"]}, rename={"l_comment": None})
+    found = P.filter_by_values(found, {"l_linestatus": ["F"]}, exact=False, rename={"l_quantity": "value", "l_tax": None})
+    return found.select("l_orderkey", "l_linenumber", "value", (F.col("l_extendedprice") / F.col("value")).alias("price"))
+
+
+@query("""SELECT user_id, event_id, value, 'u' AS value_unit, event_type AS kind, epoch_us(ts) AS at FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL""")
+def struct_measurements(spark, d):
+    rows = table(spark, d, "events").withColumn("m", F.when(F.col("value").isNotNull() & F.col("event_type").isNotNull(), F.struct("value", F.lit("u").alias("unit"), F.col("event_type").alias("kind"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))))
+    found = P.struct_measurement(rows, "m", ["user_id", "event_id"], "u")
+    return found.select("user_id", "event_id", "value", "value_unit", "attributes.kind", "attributes.at")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS value FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01'")
+def calculated_values(spark, d):
+    return P.calculated(table(spark, d, "lineitem"), "l_extendedprice * (1 - l_discount)", ["l_orderkey", "l_linenumber"], "l_shipdate >= '1996-01-01'")
+
+
+@query("""SELECT l.l_orderkey, l.l_linenumber, o.o_custkey FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderstatus = 'F'""")
+def records_with_ids(spark, d):
+    obs = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return J.attach_obs_ids(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), obs, ["l_orderkey", "o_custkey"])
+
+
+@query("SELECT user_id, ts AS recordtime, NULL::TIMESTAMP AS recordtime_end, NULL::DOUBLE AS recordtime_relative, NULL::DOUBLE AS recordtime_end_relative, value, NULL::VARCHAR AS value_unit, event_type FROM events")
+def unified_columns(spark, d):
+    return P.unify_columns(series(spark, d).select("event_type", "value", "user_id", "recordtime"), ["user_id"])
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_discount END, 0.21) * 713 - l_quantity / 0.8 - l_tax, 6) AS gradient FROM lineitem""")
+def gradients(spark, d):
+    fraction = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_discount"))
+    return rounded(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.alveolar_gradient(F.col("l_tax"), F.col("l_quantity"), fraction).alias("gradient")), "gradient")
+
+
+@query("""SELECT trim(part) AS code, count(*) AS n FROM (SELECT unnest(string_split(p_name || ', ' || p_type, ',')) AS part FROM part) WHERE trim(part) <> '' GROUP BY ALL""")
+def listed_codes(spark, d):
+    parts = table(spark, d, "part").select(F.explode(S.split_codes(F.concat("p_name", F.lit(", "), "p_type"))).alias("code"))
+    return parts.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH s AS (SELECT o_custkey AS case_id, o_orderkey, o_orderdate AS t, o_orderpriority AS a, o_orderstatus AS b, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS stay FROM orders),
+  x AS (SELECT case_id, stay, t, 0 AS place, a AS ward FROM s UNION ALL SELECT case_id, stay, t, 1, b FROM s)
+  SELECT case_id, stay::INT AS stay, ward, row_number() OVER (PARTITION BY case_id ORDER BY stay, place)::INT AS step FROM x""")
+def ward_timeline(spark, d):
+    icu = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.struct("o_orderdate", "o_orderkey").alias("icu_admission"), F.array("o_orderpriority", "o_orderstatus").alias("ward"))
+    return hospital.movement_timeline(icu).select("case_id", "stay", "ward", "step")
+
+
+@query("""WITH o AS (SELECT * FROM orders WHERE o_totalprice IS NOT NULL), a AS (SELECT count(*) AS n FROM o), b AS (SELECT count(*) AS n FROM o WHERE o_totalprice >= 100000), c AS (SELECT count(*) AS n FROM o WHERE o_totalprice >= 100000 AND o_orderstatus <> 'F')
+  SELECT 'not F' AS reason, b.n - c.n AS n, a.n AS screened, c.n AS included FROM a, b, c UNION ALL SELECT 'large', a.n - b.n, a.n, c.n FROM a, b, c""")
+def flow_profile(spark, d):
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("case_id"), "o_totalprice", "o_orderstatus", F.col("o_orderdate").alias("hospital_admission"), F.col("o_orderdate").alias("hospital_discharge"))
+    c = Cohort(orders.where("o_totalprice IS NOT NULL"), "hospital_stay").include("o_totalprice", ">= 100000", "large").exclude("o_orderstatus", "= 'F'", "not F")
+    found = c.profile()
+    return spark.createDataFrame([(name, n, found["screened"], found["included"]) for name, n in found["reasons"]], "reason string, n long, screened long, included long")
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE value >= 50 GROUP BY user_id")
+def struct_field_threshold(spark, d):
+    rows = table(spark, d, "events").select("user_id", F.struct("value").alias("m"))
+    return rows.where(P.condition("m.value >= 50")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, epoch_us(ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Berlin') - epoch_us(ts) AS shift FROM events")
+def local_times(spark, d):
+    local = T.utc_to_local(F.col("ts").cast("timestamp"), "Europe/Berlin")
+    return table(spark, d, "events").select("event_id", (T.micros(local) - T.micros(F.col("ts").cast("timestamp_ntz"))).alias("shift"))

@@ -16,19 +16,38 @@ SERIES_COLUMNS = {
 _MAGIC = re.compile(r"^!(isin|startswith|endswith)\(\s*([\w.]+)\s*,\s*\[(.*)\]\s*\)$", re.S)
 
 
-def where_sql(df: DataFrame, where: str | None) -> DataFrame:
-    return df.where(F.expr(where)) if where else df
+_QUOTED = re.compile(r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`)""")
+_CAST = re.compile(r"\bcast(?=\s*\()", re.I)
+_DAYS = re.compile(r"^_d(\d+)$")
+
+
+def tolerant(sql: str) -> str:
+    """The fragment with TRY_CAST for CAST, outside of quotes, so that a value that can't be cast is null and doesn't end the job."""
+    return "".join(part if i % 2 else _CAST.sub("TRY_CAST", part) for i, part in enumerate(_QUOTED.split(sql)))
+
+
+def where_sql(df: DataFrame, where: str | None, admission: str = "hospital_admission") -> DataFrame:
+    """df where a SQL condition holds; `_dN` stands for admissions in the first N times 30 days of the extract."""
+    days = _DAYS.match(where.strip()) if where else None
+    if days:
+        return df.where(admission_days(int(days[1]), admission))
+    return df.where(F.expr(tolerant(where))) if where else df
 
 
 def select_sql(df: DataFrame, columns: dict[str, str], where: str | None = None) -> DataFrame:
-    """Columns from SQL fragments by alias; the filter sees the source's names."""
-    return where_sql(df, where).select(*[F.expr(sql).alias(alias) for alias, sql in columns.items()])
+    """Columns from SQL fragments by alias; the filter sees the source's names. Casts that fail give null."""
+    return where_sql(df, where).select(*[F.expr(tolerant(sql)).alias(alias) for alias, sql in columns.items()])
+
+
+def in_order(df: DataFrame, keys: list[str], time: str = "recordtime") -> DataFrame:
+    """df sorted by key and time, nulls first, for output that is read in order; a shuffle by ranges that nothing else needs."""
+    return df.orderBy(*keys, *([time] if time in df.columns else []))
 
 
 def admission_days(number: int, column: str = "hospital_admission", first: str = "2023-01-01") -> Column:
-    """Admissions in the `number` times 30 days from the first day on."""
+    """Admissions from the first day to the start of the day `number` times 30 days later, both included."""
     begin = F.lit(first).cast("timestamp_ntz")
-    return (F.col(column) >= begin) & (F.col(column) < begin + F.make_dt_interval(F.lit(number * 30)))
+    return F.col(column).between(begin, begin + F.make_dt_interval(F.lit(number * 30)))
 
 
 def condition(text: str) -> Column:

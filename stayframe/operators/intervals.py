@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,22 +110,36 @@ def within_first(df: DataFrame, key: str, time: str, length: Offset = "24h") ->
 
 def rate_of_change_filter(df: DataFrame, key: str, time: str, value: str, max_rate: float, *, tiebreak: str | None = None) -> DataFrame:
     """Drops each point whose change per hour since the last point kept is max_rate or more, or whose time is no later, and
-    reports the rate of kept points (null for the first). The fold runs over one key's series in time order."""
-    # a null value sorts and folds like the others and is dropped unless it comes first
-    fields = [F.col(time).alias("t"), *([F.col(tiebreak).alias("b")] if tiebreak else []), F.col(value).cast("double").alias("v")]
-    grouped = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("s"))
-    grouped = grouped.withColumn("s", F.transform("s", lambda x: F.struct(*[x[f].alias(f) for f in (["t", "b", "v"] if tiebreak else ["t", "v"])], micros(x["t"]).alias("us"))))
-    kind = grouped.schema["s"].dataType.elementType.simpleString()
-    kept = F.expr(
-        f"""aggregate(s, CAST(array() AS array<struct<x:{kind},rate:double>>), (acc, x) -> CASE
-            WHEN size(acc) = 0 THEN array(struct(x, CAST(NULL AS double) AS rate))
-            WHEN x.us > element_at(acc, -1).x.us AND NOT isnan(x.v)
-                AND abs((x.v - element_at(acc, -1).x.v) / ((x.us - element_at(acc, -1).x.us) / 3600000000D)) < {max_rate!r}D
-            THEN concat(acc, array(struct(x, (x.v - element_at(acc, -1).x.v) / ((x.us - element_at(acc, -1).x.us) / 3600000000D) AS rate)))
-            ELSE acc END)"""
-    )
-    rows = grouped.select(key, F.explode(kept).alias("k"))
-    return rows.select(key, F.col("k.x.t").alias(time), *([F.col("k.x.b").alias(tiebreak)] if tiebreak else []), F.col("k.x.v").alias(value), F.col("k.rate").alias("rate"))
+    reports the rate of kept points (null for the first).
+
+    What is kept depends on what was kept before, so rows are brought together by key, sorted by time inside each partition, and
+    passed through tasks that remember one point: a key may hold any number of rows.
+    """
+    order = [time, *([tiebreak] if tiebreak else []), value]
+    slim = df.select(key, *order[:-1], F.col(value).cast("double").alias(value), micros(F.col(time)).alias("__us"))
+    placed = slim.repartition(key).sortWithinPartitions(key, *order)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, of, last_us, last_value = False, None, 0, 0.0
+        for batch in batches:
+            kept, rates = [], []
+            for k, us, v in zip(batch.column(key).to_pylist(), batch.column("__us").to_pylist(), batch.column(value).to_pylist(), strict=True):
+                rate = None
+                if started and k == of:
+                    later = None not in (us, last_us, v, last_value) and us > last_us
+                    rate = (v - last_value) / ((us - last_us) / 3_600_000_000) if later else math.nan
+                    keep = abs(rate) < max_rate
+                else:
+                    keep = True
+                kept.append(keep)
+                if keep:
+                    rates.append(rate)
+                    started, of, last_us, last_value = True, k, us, v
+            found = batch.filter(pa.array(kept, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*(found.column(c) for c in [key, *order]), pa.array(rates, pa.float64())], [key, *order, "rate"])
+
+    kinds = dict(slim.dtypes)
+    return placed.mapInArrow(fold, ", ".join([*(f"`{c}` {kinds[c]}" for c in [key, *order]), "rate double"]))
 
 
 def interval_bucket(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.time import Offset, fixed_micros
 
 OVERALL = "Overall"
+QUARTILES = (0.25, 0.5, 0.75)
 IGNORED_KINDS = ("timestamp", "timestamp_ntz", "date", "struct", "array", "map", "binary")
 
 
@@ -36,16 +37,50 @@ def _groups(by: str | None, overall: bool) -> Column:
     return F.explode(F.array(*own, *([F.lit(OVERALL)] if overall or not by else []))).alias("grp")
 
 
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...] = QUARTILES, pieces: int = 256) -> DataFrame:
+    """keys and `cuts`, the exact percentiles of value (interpolated, nulls left out), spread over tasks however many values a key has.
+
+    Equal values are counted together. Approximate percentiles of the distinct ones cut each key's range into pieces; the counts of
+    the pieces say at which rank each begins, and only inside a piece are values ranked. Keys without a value have no row.
+    """
+    named = {k: f"__k{i}" for i, k in enumerate(keys)}
+    plain = df.select(*[F.col(k).alias(n) for k, n in named.items()], F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
+    names = list(named.values())
+    counts = plain.groupBy(*names, "v").agg(F.count(F.lit(1)).alias("n"))
+    inner = [F.lit(i / pieces) for i in range(1, pieces)]
+
+    def beside(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        other = right.withColumnsRenamed({c: f"{c}_too" for c in on})
+        test = F.lit(True)
+        for c in on:
+            test = test & F.col(c).eqNullSafe(F.col(f"{c}_too"))
+        return left.join(other, test).drop(*[f"{c}_too" for c in on])
+
+    splits = counts.groupBy(*names).agg(F.percentile_approx("v", F.array(*inner), F.lit(pieces * 4)).alias("splits"))
+    placed = beside(counts, splits, names).withColumn("piece", F.size(F.filter("splits", lambda s: s < F.col("v")))).drop("splits")
+    of_key = Window.partitionBy(*names)
+    sizes = placed.groupBy(*names, "piece").agg(F.sum("n").alias("of_piece"))  # at most `pieces` rows a key
+    sizes = sizes.withColumns({"first": F.sum("of_piece").over(of_key.orderBy("piece")) - F.col("of_piece"), "all": F.sum("of_piece").over(of_key)}).drop("of_piece")
+    inside = Window.partitionBy(*names, "piece").orderBy("v")
+    ranked = beside(placed.withColumn("before", F.sum("n").over(inside) - F.col("n")), sizes, [*names, "piece"]).withColumn("before", F.col("before") + F.col("first"))
+    at = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("v")))
+    place = [F.lit(p) * (F.col("all") - 1) for p in points]
+    ends = [F.struct(at(F.floor(x)).alias("low"), at(F.ceil(x)).alias("high"), F.max(x - F.floor(x)).alias("part")) for x in place]
+    found = ranked.groupBy(*names).agg(F.array(*ends).alias("ends"))
+    cuts = F.transform("ends", lambda e: F.when(e["part"] == 0, e["low"]).otherwise((1 - e["part"]) * e["low"] + e["part"] * e["high"]))
+    return found.select(*[F.col(n).alias(k) for k, n in named.items()], cuts.alias("cuts"))
+
+
 def table_one_numbers(df: DataFrame, columns: list[str], by: str | None = None, *, overall: bool = True) -> DataFrame:
     """(grp, variable, n, missing, mean, sd, median, q1, q3) of numeric columns."""
-    stats = []
-    for c in columns:
-        v = F.col(c).cast("double")
-        cuts = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        stats.append(F.struct(F.lit(c).alias("variable"), F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), cuts.alias("cuts")).alias(f"s_{c}"))
-    grouped = df.select(_groups(by, overall), *columns).groupBy("grp").agg(*stats)
+    of = lambda c, v: F.struct(F.lit(c).alias("variable"), F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd")).alias(f"s_{c}")
+    rows = df.select(_groups(by, overall), *columns)
+    grouped = rows.groupBy("grp").agg(*[of(c, F.col(c).cast("double")) for c in columns])
     long = grouped.select("grp", F.explode(F.array(*[f"s_{c}" for c in columns])).alias("x")).select("grp", "x.*")
-    return long.select("grp", "variable", "n", "missing", "mean", "sd", F.get("cuts", F.lit(1)).alias("median"), F.get("cuts", F.lit(0)).alias("q1"), F.get("cuts", F.lit(2)).alias("q3"))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in columns]))
+    cuts = exact_percentiles(rows.select("grp", each.alias("x")).select("grp", "x.*"), ["grp", "variable"], "v")
+    cut = lambda i, name: F.get("cuts", F.lit(i)).alias(name)
+    return long.join(cuts, ["grp", "variable"], "left").select("grp", "variable", "n", "missing", "mean", "sd", cut(1, "median"), cut(0, "q1"), cut(2, "q3"))
 
 
 def table_one(df: DataFrame, by: str | None = None, *, overall: bool = True, skip: list[str] | None = None, as_mean: list[str] | None = None, decimals: int = 1) -> DataFrame:
@@ -101,8 +136,13 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 def binned_course(df: DataFrame, by: list[str], seconds: Column, value: str, every: Offset = "6h") -> DataFrame:
     """Median, quartiles and count of value by group and time bin (whole bins since time zero)."""
     width = fixed_micros(every) // 1_000_000
-    cuts = F.percentile(F.col(value).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    grouped = df.withColumn("bin", F.floor(seconds / width)).groupBy(*by, "bin").agg(F.count(value).alias("n"), cuts.alias("cuts"))
+    binned = df.select(*by, F.floor(seconds / width).alias("bin"), F.col(value).alias("__value"))
+    names = {c: f"__of{i}" for i, c in enumerate([*by, "bin"])}
+    cuts = exact_percentiles(binned, [*by, "bin"], "__value").withColumnsRenamed(names)
+    same = F.lit(True)
+    for c, n in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    grouped = binned.groupBy(*by, "bin").agg(F.count("__value").alias("n")).join(cuts, same, "left")
     return grouped.select(*by, "bin", "n", F.get("cuts", F.lit(1)).alias("median"), F.get("cuts", F.lit(0)).alias("q1"), F.get("cuts", F.lit(2)).alias("q3"))
 
 

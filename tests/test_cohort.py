@@ -137,3 +137,51 @@ def test_patients_and_procedures(spark):
     assert r["or_time_begin"] == datetime(2024, 1, 1, 8) and r["or_time_incision"] == datetime(2024, 1, 1, 8, 30) and r["ops_code"] == ["5-01", "5-02"] and r["bw_ward"] == "W"
     icu = spark.createDataFrame([("c", ["A", "B"], day(1))], "case_id string, ward array<string>, icu_admission timestamp_ntz")
     assert [r["step"] for r in hospital.movement_timeline(icu).orderBy("step").collect()] == [1, 2]
+
+
+def test_requirements_windows_and_functions(cohort, labs):
+    """Required series come in inherited, shifted, own and open windows; functions see rows, required series and observations."""
+    seen = {}
+
+    def derive(rows, required, obs):
+        seen.update({name: df.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).where("case_id = 'c3'").first()["n"] for name, df in required.items()} | {"obs": obs.count()})
+        return required["same"].select("case_id", "recordtime", (F.col("value") * 2).alias("value"))
+
+    columns = {"case_id": "case", "recordtime": "at", "value": "v"}
+    own = TimeWindow.after("hospital_admission", "1d")
+    needs = {"same": "inherit", "wider": ("0d", "1d"), "own": own, "open": None}
+    specs = [DynamicSpec("double", function=derive, window=TimeWindow.after("hospital_admission", "3d"), requires=needs), *(DynamicSpec(n, columns) for n in needs)]
+    c, failed = cohort.add_all({n: labs for n in needs}, specs)
+    assert not failed and seen == {"same": 4, "wider": 5, "own": 2, "open": 8, "obs": 10}
+    assert sorted(r["value"] for r in c.series["double"].where("case_id = 'c3'").collect()) == [0.0, 6.0, 12.0, 18.0]
+
+
+def test_frozen_windows_levels_constants_and_extractors(cohort, labs):
+    columns = {"case_id": "case", "recordtime": "at", "value": "v"}
+    day_one, days = TimeWindow.after("hospital_admission", "1d"), TimeWindow.after("hospital_admission", "4d")
+    count = lambda c, n: c.series[n].where("case_id = 'c3'").count()
+    c = cohort.add_series(labs, DynamicSpec("free", columns, window=day_one), days).add_series(labs, DynamicSpec("fixed", columns, window=day_one, frozen=True), days)
+    assert (count(c, "free"), count(c, "fixed")) == (5, 2)
+    with pytest.raises(ValueError, match="level"):
+        cohort.add_series(labs, DynamicSpec("icu", columns, levels=("icu_stay",)))
+    c = cohort.add_series(None, DynamicSpec("one", constant=1.0))
+    assert c.series["one"].count() == 10 and {r["value"] for r in c.series["one"].collect()} == {1.0}
+    extract = lambda base, obs: base.selectExpr("case AS case_id", "at AS recordtime", "v + 1 AS value")
+    assert cohort.add_series(labs, DynamicSpec("own", extractor=extract)).series["own"].agg(F.min("value")).first()[0] == 1.0
+    low, high = cohort.configured_window().bounds()
+    r = cohort.obs.where("case_id = 'c3'").select(low.alias("a"), high.alias("b")).first()
+    assert (r["a"], r["b"]) == (day(1), day(5))
+
+
+def test_only_planning_errors_are_reported(cohort, labs):
+    def broken(rows):
+        raise RuntimeError("not a planning error")
+
+    with pytest.raises(RuntimeError):
+        cohort.add_all({"x": labs}, [DynamicSpec("x", {"case_id": "case", "recordtime": "at", "value": "v"}, function=broken)])
+
+
+def test_branches_and_derived_columns(cohort):
+    c = cohort.include("age", ">= 18").add_derived("old", "age > 20")
+    b = c.branch(c.obs.where("old"))
+    assert len(c.log) == 1 and b.log == [] and b.obs.count() == 4

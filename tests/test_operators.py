@@ -208,3 +208,49 @@ def test_status_rules(spark):
     cases = [(h(5), h(1)), (None, None), (h(5), None), (h(-24 * 10), None), (h(-24 * 100), None), (h(-9), h(-1)), (h(-9), h(9)), (h(2), h(9)), (None, h(2))]
     got = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, b timestamp_ntz, e timestamp_ntz").orderBy("i").select(S.stay_status(F.col("b"), F.col("e"), now)).collect()
     assert [r[0] for r in got] == ["Implausible", "Incomplete", "Planned", "Ongoing", "Incomplete", "Finalised", "Ongoing", "Planned", "Incomplete"]
+
+
+def test_casts_in_fragments_are_tolerant(spark):
+    df = spark.createDataFrame([("<5", "a"), ("7", "cast(x")], "v string, k string")
+    assert P.tolerant("CAST (v AS int) + `cast(y)` + 'CAST(' || cast(k as int)") == "TRY_CAST (v AS int) + `cast(y)` + 'CAST(' || TRY_CAST(k as int)"
+    got = P.select_sql(df, {"n": "CAST(v AS DOUBLE)", "k": "k"}, "k <> 'CAST(no)'").orderBy("k").collect()
+    assert [(r["n"], r["k"]) for r in got] == [(None, "a"), (7.0, "cast(x")]
+    assert [r["v"] for r in P.in_order(df, ["k"]).collect()] == ["<5", "7"]
+
+
+def test_rules_need_no_shuffle(spark):
+    df = spark.createDataFrame([("tube", 1)], "t string, class int")
+    out = C.classify_by_rules(df, [C.Rule("any", "tube", "low", {"t": "tube"})], ["t"])
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString() and out.first()["class"] == "tube"
+
+
+def test_exact_percentiles_of_spread_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    data = {"a": rng.normal(size=5000), "b": rng.integers(0, 3, 4000).astype(float), None: np.array([4.0]), "e": np.array([1.0, 2.0])}
+    rows = [(k, float(x)) for k, v in data.items() for x in v] + [("a", None), ("none", None)]
+    points = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    got = {r["k"]: r["cuts"] for r in M.exact_percentiles(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", points, pieces=16).collect()}
+    assert set(got) == set(data)
+    for k, v in data.items():
+        assert got[k] == pytest.approx(np.quantile(v, points).tolist())
+
+
+def test_plausible_changes_of_a_long_series(spark):
+    """Against a loop, over several Arrow batches, with null keys and values."""
+    import random
+
+    r = random.Random(2)
+    t0 = datetime(2024, 1, 1)
+    rows = [(k, t0 + timedelta(minutes=r.randrange(0, 20_000)), i, None if r.random() < 0.02 else float(r.randrange(0, 30))) for k in (1, 2, None) for i in range(15_000 if k == 1 else 40)]
+    df = spark.createDataFrame(rows, "key long, at timestamp_ntz, seq long, v double")
+    want = []
+    for k in (1, 2, None):
+        last = None
+        for _, at, i, v in sorted((x for x in rows if x[0] == k), key=lambda x: (x[1], x[2])):
+            if last is None or (v is not None and last[1] is not None and at > last[0] and abs((v - last[1]) / ((at - last[0]).total_seconds() / 3600)) < 5.0):
+                want.append((k, i))
+                last = (at, v)
+    got = [(x["key"], x["seq"]) for x in W.rate_of_change_filter(df, "key", "at", "v", 5.0, tiebreak="seq").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
