@@ -136,7 +136,7 @@ def op6_format_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    messages = conversation_messages(rows)
+    messages = written(conversation_messages(rows), "messages")
     back = read_back(format_reply_trees(messages))
     pairs = F.transform(F.arrays_zip("roles", "texts"), lambda x: F.concat(x["roles"], F.lit("\n"), x["texts"], F.lit("\n")))
     loss = F.array_join("loss_texts", "")
