@@ -37,7 +37,7 @@ def _groups(by: str | None, overall: bool) -> Column:
     return F.explode(F.array(*own, *([F.lit(OVERALL)] if overall or not by else []))).alias("grp")
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...] = QUARTILES, pieces: int = 256) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...] = QUARTILES, pieces: int = 64) -> DataFrame:
     """keys and `cuts`, the exact percentiles of value (interpolated, nulls left out), spread over tasks however many values a key has.
 
     Equal values are counted together. Approximate percentiles of the distinct ones cut each key's range into pieces; the counts of
