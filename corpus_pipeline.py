@@ -77,7 +77,7 @@ STAGES = [
     ("encode", encode),
 ]
 
-#: SQL expresses neither the models nor the merges; tests/llm/test_pipeline.py holds the stages against plain Python.
+#: SQL expresses neither the models nor the merges; tests/llm/test_llm_pipeline.py holds the stages against plain Python.
 ORACLE_SQL = None
 
 
