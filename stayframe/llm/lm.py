@@ -44,8 +44,8 @@ SMOOTHING = 2.0
 STATE = 0x2545F4914F6CDD1D
 #: Tokens of the corpus, on the average, for one bucket of strings to count, and for one of keys to look up.
 BUCKET_TOKENS, LOOKUP_TOKENS = 1 << 20, 1 << 22
-#: Bytes of text that a task works on at a time.
-STEP = 1_000_000
+#: Bytes of text that a task works on at a time, and bytes of keys.
+STEP, KEY_STEP = 1_000_000, 4_000_000
 
 
 @dataclass
@@ -341,20 +341,29 @@ def score(docs: DataFrame, tree: SuffixTree) -> DataFrame:
     rare = rare_words.unionByName(rare_keys).withColumn("bucket", bucket)
 
     def look_up(asked: pa.Table, table: pa.Table) -> pa.Table:
-        """The documents as they are, and what their words and keys of this bucket add to them, dealt by document."""
+        """The documents as they are, and what their words and keys of this bucket add to them, dealt by document.
+
+        What is asked is looked up KEY_STEP bytes at a time, so that arrays over all keys of the bucket never exist at once.
+        """
         own = asked.filter(pa.compute.is_null(asked["kind"]))
         own = own.set_column(own.schema.get_field_index("bucket"), "bucket", pa.array((own["row"].to_numpy().view(np.uint64) % np.uint64(groups)).astype(np.int32)))
         parts = {"row": [], "known": [], "base": [], "gain": []}
-        for kind in (0, 1):
-            mine = asked.filter(pa.compute.equal(asked["kind"], kind))
-            held = table.filter(pa.compute.equal(table["kind"], kind)) if table.num_rows else table
-            if mine.num_rows and held.num_rows:
-                names = held["key"].to_numpy().view(np.uint64)
-                by = np.argsort(names)
-                hit, at = _place(names[by], _joined(mine, "keys", np.uint64))
+        held = {}
+        for kind in (0, 1) if table.num_rows else ():
+            values = table.filter(pa.compute.equal(table["kind"], kind))
+            names = values["key"].to_numpy().view(np.uint64)
+            by = np.argsort(names)
+            held[kind] = names[by], values["v"].to_numpy()[by]
+        step = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(asked["keys"]), 0).to_numpy(), dtype=np.int64) // KEY_STEP
+        cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), asked.num_rows]
+        for kind, first, end in ((k, a, b) for k in held for a, b in zip(cuts, cuts[1:])):  # noqa: B905
+            piece = asked.slice(first, end - first)
+            mine = piece.filter(pa.compute.equal(piece["kind"], kind))
+            if mine.num_rows:
+                hit, at = _place(held[kind][0], _joined(mine, "keys", np.uint64))
                 times = _joined(mine, "times", np.int32)[hit]
                 rows, of = np.unique(_joined(mine, "rows", np.int64)[hit], return_inverse=True)
-                nothing, added = np.zeros(len(rows)), np.bincount(of, weights=times * held["v"].to_numpy()[by][at[hit]], minlength=len(rows))
+                nothing, added = np.zeros(len(rows)), np.bincount(of, weights=times * held[kind][1][at[hit]], minlength=len(rows))
                 count = np.bincount(of, weights=times, minlength=len(rows))
                 for c, x in zip(parts, (rows, count, added, nothing) if kind == 0 else (rows, nothing, nothing, added), strict=True):
                     parts[c].append(x)

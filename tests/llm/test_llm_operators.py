@@ -607,6 +607,7 @@ def test_scores_equal_a_plain_model(spark, context, lookup_rows, monkeypatch):
     """Also with deeper contexts, in several buckets, and whatever is looked up in the tasks or by joins."""
     monkeypatch.setattr(lm, "BUCKET_TOKENS", 500)
     monkeypatch.setattr(lm, "LOOKUP_TOKENS", 900)
+    monkeypatch.setattr(lm, "KEY_STEP", 2000)
     rng = np.random.default_rng(12)
     phrases = ["red fox runs home", "red fox runs far away today", "blue fox sits still", "the old dog sleeps", "old dog barks at the red fox", "one two three four left", "six two three four right"]
     texts = [" ".join([*rng.choice(phrases, 5), *(f"w{k}" for k in rng.integers(0, 40, 6)), *rng.choice(phrases, 3)]) for _ in range(120)]
