@@ -120,6 +120,10 @@ class Anchor:
     def needs(self) -> set[str]:
         return {self.base} if isinstance(self.base, str) else set()
 
+    def identity(self) -> tuple:
+        """Equal for anchors that are sure to be the same; a Column is only sure to be itself."""
+        return (self.base if isinstance(self.base, str) else id(self.base), *map(str, self.offsets))
+
 
 def anchor(what: str | tuple | Column | Anchor | None) -> Anchor | None:
     """An anchor from a column name, (column name, offset), a Column or null for an open bound."""
@@ -183,6 +187,9 @@ class TimeWindow:
     def needs(self) -> set[str]:
         return (self.t_min.needs() if self.t_min else set()) | (self.t_max.needs() if self.t_max else set())
 
+    def identity(self) -> tuple:
+        return tuple(a and a.identity() for a in (self.t_min, self.t_max))
+
     def fits(self, columns) -> bool:
         """Whether all columns that the anchors need are there."""
         return self.needs() <= set(columns)

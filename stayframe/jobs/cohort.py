@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import inspect
-import json
+from collections import Counter
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
@@ -15,6 +15,16 @@ from ..functions.time import TimeWindow, clip_timestamps
 from ..levels import ObsLevel, level_named
 from ..operators import frames, joins, outcomes, summary
 from ..operators.aggregates import Feature, snapshot, static_features
+from . import store
+
+
+@dataclass(frozen=True)
+class Requirement:
+    """A required variable, the window to load it in, and fields of its spec that are other ones for this requirement only."""
+
+    variable: str
+    window: str | tuple[str, str] | TimeWindow | None = "inherit"
+    changes: Mapping[str, object] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -22,11 +32,13 @@ class DynamicSpec:
     """A time series: a base table with SQL columns and filters, looked up by a join key, optional user function,
     cleaning bounds and derived attributes.
 
-    requires names other series, as a tuple (loaded in the same window) or as {name: rule of required_window}. function is called
-    with as many as it takes of: the extracted rows, the required series by name, the observations; a derived series without
-    a base table gets None for rows. constant gives every observation one value at the start of its window. frozen keeps the spec's
-    own window whatever window is asked for; levels are those it may be loaded at (empty: all). extractor, in place
-    of columns and where, makes the rows from (base, observations).
+    requires names other variables, as a tuple (loaded in the same window) or as {name: rule}, a rule being a Requirement or the
+    window of one (see required_window). A name that is a column of the observations is served from there, whatever the window;
+    others are loaded in the window asked for. function is called with as many as it takes of: the extracted rows, the required frames
+    by name, the observations; a derived series without a base table gets None for rows. sources restricts what is required to these
+    values of `data_source`. constant gives every observation one value at the start of its window. frozen keeps the spec's own window
+    whatever window is asked for; levels are those it may be loaded at (empty: all). extractor, in place of columns and where, makes
+    the rows from (base, observations).
     """
 
     name: str
@@ -36,14 +48,17 @@ class DynamicSpec:
     window: TimeWindow | None = None
     cleaning: dict[str, dict[str, float]] = field(default_factory=dict)
     function: Callable[..., DataFrame] | None = None
-    requires: tuple[str, ...] | Mapping[str, str | tuple[str, str] | TimeWindow | None] = ()
+    requires: tuple[str, ...] | Mapping[str, Requirement | str | tuple[str, str] | TimeWindow | None] = ()
     constant: float | str | None = None
     frozen: bool = False
     levels: tuple[str, ...] = ()
     extractor: Callable[[DataFrame, DataFrame], DataFrame] | None = None
+    sources: tuple[str, ...] = ()
 
-    def rules(self) -> dict:
-        return dict(self.requires) if isinstance(self.requires, Mapping) else dict.fromkeys(self.requires, "inherit")
+    def rules(self) -> dict[str, Requirement]:
+        """What is required, by the name under which the function gets it."""
+        given = self.requires if isinstance(self.requires, Mapping) else dict.fromkeys(self.requires, "inherit")
+        return {name: rule if isinstance(rule, Requirement) else Requirement(name, rule) for name, rule in given.items()}
 
 
 def overridden(spec: dict, changes: dict) -> dict:
@@ -86,6 +101,14 @@ def per_group(df: DataFrame, key: str, function: Callable, schema: str) -> DataF
     return df.groupBy(key).applyInPandas(function, schema)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a table in the checkpoint folder, whose rows nothing computes again."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(store.shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def called_with(function: Callable, *given):
     """The function's result for as many of the given arguments as it takes."""
     kinds = inspect.signature(function).parameters.values()
@@ -99,6 +122,56 @@ def chosen_window(spec: DynamicSpec, window: TimeWindow, asked: bool) -> TimeWin
     return window if spec.window is None or (asked and not spec.frozen) else spec.window
 
 
+class SeriesPlan:
+    """Which series a list of specs needs, each in every window that something needs it in, and each of those once.
+
+    A request is keyed by name, window and changes; requests are collected first, so that it is known which of them several others
+    use, and built afterwards in an order in which each comes after what it requires. Nothing here runs a job unless `share`
+    does.
+    """
+
+    def __init__(self, cohort: Cohort, bases: Mapping[str, DataFrame], specs: list[DynamicSpec], share: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        self.cohort, self.bases, self.specs, self.share = cohort, bases, {s.name: s for s in specs}, share
+        self.requests: dict[tuple, tuple[DynamicSpec, TimeWindow, dict[str, tuple]]] = {}
+        self.uses: Counter = Counter()
+        self.built: dict[tuple, DataFrame] = {}
+        self.failed: dict[tuple, Exception] = {}
+
+    def request(self, name: str, inside: TimeWindow, asked: bool, changes: Mapping[str, object] | None = None) -> tuple:
+        """The key of a spec's series in a window, with all that it requires noted down."""
+        spec = replace(self.specs[name], **changes) if changes else self.specs[name]
+        own = chosen_window(spec, inside, asked)
+        key = (name, own.identity(), repr(sorted((changes or {}).items())))
+        if key not in self.requests:
+            needs = {}
+            for alias, rule in spec.rules().items():
+                if rule.variable in self.specs and rule.variable not in self.cohort.obs.columns:
+                    needs[alias] = self.request(rule.variable, required_window(own, rule.window), True, rule.changes)
+                    self.uses[needs[alias]] += 1
+            self.requests[key] = (spec, own, needs)
+        return key
+
+    def build(self) -> None:
+        """Plans every request; what can't be planned is kept as the error of its key, and so is what requires it."""
+        for key, (spec, own, needs) in self.requests.items():
+            try:
+                required = {}
+                for alias, rule in spec.rules().items():
+                    if alias in needs and needs[alias] in self.failed:
+                        raise self.failed[needs[alias]]
+                    frame = self.built[needs[alias]] if alias in needs else self.cohort.variable(rule.variable)
+                    required[alias] = from_sources(frame, spec.sources)
+                found = dynamic_series(self.bases.get(spec.name), self.cohort.obs, spec, self.cohort.level, own, required, asked=True)
+                self.built[key] = self.share(found) if self.share and self.uses[key] > 1 else found
+            except (AnalysisException, KeyError, ValueError) as e:  # planning errors of one variable shouldn't lose the others
+                self.failed[key] = e
+
+
+def from_sources(df: DataFrame, sources: tuple[str, ...], column: str = "data_source") -> DataFrame:
+    """The rows of the given sources; a frame that doesn't tell its rows' source is taken whole."""
+    return df.where(F.col(column).isin(*sources)) if sources and column in df.columns else df
+
+
 def dynamic_series(base: DataFrame | None, obs: DataFrame, spec: DynamicSpec, level: ObsLevel, window: TimeWindow, required: dict[str, DataFrame] | None = None, *, asked: bool = False) -> DataFrame:
     """Extract, clip, fold attributes, apply the user's function, attach windows, filter by time, clean. If the observations lack
     a column that the window needs, the time filter is left out."""
@@ -141,9 +214,10 @@ _STEP_SCHEMA = "step long, description string, rows_before long, rows_after long
 class Cohort:
     """Lazy but for the log: each selection takes one aggregate over the observations. Operations return a new cohort."""
 
-    def __init__(self, obs: DataFrame, level: ObsLevel | str, *, series: dict[str, DataFrame] | None = None, log: list[Step] | None = None, t_eligible: str | None = None, t_outcome: str | None = None) -> None:
+    def __init__(self, obs: DataFrame, level: ObsLevel | str, *, series: dict[str, DataFrame] | None = None, log: list[Step] | None = None, t_eligible: str | None = None, t_outcome: str | None = None, logged: DataFrame | None = None) -> None:
         self.level = level_named(level) if isinstance(level, str) else level
         self.obs, self.series, self.log = obs, dict(series or {}), list(log or [])
+        self.logged = obs if logged is None else logged  # the observations of the last step of the log
         self.t_eligible, self.t_outcome = t_eligible or self.level.t_min, t_outcome or self.level.outcome
 
     @property
@@ -151,7 +225,7 @@ class Cohort:
         return self.level.key
 
     def _with(self, **changes) -> Cohort:
-        own = {"obs": self.obs, "level": self.level, "series": self.series, "log": self.log, "t_eligible": self.t_eligible, "t_outcome": self.t_outcome}
+        own = {"obs": self.obs, "level": self.level, "series": self.series, "log": self.log, "t_eligible": self.t_eligible, "t_outcome": self.t_outcome, "logged": self.logged}
         return Cohort(**(own | changes))
 
     def window(self) -> TimeWindow:
@@ -161,8 +235,15 @@ class Cohort:
         joins.require_unique(self.obs, self.key)
         return self
 
+    def variable(self, name: str) -> DataFrame:
+        """A variable that the cohort has: key and value (and data_source, if known) of a column of the observations, which comes first,
+        or a time series."""
+        if name in self.obs.columns:
+            return self.obs.select(*dict.fromkeys([self.key, name, *[c for c in ("data_source",) if c in self.obs.columns]]))
+        return self.series[name]
+
     def add_series(self, base: DataFrame | None, spec: DynamicSpec, window: TimeWindow | None = None, required: dict[str, DataFrame] | None = None) -> Cohort:
-        known = {name: self.series[name] for name in spec.rules() if name in self.series}
+        known = {alias: from_sources(self.variable(rule.variable), spec.sources) for alias, rule in spec.rules().items() if rule.variable in self.obs.columns or rule.variable in self.series}
         found = dynamic_series(base, self.obs, spec, self.level, window or self.window(), known | (required or {}), asked=window is not None)
         return self._with(series=self.series | {spec.name: found})
 
@@ -171,26 +252,21 @@ class Cohort:
         start = TimeWindow.between(self.level.t_min, self.level.t_min)
         return start.widened(f"-{margin}", margin)
 
-    def add_all(self, bases: dict[str, DataFrame], specs: list[DynamicSpec], window: TimeWindow | None = None) -> tuple[Cohort, dict[str, str]]:
-        """All specs in the order of what they require, each with what it requires in the window that it asks for; those that can't be
-        planned are reported by name and left out, and so is what requires them. Other errors aren't caught."""
-        by_name, failed, out = {s.name: s for s in specs}, {}, self
-
-        def loaded(name: str, inside: TimeWindow, asked: bool) -> DataFrame:
-            if name not in by_name:
-                return self.series[name]
-            own = chosen_window(by_name[name], inside, asked)
-            needs = {other: loaded(other, required_window(own, rule), True) for other, rule in by_name[name].rules().items()}
-            return dynamic_series(bases.get(name), self.obs, by_name[name], self.level, inside, needs, asked=asked)
-
-        for name in resolved_order({s.name: tuple(s.rules()) for s in specs}):
-            if name not in by_name:
-                continue
-            try:
-                out = out._with(series=out.series | {name: loaded(name, window or self.window(), window is not None)})
-            except (AnalysisException, KeyError, ValueError) as e:  # planning errors of one variable shouldn't lose the others
-                failed[name] = str(e).splitlines()[0]
-        return out, failed
+    def add_all(self, bases: dict[str, DataFrame], specs: list[DynamicSpec], window: TimeWindow | None = None, *, share: Callable[[DataFrame], DataFrame] | None = None) -> tuple[Cohort, dict[str, str]]:
+        """All specs, each with what it requires in the window that it asks for: a column of the observations, a spec of the list, or
+        else a series that the cohort has. Those that can't be planned are reported by name and left out, and so is what requires
+        them; other errors aren't caught. However often a series is required in one window, it is planned once; share (such as
+        `checkpointed`) is applied to those that several others use."""
+        resolved_order({s.name: tuple(r.variable for r in s.rules().values() if r.variable not in self.obs.columns) for s in specs})  # ends a cycle
+        plan = SeriesPlan(self, bases, specs, share)
+        keys = {}
+        for spec in specs:
+            keys[spec.name] = plan.request(spec.name, window or self.window(), window is not None)
+            plan.uses[keys[spec.name]] += 1
+        plan.build()
+        found = {name: plan.built[key] for name, key in keys.items() if key in plan.built}
+        failed = {name: str(plan.failed[key]).splitlines()[0] for name, key in keys.items() if key in plan.failed}
+        return self._with(series=self.series | found), failed
 
     def add_features(self, series: str | DataFrame, features: list[Feature], **options) -> Cohort:
         base = self.series[series] if isinstance(series, str) else series
@@ -217,7 +293,7 @@ class Cohort:
             before = (first["rows"], first["keys"])
         after = snapshot(obs, self.key).first()
         step = Step(description, before[0], after["rows"], before[1], after["keys"], after["key_hash"], group)
-        return self._with(obs=obs, log=[*self.log, step])
+        return self._with(obs=obs, log=[*self.log, step], logged=obs)
 
     def track(self, description: str, test: Column, mode: str = "include") -> Cohort:
         """include keeps rows where test holds, exclude drops them; a null test is neither kept nor dropped on purpose: include
@@ -257,7 +333,8 @@ class Cohort:
 
     def branch(self, obs: DataFrame | None = None) -> Cohort:
         """A cohort with an empty log, from here or from other observations."""
-        return self._with(obs=self.obs if obs is None else obs, log=[])
+        start = self.obs if obs is None else obs
+        return self._with(obs=start, log=[], logged=start)
 
     def attrition(self) -> DataFrame:
         rows = [(i, s.description, s.rows_before, s.rows_after, s.keys_before, s.keys_after, s.rows_before - s.rows_after, s.group) for i, s in enumerate(self.log, 1)]
@@ -279,6 +356,15 @@ class Cohort:
         now = snapshot(self.obs, self.key).first()
         return not self.log or (now["rows"], now["key_hash"]) == (self.log[-1].rows_after, self.log[-1].key_hash)
 
+    def composition(self, since: Cohort | None = None) -> DataFrame:
+        """One row: observations that stayed, came and went since another cohort, or since this one's last logged step (when
+        nothing should have)."""
+        return summary.composition_change(self.logged if since is None else since.obs, self.obs, self.key)
+
+    def overlaps(self, reasons: dict[str, Column]) -> DataFrame:
+        """How many observations each combination of reasons for exclusion applies to."""
+        return summary.reason_overlaps(self.obs, reasons)
+
     def table_one(self, by: str | None = None, **options) -> DataFrame:
         ids = [self.key, *[c for c in self.obs.columns if c.endswith("_id")]]
         return summary.table_one(self.obs, by, skip=[*ids, *options.pop("skip", [])], **options)
@@ -295,16 +381,19 @@ class Cohort:
             else:
                 df.write.mode("overwrite").parquet(f"{folder}/{name}")
 
-    def save(self, folder: str) -> None:
-        self.obs.write.mode("overwrite").parquet(f"{folder}/obs")
-        for name, df in self.series.items():
-            df.write.mode("overwrite").parquet(f"{folder}/series/{name}")
-        meta = {"level": self.level.name, "series": sorted(self.series), "t_eligible": self.t_eligible, "t_outcome": self.t_outcome, "log": [vars(s) for s in self.log]}
-        self.obs.sparkSession.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta")
+    def save(self, folder: str, *, buckets: int | None = None) -> int:
+        """Saves into the folder as a new generation and returns its number; what was saved there before stays until
+        `store.forget_older`. With buckets, tables are dealt by the observation key, and joins and groupings by it need no shuffle after
+        loading."""
+        meta = {"level": vars(self.level), "series": sorted(self.series), "t_eligible": self.t_eligible, "t_outcome": self.t_outcome, "log": [vars(s) for s in self.log]}
+        tables = {"obs": self.obs, **{f"series/{name}": df for name, df in self.series.items()}}
+        return store.save_tables(self.obs.sparkSession, folder, tables, self.key, meta, buckets)
 
     @staticmethod
-    def load(spark: SparkSession, folder: str) -> Cohort:
-        meta = json.loads("".join(r["value"] for r in spark.read.text(f"{folder}/meta").collect()))
-        series = {name: spark.read.parquet(f"{folder}/series/{name}") for name in meta["series"]}
+    def load(spark: SparkSession, folder: str, generation: int | None = None, *, verify: bool = True) -> Cohort:
+        """The cohort saved last, or as a given generation. verify compares every table with its record (one scan of the keys of
+        each); that observations are unique is always checked."""
+        tables, meta = store.load_tables(spark, folder, generation, verify=verify)
+        series = {name: tables[f"series/{name}"] for name in meta["series"]}
         log = [Step(**s) for s in meta["log"]]
-        return Cohort(spark.read.parquet(f"{folder}/obs"), meta["level"], series=series, log=log, t_eligible=meta["t_eligible"], t_outcome=meta["t_outcome"]).validate()
+        return Cohort(tables["obs"], ObsLevel(**meta["level"]), series=series, log=log, t_eligible=meta["t_eligible"], t_outcome=meta["t_outcome"]).validate()

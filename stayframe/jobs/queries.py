@@ -6,6 +6,7 @@ patients; lineitem plays an entity-attribute-value hierarchy.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,8 @@ from ..operators import joins as J
 from ..operators import outcomes as Q
 from ..operators import summary as M
 from ..sources import datasets, hospital
-from .cohort import Cohort, DynamicSpec
+from . import store
+from .cohort import Cohort, DynamicSpec, Requirement, checkpointed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -818,3 +820,95 @@ def struct_field_threshold(spark, d):
 def local_times(spark, d):
     local = T.utc_to_local(F.col("ts").cast("timestamp"), "Europe/Berlin")
     return table(spark, d, "events").select("event_id", (T.micros(local) - T.micros(F.col("ts").cast("timestamp_ntz"))).alias("shift"))
+
+
+# --- saved cohorts, planned variables, tolerant filters, composition ------------------------------------------------------
+
+
+@query(f"""WITH {_CASES}, v AS (SELECT c.case_id, value FROM c JOIN events e ON e.user_id = c.case_id AND e.event_type = 'view' AND e.ts BETWEEN lo AND hi),
+  k AS (SELECT DISTINCT case_id FROM v WHERE value > 80)
+  SELECT case_id, epoch_us(hi) - epoch_us(lo) AS length, (SELECT count(*) FROM v WHERE v.case_id = c.case_id) AS views, 2 AS generations, 1 AS steps FROM c WHERE case_id IN (SELECT case_id FROM k)""")
+def saved_and_reloaded(spark, d):
+    """Saved, loaded, selected from and saved into the same folder."""
+    folder = f"{store.shared_folder(spark)}/stayframe/cohort-{uuid.uuid4().hex}"
+    spec = DynamicSpec("view", {"case_id": "user_id", "recordtime": "ts", "value": "value"}, "event_type = 'view'")
+    _cases(spark, d).add_series(table(spark, d, "events"), spec).save(folder, buckets=8)
+    Cohort.load(spark, folder).include("view", "> 80", "much viewed").save(folder)
+    back = Cohort.load(spark, folder)
+    views = back.series["view"].groupBy("case_id").agg(F.count(F.lit(1)).alias("views"))
+    length = T.micros(F.col("hospital_discharge")) - T.micros(F.col("hospital_admission"))
+    return back.obs.join(views, "case_id").select("case_id", length.alias("length"), "views", F.lit(len(store.commits(spark, folder))).alias("generations"), F.lit(len(back.log)).alias("steps"))
+
+
+def _pair(rows, required, obs):
+    """The sum of two required series at the same instant."""
+    right = required["right"].select("case_id", "recordtime", "event_id", F.col("value").alias("other"))
+    return required["left"].join(right, ["case_id", "recordtime", "event_id"]).select("case_id", "recordtime", "event_id", (F.col("value") + F.col("other")).alias("value"))
+
+
+@query(f"""WITH {_CASES} SELECT c.case_id, event_id, round(value * 16, 4) AS value FROM events e JOIN c ON e.user_id = c.case_id WHERE event_type = 'click' AND ts BETWEEN lo AND lo + INTERVAL 12 DAY""")
+def series_that_share_inputs(spark, d):
+    """Four layers of two series, each made of both below: every one is planned once, and written once."""
+    columns = {"case_id": "user_id", "recordtime": "ts", "value": "value", "event_id": "event_id"}
+    specs = [DynamicSpec(f"{side}0", columns, "event_type = 'click'") for side in "ab"]
+    for i in range(1, 4):
+        specs += [DynamicSpec(f"{side}{i}", function=_pair, requires={"left": Requirement(f"a{i - 1}"), "right": Requirement(f"b{i - 1}")}) for side in "ab"]
+    top = DynamicSpec("top", function=_pair, requires={"left": Requirement("a3"), "right": Requirement("b3")})
+    events = table(spark, d, "events")
+    cohort, failed = _cases(spark, d).add_all({"a0": events, "b0": events}, [top, *specs], TimeWindow.after("hospital_admission", "12d"), share=checkpointed)
+    if failed:
+        raise ValueError(str(failed))
+    return rounded(cohort.series["top"].select("case_id", "event_id", "value"), "value", digits=4)
+
+
+def _hours_left(rows, required, obs):
+    end = required["hospital_discharge"]
+    return rows.join(end, "case_id").withColumn("value", T.time_difference(F.col("hospital_discharge"), F.col("recordtime"), "h"))
+
+
+@query(f"""WITH {_CASES} SELECT c.case_id, event_id, (epoch_us(hi) - epoch_us(ts)) // 3600000000 AS hours FROM events e JOIN c ON e.user_id = c.case_id
+  WHERE event_type = 'error' AND ts BETWEEN lo AND lo + INTERVAL 20 DAY AND c.case_id % 2 = 0""")
+def derived_from_static(spark, d):
+    """A series that requires a column of the observations: it is the same in every window, and only of the sources asked for."""
+    obs = _cases(spark, d).obs.withColumn("data_source", F.when(F.col("case_id") % 2 == 0, "one").otherwise("two"))
+    columns = {"case_id": "user_id", "recordtime": "ts", "value": "value", "event_id": "event_id"}
+    spec = DynamicSpec("left", columns, "event_type = 'error'", function=_hours_left, requires={"hospital_discharge": ("-900d", "-800d")}, sources=("one",), window=TimeWindow.after("hospital_admission", "20d"))
+    cohort, failed = Cohort(obs, "hospital_stay").add_all({"left": table(spark, d, "events")}, [spec])
+    if failed:
+        raise ValueError(str(failed))
+    return cohort.series["left"].select("case_id", "event_id", F.col("value").cast("long").alias("hours"))
+
+
+_TEXTS = "t AS (SELECT event_id, user_id, ts, value, CASE WHEN event_id % 4 = 0 THEN '>90' WHEN event_id % 4 = 1 THEN 'n/a' ELSE CAST(event_id % 100 AS VARCHAR) END AS txt FROM events)"
+
+
+@query(f"""WITH {_CASES}, {_TEXTS}, k AS (SELECT DISTINCT user_id FROM t WHERE TRY_CAST(txt AS INT) > 90)
+  SELECT c.case_id, count(*) FILTER (TRY_CAST(txt AS DOUBLE) > 20 AND ts BETWEEN lo AND lo + INTERVAL 30 DAY) AS high,
+    max(value) FILTER (TRY_CAST(txt AS INT) % 2 = 0 AND ts BETWEEN lo AND lo + INTERVAL 30 DAY) AS even_value FROM c JOIN t ON t.user_id = c.case_id
+  WHERE c.case_id IN (SELECT user_id FROM k) GROUP BY c.case_id HAVING count(*) FILTER (TRY_CAST(txt AS DOUBLE) > 20 AND ts BETWEEN lo AND lo + INTERVAL 30 DAY) > 0""")
+def junk_in_filters(spark, d):
+    """Casts of junk are null in the filters of features, series and selections, written either way."""
+    text = F.expr("CASE WHEN event_id % 4 = 0 THEN '>90' WHEN event_id % 4 = 1 THEN 'n/a' ELSE CAST(event_id % 100 AS string) END")
+    texts = table(spark, d, "events").withColumn("txt", text)
+    columns = {"case_id": "user_id", "recordtime": "ts", "value": "value", "txt": "txt"}
+    marks = DynamicSpec("mark", columns | {"value": "txt"}, window=TimeWindow())
+    cohort = _cases(spark, d).add_series(texts, DynamicSpec("all", columns, window=TimeWindow())).add_series(texts, marks).include("mark", ":: INT > 90", "marked")
+    month = TimeWindow.after("hospital_admission", "30d")
+    wanted = [A.Feature("high", "!count value", "CAST(txt AS DOUBLE) > 20", month), A.Feature("even_value", "!max value", "(txt::INT) % 2 = 0", month)]
+    return cohort.add_features("all", wanted).obs.where("high IS NOT NULL").select("case_id", "high", "even_value")
+
+
+@query(f"""WITH {_CASES}, r AS (SELECT case_id, hour(hi) < 12 AS a, case_id % 3 = 0 AS b, minute(lo) % 2 = 1 AS c FROM c)
+  SELECT concat_ws('+', CASE WHEN a THEN 'ends early' END, CASE WHEN b THEN 'third' END, CASE WHEN c THEN 'odd minute' END) AS reasons, a::INT + b::INT + c::INT AS n_reasons, count(*) AS rows FROM r GROUP BY a, b, c""")
+def overlapping_reasons(spark, d):
+    cohort = _cases(spark, d)
+    reasons = {"ends early": F.hour("hospital_discharge") < 12, "third": F.col("case_id") % 3 == 0, "odd minute": F.minute("hospital_admission") % 2 == 1}
+    return cohort.overlaps(reasons).select(F.array_join("reasons", "+").alias("reasons"), F.col("n_reasons").cast("int").alias("n_reasons"), "rows")
+
+
+@query("""WITH o AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_totalprice > 200000), a AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY o_custkey)
+  SELECT count(*) FILTER (o.k IS NOT NULL AND a.k IS NOT NULL) AS stayed, count(*) FILTER (o.k IS NULL) AS came, count(*) FILTER (a.k IS NULL) AS went, (SELECT count(*) FROM orders WHERE o_totalprice > 200000) AS rows_before,
+    coalesce(sum(a.n), 0)::BIGINT AS rows_after FROM o FULL JOIN a ON a.k = o.k""")
+def changed_composition(spark, d):
+    orders = table(spark, d, "orders")
+    return M.composition_change(orders.where("o_totalprice > 200000"), orders.where("o_orderpriority = '1-URGENT'"), "o_custkey")

@@ -21,9 +21,47 @@ _CAST = re.compile(r"\bcast(?=\s*\()", re.I)
 _DAYS = re.compile(r"^_d(\d+)$")
 
 
+_TYPE = re.compile(r"\s*(\w+(?:\s*\(\s*\d+\s*(?:,\s*\d+\s*)?\)|\s*<[\w\s:,<>`]*>)?)")
+_CLOSING = {")": "(", "]": "["}
+
+
+def _operand_start(sql: str, end: int, inside: list[bool]) -> int:
+    """Where the operand that ends at `end` begins: a name, number, quoted text, bracketed expression or call, with its fields and
+    elements."""
+    at = end
+    while at and sql[at - 1].isspace():
+        at -= 1
+    while at:
+        c = sql[at - 1]
+        if inside[at - 1]:  # quoted: back to its first character
+            while at and inside[at - 1]:
+                at -= 1
+        elif c in _CLOSING:
+            depth = 0
+            while at:
+                at -= 1
+                depth += 0 if inside[at] else (sql[at] in _CLOSING) - (sql[at] in _CLOSING.values())
+                if not depth:
+                    break
+        elif c.isalnum() or c in "_.":
+            at -= 1
+        else:
+            break
+    return at
+
+
 def tolerant(sql: str) -> str:
-    """The fragment with TRY_CAST for CAST, outside of quotes, so that a value that can't be cast is null and doesn't end the job."""
-    return "".join(part if i % 2 else _CAST.sub("TRY_CAST", part) for i, part in enumerate(_QUOTED.split(sql)))
+    """The fragment with TRY_CAST for CAST and for `value::type`, outside of quotes, so that a value that can't be cast is null and
+    doesn't end the job."""
+    sql = "".join(part if i % 2 else _CAST.sub("TRY_CAST", part) for i, part in enumerate(_QUOTED.split(sql)))
+    while True:
+        inside = [bool(i % 2) for i, part in enumerate(_QUOTED.split(sql)) for _ in part]
+        found = next((i for i in range(len(sql) - 1) if sql.startswith("::", i) and not inside[i]), None)
+        kind = _TYPE.match(sql, found + 2) if found is not None else None
+        if not kind:
+            return sql
+        start = _operand_start(sql, found, inside)
+        sql = f"{sql[:start]}TRY_CAST({sql[start:found].strip()} AS {kind[1]}){sql[kind.end():]}"
 
 
 def where_sql(df: DataFrame, where: str | None, admission: str = "hospital_admission") -> DataFrame:
@@ -51,12 +89,13 @@ def admission_days(number: int, column: str = "hospital_admission", first: str =
 
 
 def condition(text: str) -> Column:
-    """A row filter: `!isin(c, [a, b])`, `!startswith(c, [a])`, `!endswith(c, [a])` or a SQL condition. Struct fields are named with dots."""
+    """A row filter: `!isin(c, [a, b])`, `!startswith(c, [a])`, `!endswith(c, [a])` or a SQL condition, in which casts that fail give
+    null. Struct fields are named with dots."""
     magic = _MAGIC.match(text.strip())
     if not magic:
         if re.search(r"[<>]=?[^<>=!]*[\w.]+\s*[<>]=?", text) and " and " not in text.lower() and " or " not in text.lower():
             raise ValueError(f"chained comparison in {text!r}; write BETWEEN")
-        return F.expr(text)
+        return F.expr(tolerant(text))
     kind, column, listed = magic.groups()
     values = [v.strip().strip("'\"") for v in re.findall(r"'[^']*'|\"[^\"]*\"|[^,\s][^,]*", listed)]
     if kind == "isin":

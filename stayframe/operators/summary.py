@@ -161,3 +161,29 @@ def share_within(df: DataFrame, group: list[str], level: str) -> DataFrame:
 
 def top_one(df: DataFrame, value: str, tiebreak: str) -> DataFrame:
     return df.orderBy(F.desc_nulls_last(value), tiebreak).limit(1)
+
+
+def reason_overlaps(df: DataFrame, reasons: dict[str, Column], key: str | None = None) -> DataFrame:
+    """(reasons, n_reasons, rows[, keys]): how many rows each combination of reasons applies to, those without any included. A null
+    test doesn't apply. One pass: a row's combination is one number, by which rows are counted before they are shuffled."""
+    if not 0 < len(reasons) < 63:
+        raise ValueError("name 1 to 62 reasons")
+    bits = F.lit(0).cast("long")
+    for i, test in enumerate(reasons.values()):
+        bits = bits + F.when(test, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
+    keys = [F.count_distinct(key).alias("keys")] if key else []
+    counts = df.groupBy(bits.alias("__bits")).agg(F.count(F.lit(1)).alias("rows"), *keys)
+    named = F.array_compact(F.array(*[F.when(F.col("__bits").bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(name)) for i, name in enumerate(reasons)]))
+    return counts.select(named.alias("reasons"), F.bit_count("__bits").alias("n_reasons"), "rows", *(["keys"] if key else []))
+
+
+def composition_change(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """One row: keys that stayed, came and went, and rows before and after (more than keys, if keys repeat). Null is a key. Keys are
+    counted by side before they are shuffled, and meet no other column."""
+    side = lambda df, old: df.select(F.col(key).alias("k"), F.lit(int(old)).cast("long").alias("old"), F.lit(int(not old)).cast("long").alias("new"))
+    met = side(before, True).unionByName(side(after, False)).groupBy("k").agg(F.sum("old").alias("old"), F.sum("new").alias("new"))
+    count = lambda test: F.count_if(F.expr(test))
+    return met.agg(
+        count("old > 0 AND new > 0").alias("stayed"), count("old = 0").alias("came"), count("new = 0").alias("went"),
+        F.coalesce(F.sum("old"), F.lit(0)).alias("rows_before"), F.coalesce(F.sum("new"), F.lit(0)).alias("rows_after"),
+    )

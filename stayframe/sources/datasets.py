@@ -9,6 +9,8 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.frames import where_sql
+
 
 @dataclass(frozen=True)
 class Dataset:
@@ -44,9 +46,8 @@ def read_dataset(spark: SparkSession, path: str, manifest: str = "manifest.json"
 
 
 def read_measurements(spark: SparkSession, path: str, columns: list[str], where: str | None = None) -> DataFrame:
-    """Only the wanted columns and rows; both reach the scan."""
-    df = spark.read.parquet(path)
-    return (df.where(F.expr(where)) if where else df).select(*columns)
+    """Only the wanted columns and rows; both reach the scan. A value that the condition can't cast is null."""
+    return where_sql(spark.read.parquet(path), where).select(*columns)
 
 
 def read_mapping_csv(spark: SparkSession, path: str, key: str, target: str) -> DataFrame:
