@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 import uuid
 from dataclasses import dataclass
 from urllib.parse import quote
@@ -22,26 +21,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-_OWN_FOLDERS: dict[str, str] = {}
+from ..tables import shared_folder
+
+__all__ = ["DamagedCohort", "commits", "forget_older", "load_tables", "save_tables", "shared_folder"]
 
 
 class DamagedCohort(ValueError):
     """The files of a saved cohort aren't those that its record tells of."""
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which all executors share; a session on one machine that has none gets a folder of its own."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if known:
-        return known
-    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if app not in _OWN_FOLDERS:
-        _OWN_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-")
-    return _OWN_FOLDERS[app]
-
-
 def table_facts(df: DataFrame, key: str) -> dict:
     """Rows and the order-free sum of the keys' hashes (null without the key): one scan of one column."""
     total = F.sum(F.xxhash64(key).cast("decimal(38,0)")) if key in df.columns else F.lit(None).cast("decimal(38,0)")
