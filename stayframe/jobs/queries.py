@@ -24,7 +24,7 @@ from ..operators import outcomes as Q
 from ..operators import summary as M
 from ..sources import datasets, hospital
 from . import store
-from .cohort import Cohort, DynamicSpec, Requirement, checkpointed
+from .cohort import Cohort, DynamicSpec, Requirement, checkpointed, overridden, per_group
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -912,3 +912,128 @@ def overlapping_reasons(spark, d):
 def changed_composition(spark, d):
     orders = table(spark, d, "orders")
     return M.composition_change(orders.where("o_totalprice > 200000"), orders.where("o_orderpriority = '1-URGENT'"), "o_custkey")
+
+
+_MEETINGS = f"""WITH {{ep}}, w AS (SELECT event_id AS window_id, user_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE ts END AS lo, CASE WHEN event_id % 11 = 0 THEN NULL ELSE ts + to_hours((event_id % 90)::INT) END AS hi FROM events WHERE event_type = 'purchase')
+  SELECT ep.event_id, w.window_id, ep.user_id FROM ep JOIN w USING (user_id) WHERE (hi IS NULL OR s <= hi) AND (lo IS NULL OR e >= lo)"""
+
+
+def _visit_windows(spark, d):
+    visits = table(spark, d, "events").where("event_type = 'purchase'")
+    length = F.make_dt_interval(F.lit(0), (F.col("event_id") % 90).cast("int"))
+    bounds = {"tmin": F.when(F.col("event_id") % 13 != 0, F.col("ts")), "tmax": F.when(F.col("event_id") % 11 != 0, F.col("ts") + length)}
+    return visits.withColumns(bounds).select(F.col("event_id").alias("window_id"), "user_id", *[F.col(c).cast("timestamp_ntz").alias(c) for c in bounds])
+
+
+@query(_MEETINGS.replace("{ep}", ep("view", 3600)))
+def intervals_in_windows(spark, d):
+    """Intervals of hours and windows of days, some of them open, met in bins of time."""
+    met = J.interval_join(episodes(spark, d, "view", "h"), _visit_windows(spark, d), "user_id")
+    return met.select("event_id", "window_id", "user_id")
+
+
+@query(_MEETINGS.replace("{ep}", ep("view", 3600)) + " AND NOT (lo IS NULL OR s >= lo) AND (hi IS NULL OR e <= hi) OR (s <= hi AND e >= lo AND s < lo AND e > hi)")
+def intervals_over_window_starts(spark, d):
+    met = J.interval_join(episodes(spark, d, "view", "h"), _visit_windows(spark, d), "user_id", relations=("OVERLAPS_LEFT", "COVERS_WINDOW"))
+    return met.select("event_id", "window_id", "user_id")
+
+
+@query(ORACLE_SQL["merged_episodes"])
+def merged_episodes_in_slices(spark, d):
+    return W.merge_episodes(episodes(spark, d, "view", "h"), "user_id", "recordtime", "recordtime_end", "2h", slices="4d")
+
+
+@query("""WITH v AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER w AS was, lead(ts) OVER w AS nxt, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+  SELECT event_id, user_id || '_' || n AS stay_id, sum(CASE WHEN n > 1 AND was <> event_type THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING)::BIGINT AS block, epoch_us(nxt) - epoch_us(ts) AS lasts FROM v""")
+def blocks_and_ids_in_slices(spark, d):
+    """Sequential ids, runs of one kind and the time to the next record, scanned in slices of three days."""
+    order = ["recordtime", "event_id"]
+    rows = series(spark, d).select("event_id", "user_id", "recordtime", "event_type")
+    named = W.sequential_id(rows, "user_id", order, "stay_id", slices="3d")
+    blocks = W.change_blocks(named, "user_id", "event_type", order, slices="3d")
+    ends = W.impute_end(rows, "user_id", "recordtime", "end", tiebreak=["event_id"], slices="3d").select("event_id", "end")
+    lasts = (T.micros(F.col("end")) - T.micros(F.col("recordtime"))).alias("lasts")
+    return blocks.join(ends, "event_id", "left").select("event_id", "stay_id", F.col("block").cast("long").alias("block"), lasts)
+
+
+# --- procedures, static joins, overrides, user code -------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT o_custkey AS c, o_orderkey AS seq, o_orderpriority AS ward, min(o_orderdate + to_hours((l_linenumber * 2 - 5)::INT)) AS began, string_agg('5-' || (l_partkey % 7), '+' ORDER BY l_linenumber, l_partkey % 7) AS codes
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY ALL),
+  n AS (SELECT o_orderkey, p.*, row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(epoch_us(began) - epoch_us(o_orderdate)) , began, CASE WHEN began > o_orderdate THEN seq ELSE -seq END) AS i FROM orders JOIN p ON c = o_custkey AND abs(epoch_us(began) - epoch_us(o_orderdate)) <= 14400000000)
+  SELECT o_custkey AS case_id, o_orderdate AS or_time_begin, o_orderdate + to_hours((o.o_orderkey % 9)::INT) AS or_time_end, o_orderdate + INTERVAL 30 MINUTE AS or_time_incision, began AS or_time_ops, coalesce(codes, '') AS codes, ward AS bw_ward
+  FROM orders o LEFT JOIN n ON n.o_orderkey = o.o_orderkey AND i = 1""")
+def procedures_of_cases(spark, d):
+    """Orders as treatments of a hierarchy, with times as text, and their lines as coded procedures of the customer."""
+    orders = table(spark, d, "orders").withColumn("t", F.col("o_orderdate").cast("timestamp_ntz"))
+    text = lambda hours: F.date_format(F.col("t") + F.make_dt_interval(F.lit(0), hours), "yyyy-MM-dd HH:mm:ss")
+    node = lambda n, parent, name, value=None: F.struct((F.col("o_orderkey") * 10 + n).alias("id"), (F.col("o_orderkey") * 10 + parent if parent is not None else F.lit(None).cast("long")).alias("parent_id"), F.lit(name).alias("name"), (value if value is not None else F.lit(None).cast("string")).alias("value"))
+    half_past = F.date_format(F.col("t") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(30)), "yyyy-MM-dd HH:mm:ss")
+    nodes = [node(0, None, "treatment"), node(1, 0, "begin", text(F.lit(0))), node(2, 0, "end", text((F.col("o_orderkey") % 9).cast("int"))), node(3, 0, "operation"), node(4, 3, "event", F.lit("CUT")), node(5, 3, "at", half_past)]
+    hierarchy = orders.select(F.col("o_custkey").alias("case_id"), F.explode(F.array(*nodes)).alias("x")).select("case_id", "x.*")
+    lines = table(spark, d, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "t"), "l_orderkey")
+    code = F.concat(F.when(F.col("l_returnflag") == "R", "5-").otherwise("8-"), (F.col("l_partkey") % 7).cast("string"))
+    begin = F.col("t") + F.make_dt_interval(F.lit(0), (F.col("l_linenumber") * 2 - 5).cast("int"))
+    coded = lines.select(F.col("o_custkey").alias("case_id"), F.col("l_orderkey").alias("seq"), code.alias("code"), begin.alias("begin"))
+    movements = orders.select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("ward"), F.col("o_orderstatus").alias("department"))
+    names = {"treatment": "treatment", "begin": "begin", "end": "end", "operation": "operation", "event": "event", "event_time": "at"}
+    found = hospital.build_procedures(hierarchy, coded, movements, names=names, events={"CUT": "or_time_incision"}, zone="UTC")
+    return found.select("case_id", "or_time_begin", "or_time_end", "or_time_incision", "or_time_ops", F.array_join("ops_code", "+").alias("codes"), "bw_ward")
+
+
+@query("""SELECT c_custkey, c_mktsegment, n AS orders_n, spent AS orders_spent FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""")
+def static_values_joined(spark, d):
+    """One row a key joined to the observations under another name; what they had under that name goes."""
+    obs = table(spark, d, "customer").select("c_custkey", "c_mktsegment").withColumns({"orders": F.lit(1), "orders_old": F.lit(2)})
+    data = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("count_n"), F.round(F.sum("o_totalprice"), 2).alias("count_spent"))
+    return J.add_static(obs, data, "c_custkey", "count", "orders", replace="prefix")
+
+
+@query(f"""WITH {_CASES} SELECT c.case_id, count(*) AS n FROM events e JOIN c ON e.user_id = c.case_id WHERE event_type = 'view' AND value <= 50 AND ts BETWEEN lo AND lo + INTERVAL 5 DAY GROUP BY c.case_id""")
+def overridden_definition(spark, d):
+    """A definition with a window of its own that no other replaces, and cleaning that a project changes."""
+    definition = {"where": "event_type = 'view'", "cleaning": {"value": {"low": 0.0, "high": 900.0}}, "frozen": True}
+    given = overridden(definition, {"cleaning": {"value": {"high": 50.0}}})
+    columns = {"case_id": "user_id", "recordtime": "ts", "value": "value"}
+    spec = DynamicSpec("view", columns, window=TimeWindow.after("hospital_admission", "5d"), levels=("hospital_stay",), **given)
+    found = _cases(spark, d).add_series(table(spark, d, "events"), spec, TimeWindow.after("hospital_admission", "90d")).series["view"]
+    return found.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH {_CASES}, x AS (SELECT c.case_id, floor((epoch_us(ts) - epoch_us(lo)) / 86400000000)::BIGINT AS day FROM c JOIN events e ON e.user_id = c.case_id AND event_type = 'error' AND ts >= lo AND ts < lo + INTERVAL 14 DAY)
+  SELECT c.case_id, (14 - (SELECT count(DISTINCT day) FROM x WHERE x.case_id = c.case_id))::INT AS quiet_14d FROM c""")
+def quiet_days(spark, d):
+    """The horizon variable: days of the first 14 without an error; an error lasts a moment."""
+    columns = {"case_id": "user_id", "recordtime": "ts", "recordtime_end": "CAST(ts AS timestamp_ntz) + INTERVAL 0.000001 SECOND"}
+    errors = P.select_sql(table(spark, d, "events"), columns, "event_type = 'error'")
+    return _cases(spark, d).add_free_days(errors, "quiet", 14, method="day_grid").obs.select("case_id", "quiet_14d")
+
+
+@query(f"""WITH {_CASES}, {ep("view", 3600)}, p AS (SELECT c.case_id, epoch_us(s) AS s, epoch_us(e) AS e, value, CASE WHEN c.case_id % 5 = 0 THEN NULL ELSE epoch_us(lo + INTERVAL 3 DAY) END AS lo, epoch_us(lo + INTERVAL 9 DAY) AS hi FROM ep JOIN c ON ep.user_id = c.case_id WHERE e > s),
+  k AS (SELECT case_id, value * (least(e, hi) - greatest(s, coalesce(lo, s))) / (e - s) AS part FROM p WHERE s < hi AND (lo IS NULL OR e > lo))
+  SELECT case_id, round(sum(part), 6) AS total, round(sqrt(sum(part * part)), 6) AS root FROM k GROUP BY case_id""")
+def clipped_sums(spark, d):
+    """One value a key, with open bounds kept; besides the sum an aggregate of the user's own."""
+    cases = _cases(spark, d).obs
+    low = F.when(F.col("case_id") % 5 != 0, T.offset(F.col("hospital_admission"), "3d"))
+    bounds = cases.select(F.col("case_id").alias("user_id"), low.alias("lo"), T.offset(F.col("hospital_admission"), "9d").alias("hi"))
+    rows = episodes(spark, d, "view", "h").join(bounds, "user_id")
+    one = lambda aggregate, name: W.interval_bucket(rows, "user_id", tmin="lo", tmax="hi", missing="keep", aggregate=aggregate).select(F.col("user_id").alias("case_id"), F.round("value", 6).alias(name))
+    return one(F.sum, "total").join(one(lambda v: F.sqrt(F.sum(v * v)), "root"), "case_id")
+
+
+def _halves(rows):
+    """Sums of a user's values in the first and the second half of its rows: a rule of the user's own that needs them in order."""
+    ordered = rows.sort_values(["ts", "event_id"])
+    middle = len(ordered) // 2
+    sums = [[float(part["value"].sum())] for part in (ordered.iloc[:middle], ordered.iloc[middle:])]
+    return ordered[["user_id"]].head(1).assign(early=sums[0], late=sums[1])
+
+
+@query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS c FROM events WHERE event_type = 'click')
+  SELECT user_id, round(coalesce(sum(value) FILTER (n <= c // 2), 0), 4) AS early, round(coalesce(sum(value) FILTER (n > c // 2), 0), 4) AS late FROM r GROUP BY user_id""")
+def halves_by_user_code(spark, d):
+    clicks = table(spark, d, "events").where("event_type = 'click'").select("user_id", "event_id", "ts", "value")
+    found = per_group(clicks, "user_id", _halves, "user_id long, early double, late double")
+    return rounded(found, "early", "late", digits=4)

@@ -70,16 +70,18 @@ def require_unique(df: DataFrame, key: str) -> None:
         raise ValueError(f"{key} isn't unique")
 
 
-def add_static(obs: DataFrame, data: DataFrame, key: str, name: str, save_as: str | None = None) -> DataFrame:
+def add_static(obs: DataFrame, data: DataFrame, key: str, name: str, save_as: str | None = None, *, replace: str = "named") -> DataFrame:
     """obs with the columns of data (one row a key) named like the variable: `name` and `name_*` become `save_as` and
-    `save_as_*`; columns of these names in obs are replaced, other columns of data are refused."""
+    `save_as_*`; other columns of data are refused. Columns of obs that have one of the new names are replaced; with replace="prefix", all
+    whose names begin with save_as go."""
     target = save_as or name
     extra = [c for c in data.columns if c != key and c != name and not c.startswith(f"{name}_")]
     if extra:
         raise ValueError(f"unexpected columns {extra}")
     renamed = data.withColumnsRenamed({c: target + c.removeprefix(name) for c in data.columns if c != key})
     new = [c for c in renamed.columns if c != key]
-    return obs.drop(*new).join(renamed, key, "left")
+    old = [c for c in obs.columns if c != key and c.startswith(target)] if replace == "prefix" else new
+    return obs.drop(*old).join(renamed, key, "left")
 
 
 def asof_join(
@@ -187,11 +189,57 @@ def same_instant(left: DataFrame, right: DataFrame, key: str, on: str = "recordt
     return left.join(right, [key, on])
 
 
-def interval_join(intervals: DataFrame, windows: DataFrame, key: str, *, start: str = "recordtime", end: str = "recordtime_end", relations: tuple[str, ...] | None = None) -> DataFrame:
-    """Intervals with the windows (tmin, tmax) of the same key that they meet in one of the relations (default: any)."""
-    joined = intervals.join(windows, key)
-    test = (F.col(start), F.col(end), F.col("tmin"), F.col("tmax"))
-    return joined.where(overlaps(*test, relations) if relations else overlaps(*test))
+_OPEN, _ODD = 63, 64
+
+
+def _span(low: Column, high: Column, unit: int) -> dict[str, Column]:
+    """The reach of [low, high] in microseconds, and its level: the smallest whose bins (unit * 2^level) are no shorter than it."""
+    a, b = micros(low), micros(high)
+    first, last = F.least(a, b), F.greatest(a, b)
+    length = (last - first) / F.lit(float(unit))
+    level = F.when(low.isNull() | high.isNull(), F.lit(_OPEN)).otherwise(F.greatest(F.ceil(F.log2(F.greatest(length, F.lit(1.0)))), F.lit(0)).cast("int"))
+    return {"__first": first, "__last": last, "__level": level}
+
+
+def _binned(rows: DataFrame, others: list[int], unit: int) -> DataFrame:
+    """rows, once for each bin that they touch (two at most) at their own level and at each higher one of the other side."""
+    levels = F.array_distinct(F.concat(F.array("__level"), F.filter(F.lit(others).cast("array<int>"), lambda x: (x > F.col("__level")) & (x <= _OPEN))))
+    at = rows.withColumn("__at", F.explode(levels))
+    width = F.lit(unit) * F.expr("shiftleft(1L, least(__at, 40))")
+    low, high = F.floor(F.col("__first") / width), F.floor(F.col("__last") / width)
+    bins = F.when(F.col("__at") >= _OPEN, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(low, high))
+    return at.withColumn("__bin", F.explode(bins))
+
+
+def interval_join(intervals: DataFrame, windows: DataFrame, key: str, *, start: str = "recordtime", end: str = "recordtime_end", relations: tuple[str, ...] | None = None, unit: Offset | None = "1m") -> DataFrame:
+    """Intervals with the windows (tmin, tmax) of the same key that they meet in one of the relations (default: any).
+
+    Both sides are dealt into bins of time, at levels of which each has bins twice as long as the one before. An interval touches two bins
+    at most at its own level and at any higher one, so short and long ones (open ones too) give few rows. Two that overlap meet at the
+    level of the longer one, and are a pair only in the bin in which the later of them begins. A key with many of both
+    doesn't form their product. unit is the length of the shortest bins; None compares all pairs of a key, which is right for keys that
+    hold little.
+    """
+    test = overlaps(F.col(start), F.col(end), F.col("tmin"), F.col("tmax"), *([relations] if relations else []))
+    if unit is None:
+        return intervals.join(windows, key).where(test)
+    short = fixed_micros(unit)
+    left = intervals.withColumns(_span(F.col(start), F.col(end), short))
+    right = windows.withColumns(_span(F.col("tmin"), F.col("tmax"), short))
+    # an interval without start or end only meets windows that are open
+    left = left.withColumn("__level", F.when(F.col("__level") == _OPEN, F.lit(_ODD)).otherwise(F.col("__level")))
+    levels = [sorted(r[0] for r in side.select("__level").distinct().collect()) for side in (left, right)]  # 65 at most
+    names = {c: f"{c}_w" for c in ("__first", "__last", "__level")}
+    a = _binned(left.where(F.col("__level") < _ODD), levels[1], short)
+    b = _binned(right, levels[0], short).withColumnsRenamed(names)
+    pairs = a.join(b, [key, "__at", "__bin"])
+    width = F.lit(short) * F.expr("shiftleft(1L, least(__at, 40))")
+    once = (F.col("__at") >= _OPEN) | (F.col("__bin") == F.floor(F.greatest("__first", "__first_w") / width))
+    found = pairs.where((F.col("__at") == F.greatest("__level", "__level_w")) & once & test).drop("__at", "__bin", "__first", "__last", "__level", *names.values())
+    if _ODD not in levels[0]:
+        return found
+    odd = intervals.where(F.col(start).isNull() | F.col(end).isNull()).join(windows.where("tmin IS NULL OR tmax IS NULL"), key).where(test)
+    return found.unionByName(odd)
 
 
 def pivot_hierarchy(nodes: DataFrame, parent: str, suffixes: list[str], optional: list[str] | None = None, *, keep: list[str] | None = None) -> DataFrame:

@@ -37,50 +37,66 @@ def _groups(by: str | None, overall: bool) -> Column:
     return F.explode(F.array(*own, *([F.lit(OVERALL)] if overall or not by else []))).alias("grp")
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...] = QUARTILES, pieces: int = 64) -> DataFrame:
-    """keys and `cuts`, the exact percentiles of value (interpolated, nulls left out), spread over tasks however many values a key has.
+#: Values of a sketch: the rank of an approximate percentile is off by a share of 1 / SKETCH at most.
+SKETCH = 1000
 
-    Equal values are counted together. Approximate percentiles of the distinct ones cut each key's range into pieces; the counts of
-    the pieces say at which rank each begins, and only inside a piece are values ranked. Keys without a value have no row.
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...] = QUARTILES, also: dict[str, Column] | None = None) -> DataFrame:
+    """keys and `cuts`, the exact percentiles of value (interpolated, nulls left out), in two scans however many values a key has.
+
+    The first scan makes a mergeable sketch for each key; its approximate percentiles a little below and above each point bracket the
+    exact one for sure. The second counts what lies below each bracket, and how often each value inside it occurs: a few
+    thousandths of the rows, and the only values that are ranked. Keys without a value have null cuts. also holds aggregates that the first
+    scan takes along, over df's own columns and the value as `v`.
     """
     named = {k: f"__k{i}" for i, k in enumerate(keys)}
-    plain = df.select(*[F.col(k).alias(n) for k, n in named.items()], F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    names = list(named.values())
-    counts = plain.groupBy(*names, "v").agg(F.count(F.lit(1)).alias("n"))
-    inner = [F.lit(i / pieces) for i in range(1, pieces)]
-
-    def beside(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-        other = right.withColumnsRenamed({c: f"{c}_too" for c in on})
+    names, margin = list(named.values()), 2 / SKETCH
+    plain = df.select("*", *[F.col(k).alias(n) for k, n in named.items()], F.col(value).cast("double").alias("v"))
+    ends = [x for p in points for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    sketch = F.percentile_approx("v", F.array(*map(F.lit, ends)), F.lit(SKETCH))
+    first = plain.groupBy(*names).agg(F.count("v").alias("all"), sketch.alias("ends"), F.min("v").alias("least"), F.max("v").alias("most"), *[c.alias(n) for n, c in (also or {}).items()])
+    few = F.col("all") <= SKETCH  # the margin is less than a rank: all values are inside
+    low = [F.when(few | F.lit(p <= margin), F.col("least")).otherwise(F.get("ends", F.lit(2 * i))) for i, p in enumerate(points)]
+    high = [F.when(few | F.lit(p >= 1 - margin), F.col("most")).otherwise(F.get("ends", F.lit(2 * i + 1))) for i, p in enumerate(points)]
+    brackets = first.select(*names, F.array(*[F.struct(lo.alias("low"), hi.alias("high")) for lo, hi in zip(low, high, strict=True)]).alias("brackets"), "all")
+
+    def beside(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+        other = right.withColumnsRenamed({c: f"{c}_too" for c in names})
         test = F.lit(True)
-        for c in on:
+        for c in names:
             test = test & F.col(c).eqNullSafe(F.col(f"{c}_too"))
-        return left.join(other, test).drop(*[f"{c}_too" for c in on])
-
-    splits = counts.groupBy(*names).agg(F.percentile_approx("v", F.array(*inner), F.lit(pieces * 4)).alias("splits"))
-    placed = beside(counts, splits, names).withColumn("piece", F.size(F.filter("splits", lambda s: s < F.col("v")))).drop("splits")
-    of_key = Window.partitionBy(*names)
-    sizes = placed.groupBy(*names, "piece").agg(F.sum("n").alias("of_piece"))  # at most `pieces` rows a key
-    sizes = sizes.withColumns({"first": F.sum("of_piece").over(of_key.orderBy("piece")) - F.col("of_piece"), "all": F.sum("of_piece").over(of_key)}).drop("of_piece")
-    inside = Window.partitionBy(*names, "piece").orderBy("v")
-    ranked = beside(placed.withColumn("before", F.sum("n").over(inside) - F.col("n")), sizes, [*names, "piece"]).withColumn("before", F.col("before") + F.col("first"))
-    at = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("v")))
-    place = [F.lit(p) * (F.col("all") - 1) for p in points]
-    ends = [F.struct(at(F.floor(x)).alias("low"), at(F.ceil(x)).alias("high"), F.max(x - F.floor(x)).alias("part")) for x in place]
-    found = ranked.groupBy(*names).agg(F.array(*ends).alias("ends"))
-    cuts = F.transform("ends", lambda e: F.when(e["part"] == 0, e["low"]).otherwise((1 - e["part"]) * e["low"] + e["part"] * e["high"]))
-    return found.select(*[F.col(n).alias(k) for k, n in named.items()], cuts.alias("cuts"))
+        return left.join(other, test, how).drop(*[f"{c}_too" for c in names])
+
+    # a value above the bracket of a point says nothing about it; one below only counts
+    where = F.transform("brackets", lambda b, i: F.struct(i.alias("point"), F.when(F.col("v") >= b["low"], F.col("v")).alias("inside"), (F.col("v") <= b["high"]).alias("counts")))
+    met = beside(plain.where("v IS NOT NULL").select(*names, "v"), brackets.where("all > 0"))
+    each = met.select(*names, F.explode(F.filter(where, lambda x: x["counts"])).alias("x")).select(*names, "x.point", "x.inside")
+    counted = each.groupBy(*names, "point", "inside").agg(F.count(F.lit(1)).alias("n"))  # what lies below is one row
+    so_far = F.sum("n").over(Window.partitionBy(*names, "point").orderBy(F.asc_nulls_first("inside")))
+    ranked = beside(counted.withColumn("upto", so_far), brackets.select(*names, "all"))
+    of_point = F.element_at(F.array(*map(F.lit, points)), F.col("point") + 1)
+    place = ranked.withColumn("place", of_point * (F.col("all") - 1)).withColumn("before", F.col("upto") - F.col("n"))
+    at = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("upto")), F.col("inside")))
+    found = place.groupBy(*names, "point").agg(at(F.floor("place")).alias("low"), at(F.ceil("place")).alias("high"), F.max(F.col("place") - F.floor("place")).alias("part"))
+    cut = F.when(F.col("part") == 0, F.col("low")).otherwise((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high"))
+    cuts = found.groupBy(*names).agg(*[F.max(F.when(F.col("point") == i, cut)).alias(f"cut{i}") for i in range(len(points))])
+    whole = beside(first, cuts, "left")
+    array = F.when(F.col("all") > 0, F.array(*[F.col(f"cut{i}") for i in range(len(points))]))
+    return whole.select(*[F.col(n).alias(k) for k, n in named.items()], array.alias("cuts"), *(also or {}))
 
 
 def table_one_numbers(df: DataFrame, columns: list[str], by: str | None = None, *, overall: bool = True) -> DataFrame:
-    """(grp, variable, n, missing, mean, sd, median, q1, q3) of numeric columns."""
-    of = lambda c, v: F.struct(F.lit(c).alias("variable"), F.count(v).alias("n"), F.count_if(v.isNull()).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd")).alias(f"s_{c}")
-    rows = df.select(_groups(by, overall), *columns)
-    grouped = rows.groupBy("grp").agg(*[of(c, F.col(c).cast("double")) for c in columns])
-    long = grouped.select("grp", F.explode(F.array(*[f"s_{c}" for c in columns])).alias("x")).select("grp", "x.*")
+    """(grp, variable, n, missing, mean, sd, median, q1, q3) of numeric columns, in the two scans of exact_percentiles."""
+    return _numbers(df, columns, by, overall).drop("lowest", "highest")
+
+
+def _numbers(df: DataFrame, columns: list[str], by: str | None, overall: bool) -> DataFrame:
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in columns]))
-    cuts = exact_percentiles(rows.select("grp", each.alias("x")).select("grp", "x.*"), ["grp", "variable"], "v")
+    long = df.select(_groups(by, overall), *columns).select("grp", each.alias("x")).select("grp", "x.variable", F.col("x.v").alias("number"))
+    also = {"n": F.count("number"), "missing": F.count_if(F.col("number").isNull()), "mean": F.avg("number"), "sd": F.stddev_samp("number"), "lowest": F.min("number"), "highest": F.max("number")}
     cut = lambda i, name: F.get("cuts", F.lit(i)).alias(name)
-    return long.join(cuts, ["grp", "variable"], "left").select("grp", "variable", "n", "missing", "mean", "sd", cut(1, "median"), cut(0, "q1"), cut(2, "q3"))
+    found = exact_percentiles(long, ["grp", "variable"], "number", also=also)
+    return found.select("grp", "variable", "n", "missing", "mean", "sd", cut(1, "median"), cut(0, "q1"), cut(2, "q3"), "lowest", "highest")
 
 
 def table_one(df: DataFrame, by: str | None = None, *, overall: bool = True, skip: list[str] | None = None, as_mean: list[str] | None = None, decimals: int = 1) -> DataFrame:
@@ -128,22 +144,15 @@ def group_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """(variable, n, missing, mean, sd, median, q1, q3) and the range, without groups."""
-    numbers = table_one_numbers(df, columns).drop("grp")
-    ends = df.agg(*[F.struct(F.lit(c).alias("variable"), F.min(F.col(c).cast("double")).alias("lowest"), F.max(F.col(c).cast("double")).alias("highest")).alias(f"s_{c}") for c in columns])
-    return numbers.join(ends.select(F.explode(F.array(*[f"s_{c}" for c in columns])).alias("x")).select("x.*"), "variable")
+    return _numbers(df, columns, None, True).drop("grp")
 
 
 def binned_course(df: DataFrame, by: list[str], seconds: Column, value: str, every: Offset = "6h") -> DataFrame:
     """Median, quartiles and count of value by group and time bin (whole bins since time zero)."""
     width = fixed_micros(every) // 1_000_000
     binned = df.select(*by, F.floor(seconds / width).alias("bin"), F.col(value).alias("__value"))
-    names = {c: f"__of{i}" for i, c in enumerate([*by, "bin"])}
-    cuts = exact_percentiles(binned, [*by, "bin"], "__value").withColumnsRenamed(names)
-    same = F.lit(True)
-    for c, n in names.items():
-        same = same & F.col(c).eqNullSafe(F.col(n))
-    grouped = binned.groupBy(*by, "bin").agg(F.count("__value").alias("n")).join(cuts, same, "left")
-    return grouped.select(*by, "bin", "n", F.get("cuts", F.lit(1)).alias("median"), F.get("cuts", F.lit(0)).alias("q1"), F.get("cuts", F.lit(2)).alias("q3"))
+    found = exact_percentiles(binned, [*by, "bin"], "__value", also={"n": F.count("__value")})
+    return found.select(*by, "bin", "n", F.get("cuts", F.lit(1)).alias("median"), F.get("cuts", F.lit(0)).alias("q1"), F.get("cuts", F.lit(2)).alias("q3"))
 
 
 def prevalence(df: DataFrame, flags: list[str], top: int = 8) -> DataFrame:

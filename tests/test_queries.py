@@ -17,7 +17,8 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_plan_has_no_python_and_no_product(name, spark, data_dir):
     plan = queries.QUERIES[name](spark, data_dir)._jdf.queryExecution().optimizedPlan().toString()
-    assert "PythonUDF" not in plan and "MapInPandas" not in plan
+    if name != "halves_by_user_code":  # hands rows to a function of the user's
+        assert not any(x in plan for x in ("PythonUDF", "MapInPandas", "MapInArrow", "FlatMapGroups", "ArrowEvalPython", "BatchEvalPython"))
     if name != "counted_values":  # joins its one-row total
         assert "Join Cross" not in plan and "Join Inner\n" not in plan
 
