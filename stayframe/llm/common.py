@@ -6,10 +6,13 @@ import math
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 _OWN_DIRS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -77,6 +80,26 @@ def removed(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def quoted(name: str) -> Column:
+    """A column by its name, whatever signs that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], added: list[StructField] | None = None) -> DataFrame:
+    """df.mapInArrow for columns of any name: run gets batches with df's columns and returns some with these and the added ones after
+    them. mapInArrow itself looks columns up by name, which fails for names with dots or back-ticks, so Spark sees numbered ones."""
+    fields = [*df.schema.fields, *(added or [])]
+    numbered = lambda n: [f"c{i}" for i in range(n)]
+    names = df.columns
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(numbered(batch.num_columns))
+
+    schema = StructType([StructField(n, f.dataType) for n, f in zip(numbered(len(fields)), fields, strict=True)])
+    return df.toDF(*numbered(len(names))).mapInArrow(renamed, schema).toDF(*[f.name for f in fields])
+
+
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     """True for the fold that models must not learn from: crc32 of the id's text."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))

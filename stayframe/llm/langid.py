@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField
 
-from .common import held_out, read_table
+from .common import held_out, in_arrow, read_table
 from .textops import code_points, letter_table, sliced, sorted_counts, steps
 
 GRAM_BITS = 16
@@ -158,8 +159,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             columns = [pa.array([x[i] for x in found], result.field(i).type) for i in range(4)]
             yield pa.RecordBatch.from_arrays([*(c for c in batch.columns), *columns], [*batch.schema.names, *added])
 
-    schema = ", ".join([*(f"`{n}` {t}" for n, t in plain.dtypes), "lang_pred string", "lang_score double", "lang_set array<string>", "lang_shares array<double>"])
-    return plain.mapInArrow(predict, schema)
+    kinds = (StringType(), DoubleType(), ArrayType(StringType()), ArrayType(DoubleType()))
+    return in_arrow(plain, predict, [StructField(n, t) for n, t in zip(added, kinds, strict=True)])
 
 
 def kept_by_language(docs: DataFrame, model: LanguageModel, least_share: float) -> DataFrame:
@@ -173,7 +174,7 @@ def kept_by_language(docs: DataFrame, model: LanguageModel, least_share: float)
             found = mixtures(send.value, [t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array([x[0] != UNKNOWN and x[4] >= least_share for x in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run)
 
 
 def op3_language_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:

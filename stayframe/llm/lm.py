@@ -38,12 +38,14 @@ END = ""
 #: So many words, and so many keys, are looked up in the tasks at most: 16 bytes each. The others are found by a join.
 LOOKUP_ROWS = 1 << 18
 MIN_COUNT = 4
-CONTEXT = 2
+CONTEXT = 3
 SMOOTHING = 2.0
 #: Tells the key of a state from the key of the same words as a listed string.
 STATE = 0x2545F4914F6CDD1D
 #: Tokens of the corpus, on the average, for one bucket of strings to count, and for one of keys to look up.
 BUCKET_TOKENS, LOOKUP_TOKENS = 1 << 20, 1 << 22
+#: Bytes of text for one token, about: how many tokens a table to be scored has needn't be known.
+TOKEN_BYTES = 6
 #: Bytes of text that a task works on at a time, and bytes of keys.
 STEP, KEY_STEP = 1_000_000, 4_000_000
 
@@ -70,9 +72,9 @@ class SuffixTree:
     added: np.ndarray
     bits: np.ndarray
 
-    @property
-    def buckets(self) -> int:
-        return max(1, -(-self.tokens * max(1, len(self.strings)) // LOOKUP_TOKENS))
+    def buckets(self, tokens: int) -> int:
+        """For so many tokens to be scored: what they ask grows with them, and the tables that answer with the training tokens."""
+        return max(1, -(-max(self.tokens, tokens) * max(1, len(self.strings)) // LOOKUP_TOKENS))
 
 
 def _names(words: pa.Array) -> np.ndarray:
@@ -246,6 +248,8 @@ def train(texts: DataFrame, *, context: int = CONTEXT, min_count: int = MIN_COUN
         untested = written(found, "strings")
         known = written(_grown(untested, tokens, smoothing), "tree")
         removed(untested)
+        if not known.head(1):  # nor is any longer string listed
+            break
         strings.append(known)
         stated = known.where("rest IS NOT NULL")
         values.append(stated.groupBy("ctx").agg(F.first("rest").alias("v"), F.first("total").alias("n")).select(F.col("ctx").bitwiseXOR(F.lit(STATE)).alias("key"), "v", "n"))
@@ -313,7 +317,8 @@ def score(docs: DataFrame, tree: SuffixTree) -> DataFrame:
     Null texts are empty: one token, the end. Repeated rows are each returned. Without any training text all
     scores are 0: the only class left is the unknown word.
     """
-    levels, buckets, size = len(tree.strings), tree.buckets, float(tree.tokens + tree.vocabulary + 1)
+    text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count(F.lit(1))).first()[0]
+    levels, buckets, size = len(tree.strings), tree.buckets(int(text_bytes) // TOKEN_BYTES), float(tree.tokens + tree.vocabulary + 1)
     send = docs.sparkSession.sparkContext.broadcast((tree.words, tree.seen, size, tree.keys, tree.added, tree.bits))  # bounded by lookup_rows, and the bitmap by 16 MB
     kind = dict(docs.dtypes)["doc_id"]
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import digits_for, ranked, read_table, row_digest, written
+from .common import digits_for, quoted, ranked, read_table, row_digest, written
 
 QUANTA = 1000
 BLOCK_BYTES = 64 * 1024
@@ -90,7 +90,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame, *, quanta: int = QUANTA, bl
     """
     names = [c for c in docs.columns if not c.startswith(prefix)]
     inside = {c: f"__c{i}" for i, c in enumerate(names)}  # no name of the input can clash with those used here
-    plain = docs.select(*[F.col(f"`{c}`").alias(inside[c]) for c in names])
+    plain = docs.select(*[quoted(c).alias(inside[c]) for c in names])
     doc_id, text, source = (F.col(inside[c]) for c in ("doc_id", "text", "source"))
     keyed = plain.withColumns(
         {

@@ -22,8 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
 
-from .common import read_table
+from .common import in_arrow, read_table
 from .textops import code_points, mixed, sliced
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -262,16 +263,15 @@ def encode(docs: DataFrame, table: PieceTable, *, dropout: float = DROPOUT, seed
     """
     plain = docs.drop(output).withColumn("__key", F.xxhash64(F.lit(seed), "doc_id"))
     send = docs.sparkSession.sparkContext.broadcast(table)
-    names = [c for c in plain.columns if c != "__key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in sliced(whole, STEP_BYTES)):
             texts = batch.column("text")
             ids, counts = encode_texts(send.value, [t or "" for t in texts.to_pylist()], batch.column("__key").to_numpy(), dropout)
             offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32(), mask=np.append(pc.is_null(texts).to_numpy(zero_copy_only=False), False))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], [*names, output])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))], [*batch.schema.names, output])
 
-    return plain.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in plain.dtypes if n != "__key"), f"`{output}` array<int>"]))
+    return in_arrow(plain, run, [StructField(output, ArrayType(IntegerType()))]).drop("__key")
 
 
 def decode(encoded: DataFrame, table: PieceTable, *, ids: str = "piece_ids", output: str = "decoded") -> DataFrame:
@@ -289,7 +289,7 @@ def decode(encoded: DataFrame, table: PieceTable, *, ids: str = "piece_ids", out
                 texts = pc.if_else(pc.is_null(lists), pa.scalar(None, pa.string()), texts)
                 yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, output])
 
-    return plain.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in plain.dtypes), f"`{output}` string"]))
+    return in_arrow(plain, run, [StructField(output, StringType())])
 
 
 def round_trip(docs: DataFrame, table: PieceTable, keep: list[str], *, dropout: float = DROPOUT, seed: int = 0) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, read_table, written
+from .common import held_out, in_arrow, read_table, written
 from .textops import code_points, letter_table, sliced, sorted_counts, steps, words_of
 
 STATISTICS = (
@@ -197,7 +197,7 @@ def kept_by_score(docs: DataFrame, model: QualityModel, least: float = 0.5) -> D
             score = send.value.score(statistics([t or "" for t in batch.column("text").to_pylist()]))
             yield batch.filter(pa.array(score >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run)
 
 
 def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -616,7 +616,7 @@ def test_scores_equal_a_plain_model(spark, context, lookup_rows, monkeypatch):
     tree = lm.train(spark.createDataFrame([(t,) for t in texts], "text string"), context=context, lookup_rows=lookup_rows)
     asked = [*texts[:20], "red fox sits still", "unseen words only", "", "today red fox runs far away w1 w2 the old dog barks"]
     rows = lm.score(spark.createDataFrame([*enumerate(asked), (0, asked[0]), (0, asked[1])], "doc_id long, text string"), tree).collect()
-    assert tree.buckets > 3 and sorted(r["score"] for r in rows if r["doc_id"] == 0) == pytest.approx(sorted(score(asked[k].split()) for k in (0, 0, 1)))
+    assert tree.buckets(0) > 3 and sorted(r["score"] for r in rows if r["doc_id"] == 0) == pytest.approx(sorted(score(asked[k].split()) for k in (0, 0, 1)))
     got = {r["doc_id"]: r["score"] for r in rows if r["doc_id"]} | {0: score(asked[0].split())}
     assert [got[i] for i in range(len(asked))] == pytest.approx([score(t.split()) for t in asked], abs=1e-9)
 
@@ -635,3 +635,18 @@ def test_contexts_need_a_count_and_no_share(spark):
     assert scores[0][1][1] > scores[0][1][0] + 6 and scores[0][2][1] < scores[0][2][0] + 1
     for i in (1, 2):
         assert scores[0][i] == pytest.approx(scores[1][i])
+
+
+def test_op10_a_small_tree_scores_many_documents_in_many_tasks(spark):
+    """How many groups documents are dealt into follows from what is scored, not only from what was learned."""
+    tree = lm.train(spark.createDataFrame([("a b a b a c",)] * 5, "text string"))
+    before = lm.LOOKUP_TOKENS
+    try:
+        lm.LOOKUP_TOKENS = 1 << 14
+        docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b new"), F.col("id"), F.lit(" word")).alias("text"))
+        assert tree.buckets(0) == 1 and tree.buckets(20_000 * 4) > 4
+        scores = lm.score(docs, tree)
+        rows = scores.withColumn("at", F.spark_partition_id()).collect()
+        assert len(rows) == 20_000 and len({r["at"] for r in rows}) > 1 and len({round(r["score"], 9) for r in rows}) == 1
+    finally:
+        lm.LOOKUP_TOKENS = before

@@ -80,3 +80,26 @@ def test_quality_stage_without_labels(spark, data_dir, tmp_path):
     spark.read.parquet(f"{data_dir}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     docs = odd_documents(spark)
     assert cp.quality_filter(spark, docs, str(tmp_path)).count() == docs.count()
+
+
+def test_stages_keep_columns_of_any_name_and_kind(spark, data_dir):
+    """Dotted and quoted names, a map on repeated rows, nested values."""
+    docs = odd_documents(spark).withColumns({"a.b": F.col("doc_id") * 2, "we`ird": F.lit("x"), "m": F.create_map(F.lit("k"), F.col("doc_id")), "s": F.struct(F.lit(1).alias("p.q"))})
+    now = docs
+    for name, stage in cp.STAGES:
+        now = written(stage(spark, now, data_dir), name)
+        if name != cp.STAGES[-1][0]:
+            assert now.columns == docs.columns
+            assert all(r["a.b"] == (r["doc_id"] and 2 * r["doc_id"]) and r["m"] == {"k": r["doc_id"]} and r["we`ird"] == "x" for r in now.collect())
+    assert now.count() > 0
+
+
+def test_operators_keep_columns_of_any_name(spark, data_dir):
+    from stayframe.llm import langid, pieces
+
+    docs = odd_documents(spark).withColumns({"a.b": F.lit(2), "we`ird": F.create_map(F.lit("k"), F.lit(1))})
+    found = langid.identify(docs, langid.train(docs)).collect()
+    assert len(found) == docs.count() and all(r["a.b"] == 2 and r["we`ird"] == {"k": 1} for r in found)
+    table = pieces.load()
+    back = pieces.decode(pieces.encode(docs, table), table).collect()
+    assert all(r["decoded"] == r["text"] and r["a.b"] == 2 and r["we`ird"] == {"k": 1} for r in back)
