@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stayframe.llm import langid, minhash, mixing, pieces, quality
-from stayframe.llm.common import read_table, ship, written
+from stayframe.llm.common import quoted, read_table, ship, written
 
 #: A document goes if its language is undetermined or its languages together have a smaller share than this.
 LEAST_SHARE = 0.3
@@ -36,18 +36,19 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each class of near duplicates, one row of repeated ones (equal id and text, the
-    first by its other columns), and all rows without an id."""
+    one that comes first written as JSON), and all rows without an id."""
+    columns = [quoted(c) for c in docs.columns]
     ship(spark)
     classes = minhash.near_duplicate_classes(docs.select("doc_id", "text"))
-    left = docs.join(classes.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    left = docs.join(classes.where(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(*columns)
     key = [F.col("doc_id"), F.xxhash64("text")]
     seen = left.where("doc_id IS NOT NULL").groupBy(key[0].alias("__id"), key[1].alias("__text")).agg(F.count(F.lit(1)).alias("__n"))
     repeated = written(seen.where("__n > 1").drop("__n"), "repeated")
     if not repeated.head(1):
         return left
     same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__text"))
-    once = left.join(repeated, same).groupBy("__id", "__text").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row"))
-    return left.join(repeated, same, "left_anti").unionByName(once.select("__row.*"))
+    once = left.join(repeated, same).groupBy("__id", "__text").agg(F.min_by(F.struct(*columns), F.to_json(F.struct(*columns))).alias("__row"))
+    return left.join(repeated, same, "left_anti").union(once.select("__row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     while any(c.startswith(prefix) for c in docs.columns):
         prefix = f"_{prefix}"
     mixed = mixing.mix_sources(docs, mixing.tempered_weights(docs), prefix=prefix)
-    return mixed.orderBy(F.asc_nulls_last(f"{prefix}slot"), f"{prefix}rank").select(*docs.columns)
+    return mixed.orderBy(F.asc_nulls_last(f"{prefix}slot"), f"{prefix}rank").select(*map(quoted, docs.columns))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
