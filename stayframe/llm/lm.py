@@ -43,7 +43,7 @@ SMOOTHING = 2.0
 #: Tells the key of a state from the key of the same words as a listed string.
 STATE = 0x2545F4914F6CDD1D
 #: Tokens of the corpus, on the average, for one bucket of strings to count, and for one of keys to look up.
-BUCKET_TOKENS, LOOKUP_TOKENS = 1 << 20, 1 << 22
+BUCKET_TOKENS, LOOKUP_TOKENS = 1 << 20, 1 << 21
 #: Bytes of text for one token, about: how many tokens a table to be scored has needn't be known.
 TOKEN_BYTES = 6
 #: Bytes of text that a task works on at a time, and bytes of keys.
