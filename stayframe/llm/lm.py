@@ -46,8 +46,8 @@ STATE = 0x2545F4914F6CDD1D
 BUCKET_TOKENS, LOOKUP_TOKENS = 1 << 20, 1 << 21
 #: Bytes of text for one token, about: how many tokens a table to be scored has needn't be known.
 TOKEN_BYTES = 6
-#: Bytes of text that a task works on at a time, and bytes of keys.
-STEP, KEY_STEP = 1_000_000, 4_000_000
+#: Bytes of text that a task scores at a time, and counts the strings of before they are shuffled, and bytes of keys.
+STEP, COUNT_STEP, KEY_STEP = 1_000_000, 4_000_000, 4_000_000
 
 
 @dataclass
@@ -175,7 +175,7 @@ def _next_words(texts: DataFrame, contexts: DataFrame, length: int, least: int,
     send = texts.sparkSession.sparkContext.broadcast(_bitmap(contexts.select("key")))  # 16 MB at most
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in sliced(whole, STEP)):
+        for batch in (piece for whole in batches for piece in sliced(whole, COUNT_STEP)):
             words, _, code = _tokens(batch.column("text"))
             *_, (string, word, whole) = _runs(words, code, length)
             # both the string without its last word and the one without its first occur at least as often
