@@ -36,7 +36,7 @@ from .textops import Words, mixed, sliced, words_of
 
 END = ""
 #: So many words, and so many keys, are looked up in the tasks at most: 16 bytes each. The others are found by a join.
-LOOKUP_ROWS = 1 << 18
+LOOKUP_ROWS = 1 << 20
 MIN_COUNT = 4
 CONTEXT = 3
 SMOOTHING = 2.0
