@@ -27,9 +27,11 @@ from .common import read_table, written
 from .vectors import one_per_id, packed, usable
 
 SHARD_ROWS, MOST_SHARD_ROWS, SHARDS = 4096, 65_536, 256
+#: Queries that meet a shard in one task, about a large shard's rows, so that neither side is copied much more often than the other, and how many of
+#: them are searched at a time.
+QUERY_BLOCK, STEP = 65_536, 2048
 #: Lengths up to which the table of shard counts, 16 bytes each, is broadcast.
 BROADCAST_LENGTHS = 10_000
-QUERY_BLOCK = 2048
 DEGREE = 24
 BEAM = 64
 SEARCH_BEAM = 96
@@ -144,13 +146,18 @@ def _answer(index: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
         edges = np.frombuffer(b"".join(bytes(e) for e in index["edges"]), np.int32).reshape(len(x), -1)
         entries, up = np.flatnonzero(index["entry"].to_numpy()), lifted(x)
         down = np.column_stack([q, np.zeros(len(q))])
-        found = np.concatenate([beam_search(up, edges, down[a : a + TOGETHER], entries, SEARCH_BEAM)[0] for a in range(0, len(q), TOGETHER)])
-    else:
-        found = np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
-    row, col = np.nonzero(found >= 0)
-    place = found[row, col]
-    out = pd.DataFrame({"query_id": queries["query_id"].to_numpy()[row], "rep": ids[place], "score": np.einsum("ij,ij->i", q[row], x[place])})
-    return out.sort_values(["query_id", "score", "rep"], ascending=[True, False, True]).groupby("query_id").head(k + 1)
+    best = []
+    for start in range(0, len(q), STEP):
+        some = np.arange(start, min(start + STEP, len(q)))
+        if len(x) > SEARCH_BEAM:
+            found = np.concatenate([beam_search(up, edges, down[some[a : a + TOGETHER]], entries, SEARCH_BEAM)[0] for a in range(0, len(some), TOGETHER)])
+        else:
+            found = np.broadcast_to(np.arange(len(x)), (len(some), len(x)))
+        row, col = np.nonzero(found >= 0)
+        place, row = found[row, col], some[row]
+        out = pd.DataFrame({"query_id": queries["query_id"].to_numpy()[row], "rep": ids[place], "score": np.einsum("ij,ij->i", q[row], x[place])})
+        best.append(out.sort_values(["query_id", "score", "rep"], ascending=[True, False, True]).groupby("query_id").head(k + 1))
+    return pd.concat(best)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, *, k: int = 20, shard_rows: int | None = None, query_block: int = QUERY_BLOCK) -> DataFrame:

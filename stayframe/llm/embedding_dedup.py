@@ -1,9 +1,10 @@
 """Near duplicates among embeddings by product quantisation.
 
 A vector belongs to the inverted list of its nearest coarse centroid, and its residual is coded by one codebook in
-each subspace. Lists are laid out in blocks of bounded size, and pairs of blocks are the units of work: a
-query's table of inner products gives approximate cosines of all codes in a list, and survivors are compared
-exactly in double precision.
+each subspace. Lists are numbered so that near ones have near numbers, and neighbouring lists form zones of about a block of
+vectors. Every vector is sent to the zones that hold a list which it probes, and to no others; there its table of inner
+products gives approximate cosines of all codes in a list, and survivors are compared exactly in double precision.
+Equal vectors are compared once, with their number as a weight.
 
 Nothing is lost on the way. A vector y lies nearer to its own centroid c than to the query's centroid q, so a query x
 within distance r of y satisfies (|x-c|^2 - |x-q|^2) / (2|c-q|) <= r: all lists that pass are probed. And the approximate
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, written
@@ -26,9 +27,12 @@ from .vectors import k_means, one_per_id, packed, sampled, usable
 
 #: Rows that the quantisers are fitted on: 40 for each list, within these bounds.
 SAMPLE, MOST_SAMPLE = 20_000, 160_000
-SUBSPACES = 8
+SUBSPACES = 16
 CODES = 256
-BLOCK = 2048
+#: Vectors of one part of a zone, vectors sent to it that meet it in one task, and those whose lists are probed at a time.
+BLOCK, ROUTED, STEP = 2048, 16_384, 2048
+#: Rows up to which the tables of counts by label and of zones, some 40 bytes each, are broadcast.
+BROADCAST_ROWS = 50_000
 SLACK = 1e-7
 #: Pairs whose exact cosines are worked out at a time.
 PAIRS = 32_768
@@ -52,12 +56,30 @@ class Quantiser:
             error += ((rest[:, part] - book[codes[:, m]]) ** 2).sum(axis=1)
         return cell, codes, np.sqrt(error)
 
-    def probes(self, x: np.ndarray, cell: np.ndarray, radius: float) -> np.ndarray:
-        """Which lists can hold a vector within radius: rows x lists."""
-        apart = ((x**2).sum(axis=1)[:, None] - 2 * x @ self.centroids.T) + (self.centroids**2).sum(axis=1)
-        own = self.centroids[cell]
-        between = np.sqrt(np.maximum(((own**2).sum(axis=1)[:, None] - 2 * own @ self.centroids.T) + (self.centroids**2).sum(axis=1), 0))
-        return (apart - apart[np.arange(len(x)), cell][:, None]) <= 2 * between * radius + SLACK
+    def probes(self, x: np.ndarray, cell: np.ndarray, radius: float, among: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Which lists, of those in among, can hold a vector within radius: rows x lists."""
+        lists, own = self.centroids[among], self.centroids[cell]
+        square, own_square = (lists**2).sum(axis=1), (own**2).sum(axis=1)[:, None]
+        apart = square - 2 * x @ lists.T - own_square + 2 * np.einsum("ij,ij->i", x, own)[:, None]
+        between = np.sqrt(np.maximum(own_square - 2 * own @ lists.T + square, 0))
+        return apart <= 2 * between * radius + SLACK
+
+    def zone_level(self, rows: np.ndarray, block: int) -> np.ndarray:
+        """For tables of so many rows: 2^level lists in a row form a zone of about a block."""
+        lists = len(self.centroids)
+        return np.clip(np.ceil(np.log2(block * lists / rows)), 0, lists.bit_length()).astype(np.int64)
+
+
+def by_nearness(points: np.ndarray) -> np.ndarray:
+    """The points in such an order that near ones come near each other: divided across the line between two far ones again and
+    again, into parts whose first is a power of two, so that each zone is one such part."""
+    if len(points) < 3:
+        return points
+    farthest = lambda p: points[np.argmax(((points - p) ** 2).sum(axis=1))]
+    one = farthest(points.mean(axis=0))
+    order = np.argsort(points @ (farthest(one) - one), kind="stable")
+    first = 1 << ((len(points) - 1).bit_length() - 1)
+    return np.concatenate([by_nearness(points[order[:first]]), by_nearness(points[order[first:]])])
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -68,7 +90,7 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 def fit(sample: np.ndarray, rows: float) -> Quantiser:
     """The square root of rows is the number of lists, as far as the sample bears it."""
     x = unit_rows(sample)
-    centroids = k_means(x, max(1, min(int(np.ceil(np.sqrt(rows))), MOST_SAMPLE // 40, len(x) // 4)))
+    centroids = by_nearness(k_means(x, max(1, min(int(np.ceil(np.sqrt(rows))), MOST_SAMPLE // 40, len(x) // 4))))
     rest = x - centroids[np.argmax(x @ centroids.T - (centroids**2).sum(axis=1) / 2, axis=1)]
     parts = tuple(np.array_split(np.arange(x.shape[1]), min(SUBSPACES, x.shape[1])))
     return Quantiser(centroids, parts, tuple(k_means(rest[:, p], max(1, min(CODES, len(x) // 8))) for p in parts))
@@ -95,35 +117,37 @@ def merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
-def _compare(left: pd.DataFrame, right: pd.DataFrame, same: bool, model: Quantiser, least: float) -> pd.DataFrame:
-    """Links between two blocks: how many each vector has, and one link to the smallest place of its local set."""
+def _compare(left: pd.DataFrame, right: pd.DataFrame, model: Quantiser, least: float) -> pd.DataFrame:
+    """Links between vectors sent to a part of a zone and those that are there: how many each vector has, and one link to the
+    smallest place of its local set. A vector of the part is among those sent, so links inside it are found from both ends."""
     right = right.sort_values("cell", kind="stable")
-    ids = np.concatenate([left["vec_id"].to_numpy(), right["vec_id"].to_numpy()])
-    x, y = packed(left["unit"]), packed(right["unit"])
+    ids = np.concatenate([left["rep"].to_numpy(), right["rep"].to_numpy()])
+    x, y, own = packed(left["unit"]), packed(right["unit"]), left["own"].to_numpy()
     codes = np.frombuffer(b"".join(bytes(c) for c in right["codes"]), np.uint8).reshape(len(right), -1)
-    error, cells = right["error"].to_numpy(), right["cell"].to_numpy()
-    probe = model.probes(x, left["cell"].to_numpy(), np.sqrt(2 - 2 * least))
-    n_left, n_right, label = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), np.arange(len(ids))
-    for cell in np.unique(cells):
-        a, b = np.searchsorted(cells, [cell, cell + 1])
-        queries = np.flatnonzero(probe[:, cell])
-        for at in range(0, len(queries), 256):
-            q = queries[at : at + 256]
-            near = (x[q] @ model.centroids[cell])[:, None] - least + error[None, a:b] + SLACK
-            for m, (part, book) in enumerate(zip(model.parts, model.books, strict=True)):
-                near += (x[q][:, part] @ book.T)[:, codes[a:b, m]]
-            i, j = np.nonzero(near >= 0)
-            exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[q[i[k : k + PAIRS]]], y[a + j[k : k + PAIRS]]) for k in range(0, len(i), PAIRS))])
-            i, j = q[i[exact >= least]], a + j[exact >= least]
-            if same:
+    error, home = right["error"].to_numpy(), left["cell"].to_numpy()
+    copies_x, copies_y = left["copies"].to_numpy(), right["copies"].to_numpy()
+    lists, first = np.unique(right["cell"].to_numpy(), return_index=True)
+    ends, radius = np.append(first[1:], len(y)), np.sqrt(2 - 2 * least)
+    n_left, n_right, label = np.zeros(len(x)), np.zeros(len(y)), np.arange(len(ids))
+    for start in range(0, len(x), STEP):
+        probe = model.probes(x[start : start + STEP], home[start : start + STEP], radius, lists)
+        for of, (cell, a, b) in enumerate(zip(lists, first, ends, strict=True)):
+            queries = start + np.flatnonzero(probe[:, of])
+            for at in range(0, len(queries), 256):
+                q = queries[at : at + 256]
+                near = (x[q] @ model.centroids[cell])[:, None] - least + error[None, a:b] + SLACK
+                for m, (part, book) in enumerate(zip(model.parts, model.books, strict=True)):
+                    near += (x[q][:, part] @ book.T)[:, codes[a:b, m]]
+                i, j = np.nonzero(near >= 0)
+                exact = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", x[q[i[k : k + PAIRS]]], y[a + j[k : k + PAIRS]]) for k in range(0, len(i), PAIRS))])
+                i, j = q[i[exact >= least]], a + j[exact >= least]
                 apart = ids[i] != ids[len(x) + j]
                 i, j = i[apart], j[apart]
-            n_left += np.bincount(i, minlength=len(x))
-            n_right += np.bincount(j, minlength=len(y))
-            label = merged(label, i, len(x) + j)
-    n = np.concatenate([n_left, np.zeros_like(n_right) if same else n_right])
-    linked = np.flatnonzero(np.concatenate([n_left, n_right]) > 0)
-    return pd.DataFrame({"vec_id": ids[linked], "n": n[linked], "to": ids[label[linked]]})
+                n_left += np.bincount(i, weights=copies_y[j], minlength=len(x))
+                n_right += np.bincount(j, weights=np.where(own[i], 0, copies_x[i]), minlength=len(y))
+                label = merged(label, i, len(x) + j)
+    n, linked = np.concatenate([n_left, n_right]).astype(np.int64), np.flatnonzero(np.bincount(label, minlength=len(ids))[label] > 1)
+    return pd.DataFrame({"rep": ids[linked], "n": n[linked], "to": ids[label[linked]]})
 
 
 def link_near_duplicates(vectors: DataFrame, *, least: float = 0.93, sample: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -136,8 +160,12 @@ def link_near_duplicates(vectors: DataFrame, *, least: float = 0.93, sample: int
     """
     rows = written(one_per_id(vectors, ["label", "embedding"]), "vectors")
     good = rows.where(usable(F.col("embedding")) & F.col("label").isNotNull()).select("vec_id", "label", "embedding")
-    count = good.count()
-    fitted = sampled(good, sample or int(min(max(SAMPLE, 40 * np.sqrt(count)), MOST_SAMPLE)))
+    alike = ["label", "size"]  # what two vectors must have in common to be compared
+    distinct = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    distinct = written(distinct.withColumn("size", F.size("embedding")), "distinct")
+    members = written(good.join(distinct, ["label", "embedding"]).select("vec_id", "rep"), "members")
+    count = distinct.count()
+    fitted = sampled(distinct.select(F.col("rep").alias("vec_id"), "embedding"), sample or int(min(max(SAMPLE, 40 * np.sqrt(count)), MOST_SAMPLE)))
     if not fitted:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     drawn = sum(map(len, fitted.values()))
@@ -147,45 +175,50 @@ def link_near_duplicates(vectors: DataFrame, *, least: float = 0.93, sample: int
 
     def index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:
-            for size, frame in whole.groupby(whole["embedding"].map(len)):
+            for size, frame in whole.groupby("size"):
                 model, x = send.value[int(size)], unit_rows(np.array(frame["embedding"].tolist(), np.float64))
                 cell, codes, error = model.encode(x)
-                probe = model.probes(x, cell, radius)
+                level, probe = model.zone_level(frame["rows"].to_numpy(), block), model.probes(x, cell, radius)
+                zone = cell >> level
+                to = [np.unique(np.flatnonzero(p) >> up) for p, up in zip(probe, level, strict=True)]
                 yield pd.DataFrame({
-                    "vec_id": frame["vec_id"], "label": frame["label"], "size": np.int32(size), "cell": cell.astype(np.int32), "error": error,
-                    "unit": [r.tobytes() for r in x], "codes": [c.tobytes() for c in codes], "probes": [np.flatnonzero(p).astype(np.int32) for p in probe],
+                    "rep": frame["rep"], "copies": frame["copies"], "label": frame["label"], "size": np.int32(size), "cell": cell.astype(np.int32), "zone": zone.astype(np.int32),
+                    "error": error, "unit": [r.tobytes() for r in x], "codes": [c.tobytes() for c in codes],
+                    "to": [t[t >= z].astype(np.int32) for t, z in zip(to, zone, strict=True)],
                 })
 
-    alike = ["label", "size"]  # what two vectors must have in common to be compared
-    indexed = good.mapInPandas(index, f"vec_id long, label {label_type}, size int, cell int, error double, unit binary, codes binary, probes array<int>")
-    lists = written(indexed, "lists")
-    earlier = Window.partitionBy(*alike).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = lists.groupBy(*alike, "cell").agg(F.count(F.lit(1)).alias("n"))  # labels x centroids rows
-    laid = sizes.withColumn("at", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    place = F.floor((F.col("at") + F.pmod(F.xxhash64("vec_id"), F.col("n"))) / block)
-    blocks = written(lists.join(laid, [*alike, "cell"]).withColumn("block", place).drop("at", "n"), "blocks")
-    reach = laid.select(*alike, F.col("cell").alias("probe"), F.floor(F.col("at") / block).alias("lo"), F.floor((F.col("at") + F.col("n") - 1) / block).alias("hi"))
-    wanted = blocks.select(*alike, "block", F.explode("probes").alias("probe")).distinct().join(reach, [*alike, "probe"])
-    other = wanted.select(*alike, "block", F.explode(F.sequence("lo", "hi")).alias("other"))
-    units = written(other.select(*alike, F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")).distinct(), "units")
-    content = blocks.select("vec_id", *alike, "block", "cell", "error", "unit", "codes")
-    keys = [*alike, "one", "two"]
-    left = units.join(content.withColumnRenamed("block", "one"), [*alike, "one"]).select(*keys, "vec_id", "cell", "unit")
-    right = units.join(content.withColumnRenamed("block", "two"), [*alike, "two"]).select(*keys, "vec_id", "cell", "unit", "codes", "error")
-    right = right.toDF(*[f"{c}_of_two" for c in right.columns])
+    small = lambda table: F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    tables = small(written(distinct.groupBy(*alike).agg(F.count(F.lit(1)).alias("rows")), "tables"))
+    schema = f"rep long, copies long, label {label_type}, size int, cell int, zone int, error double, unit binary, codes binary, to array<int>"
+    lists = written(distinct.join(tables, alike).select("rep", "copies", *alike, "embedding", "rows").mapInPandas(index, schema), "lists")
+    held = lists.groupBy(*alike, "zone").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    sent = lists.select(*alike, F.explode("to").alias("zone")).groupBy(*alike, "zone").agg(F.count(F.lit(1)).alias("n"))
+    zones = small(written(held.join(sent, [*alike, "zone"]), "zones").select(*alike, "zone", "parts", F.ceil(F.col("n") / ROUTED).alias("chunks")))
+    keys = [*alike, "zone", "part", "chunk"]
+    own_part, of_chunk = F.pmod(F.xxhash64("rep"), F.col("parts")), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("chunks"))
+    there = lists.select("rep", "copies", *alike, "zone", "cell", "error", "unit", "codes").join(zones, [*alike, "zone"])
+    right = there.withColumn("part", own_part).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    right = right.select(*keys, "rep", "copies", "cell", "error", "unit", "codes")
+    right = right.toDF(*[f"{c}_there" for c in right.columns])
+    routed = lists.select("rep", "copies", *alike, "cell", "unit", F.col("zone").alias("home"), F.explode("to").alias("zone")).join(zones, [*alike, "zone"])
+    at_home, nowhere_earlier = F.col("home") == F.col("zone"), F.lit(0).cast("long")
+    routed = routed.withColumn("part", F.explode(F.sequence(F.when(at_home, own_part).otherwise(nowhere_earlier), F.col("parts") - 1)))
+    left = routed.withColumn("own", at_home & (F.col("part") == own_part)).withColumn("chunk", of_chunk).select(*keys, "rep", "copies", "cell", "unit", "own")
 
     def compare(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"vec_id": [], "n": [], "to": []}).astype("int64")
-        return _compare(a, b.rename(columns=lambda c: c.removesuffix("_of_two")), key[2] == key[3], send.value[int(key[1])], least)
+            return pd.DataFrame({"rep": [], "n": [], "to": []}).astype("int64")
+        return _compare(a, b.rename(columns=lambda c: c.removesuffix("_there")), send.value[int(key[1])], least)
 
-    found = left.groupBy(*keys).cogroup(right.groupBy(*[f"{k}_of_two" for k in keys])).applyInPandas(compare, "vec_id long, n long, to long")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*[f"{k}_there" for k in keys])).applyInPandas(compare, "rep long, n long, to long")
     partial = written(found, "partial")
-    counts = partial.groupBy("vec_id").agg(F.sum("n").alias("n"))
-    components = connected_components(partial.select(F.col("vec_id").alias("a"), F.col("to").alias("b")))
-    out = rows.select("vec_id").join(counts, "vec_id", "left").join(components.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    counts = partial.groupBy("rep").agg(F.sum("n").alias("n"))
+    components = connected_components(partial.select(F.col("rep").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "rep")
+    n_links, component = F.coalesce("n", F.lit(0)) + F.col("copies") - 1, F.coalesce("component", "rep")
+    of_reps = distinct.select("rep", "copies").join(counts, "rep", "left").join(components, "rep", "left").select("rep", n_links.alias("n_links"), component.alias("c"))
+    out = rows.select("vec_id").join(members.join(of_reps, "rep"), "vec_id", "left")
+    component = F.coalesce("c", "vec_id")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
 
 
 def op2_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

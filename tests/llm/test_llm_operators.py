@@ -386,6 +386,32 @@ def test_vector_links_in_small_blocks(spark):
     assert near.sum() > 100 and [got[i] for i in range(400)] == near.sum(1).tolist()
 
 
+def test_hot_zones_and_copies_of_vectors(spark, monkeypatch):
+    """Half of all rows in one place, in many parts and chunks, and a text's vector a hundred times, with both zeros."""
+    monkeypatch.setattr(embedding_dedup, "ROUTED", 50)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.tile([1.0, 0, 0, 0, 0, 0], (250, 1)) + rng.normal(size=(250, 6)) * 0.02, np.tile([0, -1.0, 0.0, 0, 2, 0], (100, 1)), rng.normal(size=(150, 6))])
+    x[300:350, 0] = -0.0
+    x = x.astype(np.float32).astype(float)[rng.permutation(500)]
+    df = spark.createDataFrame([(i + 7, v.tolist(), 1) for i, v in enumerate(x)], VECTORS)
+    got = {r["vec_id"] - 7: (r["n_links"], r["component_id"] - 7) for r in embedding_dedup.link_near_duplicates(df, block=30).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    reach = np.arange(500)
+    for _ in range(500):
+        reach = np.where(near, reach, 500).min(axis=1)
+    assert [got[i] for i in range(500)] == list(zip((near.sum(1) - 1).tolist(), reach.tolist(), strict=True))
+
+
+def test_near_lists_have_near_numbers():
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(8, 12)) * 5, 20, axis=0) + rng.normal(size=(160, 12)) * 0.1
+    mixed_up = rng.permutation(x)
+    ordered = embedding_dedup.by_nearness(mixed_up)
+    leaps = lambda p: (np.linalg.norm(np.diff(p, axis=0), axis=1) > 3).sum()
+    assert sorted(map(tuple, ordered)) == sorted(map(tuple, x)) and 5 * leaps(ordered) < leaps(mixed_up)
+
+
 def test_neighbours_of_few(spark):
     odd = [(0, [1.0, 0.0], 1), (20, [1.0, 0.0], 1), (3, [2.0, 0.0], 1), (4, [0.0, 0.0], 1), (40, None, 1), (7, [float("inf"), 1.0], 1), (2, [1.0, 0.0], 1)]
     v = spark.createDataFrame(odd, VECTORS)
