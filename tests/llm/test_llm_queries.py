@@ -124,3 +124,37 @@ def test_op6_planted_conversation(spark, data_dir):
     said = "</s>[INST] ok [/INST]"
     assert r["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert (r["loss_chars"], r["loss_sha256"]) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+@pytest.mark.parametrize(("shards", "bundles", "fineness"), [(8, 8192, 1024), (5, 16, 40)])
+def test_op9_whole_result_equals_plain_python(spark, documents, shards, bundles, fineness):
+    """Groups, bundles, placing and slots, also with null texts and repeated rows; packing itself is held against a plain loop elsewhere."""
+    import xxhash
+
+    from stayframe.llm import sharding
+
+    rows = [(i, d["text"]) for i, d in documents.items()] + [(10**6, None), (10**6 + 1, None), (10**6 + 2, ""), (10**6 + 2, ""), (min(documents), documents[min(documents)]["text"])]
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    vector = lambda t: (len((t or "").encode()) + 1, len(re.findall(WORDS, t or "")), 1)
+    number = lambda t: 0 if t is None else signed(xxhash.xxh64(t.encode(), seed=42).intdigest())
+    groups: dict = {}
+    for _, t in rows:
+        groups[number(t)] = [a + b for a, b in zip(groups.get(number(t), (0, 0, 0)), vector(t), strict=True)]
+    totals = [sum(g[d] for g in groups.values()) for d in range(3)]
+    least = [n / (shards * fineness) for n in totals]
+    least[2] = max(1.0, least[2])
+    item_of = {g: (True, g) if any(x > y for x, y in zip(v, least, strict=True)) else (False, g % bundles) for g, v in groups.items()}
+    items: dict = {}
+    for g, v in groups.items():
+        items[item_of[g]] = [a + b for a, b in zip(items.get(item_of[g], (0, 0, 0)), v, strict=True)]
+    weight = {i: sum(x / max(1, n) for x, n in zip(v, totals, strict=True)) for i, v in items.items()}
+    order = sorted(items, key=lambda i: (-weight[i], i))
+    shard = dict(zip(order, sharding.pack(np.array([items[i] for i in order], float), shards).tolist(), strict=True))
+    want, held = [], {}
+    for i, t in rows:
+        held.setdefault(shard[item_of[number(t)]], []).append((hashlib.md5(f"shard:{i}".encode()).hexdigest(), i, zlib.crc32((t or "").encode()), *vector(t)[:2]))
+    for s, members in held.items():
+        want += [(i, size, tokens, crc, s, slot) for slot, (_, i, crc, size, tokens) in enumerate(sorted(members))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in sharding.shard_documents(df, shards=shards, bundles=bundles, fineness=fineness).collect()]
+    assert sorted(got) == sorted(want) and (fineness > 40 or {own for own, _ in order} == {True, False})
