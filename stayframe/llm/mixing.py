@@ -4,7 +4,7 @@ Each source's documents, in a seeded order, are cut into blocks of about `block_
 of a/Q, block j (from 0) of a source is released at slot floor(j*Q/a) and due before slot ceil((j+1)*Q/a).
 Earliest deadline first among released blocks fills every slot, and at any slot each source is less than one
 block away from its target (until a source has run out). Shares are whole numbers of quanta, so the schedule
-repeats every Q slots: one fold over Q slots gives the pattern, and a block's slot follows from its number.
+repeats every Q slots: the pattern of one period is found once, and a block's slot follows from its number.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from .common import digits_for, quoted, ranked, read_table, row_digest, written
 QUANTA = 1000
 BLOCK_BYTES = 64 * 1024
 NO_SOURCE = ""
+#: Parts that the schedule splits priorities into at once.
+SPLIT = 32
 #: Slots of a period up to which its schedule is broadcast: 24 bytes and a name each, 2 MB or so.
 BROADCAST_SLOTS = 50_000
 
@@ -39,7 +41,7 @@ def quanta_plan(weights: DataFrame, quanta: int = QUANTA) -> DataFrame:
     """(source, a, q): whole quanta by largest remainder, at least one for each source, q in all.
 
     q is `quanta` or 100 for each source if that is more, so rounding moves a share by 1 % at most. The
-    rows are as many as the sources, which is a matter of configuration and not of data.
+    rows are as many as the sources.
     """
     everyone = Window.partitionBy(F.lit(0))
     sized = (
@@ -60,24 +62,43 @@ def quanta_plan(weights: DataFrame, quanta: int = QUANTA) -> DataFrame:
 def edf_pattern(plan: DataFrame) -> DataFrame:
     """(source, a, q, occurrence, turn): the slots of one period of the earliest-deadline-first schedule.
 
-    Ties of deadlines go to the source that sorts first. The fold over q slots runs in one row, since each slot depends on the
-    one before; it keeps the number of blocks done for each source, and the picks of a run of sqrt(q) slots at a time, so
-    that no array is copied once a slot. Its work is q times the number of sources, not the number of documents.
+    Ties of deadlines go to the source that sorts first. Blocks of unit length have a fixed priority, by deadline and source, and the
+    slots that the blocks of a first part of the priorities take together don't depend on the order among them: dealt out by
+    release, each takes the later of its release and the slot after the one before it. So priorities are split into SPLIT parts, the slots of the
+    first part, the first two and so on are found side by side, and what a part adds are its own slots. Releases are
+    counted in these, and each part is split again, until a part is one block with one slot. That takes log(q) / log(SPLIT) rounds of three
+    windows over q * SPLIT / 2 rows, which tasks share, however many sources there are.
     """
-    listed = plan.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", "a"))).alias("p"), F.max("q").alias("q"))
-    due = "(st.done[i] * q + q + p[i].a - 1) div p[i].a"
-    ready = "st.done[i] < p[i].a AND (st.done[i] * q) div p[i].a <= t"
-    waiting = f"transform(sequence(0, size(p) - 1), i -> CASE WHEN {ready} THEN named_struct('d', {due}, 'i', i) END)"
-    step = f"""transform(array(array_min({waiting}).i), c -> named_struct(
-        'done', transform(st.done, (v, j) -> v + IF(j = c, 1L, 0L)), 'picks', concat(st.picks, array(c))))[0]"""
-    run = f"""aggregate(sequence(first, least(first + width, q) - 1), named_struct('done', all.done, 'picks', CAST(array() AS array<int>)), (st, t) -> {step})"""
-    joined = f"transform(array({run}), r -> named_struct('done', r.done, 'runs', concat(all.runs, array(r.picks))))[0]"
-    fold = f"""flatten(aggregate(sequence(0L, q - 1, width), named_struct('done', transform(p, x -> 0L), 'runs', CAST(array() AS array<array<int>>)),
-        (all, first) -> {joined}, all -> all.runs))"""
-    turns = listed.withColumn("width", F.ceil(F.sqrt("q")).cast("long")).where("size(p) > 0").select("p", "q", F.posexplode(F.expr(fold)).alias("turn", "i"))
-    named = turns.select(F.expr("p[i].source").alias("source"), F.expr("p[i].a").alias("a"), "q", "turn")
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("turn")) - 1
-    return named.withColumn("occurrence", nth.cast("long"))
+    digits, reach = 1, SPLIT
+    period = plan.agg(F.max("q")).first()[0] or 1
+    while reach < period:
+        digits, reach = digits + 1, reach * SPLIT
+    nth = plan.withColumn("occurrence", F.explode(F.sequence(F.lit(0).cast("long"), F.col("a") - 1)))
+    due = nth.withColumn("due", F.expr("(occurrence * q + q + a - 1) div a"))
+    by_priority = Window.partitionBy(F.lit(0)).orderBy("due", "source")  # a sort of q rows
+    block = F.struct("source", "a", "q", "occurrence")
+    blocks = due.select((F.row_number().over(by_priority) - 1).cast("long").alias("priority"), F.expr("(occurrence * q) div a").alias("place"), block.alias("block"))
+    none = {"priority": F.lit(None).cast("long"), "block": F.lit(None).cast(blocks.schema["block"].dataType)}
+    slots = blocks.select(F.col("priority").alias("place"), F.col("priority").alias("turn")).withColumns(none)  # every slot of the period is taken
+    rows = blocks.withColumn("turn", F.lit(None).cast("long")).unionByName(slots).withColumn("node", F.lit(0).cast("long"))
+    is_slot = F.col("turn").isNotNull()
+    for _ in range(digits):
+        reach //= SPLIT
+        part = F.when(~is_slot, F.expr(f"CAST(priority div {reach} % {SPLIT} AS int)")).otherwise(-1)
+        first_parts = F.explode(F.when(is_slot, F.array(F.lit(-1))).otherwise(F.sequence("part", F.lit(SPLIT - 1)))).alias("upto")
+        spread = rows.withColumn("part", part).select("*", first_parts).withColumn("block", F.when(F.col("part") == F.col("upto"), F.col("block")))
+        by_release = Window.partitionBy("node", "upto").orderBy("place")
+        queued = spread.withColumn("queue", F.row_number().over(by_release) - 1)
+        latest = F.max(F.col("place") - F.col("queue")).over(by_release.rowsBetween(Window.unboundedPreceding, 0))
+        taken = queued.withColumn("takes", F.when(is_slot, F.col("place")).otherwise(F.col("queue") + latest))
+        owner = F.min(F.when(~is_slot, F.col("upto"))).over(Window.partitionBy("node", "takes"))
+        owned = taken.withColumn("owner", owner).where(is_slot | (F.col("part") == F.col("upto")))
+        deeper = owned.withColumn("node", F.col("node") * SPLIT + F.when(is_slot, F.col("owner")).otherwise(F.col("part")))
+        earlier = Window.partitionBy("node").orderBy("place", is_slot).rowsBetween(Window.unboundedPreceding, -1)
+        counted = F.coalesce(F.sum(is_slot.cast("long")).over(earlier), F.lit(0).cast("long"))
+        rows = deeper.withColumn("place", counted).select("node", "priority", "place", "turn", "block")
+    found = rows.groupBy("node").agg(F.max("block").alias("block"), F.max("turn").alias("turn"))
+    return found.select("block.source", "block.a", "block.q", "block.occurrence", "turn")
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame, *, quanta: int = QUANTA, block_bytes: int = BLOCK_BYTES, seed: str = "mix", prefix: str = "mix_") -> DataFrame:

@@ -531,7 +531,7 @@ def plain_edf(shares, q):
     return out
 
 
-@pytest.mark.parametrize("weights", [[1, 1, 1, 1], [3, 3, 2, 2], [1], list(range(1, 24))])
+@pytest.mark.parametrize("weights", [[1, 1, 1, 1], [3, 3, 2, 2], [1], list(range(1, 24)), [1.5**i for i in range(40)]])
 def test_schedule_equals_plain_edf(spark, weights):
     """Also with equal remainders and equal deadlines."""
     plan = mixing.quanta_plan(spark.createDataFrame([(f"s{i:02}", float(w)) for i, w in enumerate(weights)], "source string, weight double"))
