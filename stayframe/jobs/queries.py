@@ -92,20 +92,28 @@ FEATURES = [
 ]
 
 
-@query(f"""WITH {OBS}, w AS (SELECT e.* FROM events e JOIN obs o USING (user_id) WHERE e.event_type IN ('click', 'view')
+FEATURES_SQL = f"""WITH {OBS}, w AS (SELECT e.* FROM events e JOIN obs o USING (user_id) WHERE e.event_type IN ('click', 'view')
     AND e.ts BETWEEN o.t_first + INTERVAL 2 DAY AND o.t_first + INTERVAL 9 DAY)
   SELECT o.user_id, first(value ORDER BY ts, event_id) AS first_value, last(value ORDER BY ts, event_id) AS last_value, round(avg(value), 6) AS mean_value,
     round(median(value), 6) AS median_value, min(value) AS min_value, max(value) AS max_value, round(stddev_samp(value), 6) AS std_value,
     list_sort(list(value) FILTER (value IS NOT NULL))[floor((count(value) - 1) * 0.9 + 0.5)::INT + 1] AS p90, round(sum(value), 6) AS sum_value,
     CASE WHEN count(w.event_id) > 0 THEN count(w.event_id) END AS n, count(w.value) > 0 AS seen
-  FROM obs o LEFT JOIN w USING (user_id) GROUP BY o.user_id""")
-def features_in_window(spark, d):
+  FROM obs o LEFT JOIN w USING (user_id) GROUP BY o.user_id"""
+
+
+@query(FEATURES_SQL)
+def features_in_window(spark, d, **options):
     window = TimeWindow.between(("t_first", "2d"), ("t_first", "9d"))
     specs = [A.Feature(name, select, "!isin(event_type, [click, view])", window) for name, select in FEATURES]
-    found = A.static_features(series(spark, d), observations(spark, d), specs, "user_id", tiebreak=["event_id"])
+    found = A.static_features(series(spark, d), observations(spark, d), specs, "user_id", tiebreak=["event_id"], **options)
     return rounded(found, "mean_value", "median_value", "std_value", "sum_value")
 
 
+@query(FEATURES_SQL)
+def features_of_hot_keys(spark, d):
+    return features_in_window(spark, d, spread=True)
+
+
 @query(f"""WITH {OBS}, {ep("view")}, x AS (SELECT o.user_id, e.value, epoch_us(e.s) AS s, epoch_us(e.e) AS e, epoch_us(o.t_first + INTERVAL 1 DAY) AS lo, epoch_us(o.t_first + INTERVAL 8 DAY) AS hi
     FROM obs o JOIN ep e USING (user_id))
   SELECT o.user_id, round(coalesce(sum(CASE WHEN x.e <= x.s THEN x.value ELSE x.value * (least(x.e, x.hi) - greatest(x.s, x.lo)) / (x.e - x.s) END) FILTER (x.s <= x.hi AND x.e >= x.lo), 0), 6) AS exposure

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.time import Offset, TimeWindow, contains, micros
 from .frames import condition
 from .joins import attach_window, closest_value
+from .summary import exact_percentiles
 
 _SELECT = re.compile(r"^!(\w+)(?:\(([^)]*)\))?\s*(.*)$")
 SIMPLE = ("first", "last", "mean", "median", "min", "max", "std", "perc", "sum", "count", "any", "sum_interval", "closest")
@@ -91,11 +92,12 @@ def _aggregate(s: Select, column: str, inside: Column, time: str, tiebreak: list
     raise ValueError(s.function)
 
 
-def static_features(base: DataFrame, obs: DataFrame, features: list[Feature], key: str, *, join_key: str | None = None, time: str = "recordtime", end: str = "recordtime_end", tiebreak: list[str] | None = None) -> DataFrame:
+def static_features(base: DataFrame, obs: DataFrame, features: list[Feature], key: str, *, join_key: str | None = None, time: str = "recordtime", end: str = "recordtime_end", tiebreak: list[str] | None = None, spread: bool = False) -> DataFrame:
     """One row for each of obs with all features; null (false for any, 0 for sum_interval) where it has no rows.
 
-    Ties in time are broken by the tiebreak columns. perc and median keep a group's values together: a group is one
-    observation's series. Observations must be unique by key.
+    Ties in time are broken by the tiebreak columns. perc and median keep a group's values together, a group being one
+    observation's series. With spread they don't: those of all features are found by two more scans, in which a hot observation's values
+    are counted and bracketed over tasks; their columns must be numbers. Observations must be unique by key.
     """
     tiebreak = tiebreak or []
     plain = [f for f in features if parse_select(f.select).function not in ("closest", "sum_interval")]
@@ -110,7 +112,7 @@ def static_features(base: DataFrame, obs: DataFrame, features: list[Feature], ke
         on = join_key or key
         slim = obs.select(*dict.fromkeys([on, key]), *bounds)
         joined_once = (base.drop(key) if on != key else base).join(slim, on)
-        exprs, tests = [], []
+        exprs, tests, ranked = [], [], []
         for i, f in enumerate([*plain, *interval]):
             s, low, high, t = parse_select(f.select), F.col(f"__lo{i}"), F.col(f"__hi{i}"), F.col(time)
             if s.function == "sum_interval":
@@ -128,7 +130,9 @@ def static_features(base: DataFrame, obs: DataFrame, features: list[Feature], ke
             inside = F.coalesce(inside, F.lit(False))
             tests.append(inside)
             for column, name in f.outputs():
-                if s.function == "sum_interval":
+                if spread and s.function in ("median", "perc"):
+                    ranked.append((column, name, inside, s))
+                elif s.function == "sum_interval":
                     length = micros(stop) - micros(t)
                     overlap = micros(F.least(stop, F.coalesce(high, stop))) - micros(F.greatest(t, F.coalesce(low, t)))
                     share = F.when(length <= 0, F.col(column)).otherwise(F.col(column) * overlap / length)
@@ -140,8 +144,10 @@ def static_features(base: DataFrame, obs: DataFrame, features: list[Feature], ke
         useful = tests[0]
         for test in tests[1:]:
             useful = useful | test
-        grouped = joined_once.where(useful).groupBy(key).agg(*exprs)
-        out = out.join(grouped, key, "left")
+        if exprs:
+            out = out.join(joined_once.where(useful).groupBy(key).agg(*exprs), key, "left")
+        if ranked:
+            out = out.join(_spread_percentiles(joined_once.where(useful), key, ranked), key, "left")
         fill = {f.outputs()[0][1]: F.lit(False) for f in plain if parse_select(f.select).function == "any"}
         fill |= {name: F.lit(0.0) for f in interval for _, name in f.outputs()}
         if fill:
@@ -150,7 +156,27 @@ def static_features(base: DataFrame, obs: DataFrame, features: list[Feature], ke
         s = parse_select(f.select)
         if s.function == "closest":
             out = out.join(_closest(base, obs, f, s, key, join_key, time, tiebreak), key, "left")
-    return out
+    names = [name for f in features for _, name in f.outputs()]
+    return out.select(key, *names) if spread else out
+
+
+def _spread_percentiles(rows: DataFrame, key: str, ranked: list[tuple[str, str, Column, Select]]) -> DataFrame:
+    """key and a column for each of ranked (column, name, rows that count, select), all found by one call of exact_percentiles."""
+    kinds = dict(rows.dtypes)
+    texts = [c for c, *_ in ranked if not kinds[c].startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")) or kinds[c].startswith("interval")]
+    if texts:
+        raise ValueError(f"spread percentiles are of numbers, unlike {', '.join(texts)}")
+    shares = list(dict.fromkeys(("perc", float(s.arguments[0]) / 100) if s.function == "perc" else ("median", 0.5) for *_, s in ranked))
+    each = [F.struct(F.lit(i).alias("feature"), F.when(inside, F.col(c).cast("double")).alias("v")) for i, (c, _, inside, _) in enumerate(ranked)]
+    long = rows.select(key, F.explode(F.array(*each)).alias("x")).select(key, F.col("x.feature").alias("__feature"), F.col("x.v").alias("__value")).where("__value IS NOT NULL")
+    nearest = tuple(i for i, (function, _) in enumerate(shares) if function == "perc")
+    found = exact_percentiles(long, [key, "__feature"], "__value", tuple(share for _, share in shares), nearest=nearest)
+    columns = []
+    for i, (c, name, _, s) in enumerate(ranked):
+        place = shares.index(("perc", float(s.arguments[0]) / 100) if s.function == "perc" else ("median", 0.5))
+        cut = F.max(F.when(F.col("__feature") == i, F.get("cuts", F.lit(place))))
+        columns.append((cut.cast(kinds[c]) if s.function == "perc" else cut).alias(name))
+    return found.groupBy(key).agg(*columns)
 
 
 def _closest(base: DataFrame, obs: DataFrame, f: Feature, s: Select, key: str, join_key: str | None, time: str, tiebreak: list[str]) -> DataFrame:

@@ -41,8 +41,9 @@ def _groups(by: str | None, overall: bool) -> Column:
 SKETCH = 1000
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...] = QUARTILES, also: dict[str, Column] | None = None) -> DataFrame:
-    """keys and `cuts`, the exact percentiles of value (interpolated, nulls left out), in two scans however many values a key has.
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...] = QUARTILES, also: dict[str, Column] | None = None, nearest: tuple[int, ...] = ()) -> DataFrame:
+    """keys and `cuts`, the exact percentiles of value (nulls left out), in two scans however many values a key has. They are
+    interpolated, but for those whose places in points are in nearest: these are the value of the nearest rank, halves up.
 
     The first scan makes a mergeable sketch for each key; its approximate percentiles a little below and above each point bracket the
     exact one for sure. The second counts what lies below each bracket, and how often each value inside it occurs: a few
@@ -75,7 +76,9 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: tuple[
     so_far = F.sum("n").over(Window.partitionBy(*names, "point").orderBy(F.asc_nulls_first("inside")))
     ranked = beside(counted.withColumn("upto", so_far), brackets.select(*names, "all"))
     of_point = F.element_at(F.array(*map(F.lit, points)), F.col("point") + 1)
-    place = ranked.withColumn("place", of_point * (F.col("all") - 1)).withColumn("before", F.col("upto") - F.col("n"))
+    exact = of_point * (F.col("all") - 1)
+    rank = F.when(F.col("point").isin(*nearest), F.floor(exact + 0.5).cast("double")).otherwise(exact) if nearest else exact
+    place = ranked.withColumn("place", rank).withColumn("before", F.col("upto") - F.col("n"))
     at = lambda rank: F.max(F.when((F.col("before") <= rank) & (rank < F.col("upto")), F.col("inside")))
     found = place.groupBy(*names, "point").agg(at(F.floor("place")).alias("low"), at(F.ceil("place")).alias("high"), F.max(F.col("place") - F.floor("place")).alias("part"))
     cut = F.when(F.col("part") == 0, F.col("low")).otherwise((1 - F.col("part")) * F.col("low") + F.col("part") * F.col("high"))

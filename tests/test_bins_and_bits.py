@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stayframe.functions.time import RELATIONS, TimeWindow
+from stayframe.operators import aggregates as A
 from stayframe.operators import joins as J
 from stayframe.operators import outcomes as Q
 from stayframe.operators import summary as M
@@ -87,3 +88,25 @@ def test_percentiles_are_exact_in_two_scans(spark, tmp_path):
     got = {r["k"]: r for r in found.collect()}
     for k, v in data.items():
         assert got[k]["cuts"] == pytest.approx(np.quantile(v, points).tolist()) and got[k]["mean"] == pytest.approx(v.mean())
+
+
+def test_spread_percentiles_of_a_hot_key_equal_gathered_ones(spark):
+    """A key with a third of the rows and more values than a sketch holds; ties, nulls, NaN, whole numbers, windows and rules of their own."""
+    obs = spark.sql("SELECT id AS case_id, TIMESTAMP_NTZ '2024-03-01 00:00:00' AS t0 FROM range(9)")
+    base = spark.range(12_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 1 ELSE id % 7 + 1 END AS case_id", "TIMESTAMP_NTZ '2024-03-01 00:00:00' + make_dt_interval(0, 0, id % 3000) AS recordtime",
+        "CASE WHEN id % 11 = 0 THEN NULL WHEN id % 997 = 0 THEN double('NaN') ELSE pmod(hash(id), 5000) / 7 END AS value", "CAST(pmod(hash(id, 1), 40) AS int) AS whole",
+    )
+    window = TimeWindow.after("t0", "20h")
+    wanted = [("mid", "!median value", None), ("low", "!perc(5) value", "value > 40"), ("p", "!perc(90) value, whole", None), ("top", "!perc(100) whole", None), ("rows", "!count value", None), ("half", "!perc(50) value", "whole = 3")]
+    features = [A.Feature(name, select, where, window if name != "top" else TimeWindow()) for name, select, where in wanted]
+    plain = A.static_features(base, obs, features, "case_id")
+    spread = A.static_features(base, obs, features, "case_id", spread=True)
+    assert spread.dtypes == plain.select(*spread.columns).dtypes
+    shown = lambda df: sorted(str([round(x, 6) if isinstance(x, float) else x for x in r]) for r in df.select(*spread.columns).collect())
+    assert shown(spread) == shown(plain) and spread.count() == 9
+    only = A.static_features(base, obs, features[:1], "case_id", spread=True)
+    assert only.columns == ["case_id", "mid"] and only.where("mid IS NULL").count() == 2  # 0 and 8 have no rows
+    assert "collect_list" not in spread._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError, match="numbers"):
+        A.static_features(base.withColumn("value", F.lit("x")), obs, features[:1], "case_id", spread=True)
