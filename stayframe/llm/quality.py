@@ -122,13 +122,13 @@ def isotonic(value: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def train(stats: DataFrame, labels: DataFrame, *, features: int = FEATURES, ridge: float = 1.0, width: float = 4.0, seed: int = 7) -> QualityModel:
-    """Learns from every row of stats (doc_id, stats) whose doc_id has a label (doc_id, quality 0 or 1; null labels are
+    """Learns from every row of stats (doc_id, stats) whose doc_id has a label (doc_id, quality 0 or 1; null and NaN labels are
     ignored, repeated ones averaged).
 
     Each task sums its normal equations, one set for each fold; a document's fold is a hash of its id. The
     calibration uses scores from the model of the other folds. Without labels every score is 0.5.
     """
-    wanted = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("y"))
+    wanted = labels.where("quality IS NOT NULL AND NOT isnan(CAST(quality AS double)) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("y"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold")
     labelled = written(stats.join(wanted, "doc_id").select("stats", "y", fold), "labelled")
     n = len(STATISTICS)

@@ -172,6 +172,10 @@ def test_quality(docs, none, spark):
     model = quality.train(stats, labels)
     scores = quality.scored(stats, model).collect()
     assert len(scores) == len(ODD) and all(0 <= r["score"] <= 1 for r in scores)
+    odd_labels = labels.select("doc_id", F.expr("IF(doc_id = 8, double('NaN'), CAST(quality AS double))").alias("quality"))  # null for 8 above
+    assert sorted(map(str, quality.scored(stats, quality.train(stats, odd_labels)).collect())) == sorted(map(str, scores))
+    clash = docs.withColumns({"stats": F.lit(1), "score": F.lit("x"), "quality": F.lit(None).cast("int")})
+    assert sorted(map(str, quality.kept_by_score(clash, model).select("doc_id").collect())) == sorted(map(str, quality.kept_by_score(docs, model).select("doc_id").collect()))
     unlabelled = quality.train(stats, labels.where("quality > 5"))
     assert {r["score"] for r in quality.scored(stats, unlabelled).collect()} == {0.5}
     assert quality.scored(quality.measured(none, ["doc_id"]), model).count() == 0
