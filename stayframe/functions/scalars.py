@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,24 @@ def safe_cast(value: Column, kind: str) -> Column:
     return value.try_cast(kind)
 
 
+def ratio(part: Column, whole: Column) -> Column:
+    """part / whole in floating point: over zero it is infinite, or NaN for zero and NaN; null only where a side is null."""
+    # pow(0.0, -1) is infinite, with the sign of the zero
+    return F.when(whole == 0, part * F.pow(whole, F.lit(-1.0))).otherwise(F.try_divide(part, whole))
+
+
+def round_scaled(value: Column, digits: int) -> Column:
+    """A double rounded half away from zero after scaling in binary, as SQL engines round doubles. Spark's round goes by the shortest
+    decimal digits, and so rounds some values up that lie just below a half once scaled."""
+    scale = F.lit(10.0**digits)
+    scaled = value * scale
+    size = F.abs(scaled)
+    whole = F.floor(size)
+    up = F.when(size - whole >= 0.5, 1).otherwise(0)
+    # from 2 ** 52 on a double has no fraction; NaN is none of these
+    return F.when(size < 2.0**52, F.signum(value) * (whole + up) / scale).when(size == math.inf, value).otherwise(scaled / scale)
+
+
 def threshold_score(value: Column, bands: list[tuple[float, int]], *, below: int = 0) -> Column:
     """Points of the largest bound that the value reaches; `below` under all bounds, null for null."""
     out = F.when(value.isNull(), F.lit(None).cast("int"))

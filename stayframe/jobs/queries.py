@@ -273,7 +273,8 @@ def ward_blocks(spark, d):
   SELECT user_id, first, last, highest, points, round(last / first, 6) AS last_to_first, round(highest / first, 6) AS highest_to_first,
     CASE WHEN points >= 2 THEN round(greatest(least(100 * (first - last) / first, 200), -200), 6) END AS clearance FROM g""")
 def value_trends(spark, d):
-    return rounded(A.trend(series(spark, d, "view"), ["user_id"], "recordtime", "value", ["event_id"]), "last_to_first", "highest_to_first", "clearance")
+    found = A.trend(series(spark, d, "view"), ["user_id"], "recordtime", "value", ["event_id"])
+    return found.withColumns({c: S.round_scaled(F.col(c), 6) for c in ("last_to_first", "highest_to_first", "clearance")})
 
 
 @query("""WITH RECURSIVE s AS (SELECT user_id, event_id, ts, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'view'),

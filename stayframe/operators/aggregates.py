@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import ratio
 from ..functions.time import Offset, TimeWindow, contains, micros
 from .frames import condition
 from .joins import attach_window, closest_value
@@ -235,16 +236,16 @@ def series_quality(df: DataFrame, key: str, value: str, low: float, high: float)
 
 def trend(df: DataFrame, keys: list[str], time: str, value: str, tiebreak: list[str] | None = None, limit: float = 200.0) -> DataFrame:
     """First, last and largest value, their ratios, and the percentage cleared from first to last (null below two points,
-    clipped to +-limit)."""
-    rank = F.struct(time, *(tiebreak or []))
+    clipped to +-limit). Undated values come last. Over a first value of zero, ratios are infinite or NaN, which clips to a limit."""
+    rank = F.struct(*[x for c in (time, *(tiebreak or [])) for x in (F.isnull(c), F.col(c))])
     grouped = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
         F.min_by(value, rank).alias("first"), F.max_by(value, rank).alias("last"), F.max(value).alias("highest"), F.count(F.lit(1)).alias("points")
     )
-    cleared = F.try_divide(100 * (F.col("first") - F.col("last")), F.col("first"))
+    cleared = ratio(100 * (F.col("first") - F.col("last")), F.col("first"))
     return grouped.withColumns(
         {
-            "last_to_first": F.try_divide("last", "first"),
-            "highest_to_first": F.try_divide("highest", "first"),
+            "last_to_first": ratio(F.col("last"), F.col("first")),
+            "highest_to_first": ratio(F.col("highest"), F.col("first")),
             "clearance": F.when(F.col("points") >= 2, F.greatest(F.least(cleared, F.lit(limit)), F.lit(-limit))),
         }
     )
