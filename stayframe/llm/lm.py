@@ -13,7 +13,8 @@ Only the commonest words and keys (at most LOOKUP_ROWS of each) are looked up in
 of 16 MB at most keep keys out of shuffles that the tables can't hold.
 
 Strings to count and keys to look up are many and short, so a task deals them out into buckets by their hash and hands on each bucket
-as one row of packed arrays. The number of buckets grows with the corpus, which bounds what a bucket holds.
+as one row of packed arrays. The number of buckets grows with the corpus, which bounds what a bucket holds. A string to be counted is
+sent as its words' numbers, three bytes each for the LOOKUP_ROWS commonest words; strings with another word are sent as hashes.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ STEP, COUNT_STEP, KEY_STEP = 1_000_000, 4_000_000, 4_000_000
 class SuffixTree:
     """The tables of the model, and the common part of them that tasks look up.
 
-    counts is the table (name, c) of all words, strings has one table for each length of context, and lookup is the table (key, v, n) of
+    counts is the table (name, c) of all words, levels the length of the longest context, and lookup is the table (key, v, n) of
     what states and the strings they list add to a word's score. words and seen are the common words' names (sorted) and counts, keys
     (sorted) and added the common part of lookup; common_words and common_keys say from which count on. bits is a bitmap of all keys.
     """
@@ -62,7 +63,7 @@ class SuffixTree:
     counts: DataFrame
     tokens: int
     vocabulary: int
-    strings: list[DataFrame]
+    levels: int
     lookup: DataFrame
     common_words: int
     words: np.ndarray
@@ -74,21 +75,26 @@ class SuffixTree:
 
     def buckets(self, tokens: int) -> int:
         """For so many tokens to be scored: what they ask grows with them, and the tables that answer with the training tokens."""
-        return max(1, -(-max(self.tokens, tokens) * max(1, len(self.strings)) // LOOKUP_TOKENS))
+        return max(1, -(-max(self.tokens, tokens) * max(1, self.levels) // LOOKUP_TOKENS))
 
 
 def _names(words: pa.Array) -> np.ndarray:
     return pd.util.hash_array(words.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(words) else np.zeros(0, np.uint64)
 
 
+def _named(words: Words) -> np.ndarray:
+    """The name of each code, with that of the end last, where code -1 finds it."""
+    return np.append(_names(words.vocabulary), _names(pa.array([END])))
+
+
 def _longer(string: np.ndarray, word: np.ndarray) -> np.ndarray:
     """The key of a string with one more word."""
     return mixed(string * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
-def _runs(words: Words, code: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _runs(named: np.ndarray, code: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For k = 1 .. most: keys of the strings of k words at each place, their next words, and if no end is among the k."""
-    name, end = np.append(_names(words.vocabulary), _names(pa.array([END])))[code], code < 0
+    name, end = named[code], code < 0
     string, whole = name, ~end
     for k in range(1, most + 1):
         yield string, name[k:], whole[: max(len(whole) - 1, 0)]
@@ -170,62 +176,74 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "name long, n long").groupBy("name").agg(F.sum("n").alias("c"))
 
 
-def _next_words(texts: DataFrame, contexts: DataFrame, length: int, least: int, buckets: int) -> DataFrame:
-    """(ctx, word, n): how often a word follows a context of `length` words, for all that do so `least` times."""
-    send = texts.sparkSession.sparkContext.broadcast(_bitmap(contexts.select("key")))  # 16 MB at most
+def _next_words(texts: DataFrame, contexts: DataFrame, length: int, least: int, buckets: int, words: np.ndarray, seen: np.ndarray) -> DataFrame:
+    """(ctx, key, suffix, n): how often a word follows a context of `length` words, for all that do so `least` times. key is the
+    string of both, suffix that string without its first word. words and seen: names (sorted) and counts of the common words."""
+    number = np.empty(len(words), np.uint32)
+    number[np.argsort(-seen, kind="stable")] = np.arange(len(words), dtype=np.uint32)
+    send = texts.sparkSession.sparkContext.broadcast((_bitmap(contexts.select("key")), words, number))  # 16 MB at most, and 12 bytes a common word
+    places = range(length + 1)
+    schema = "bucket int, n binary, " + ", ".join(f"low{i} binary, high{i} binary, name{i} binary" for i in places)
+    types = to_arrow_schema(texts.sparkSession.createDataFrame([], schema).schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, common, number = send.value
         for batch in (piece for whole in batches for piece in sliced(whole, COUNT_STEP)):
             words, _, code = _tokens(batch.column("text"))
-            *_, (string, word, whole) = _runs(words, code, length)
+            named = _named(words)
+            *_, (string, word, whole) = _runs(named, code, length)
             # both the string without its last word and the one without its first occur at least as often
-            known = _may_hold(send.value, string)
-            ok = whole & known[:-1] & known[1:]
-            ctx, word = string[:-1][ok], word[ok]
-            key, first, n = np.unique(_longer(ctx, word), return_index=True, return_counts=True)
-            yield _dealt((key % np.uint64(buckets)).astype(np.int32), ctx=ctx[first], word=word[first], n=n.astype(np.int32))
+            known = _may_hold(bits, string)
+            at = np.flatnonzero(whole & known[:-1] & known[1:])
+            key, first, n = np.unique(_longer(string[at], word[at]), return_index=True, return_counts=True)
+            at, bucket, n = at[first], (key % np.uint64(buckets)).astype(np.int32), n.astype(np.int32)
+            is_common, place = _place(common, named)
+            numbered = np.where(is_common, number[place] if len(number) else 0, 0).astype(np.uint32)
+            coded = np.logical_and.reduce([is_common[code[at + i]] for i in places])
+            both = (
+                (coded, lambda i, at: {f"low{i}": (x := numbered[code[at + i]]).astype(np.uint16), f"high{i}": (x >> 16).astype(np.uint8)}),  # noqa: B023
+                (~coded, lambda i, at: {f"name{i}": named[code[at + i]]}),  # noqa: B023
+            )
+            for part, columns in both:
+                if part.any():
+                    own = at[part]
+                    dealt = _dealt(bucket[part], n=n[part], **{k: v for i in places for k, v in columns(i, own).items()})
+                    yield _filled(dict(zip(dealt.schema.names, dealt.columns, strict=True)), dealt.num_rows, types)
 
     def add_up(rows: pa.Table) -> pa.Table:
-        ctx, word, n = _joined(rows, "ctx", np.uint64), _joined(rows, "word", np.uint64), _joined(rows, "n", np.int32)
-        key = _longer(ctx, word)
+        _, common, number = send.value
+        of_number = np.empty_like(common)
+        of_number[number] = common
+        coded, named = rows.filter(pa.compute.is_valid(rows["low0"])), rows.filter(pa.compute.is_valid(rows["name0"]))
+        n = np.concatenate([_joined(part, "n", np.int32) for part in (coded, named)])
+        words = [
+            np.concatenate([of_number[_joined(coded, f"low{i}", np.uint16) | _joined(coded, f"high{i}", np.uint8).astype(np.uint32) << 16], _joined(named, f"name{i}", np.uint64)])
+            for i in places
+        ]
+        key = reduce(_longer, words)
         order = np.argsort(key)
         first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
         total = np.add.reduceat(n[order].astype(np.int64), first)
         at = order[first[total >= least]]
-        return pa.table({"ctx": ctx[at].view(np.int64), "word": word[at].view(np.int64), "n": total[total >= least]})
-
-    packed = texts.select("text").mapInArrow(count, "bucket int, ctx binary, word binary, n binary")
-    return packed.groupBy("bucket").applyInArrow(add_up, "ctx long, word long, n long")
-
-
-def _named(strings: DataFrame, length: int) -> DataFrame:
-    """Adds the string's key and that of its suffix, in place of tail, the suffix of its context."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ctx, word, tail = (batch.column(c).to_numpy().view(np.uint64) for c in ("ctx", "word", "tail"))
-            key, suffix = _longer(ctx, word), word if length == 1 else _longer(tail, word)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("ctx", "word", "n", "total")), pa.array(key.view(np.int64)), pa.array(suffix.view(np.int64))],
-                ["ctx", "word", "n", "total", "key", "suffix"],
-            )
+        columns = {"ctx": reduce(_longer, [w[at] for w in words[:-1]]), "key": key[at], "suffix": reduce(_longer, [w[at] for w in words[1:]])}
+        return pa.table({c: x.view(np.int64) for c, x in columns.items()} | {"n": total[total >= least]})
 
-    return strings.select("ctx", "word", "n", "total", "tail").mapInArrow(add, "ctx long, word long, n long, total long, key long, suffix long")
+    return texts.select("text").mapInArrow(count, schema).groupBy("bucket").applyInArrow(add_up, "ctx long, key long, suffix long, n long")
 
 
-def _grown(strings: DataFrame, tokens: int, smoothing: float) -> DataFrame:
-    """Tests every context of strings (ctx, total, n, root, base) against its parent and adds rest, what a state gives all
-    words (null: no state), and lift, what the string's last word scores above the root (log10)."""
+def _grown(strings: DataFrame, contexts: DataFrame, tokens: int, smoothing: float) -> DataFrame:
+    """Tests every context of strings (ctx, n, root, base) against its parent and adds total, how often the context occurs by contexts
+    (key, n), and rest, what a state gives all words (both null: no state), and lift, what the string's last word scores above the
+    root (log10)."""
     parent = F.col("root") * F.pow(F.lit(10.0), F.col("base"))
-    p = (F.col("n") + smoothing * parent) / (F.col("total") + smoothing)
-    sums = strings.groupBy("ctx", "total").agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(parent).alias("parent"), F.sum(p).alias("p"),
-        F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / parent)).alias("listed"),
-    )
+    sums = strings.groupBy("ctx").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(parent).alias("parent"), F.sum(F.col("n") * F.log(F.col("n") / parent)).alias("listed"))
+    sums = sums.join(contexts.select(F.col("key").alias("ctx"), F.col("n").alias("total")), "ctx")
     left, left_parent = F.greatest(F.col("total") - F.col("n"), F.lit(0)), F.greatest(1 - F.col("parent"), F.lit(1e-12))
-    ratio = F.col("listed") + F.when(left > 0, left * F.log(left / F.col("total") / left_parent)).otherwise(0.0)
+    ratio = F.col("listed") - F.col("n") * F.log("total") + F.when(left > 0, left * F.log(left / F.col("total") / left_parent)).otherwise(0.0)
     states = sums.where(ratio > 0.5 * math.log(max(tokens, 2)) * (F.col("k") + 1))
-    states = states.select("ctx", F.log10(F.greatest(1 - F.col("p"), F.lit(1e-12)) / left_parent).alias("rest"))
+    listed = (F.col("n") + smoothing * F.col("parent")) / (F.col("total") + smoothing)
+    states = states.select("ctx", "total", F.log10(F.greatest(1 - listed, F.lit(1e-12)) / left_parent).alias("rest"))
+    p = (F.col("n") + smoothing * parent) / (F.col("total") + smoothing)
     lift = F.when(F.col("rest").isNull(), F.col("base")).otherwise(F.log10(p / F.col("root")))
     return strings.join(states, "ctx", "left").withColumn("lift", lift)
 
@@ -238,32 +256,38 @@ def train(texts: DataFrame, *, context: int = CONTEXT, min_count: int = MIN_COUN
     counts = written(word_counts(texts), "words")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     tokens, vocabulary = int(total["n"]), int(total["v"])
+    common_words = _common(counts, "c", lookup_rows)
+    listed = counts.where(F.col("c") >= common_words).select("name", "c").toArrow()  # at most lookup_rows rows
+    names = listed["name"].to_numpy().view(np.uint64)
+    by_name = np.argsort(names)
+    words, seen = names[by_name], listed["c"].to_numpy()[by_name]
     root = (F.col("c") + 1) / F.lit(float(tokens + vocabulary + 1))
-    known = counts.where(F.col("c") >= min_count).select(F.col("name").alias("key"), F.col("name").alias("suffix"), F.col("c").alias("n"), root.alias("root"), F.lit(0.0).alias("lift"))
-    strings, values = [], []
+    known = counts.where(F.col("c") >= min_count).select(F.col("name").alias("key"), F.col("c").alias("n"), root.alias("root"), F.lit(0.0).alias("lift"))
+    values = []
     for length in range(1, context + 1):
-        found = _next_words(texts, known, length, min_count, max(1, -(-tokens // BUCKET_TOKENS)))
-        found = found.join(known.select(F.col("key").alias("ctx"), F.col("suffix").alias("tail"), F.col("n").alias("total")), "ctx")
-        found = _named(found, length).join(known.select(F.col("key").alias("suffix"), "root", F.col("lift").alias("base")), "suffix")
-        untested = written(found, "strings")
-        known = written(_grown(untested, tokens, smoothing), "tree")
+        # each step's shuffles go before the next begins, and tables that nothing will read any more
+        found = written(_next_words(texts, known, length, min_count, max(1, -(-tokens // BUCKET_TOKENS)), words, seen), "found")
+        untested = written(found.join(known.select(F.col("key").alias("suffix"), "root", F.col("lift").alias("base")), "suffix").drop("suffix"), "strings")
+        removed(found)
+        grown = written(_grown(untested, known, tokens, smoothing), "tree")
         removed(untested)
+        if length > 1:
+            removed(known)
+        known = grown
         if not known.head(1):  # nor is any longer string listed
             break
-        strings.append(known)
         stated = known.where("rest IS NOT NULL")
-        values.append(stated.groupBy("ctx").agg(F.first("rest").alias("v"), F.first("total").alias("n")).select(F.col("ctx").bitwiseXOR(F.lit(STATE)).alias("key"), "v", "n"))
-        values.append(stated.select("key", (F.col("lift") - F.col("base") - F.col("rest")).alias("v"), "n"))
-    none = texts.sparkSession.createDataFrame([], "key long, v double, n long")
-    lookup = written(reduce(DataFrame.unionByName, values, none), "values")
-    common_words, common_keys = _common(counts, "c", lookup_rows), _common(lookup, "n", lookup_rows)
-    # at most lookup_rows rows each
-    listed = counts.where(F.col("c") >= common_words).select("name", "c").toArrow()
-    hot = lookup.where(F.col("n") >= common_keys).select("key", "v").toArrow()
-    names, keys = (x.to_numpy().view(np.uint64) for x in (listed["name"], hot["key"]))
-    by_name, by_key = np.argsort(names), np.argsort(keys)
+        states = stated.groupBy("ctx").agg(F.first("rest").alias("v"), F.first("total").alias("n")).select(F.col("ctx").bitwiseXOR(F.lit(STATE)).alias("key"), "v", "n")
+        values.append(written(states.unionByName(stated.select("key", (F.col("lift") - F.col("base") - F.col("rest")).alias("v"), "n")), "values"))
+    if values:
+        removed(known)
+    lookup = reduce(DataFrame.unionByName, values or [texts.sparkSession.createDataFrame([], "key long, v double, n long")])
+    common_keys = _common(lookup, "n", lookup_rows)
+    hot = lookup.where(F.col("n") >= common_keys).select("key", "v").toArrow()  # at most lookup_rows rows
+    keys = hot["key"].to_numpy().view(np.uint64)
+    by_key = np.argsort(keys)
     return SuffixTree(
-        counts, tokens, vocabulary, strings, lookup, common_words, names[by_name], listed["c"].to_numpy()[by_name],
+        counts, tokens, vocabulary, len(values), lookup, common_words, words, seen,
         common_keys, keys[by_key], hot["v"].to_numpy()[by_key], _bitmap(lookup.select("key")),
     )
 
@@ -274,6 +298,26 @@ def _place(ordered: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (ordered[at] == keys) if len(ordered) else np.zeros(len(keys), bool), at
 
 
+def _starts(ordered: np.ndarray) -> np.ndarray:
+    """For each value of the leading bits, of which there are as many as keys or up to twice as many, where its keys begin."""
+    bits = np.uint64(max(1, len(ordered).bit_length()))
+    return np.searchsorted(ordered >> (np.uint64(64) - bits), np.arange(1 << int(bits), dtype=np.uint64)).astype(np.int32)
+
+
+def _place_by_start(ordered: np.ndarray, starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As _place, for hashes: the leading bits tell where to begin, and a few steps do the rest, instead of a binary search over all."""
+    last = len(ordered) - 1
+    if last < 0:
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    at = np.minimum(starts[keys >> np.uint64(65 - len(starts).bit_length())], last)
+    behind = np.flatnonzero(ordered[at] < keys)
+    while len(behind):
+        behind = behind[at[behind] < last]
+        at[behind] += 1
+        behind = behind[ordered[at[behind]] < keys[behind]]
+    return ordered[at] == keys, at
+
+
 def _repeats(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, key, times), sorted by document."""
     order = np.lexsort((key, doc))
@@ -285,19 +329,19 @@ def _repeats(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _measure(model: tuple, levels: int, text: pa.Array) -> tuple[dict[str, np.ndarray], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
     """Each document's sums as far as the common words and keys give them, and (document, key, times) of the words and of the keys
     that remain to be joined. Words that aren't common count as unknown here."""
-    words, seen, size, keys, added, bits = model
+    words, seen, size, keys, starts, added, bits = model
     parts, doc, code = _tokens(text)
-    name = np.append(_names(parts.vocabulary), _names(pa.array([END])))
+    name = _named(parts)
     known, at = _place(words, name)
     root = np.where(known, np.log10((seen[at] + 1) / size) if len(seen) else 0.0, -np.log10(size))
     per_doc = lambda x, d: np.bincount(d, weights=x, minlength=parts.docs)
     gain, left_doc, left_key = np.zeros(parts.docs), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for string, word, whole in _runs(parts, code, levels):
+    for string, word, whole in _runs(name, code, levels):
         ctx, of = string[:-1][whole], doc[: len(whole)][whole]
         for key in (ctx ^ np.uint64(STATE), _longer(ctx, word[whole])):
             maybe = _may_hold(bits, key)
             key, where = key[maybe], of[maybe]
-            hot, place = _place(keys, key)
+            hot, place = _place_by_start(keys, starts, key)
             gain += per_doc(added[place[hot]], where[hot])
             left_doc.append(where[~hot])
             left_key.append(key[~hot])
@@ -318,8 +362,8 @@ def score(docs: DataFrame, tree: SuffixTree) -> DataFrame:
     scores are 0: the only class left is the unknown word.
     """
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count(F.lit(1))).first()[0]
-    levels, buckets, size = len(tree.strings), tree.buckets(int(text_bytes) // TOKEN_BYTES), float(tree.tokens + tree.vocabulary + 1)
-    send = docs.sparkSession.sparkContext.broadcast((tree.words, tree.seen, size, tree.keys, tree.added, tree.bits))  # bounded by lookup_rows, and the bitmap by 16 MB
+    levels, buckets, size = tree.levels, tree.buckets(int(text_bytes) // TOKEN_BYTES), float(tree.tokens + tree.vocabulary + 1)
+    send = docs.sparkSession.sparkContext.broadcast((tree.words, tree.seen, size, tree.keys, _starts(tree.keys), tree.added, tree.bits))  # bounded by lookup_rows, and the bitmap by 16 MB
     kind = dict(docs.dtypes)["doc_id"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
