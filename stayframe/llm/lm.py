@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,7 +45,10 @@ SMOOTHING = 2.0
 #: Tells the key of a state from the key of the same words as a listed string.
 STATE = 0x2545F4914F6CDD1D
 #: Tokens of the corpus, on the average, for one bucket of strings to count, and for one of keys to look up.
-BUCKET_TOKENS, LOOKUP_TOKENS = 1 << 20, 1 << 21
+BUCKET_TOKENS, LOOKUP_TOKENS = 1 << 20, 1 << 23
+#: From so many bytes of text on, documents are scored in SLICES parts one after the other: what they ask for takes more disk than
+#: the tables that answer, which each slice shuffles again. Every document is in one slice.
+SLICE_BYTES, SLICES = 1 << 26, 4
 #: Bytes of text for one token, about: how many tokens a table to be scored has needn't be known.
 TOKEN_BYTES = 6
 #: Bytes of text that a task scores at a time, and counts the strings of before they are shuffled, and bytes of keys.
@@ -176,18 +180,17 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "name long, n long").groupBy("name").agg(F.sum("n").alias("c"))
 
 
-def _next_words(texts: DataFrame, contexts: DataFrame, length: int, least: int, buckets: int, words: np.ndarray, seen: np.ndarray) -> DataFrame:
+def _next_words(texts: DataFrame, contexts: DataFrame, length: int, least: int, buckets: int, table: Broadcast) -> DataFrame:
     """(ctx, key, suffix, n): how often a word follows a context of `length` words, for all that do so `least` times. key is the
-    string of both, suffix that string without its first word. words and seen: names (sorted) and counts of the common words."""
-    number = np.empty(len(words), np.uint32)
-    number[np.argsort(-seen, kind="stable")] = np.arange(len(words), dtype=np.uint32)
-    send = texts.sparkSession.sparkContext.broadcast((_bitmap(contexts.select("key")), words, number))  # 16 MB at most, and 12 bytes a common word
+    string of both, suffix that string without its first word. table: names (sorted) and numbers of the common words. Written at once,
+    so that what was broadcast can go."""
+    send = texts.sparkSession.sparkContext.broadcast(_bitmap(contexts.select("key")))  # 16 MB at most
     places = range(length + 1)
     schema = "bucket int, n binary, " + ", ".join(f"low{i} binary, high{i} binary, name{i} binary" for i in places)
     types = to_arrow_schema(texts.sparkSession.createDataFrame([], schema).schema)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, common, number = send.value
+        bits, (common, number) = send.value, table.value
         for batch in (piece for whole in batches for piece in sliced(whole, COUNT_STEP)):
             words, _, code = _tokens(batch.column("text"))
             named = _named(words)
@@ -211,7 +214,7 @@ def _next_words(texts: DataFrame, contexts: DataFrame, length: int, least: int,
                     yield _filled(dict(zip(dealt.schema.names, dealt.columns, strict=True)), dealt.num_rows, types)
 
     def add_up(rows: pa.Table) -> pa.Table:
-        _, common, number = send.value
+        common, number = table.value
         of_number = np.empty_like(common)
         of_number[number] = common
         coded, named = rows.filter(pa.compute.is_valid(rows["low0"])), rows.filter(pa.compute.is_valid(rows["name0"]))
@@ -228,7 +231,9 @@ def _next_words(texts: DataFrame, contexts: DataFrame, length: int, least: int,
         columns = {"ctx": reduce(_longer, [w[at] for w in words[:-1]]), "key": key[at], "suffix": reduce(_longer, [w[at] for w in words[1:]])}
         return pa.table({c: x.view(np.int64) for c, x in columns.items()} | {"n": total[total >= least]})
 
-    return texts.select("text").mapInArrow(count, schema).groupBy("bucket").applyInArrow(add_up, "ctx long, key long, suffix long, n long")
+    found = written(texts.select("text").mapInArrow(count, schema).groupBy("bucket").applyInArrow(add_up, "ctx long, key long, suffix long, n long"), "found")
+    send.destroy()
+    return found
 
 
 def _grown(strings: DataFrame, contexts: DataFrame, tokens: int, smoothing: float) -> DataFrame:
@@ -263,10 +268,12 @@ def train(texts: DataFrame, *, context: int = CONTEXT, min_count: int = MIN_COUN
     words, seen = names[by_name], listed["c"].to_numpy()[by_name]
     root = (F.col("c") + 1) / F.lit(float(tokens + vocabulary + 1))
     known = counts.where(F.col("c") >= min_count).select(F.col("name").alias("key"), F.col("c").alias("n"), root.alias("root"), F.lit(0.0).alias("lift"))
-    values = []
+    number = np.empty(len(words), np.uint32)
+    number[np.argsort(-seen, kind="stable")] = np.arange(len(words), dtype=np.uint32)  # small numbers for the commonest words
+    table, values = texts.sparkSession.sparkContext.broadcast((words, number)), []  # 12 bytes a common word
     for length in range(1, context + 1):
         # each step's shuffles go before the next begins, and tables that nothing will read any more
-        found = written(_next_words(texts, known, length, min_count, max(1, -(-tokens // BUCKET_TOKENS)), words, seen), "found")
+        found = _next_words(texts, known, length, min_count, max(1, -(-tokens // BUCKET_TOKENS)), table)
         untested = written(found.join(known.select(F.col("key").alias("suffix"), "root", F.col("lift").alias("base")), "suffix").drop("suffix"), "strings")
         removed(found)
         grown = written(_grown(untested, known, tokens, smoothing), "tree")
@@ -279,6 +286,7 @@ def train(texts: DataFrame, *, context: int = CONTEXT, min_count: int = MIN_COUN
         stated = known.where("rest IS NOT NULL")
         states = stated.groupBy("ctx").agg(F.first("rest").alias("v"), F.first("total").alias("n")).select(F.col("ctx").bitwiseXOR(F.lit(STATE)).alias("key"), "v", "n")
         values.append(written(states.unionByName(stated.select("key", (F.col("lift") - F.col("base") - F.col("rest")).alias("v"), "n")), "values"))
+    table.destroy()
     if values:
         removed(known)
     lookup = reduce(DataFrame.unionByName, values or [texts.sparkSession.createDataFrame([], "key long, v double, n long")])
@@ -359,7 +367,7 @@ def score(docs: DataFrame, tree: SuffixTree) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score (log10) for every row of docs (doc_id, text; more columns are ignored).
 
     Null texts are empty: one token, the end. Repeated rows are each returned. Without any training text all
-    scores are 0: the only class left is the unknown word.
+    scores are 0: the only class left is the unknown word. From SLICE_BYTES of text on, slices are scored and written one by one.
     """
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count(F.lit(1))).first()[0]
     levels, buckets, size = tree.levels, tree.buckets(int(text_bytes) // TOKEN_BYTES), float(tree.tokens + tree.vocabulary + 1)
@@ -440,8 +448,17 @@ def score(docs: DataFrame, tree: SuffixTree) -> DataFrame:
     groups, own_names = max(1, buckets // 2), ("doc_id", "row", *sums_of, "bucket")
     reply_schema = f"doc_id {kind}, row long, {sums}, bucket int, rows binary, more_known binary, more_base binary, more_gain binary"
     reply = to_arrow_schema(docs.sparkSession.createDataFrame([], reply_schema).schema)
-    looked_up = slim.mapInArrow(read, schema).groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(look_up, reply_schema)
-    return looked_up.groupBy("bucket").applyInArrow(add_up, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+
+    def scored(some: DataFrame) -> DataFrame:
+        looked_up = some.mapInArrow(read, schema).groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(look_up, reply_schema)
+        return looked_up.groupBy("bucket").applyInArrow(add_up, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+
+    if text_bytes < SLICE_BYTES:
+        return scored(slim)
+    # equal rows are in one slice, where what they look up is added up
+    parts = [written(scored(slim.where(F.pmod(F.shiftright("row", 32), F.lit(SLICES)) == k)), "scores") for k in range(SLICES)]
+    send.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def op10_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -682,3 +682,27 @@ def test_op10_a_small_tree_scores_many_documents_in_many_tasks(spark):
     finally:
         lm.LOOKUP_TOKENS = before
         spark.conf.unset(coalesce)
+
+
+def test_op10_slices_score_alike_and_leave_no_tables_of_strings(spark, tmp_path, monkeypatch):
+    """Documents scored in slices, and what training leaves in the shared folder: the words and what states add, nothing else."""
+    texts = spark.createDataFrame([("the old dog barks at the red fox today " * 3,)] * 30, "text string")
+    asked = [(k, f"the old dog w{k % 50} barks at the red fox") for k in range(300)] + [(0, "the old dog"), (None, None), (None, None), (7, "the old dog w7 barks at the red fox")]
+    docs = spark.createDataFrame(asked, "doc_id long, text string")
+    monkeypatch.setattr(lm, "LOOKUP_TOKENS", 500)
+    monkeypatch.setattr("stayframe.llm.common.shared_dir", lambda _: str(tmp_path))
+    tree = lm.train(texts, lookup_rows=3)
+    assert {p.name.split("-")[0] for p in (tmp_path / "stayframe").glob("*/*.parquet") for p in [p.parent]} == {"words", "values"}
+    rows = lambda: sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in lm.score(docs, tree).collect()), key=str)
+    whole = rows()
+    monkeypatch.setattr(lm, "SLICE_BYTES", 0)
+    assert len(whole) == len(asked) and rows() == whole
+
+
+def test_keys_are_found_from_their_leading_bits():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 7, 8, 5000):
+        keys = np.unique(np.concatenate([rng.integers(0, 1 << 64, n, np.uint64), np.arange(n // 50, dtype=np.uint64)]))
+        asked = np.concatenate([keys, rng.integers(0, 1 << 64, 500, np.uint64), np.array([0, (1 << 64) - 1], np.uint64)])
+        (found, at), (want, place) = lm._place_by_start(keys, lm._starts(keys), asked), lm._place(keys, asked)
+        assert (found == want).all() and (at[found] == place[want]).all()
