@@ -370,7 +370,9 @@ def score(docs: DataFrame, tree: SuffixTree) -> DataFrame:
     scores are 0: the only class left is the unknown word. From SLICE_BYTES of text on, slices are scored and written one by one.
     """
     text_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + F.count(F.lit(1))).first()[0]
-    levels, buckets, size = tree.levels, tree.buckets(int(text_bytes) // TOKEN_BYTES), float(tree.tokens + tree.vocabulary + 1)
+    # a slice asks for its share only, so the whole text needs as many more buckets as there would be slices
+    in_slices = text_bytes >= SLICE_BYTES
+    levels, buckets, size = tree.levels, tree.buckets(int(text_bytes) // TOKEN_BYTES * (1 if in_slices else SLICES)), float(tree.tokens + tree.vocabulary + 1)
     send = docs.sparkSession.sparkContext.broadcast((tree.words, tree.seen, size, tree.keys, _starts(tree.keys), tree.added, tree.bits))  # bounded by lookup_rows, and the bitmap by 16 MB
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -453,7 +455,7 @@ def score(docs: DataFrame, tree: SuffixTree) -> DataFrame:
         looked_up = some.mapInArrow(read, schema).groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(look_up, reply_schema)
         return looked_up.groupBy("bucket").applyInArrow(add_up, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
-    if text_bytes < SLICE_BYTES:
+    if not in_slices:
         return scored(slim)
     # equal rows are in one slice, where what they look up is added up
     parts = [written(scored(slim.where(F.pmod(F.shiftright("row", 32), F.lit(SLICES)) == k)), "scores") for k in range(SLICES)]
